@@ -123,3 +123,51 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
         own = hashes[bounds[row] : bounds[row + 1]]
         out[out_bounds[row]] = join_hashes(own, len(own))[0] ^ np.uint64(len(own))
     return out, out_bounds
+
+
+_LETTER = np.zeros(256, np.bool_)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII signs and digits; no white space, no control characters.
+_SIGN = np.zeros(256, np.bool_)
+_SIGN[[*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_SIGN_BEFORE = _SIGN.copy()
+_SIGN_BEFORE[0x27] = False  # an apostrophe may belong to the letters after it
+
+
+def letter_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a run of ASCII letters ends before a sign or digit, or begins after one."""
+    cut = np.zeros(len(data), np.bool_)
+    letter, sign = _LETTER[data], _SIGN[data]
+    cut[1:] = (letter[:-1] & sign[1:]) | (_SIGN_BEFORE[data[:-1]] & letter[1:])
+    return cut
+
+
+class PieceCache:
+    """64-bit keys to integers, within one worker: a sorted part and a recent part, bounded."""
+
+    def __init__(self, most: int = 3_000_000, recent: int = 200_000):
+        self.most, self.recent = most, recent
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.new = np.zeros(1, np.uint64), np.full(1, -1, np.int64), {}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = np.where(self.keys[at] == keys, self.values[at], -1)
+        rest = np.flatnonzero(found < 0)
+        if self.new and len(rest):
+            found[rest] = [self.new.get(k, -1) for k in keys[rest].tolist()]
+        return found
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.new.update(zip(keys.tolist(), np.asarray(values).tolist()))
+        if len(self.new) > self.recent:
+            if len(self.keys) + len(self.new) > self.most:
+                self.clear()
+                return
+            keys = np.concatenate((self.keys, np.fromiter(self.new.keys(), np.uint64, len(self.new))))
+            values = np.concatenate((self.values, np.fromiter(self.new.values(), np.int64, len(self.new))))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.values, self.new = keys[order], values[order], {}
