@@ -59,7 +59,7 @@ def external_shuffle(
     if n_buckets <= BROADCAST_BUCKETS:
         starts = F.broadcast(starts)
     buckets = (
-        scattered.repartition(n_buckets, "bucket")
+        scattered.repartitionById(n_buckets, "bucket")
         .sortWithinPartitions("bucket", "first_order")
         .groupBy("bucket")
         .agg(F.collect_list("record").alias("records"))
