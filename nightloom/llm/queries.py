@@ -12,6 +12,7 @@ from .decontamination import contamination_digest
 from .packing import pack
 from .sharding import shard_digest
 from .tokencounts import token_counts
+from .toxicity import toxicity_digest
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, shuffled into shards 0 to 15."""
     return shard_digest(read_table(spark, sf_dir, "documents"))
@@ -37,6 +43,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
