@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontamination import contamination_digest
+from .langid import language_ids
 from .packing import pack
 from .sharding import shard_digest
 from .tokencounts import token_counts
@@ -30,6 +31,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_ids(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -45,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
+        "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
     }
