@@ -11,6 +11,7 @@ from .common import read_table
 from .decontamination import contamination_digest
 from .fingerprints import fingerprint_digest
 from .langid import language_ids
+from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard_digest
 from .tokencounts import token_counts
@@ -27,6 +28,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     return toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_fingerprints": op2_fingerprints,
+        "op3_minhash": op3_minhash,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,
