@@ -11,6 +11,7 @@ from .common import read_table
 from .decontamination import contamination_digest
 from .fingerprints import fingerprint_digest
 from .langid import language_ids
+from .lines import lines_digest
 from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard_digest
@@ -33,6 +34,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document's lines."""
+    return lines_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     return toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_fingerprints": op2_fingerprints,
         "op3_minhash": op3_minhash,
+        "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_language_id": op7_language_id,
