@@ -15,6 +15,7 @@ from .lines import lines_digest
 from .minhash import near_duplicates
 from .packing import pack
 from .sharding import shard_digest
+from .suffixtree import language_model_scores
 from .tokencounts import token_counts
 from .toxicity import toxicity_digest
 
@@ -64,6 +65,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language-model score of every document."""
+    return language_model_scores(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
+        "op10_language_model": op10_language_model,
     }
 
 
