@@ -1,62 +1,126 @@
 """From band keys to verified links and classes, for any kind of signature.
 
 Items are texts, named by a 64-bit hash (``node``), so exact copies are one item. Items
-that share a band key are a bucket. In a bucket of few items all pairs are candidates. In
-a larger one every item is first compared with the bucket's least; the items that this
-does not bring into the least one's class are then compared with several others of the
-bucket, chosen by a hash that differs from bucket to bucket. The work is linear in the
-number of band keys, whatever the size of a bucket.
+that share a band key are a bucket. Among the first 24 items of a bucket all pairs are
+candidates; every further item is compared with the first and with one of the others,
+chosen by a hash, so a bucket's work is linear however large it is, and an item that is in
+several buckets meets different ones. Buckets are read as sorted streams, never gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 from .components import components
+from .textkernels import mix
 
-#: Buckets of up to this many entries give all pairs.
-SMALL_BUCKET = 24
-#: What the items of a larger bucket are compared with in the second round.
-ANCHORS = 4
+#: The first items of a bucket, of which all pairs are candidates.
+ALL_PAIRS = 24
+#: Nodes that tasks get as one sorted array to pick their texts by (8 bytes each); more are joined.
+BROADCAST_NODES = 1_000_000
 
 
-def _with_stats(bands: DataFrame) -> DataFrame:
-    return bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+def local_bands(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, node, other) of a part of the data; ``other`` is null for plain entries of a bucket.
 
+    Of a bucket that has many items here the first 24 are plain entries. Each further one
+    only names the first and one other of these: it is dealt by a key of its own, so a hot
+    bucket does not meet in one task.
+    """
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(keys)))
+    place = np.arange(len(keys)) - np.repeat(begin, sizes)
+    early = place < ALL_PAIRS
+    none = pa.nulls(int(early.sum()), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(keys[early]), pa.array(nodes[early]), none], ["key", "node", "other"])
+    late = np.flatnonzero(~early)
+    if len(late):
+        first = np.repeat(begin, sizes)[late]
+        others = nodes[first + 1 + _pick(keys[late], nodes[late])]
+        own = mix(keys[late].view(np.uint64) + nodes[late].view(np.uint64) * np.uint64(3)).view(np.int64)
+        for i, other in enumerate((nodes[first], others)):
+            yield pa.RecordBatch.from_arrays([pa.array(own + i), pa.array(nodes[late]), pa.array(other)], ["key", "node", "other"])
 
-def _small_pairs(bands: DataFrame, stats: DataFrame) -> DataFrame:
-    small = bands.join(stats.where(F.col("n") <= SMALL_BUCKET).select("key"), "key")
-    nodes = small.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    one = nodes.select("nodes", F.posexplode("nodes").alias("at", "u"))
-    return one.select("u", F.explode(F.expr("slice(nodes, at + 2, size(nodes))")).alias("v"))
+
+def _pick(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64) ^ nodes.view(np.uint64)) % np.uint64(ALL_PAIRS - 1)).astype(np.int64)
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of entries sorted by key and node; a bucket may go on in the next batch."""
+    carried_key, carried, seen = None, np.zeros(0, np.int64), 0
+    for batch in batches:
+        known = batch.filter(pc.is_valid(batch.column(2)))
+        if len(known):
+            u, v = known.column(1).to_numpy(), known.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        batch = batch.filter(pc.is_null(batch.column(2)))
+        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        same = np.concatenate(([False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])))
+        keys, nodes = keys[~same], nodes[~same]
+        if not len(keys):
+            continue
+        old = 0
+        if carried_key is not None and keys[0] == carried_key:
+            fresh = np.flatnonzero((keys != carried_key) | ~np.isin(nodes, carried))
+            old = len(carried)
+            keys = np.concatenate((np.full(old, carried_key), keys[fresh]))
+            nodes = np.concatenate((carried, nodes[fresh]))
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(begin, len(keys)))
+        place = np.arange(len(keys)) - np.repeat(begin, sizes)
+        if old:
+            place[old : sizes[0]] += seen - old
+        u, v = [], []
+        # Earlier and later item of each pair; a pair of two carried items was found before.
+        for lag in range(1, min(int(sizes.max()), ALL_PAIRS)):
+            later = np.flatnonzero((keys[lag:] == keys[:-lag]) & (place[lag:] < ALL_PAIRS)) + lag
+            later = later[later >= old]
+            u.append(nodes[later - lag])
+            v.append(nodes[later])
+        late = np.flatnonzero((place >= ALL_PAIRS) & (np.arange(len(keys)) >= old))
+        if len(late):
+            first = np.repeat(begin, sizes)[late]
+            for other in (first, first + 1 + _pick(keys[late], nodes[late])):
+                u.append(nodes[other])
+                v.append(nodes[late])
+        carried_key, seen = keys[-1], int(place[-1]) + 1
+        carried = nodes[begin[-1] : begin[-1] + min(int(sizes[-1]), ALL_PAIRS)]
+        if u:
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def candidate_pairs(bands: DataFrame) -> DataFrame:
+    """Distinct (u, v), u < v, from what ``local_bands`` gives."""
+    entries = bands.repartition("key").sortWithinPartitions("key", "node")
+    return entries.mapInArrow(_bucket_pairs, "u long, v long").where("u <> v").distinct()
 
 
 def link_classes(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of all items that have a verified link; ``verify`` keeps the pairs (u, v) that are one."""
-    bands = settle(bands.select("key", "node"))
-    stats = settle(_with_stats(bands))
-    large = bands.join(stats.where(F.col("n") > SMALL_BUCKET).select("key", "least"), "key")
-    pairs = _small_pairs(bands, stats).unionByName(large.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")))
-    links = settle(verify(pairs.distinct()))
-    found = settle(components(links))
-    # Second round: members of large buckets outside the class of the bucket's least item.
-    large = large.distinct()
-    of = found.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    own = large.join(of, F.col("node") == F.col("_n"), "left").select("key", "node", "least", F.coalesce("_r", "node").alias("root"))
-    own = own.join(of, F.col("least") == F.col("_n"), "left").select("key", "node", "root", F.coalesce("_r", "least").alias("least_root"))
-    rest = settle(own.where("root <> least_root").select("key", "node", "root"))
-    if rest.isEmpty():
-        return found
-    picks = [F.min_by("node", F.xxhash64("node", "key", F.lit(i))).alias(f"a{i}") for i in range(ANCHORS)]
-    anchors = large.join(rest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(*picks)
-    again = rest.join(anchors, "key").select("node", F.explode(F.array(*[f"a{i}" for i in range(ANCHORS)])).alias("other")).where("node <> other")
-    again = again.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-    again = again.join(pairs.distinct(), ["u", "v"], "left_anti")
-    return components(settle(verify(again)).unionByName(links))
+    return components(settle(verify(settle(candidate_pairs(bands)))))
+
+
+def wanted_nodes(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One (node, text) per wanted node; the nodes are broadcast up to a bound and joined by a shuffle beyond it."""
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def classes(items: DataFrame, roots: DataFrame, *order: str) -> DataFrame:
