@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from nightloom.plans.oracle import oracle_sql
+from nightloom.plans.queries import queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
