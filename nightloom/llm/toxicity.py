@@ -227,4 +227,5 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the operator does not call toxic, whole."""
-    return toxicity_scores(docs, labels).where(F.col("tox_score") < THRESHOLD).drop("tox_score")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), "doc_id", "text")
+    return toxicity_scores(own, labels).where(F.col("tox_score") < THRESHOLD).select("record.*")
