@@ -177,10 +177,13 @@ def excluded(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def all_events(view: dict[str, DataFrame], rate: int, config: Config = DEFAULT) -> DataFrame:
-    """Every detector's events, with ``rank`` in the order in which the detectors come."""
+    """Every detector's events, with ``rank`` in the order in which the detectors come.
+
+    Several detectors read the features, which are kept in memory or on disk meanwhile.
+    """
     slow, flow = view["slow"], view["flow"]
-    spo2 = spo2_features(slow, config)
-    features = flow_features(flow, rate, config).withColumn("env_units", F.col("env_sum") * F.expr("60 div env_n"))
+    spo2 = spo2_features(slow, config).persist()
+    features = flow_features(flow, rate, config).withColumn("env_units", F.col("env_sum") * F.expr("60 div env_n")).persist()
     desats = desaturations(spo2, config)
     gone = excluded(slow, config).select(
         "rec", F.lit("Excluded").alias("event_type"), F.col("start").cast("double").alias("start_sec"), F.col("end").cast("double").alias("end_sec"), F.lit("Unknown").alias("position")

@@ -42,21 +42,26 @@ def position_minutes(slow: DataFrame) -> DataFrame:
     return slow.groupBy("rec", label).agg((F.count("*") / F.lit(60.0)).alias("minutes"))
 
 
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("event_type") == x).alias(f"{x.lower()}_count") for x in _COUNTED]
+
+
 def event_counts(events: DataFrame) -> DataFrame:
-    counts = events.groupBy("rec").pivot("event_type", list(_COUNTED)).count().na.fill(0)
-    return counts.select("rec", *[F.col(x).cast("long").alias(f"{x.lower()}_count") for x in _COUNTED])
+    return events.groupBy("rec").agg(*_counts())
 
 
 def indices(events: DataFrame, slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row per recording with all counts, indices, oxygen and quality figures."""
     breathing = F.col("event_type").isin(*BREATHING_EVENTS)
     supine = F.col("position") == "Supine"
+    # One grouping of the events serves all counts, so that the detectors run once.
     sums = events.groupBy("rec").agg(
+        *_counts(),
         F.count_if(breathing).alias("total_ahi_events"), F.count_if(breathing & supine).alias("_supine"),
         F.sum(F.when(F.col("event_type") == "CheyneStokes", F.col("end_sec") - F.col("start_sec")).otherwise(0.0)).alias("_csr"),
     )
     seconds = slow.groupBy("rec").agg(F.count_if(position_label(F.col("position").cast("double")) == "Supine").alias("_supine_sec"))
-    out = valid_seconds(slow, config).join(seconds, "rec").join(sums, "rec", "left").join(event_counts(events), "rec", "left")
+    out = valid_seconds(slow, config).join(seconds, "rec").join(sums, "rec", "left")
     out = out.na.fill(0).join(oxygen(slow, config), "rec").join(signal_quality(slow, config), "rec")
     hourly = lambda n, sec: F.when(sec > 0, n / (sec / F.lit(3600.0))).otherwise(0.0)
     n: Column = F.col("total_ahi_events")
