@@ -138,6 +138,10 @@ def train(docs: DataFrame, held_out: Column) -> CrossParser:
     ship(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
     rows = rows.where(F.octet_length("text").between(1, TRAIN_BYTES)).select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
+    # A hash takes about twice the rows wanted of each language, so that few are ranked.
+    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("order"), F.lit(1_000_000)) / 1e6
+    rows = rows.join(F.broadcast(n), "lang").where((F.col("n") <= 4 * TRAIN_ROWS) | (place < 2 * TRAIN_ROWS / F.col("n")))
     in_lang = Window.partitionBy("lang").orderBy("order", "text")
     chosen = rows.withColumn("place", F.row_number().over(in_lang)).where(F.col("place") <= TRAIN_ROWS)
     budget = TRAIN_BYTES

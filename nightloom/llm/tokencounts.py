@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import ship, text_of
 from .textkernels import PieceCache, letter_cuts, slices, span_hashes
 
-#: Documents read for tier one, and the pieces it holds at most (9 bytes each).
-WARM_DOCUMENTS = 2_000
+#: Documents read for tier one (at most 20,000 characters of each), and the pieces it holds at most (9 bytes each).
+WARM_DOCUMENTS = 500
 TABLE_PIECES = 100_000
 
 _SPACES = np.zeros(256, np.bool_)
@@ -111,19 +111,13 @@ def _counter(path: str, table):
 def frequent_pieces(docs: DataFrame, path: str, warm_documents: int = WARM_DOCUMENTS, table_pieces: int = TABLE_PIECES) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and token counts (below 256) of the most frequent pieces of some documents."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter[str] = Counter()
-            for _, _, data, offsets in slices(batch.column(0)):
-                starts, ends, _ = pieces(data, offsets)
-                raw = data.tobytes()
-                seen.update(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
-            top = [(k, n) for k, n in seen.most_common(table_pieces) if len(k) <= 64]
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
-
-    sample = docs.select(F.substring(text_of(), 1, 20_000).alias("text")).limit(warm_documents)
-    rows = sample.mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_pieces)
-    found = rows.toPandas()["piece"].tolist()
+    sample = pa.array([r.text for r in docs.select(F.substring(text_of(), 1, 20_000).alias("text")).head(warm_documents)], pa.string())
+    seen: Counter[bytes] = Counter()
+    for _, _, data, offsets in slices(sample):
+        starts, ends, _ = pieces(data, offsets)
+        raw = data.tobytes()
+        seen.update(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    found = [x.decode("utf-8", "ignore") for x, _ in seen.most_common(table_pieces) if len(x) <= 64]
     hashes, lengths = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     if found:
         counts = np.array(opened(path)[0](found))

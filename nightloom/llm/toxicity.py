@@ -17,13 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, settle, ship
 from .textkernels import ALNUM, mix, slices, span_hashes, words
 
-#: Labelled rows of each class that the models are counted on, and rows that calibrate the score, at most.
+#: About how many labelled rows of each class the models are counted on, and how many calibrate the score, at most.
 MODEL_ROWS = 12_000
 CALIBRATION_ROWS = 6_000
 #: Taken off every count, of pairs and of words, and left to the shared counts.
@@ -72,16 +72,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[DataFrame, DataFrame]:
     """Texts with labels for the models and for calibration, disjoint, of rows that are not held out.
 
-    Both are the first rows in the order of a hash of the id, ``MODEL_ROWS`` of each class
-    and ``CALIBRATION_ROWS`` in all, so the ids can be broadcast to the documents.
+    A row is taken if a hash of its id is below the share that gives ``MODEL_ROWS`` of its
+    class, or ``CALIBRATION_ROWS`` in all; then the ids can be broadcast to the documents.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out)
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = own.withColumn("order", F.xxhash64("doc_id", F.lit(17)))
     calibrating = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5)) == 0
-    in_class = Window.partitionBy("toxic").orderBy("order", "doc_id")
-    chosen = own.where(~calibrating).withColumn("place", F.row_number().over(in_class)).where(F.col("place") <= MODEL_ROWS)
-    rest = own.where(calibrating).orderBy("order", "doc_id").limit(CALIBRATION_ROWS)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1e6
+    own = own.select("doc_id", "toxic", calibrating.alias("calibrating"), place.alias("place"))
+    n = {(r.toxic, r.calibrating): r.n for r in own.groupBy("toxic", "calibrating").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, MODEL_ROWS / max(n.get((1, False), 0), 1)).otherwise(MODEL_ROWS / max(n.get((0, False), 0), 1))
+    chosen = own.where(~F.col("calibrating") & (F.col("place") < share))
+    rest = own.where(F.col("calibrating") & (F.col("place") < CALIBRATION_ROWS / max(n.get((0, True), 0) + n.get((1, True), 0), 1)))
     texts = docs.select("doc_id", "text")
     pick = lambda ids: texts.join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
     return pick(chosen), pick(rest)
