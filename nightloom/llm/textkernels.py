@@ -36,6 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def among(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(wanted), np.bool_)
+    return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+
+
 def slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, their bytes, offsets of each row in them and the end); null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
