@@ -85,5 +85,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_CONTAMINATION = f"""
+with docs as (select doc_id, row_number() over () as r, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+items as (select cast(item_id as varchar) as item_id, {_WORDS.format(text="text")} as w from benchmark where item_id is not null and text is not null),
+places as (select item_id, w, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as i from items where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as text from places),
+sizes as (select distinct n from windows),
+starts as (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from docs join sizes on n <= len(w)),
+found as (select r, i, s.n, item_id from starts s join windows v on v.n = s.n and v.text = array_to_string(w[i:i + s.n - 1], ' ')),
+places_hit as (select r, unnest(range(i, i + n)) as p from (select distinct r, i, n from found)),
+hits as (select r, count(distinct p) as n_hit from places_hit group by r),
+named as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from found) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hits using (r) left join named using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only containment in the benchmark is plain SQL; the others learn, sample, hash or run a tokenizer."""
+    return {"op1_decontamination": _CONTAMINATION}
