@@ -13,17 +13,25 @@ SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _series(n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.full((2, n), [[_BASE], [_INVERSE]])
+    steps[:, 0] = 1
+    return tuple(np.multiply.accumulate(x, out=x) for x in steps)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, SLICE_BYTES + (SLICE_BYTES >> 3)), base)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of an odd base and of its inverse, modulo 2**64.
+
+    Those that a slice needs are kept by the worker; those of a longer text are not.
+    """
+    if n > SLICE_BYTES + 1:
+        return _series(n)
+    if not _powers:
+        _powers.append(_series(SLICE_BYTES + 1))
+    return tuple(x[:n] for x in _powers[0])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -13,6 +13,7 @@ score is a logistic function of the difference of its two log-likelihoods per wo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ TOXIC_SHARE = 0.01
 #: Occurrences that a context is taken to have beside those counted, all given to the backoff.
 CONTEXT_PRIOR = 2_000.0
 THRESHOLD = 0.7
+#: Slices that are counted together before the shuffle.
+COUNTED_SLICES = 4
 
 _START = np.int64(0x5EED)
 
@@ -57,12 +60,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(before, word, toxic, n, left) of the texts of each batch; left has a bit for each kind of word before the pair."""
     for batch in batches:
         toxic = batch.column(1).to_numpy()
-        for low, high, data, offsets in slices(batch.column(0), 4 << 20):
-            before, word, bounds = _bigrams(data, offsets)
-            earlier = np.where(before == _START, _START, np.roll(before, 1))
-            bit = mix(earlier.view(np.uint64)) % np.uint64(63)
-            label = np.repeat(toxic[low:high], np.diff(bounds))
-            frame = pd.DataFrame({"before": before, "word": word, "toxic": label, "bit": bit})
+        for some in batched(slices(batch.column(0)), COUNTED_SLICES):
+            parts = []
+            for low, high, data, offsets in some:
+                before, word, bounds = _bigrams(data, offsets)
+                earlier = np.where(before == _START, _START, np.roll(before, 1))
+                bit = mix(earlier.view(np.uint64)) % np.uint64(63)
+                parts.append(pd.DataFrame({"before": before, "word": word, "toxic": np.repeat(toxic[low:high], np.diff(bounds)), "bit": bit}))
+            frame = pd.concat(parts)
             frame = frame.groupby(["before", "word", "toxic", "bit"], sort=False).size().reset_index(name="n")
             frame["left"] = np.int64(1) << frame["bit"].astype("int64")
             frame = frame.groupby(["before", "word", "toxic"], sort=False)[["n", "left"]].sum().reset_index()
