@@ -215,7 +215,10 @@ def _verifier(shared, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, class_id (least doc_id of its class), class_size, node.
+    """Per document: doc_id, class_id (least doc_id of its class), class_size, node, root, first_node.
+
+    ``root`` is the class itself: classes whose members have no doc_id, or that share one, differ in it.
+    ``first_node`` is the text of the class's first document, the least of those with its least doc_id.
 
     A class is a component of the links between texts of a weighted Jaccard similarity of
     at least the threshold; equal texts are always together. Texts without words are
@@ -237,8 +240,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     roots = link_classes(bands, verify)
     ids = docs.select("doc_id", F.xxhash64(text_of()).alias("node"), F.col("doc_id").isNull().alias("unnamed"))
-    return classes(ids, roots, "unnamed", "doc_id").select(
-        "doc_id", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long").alias("class_size"), "node"
+    return classes(ids, roots, "unnamed", "doc_id", "node").select(
+        "doc_id",
+        F.col("first.doc_id").alias("class_id"),
+        F.col("class_size").cast("long").alias("class_size"),
+        "node",
+        "root",
+        F.col("first.node").alias("first_node"),
     )
 
 
@@ -246,8 +254,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the least doc_id, whole; of repeated rows one."""
     found = near_duplicates(docs, threshold)
     # Every class keeps one (doc_id, text); equal ones are repeated rows.
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    first = first.groupBy("_id").agg(F.min("_node").alias("_node"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node")))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
     own = docs.withColumn("_text_node", F.xxhash64(text_of()))
     kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_node") == F.col("_node")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_text_node"]).drop("_text_node")

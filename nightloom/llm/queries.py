@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import contamination_digest
@@ -31,8 +32,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class of every document."""
-    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    """The near-duplicate class of every document; class_root tells classes apart that have the same class_id or none."""
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", F.col("root").alias("class_root"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,15 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert kept.columns == docs.columns and kept.count() == len(set(classes.values()))
 
 
+def test_unrelated_texts_without_or_under_one_id_stay(spark):
+    texts = [" ".join(f"t{k}w{x}" for x in range(40)) for k in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[6] + " more"), (9, texts[6]), (None, texts[7]), (3, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id or 0, r.text) for r in minhash.keep_one(docs).collect())
+    assert kept == sorted([(0, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (8, texts[6] + " more"), (3, texts[7])])
+    assert len({r.root for r in minhash.near_duplicates(docs).collect()}) == 8
+
+
 def test_large_buckets_keep_their_links(spark):
     words = [f"w{x}" for x in range(150)]
     rows = [(i, " ".join(words[:i % 100] + [f"new{i}"] + words[i % 100 :])) for i in range(200)]
