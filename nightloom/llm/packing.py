@@ -29,6 +29,8 @@ MAX_TOKENS = 4096
 END_ID = 1
 #: Rows of a length are ranked in parts; a hot length spreads over this many tasks.
 RANK_PARTS = 64
+#: Low bits of a cached value that hold how many ids a piece has: more than a text of 2 GB can have.
+SIZE_BITS = 31
 
 _open: dict[str, "_Encoder"] = {}
 
@@ -80,7 +82,7 @@ class _Encoder:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.filled : self.filled + len(flat)] = flat
         # A value holds where the ids are and how many.
-        values = (self.filled + np.cumsum(sizes) - sizes) << 20 | np.minimum(sizes, (1 << 20) - 1)
+        values = (self.filled + np.cumsum(sizes) - sizes) << SIZE_BITS | sizes
         self.filled += len(flat)
         self.cache.add(keys, values)
         return values
@@ -106,7 +108,7 @@ class _Encoder:
                 spans = first[new]
                 values[new] = self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[spans].tolist(), ends[spans].tolist())])
             values = values[where]
-            at, sizes = values >> 20, values & ((1 << 20) - 1)
+            at, sizes = values >> SIZE_BITS, values & ((1 << SIZE_BITS) - 1)
             total = np.concatenate(([0], np.cumsum(sizes)))
             ids = self.ids[np.repeat(at - total[:-1], sizes) + np.arange(total[-1])]
             odd = any(x in raw for x in self.special)

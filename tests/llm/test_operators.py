@@ -298,6 +298,15 @@ def test_packing_has_the_librarys_ids(spark, odd, real, empty):
     assert packing.pack(empty, path).count() == 0 and packing.pack(odd, path).select("doc_id").count() >= odd.count()
 
 
+def test_packing_keeps_all_ids_of_a_long_piece(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "a b " + "0123456789" * 110_000 + " c"
+    ids = np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1], "<u4")
+    rows = sorted(packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect(), key=lambda r: r.start)
+    assert len(ids) > 1 << 20 and sum(r.length for r in rows) == len(ids)
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(ids[a : a + 4096].tobytes()) for a in range(0, len(ids), 4096)]
+
+
 def test_token_counts_are_the_librarys(spark, odd, empty):
     rng = np.random.default_rng(1)
     signs = [" ", "  ", "\n", "\t", "a", "B", "é", "　", "\x85", "\xa0", "\x1c", "1", ".", ",", "'s", "<|endoftext|>", "中", "́", " \n", "\x00", "😀", " the", "'"]
