@@ -173,20 +173,22 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of the lines that are near-equal to a different one."""
     ship(docs.sparkSession)
     texts = docs.select(text_of().alias("text"))
-    bands = texts.mapInArrow(_signer, "key long, node long, other long")
+    bands = texts.mapInArrow(_signer, "key long, node long, other long, bucket long")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def fetch(pairs: DataFrame) -> DataFrame:
         wanted = wanted_nodes(pairs)
         few = wanted.count() <= BROADCAST_NODES
         picked = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["node"].to_numpy(np.int64))) if few else None
         # Each slice gives a line once, so copies do not pile up before they meet.
         lines = texts.mapInArrow(_texts(picked), "node long, text binary")
-        own = settle(lines.dropDuplicates(["node"]) if few else texts_of(lines, wanted))
+        return settle(lines.dropDuplicates(["node"]) if few else texts_of(lines, wanted))
+
+    def judge(pairs: DataFrame, own: DataFrame) -> DataFrame:
         both = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(threshold), "u long, v long")
 
-    return link_classes(bands, verify)
+    return link_classes(bands, fetch, judge)
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

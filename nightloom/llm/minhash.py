@@ -230,15 +230,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(fit_weights(docs))
     texts = docs.select(F.xxhash64(text_of()).alias("node"), text_of().alias("text"))
-    bands = texts.mapInArrow(_signer(shared), "key long, node long, other long")
+    bands = texts.mapInArrow(_signer(shared), "key long, node long, other long, bucket long")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        own = settle(texts_of(texts, wanted_nodes(pairs)))
+    def fetch(pairs: DataFrame) -> DataFrame:
+        return settle(texts_of(texts, wanted_nodes(pairs)))
+
+    def judge(pairs: DataFrame, own: DataFrame) -> DataFrame:
         both = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(shared, threshold), "u long, v long")
 
-    roots = link_classes(bands, verify)
+    roots = link_classes(bands, fetch, judge)
     ids = docs.select("doc_id", F.xxhash64(text_of()).alias("node"), F.col("doc_id").isNull().alias("unnamed"))
     return classes(ids, roots, "unnamed", "doc_id", "node").select(
         "doc_id",

@@ -3,8 +3,9 @@
 Items are texts, named by a 64-bit hash (``node``), so exact copies are one item. Items
 that share a band key are a bucket. Among the first 24 items of a bucket all pairs are
 candidates; every further item is compared with the first and with one of the others,
-chosen by a hash, so a bucket's work is linear however large it is, and an item that is in
-several buckets meets different ones. Buckets are read as sorted streams, never gathered.
+chosen by a hash, which joins most of a large class by linear work. What this leaves apart
+in a larger bucket is then compared in rounds until all its pairs are decided: they are in
+one class or were verified. Buckets are read as sorted streams, never gathered.
 """
 
 from __future__ import annotations
@@ -23,17 +24,21 @@ from .textkernels import mix
 
 #: The first items of a bucket, of which all pairs are candidates.
 ALL_PAIRS = 24
+#: Members of a larger bucket that the first round compares with all others; each round takes twice as many.
+PIVOTS = 8
 #: Nodes that tasks get as one sorted array to pick their texts by (8 bytes each); more are joined.
 BROADCAST_NODES = 1_000_000
 
 
 def local_bands(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, node, other) of a part of the data; ``other`` is null for plain entries of a bucket.
+    """(key, node, other, bucket) of a part of the data; ``other`` is null for plain entries of a bucket.
 
     Of a bucket that has many items here the first 24 are plain entries. Each further one
     only names the first and one other of these: it is dealt by a key of its own, so a hot
-    bucket does not meet in one task.
+    bucket does not meet in one task. All items of such a bucket are also named as its
+    members, by ``bucket``, its key, and themselves as ``other``.
     """
+    names = ["key", "node", "other", "bucket"]
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
@@ -42,14 +47,19 @@ def local_bands(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]
     place = np.arange(len(keys)) - np.repeat(begin, sizes)
     early = place < ALL_PAIRS
     none = pa.nulls(int(early.sum()), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(keys[early]), pa.array(nodes[early]), none], ["key", "node", "other"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys[early]), pa.array(nodes[early]), none, none], names)
     late = np.flatnonzero(~early)
     if len(late):
         first = np.repeat(begin, sizes)[late]
         others = nodes[first + 1 + _pick(keys[late], nodes[late])]
         own = mix(keys[late].view(np.uint64) + nodes[late].view(np.uint64) * np.uint64(3)).view(np.int64)
+        none = pa.nulls(len(late), pa.int64())
         for i, other in enumerate((nodes[first], others)):
-            yield pa.RecordBatch.from_arrays([pa.array(own + i), pa.array(nodes[late]), pa.array(other)], ["key", "node", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(own + i), pa.array(nodes[late]), pa.array(other), none], names)
+        large = np.repeat(sizes, sizes) > ALL_PAIRS
+        keys, nodes = keys[large], nodes[large]
+        own = mix(keys.view(np.uint64) + nodes.view(np.uint64) * np.uint64(5)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(nodes), pa.array(nodes), pa.array(keys)], names)
 
 
 def _pick(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -57,13 +67,16 @@ def _pick(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of entries sorted by key and node; a bucket may go on in the next batch."""
+    """Candidate pairs of entries sorted by key and node; a bucket may go on in the next batch.
+
+    A row with a ``bucket`` is no pair: it names a member of a bucket of more than ALL_PAIRS.
+    """
     carried_key, carried, seen = None, np.zeros(0, np.int64), 0
     for batch in batches:
         known = batch.filter(pc.is_valid(batch.column(2)))
         if len(known):
             u, v = known.column(1).to_numpy(), known.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), known.column(3)], ["u", "v", "bucket"])
         batch = batch.filter(pc.is_null(batch.column(2)))
         keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         same = np.concatenate(([False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])))
@@ -94,22 +107,57 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for other in (first, first + 1 + _pick(keys[late], nodes[late])):
                 u.append(nodes[other])
                 v.append(nodes[late])
+            large = np.zeros(len(begin), np.bool_)
+            large[np.searchsorted(begin, late, "right") - 1] = True
+            large = np.repeat(large, sizes)
+            member = pa.array(nodes[large])
+            yield pa.RecordBatch.from_arrays([member, member, pa.array(keys[large])], ["u", "v", "bucket"])
         carried_key, seen = keys[-1], int(place[-1]) + 1
         carried = nodes[begin[-1] : begin[-1] + min(int(sizes[-1]), ALL_PAIRS)]
         if u:
             u, v = np.concatenate(u), np.concatenate(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none], ["u", "v", "bucket"])
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, from what ``local_bands`` gives."""
+def candidates(bands: DataFrame) -> DataFrame:
+    """Distinct (u, v, bucket) from what ``local_bands`` gives: pairs, u < v, without a bucket, and members u of large ones."""
     entries = bands.repartition("key").sortWithinPartitions("key", "node")
-    return entries.mapInArrow(_bucket_pairs, "u long, v long").where("u <> v").distinct()
+    return entries.mapInArrow(_bucket_pairs, "u long, v long, bucket long").where("u <> v or bucket is not null").distinct()
 
 
-def link_classes(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of all items that have a verified link; ``verify`` keeps the pairs (u, v) that are one."""
-    return components(settle(verify(settle(candidate_pairs(bands)))))
+def link_classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all items that have a verified link.
+
+    ``fetch`` gives the texts of the items of pairs (u, v); ``judge`` keeps the pairs that are a link by these texts.
+    """
+    found = settle(candidates(bands))
+    pairs = found.where("bucket is null").select("u", "v")
+    own = fetch(pairs)
+    links = settle(judge(pairs, own))
+    roots = components(links)
+    members = found.where("bucket is not null").select(F.col("bucket").alias("key"), F.col("u").alias("node"))
+    pivots = PIVOTS
+    while True:
+        # What is left of each bucket, by class; buckets of one class are done.
+        rooted = settle(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        groups = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        groups = groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("apart"), F.count("*").alias("k"))
+        left = settle(rooted.join(groups.where("k > 1").drop("k"), "key"))
+        if left.isEmpty():
+            return roots
+        # Some members outside the largest class are compared with all of other classes. They are done then.
+        chosen = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("apart") < F.lit(pivots << 30)
+        left = left.withColumn("pivot", (F.col("root") != F.col("main")) & chosen)
+        some = left.where("pivot").select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
+        both = left.join(some, "key").where("root <> p_root")
+        pairs = settle(both.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct())
+        fresh = settle(judge(pairs, own))
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            roots = components(links)
+        members = left.where("not pivot").select("key", "node")
+        pivots *= 2
 
 
 def wanted_nodes(pairs: DataFrame) -> DataFrame:

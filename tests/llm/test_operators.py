@@ -187,6 +187,26 @@ def test_large_buckets_keep_their_links(spark):
     assert {r.class_id for r in found.collect()} == {0}
 
 
+def test_a_star_in_large_buckets_is_one_class(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in range(300)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 120):
+        own = list(words)
+        for at in rng.choice(np.arange(5, 300, 10), 5, replace=False):
+            own[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(own)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert all((0, i) in near for i in range(1, 120)) and len(near) < 1000
+    # Frequent shingles weigh less, so the links are counted with equal weights.
+    for cut in range(3):
+        docs = spark.createDataFrame([(i, t.replace("w", f"v{cut}")) for i, t in rows], "doc_id long, text string").repartition(1 + 2 * cut)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(minhash, "fit_weights", lambda _: minhash.Weights(np.zeros(0, np.uint64), np.zeros(0)))
+            assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
 def test_line_dedup(spark, empty):
     base = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(1, f"{base}\n\nown line number one"), (2, f"{base}!\nown line number two\n"), (3, base), (4, None), (5, ""), (6, "a\na\nb"), (7, "b"), (7, "b"), (None, base + "?")]
