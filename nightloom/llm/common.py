@@ -33,10 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for materialised results; a local one only where none is set."""
+    """The shared folder for materialised results; a local one only where none is set and one machine runs all."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nightloom-checkpoint-"))
     return shared or context.getCheckpointDir()
 
@@ -56,3 +58,12 @@ def in_fold(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """The name, or with the first number that makes it different from all columns."""
+    taken, name, n = {c.lower() for c in df.columns}, wanted, 0
+    while name.lower() in taken:
+        n += 1
+        name = f"{wanted}_{n}"
+    return name

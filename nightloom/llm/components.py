@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, ship
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -13,19 +17,44 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["mark"]
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: each node tied to the least one that these edges connect it with."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, where = np.unique(np.concatenate((u, v)), return_inverse=True)
+    u, v = where[: len(u)], where[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[u], root[v])
+        before = root.copy()
+        for x in (u, v):
+            np.minimum.at(root, before[x], least)
+            np.minimum.at(root, x, least)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            break
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v), both long; root is the component's least node.
 
-    Alternates large-star and small-star steps: each node's larger neighbours, then its
-    smaller ones, are tied to the least node next to it. Every step is a grouping with a
-    partial minimum and a join, and every round is stored, so no neighbourhood is gathered
-    in one place. Rounds grow with the logarithm of the longest chain. Nulls and loops are
-    dropped; no edges give no rows.
+    Each task first turns its edges into stars, so a hub has one edge per task and star at
+    most. Then large-star and small-star steps alternate: each node's larger neighbours,
+    then its smaller ones, are tied to the least node next to it. Every step is a grouping
+    with a partial minimum and a join, and every round is stored, so no neighbourhood is
+    gathered in one place. Rounds grow with the logarithm of the longest chain. Nulls and
+    loops are dropped; no edges give no rows.
     """
-    edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = settle(edges.distinct())
+    ship(edges.sparkSession)
+    edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
+    edges = settle(edges.mapInArrow(_forest, "u long, v long").distinct())
     mark = _mark(edges)
-    while True:
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -35,5 +64,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = settle(small.where("u <> v").distinct())
         before, mark = mark, _mark(edges)
         if mark == before:
-            roots = edges.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
-            return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
+    roots = edges.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
+    return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication across documents: one line stays of each class of near-equal lines.
 
-A line's signature is the MinHash of its runs of ten bytes; bands of three values give
+A line's signature is the MinHash of its runs of five characters; bands of five values give
 candidates, the exact Jaccard similarity of the sets of runs decides, and a distributed
 union-find joins the links. The first line of a class, by document and place, stays.
 """
@@ -15,15 +15,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship, text_of
-from .neardup import BROADCAST_NODES, link_classes, local_bands, texts_of, wanted_nodes
-from .textkernels import SLICE_BYTES, among, mix, powers, slices
+from .common import free_name, settle, ship, text_of
+from .neardup import BANDS_SCHEMA, BROADCAST_NODES, link_classes, local_bands, sketch_of, texts_of, wanted_nodes
+from .textkernels import SLICE_BYTES, Spans, among, mix, slices
 
-#: Bytes in a shingle; a shorter line has one, itself.
-SHINGLE = 10
+#: Characters (code points) in a shingle; a shorter line has one, itself.
+SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 8
-BAND_VALUES = 3
+#: A link of exactly 0.8 shares a band with probability 0.996, one of 0.9 with 0.999998.
+BANDS = 14
+BAND_VALUES = 5
+#: Shingles whose hashes are multiplied together, so that they stay in the processor's cache.
+_BLOCK = 1 << 16
+# Odd, and without a pattern: multiples of one number would make the same shingle the least in many rows.
+_MULTIPLIERS = [np.uint32(int(x) >> 32 | 1) for x in mix(np.arange(1, BANDS * BAND_VALUES + 1, dtype=np.uint64))]
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,40 +44,41 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, bounds
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][:-1], out=sums[1:])
-    return sums
-
-
-def _spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    inverse = powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def line_shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the shingles of non-empty lines, line by line, and where each line's begin."""
-    made = np.maximum(ends - starts - SHINGLE + 1, 1)
+def line_shingles(data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of non-empty lines, line by line, and where each line's begin."""
+    chars = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+    low, high = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
+    made = np.maximum(high - low - SHINGLE + 1, 1)
     begin = np.cumsum(made) - made
-    first = np.repeat(starts - begin, made) + np.arange(made.sum())
-    last = np.minimum(first + SHINGLE, np.repeat(ends, made))
-    inverse = powers(len(sums))[1]
-    hashes = (sums[last] - sums[first]) * inverse[first]
+    first = np.repeat(low - begin, made) + np.arange(made.sum())
+    last = np.minimum(first + SHINGLE, np.repeat(high, made))
+    hashes = spans.short(chars[first], chars[last])
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    return (hashes >> np.uint64(32)).astype(np.uint32), begin
-
-
-def band_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A key per band and line: of three least values of multiplied hashes each."""
-    keys = np.zeros((len(begin), BANDS), np.uint64)
-    buffer = np.empty_like(hashes)
-    for k in range(BANDS * BAND_VALUES):
-        np.multiply(hashes, np.uint32((2 * k + 1) * 0x9E3779B1 & 0xFFFFFFFF | 1), out=buffer)
-        buffer ^= np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)
-        least = np.minimum.reduceat(buffer, begin)
+    return hashes ^ hashes >> np.uint64(32), begin
+
+
+def signatures(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A row of values per multiplier, a column per line: the least of the multiplied hashes."""
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    ends = np.append(begin[1:], len(hashes))
+    out, low = np.zeros((BANDS * BAND_VALUES, len(begin)), np.uint32), 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(ends, begin[low] + _BLOCK, "right")))
+        own, at = hashes[begin[low] : ends[high - 1]], begin[low:high] - begin[low]
+        buffer = np.empty_like(own)
+        for k, by in enumerate(_MULTIPLIERS):
+            np.minimum.reduceat(np.multiply(own, by, out=buffer), at, out=out[k, low:high])
+        low = high
+    return out
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A key per line and band."""
+    keys = np.zeros((values.shape[1], BANDS), np.uint64)
+    for k, row in enumerate(values):
         band = k // BAND_VALUES
-        keys[:, band] = mix(keys[:, band] ^ (least.astype(np.uint64) + np.uint64(k << 32)))
+        keys[:, band] = mix(keys[:, band] ^ (row.astype(np.uint64) + np.uint64(k << 32)))
     return mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
@@ -90,33 +96,35 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(low, high), np.diff(bounds))
             line = np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds))
             keep = ~_blank(data, starts, ends)
-            nodes = _spans_hash(_prefix(data), starts[keep], ends[keep]).view(np.int64)
+            nodes = Spans(data).of(starts[keep], ends[keep]).view(np.int64)
             columns = [pa.array(ids[row[keep]]), pa.array(order[row[keep]]), pa.array(line[keep].astype(np.int32)), pa.array(nodes)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "order", "line", "node"])
 
 
-def _distinct_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums; node, start and end of each different line that is not blank."""
+def _distinct_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """The slice's spans; node, start and end of each different line that is not blank."""
     starts, ends, _ = line_spans(data, offsets)
     keep = ~_blank(data, starts, ends)
-    sums = _prefix(data)
-    nodes, first = np.unique(_spans_hash(sums, starts[keep], ends[keep]), return_index=True)
-    return sums, nodes, starts[keep][first], ends[keep][first]
+    spans = Spans(data)
+    nodes, first = np.unique(spans.of(starts[keep], ends[keep]), return_index=True)
+    return spans, nodes, starts[keep][first], ends[keep][first]
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen, keys_of, nodes_of = np.zeros(0, np.uint64), [], []
+        seen, keys_of, nodes_of, sketches_of = np.zeros(0, np.uint64), [], [], []
         for _, _, data, offsets in slices(batch.column(0)):
-            sums, nodes, starts, ends = _distinct_lines(data, offsets)
+            spans, nodes, starts, ends = _distinct_lines(data, offsets)
             new = ~np.isin(nodes, seen)
             nodes, starts, ends = nodes[new], starts[new], ends[new]
             seen = np.concatenate((seen, nodes))
             if len(nodes):
-                keys_of.append(band_keys(*line_shingles(sums, starts, ends)).ravel().view(np.int64))
+                values = signatures(*line_shingles(data, spans, starts, ends))
+                keys_of.append(band_keys(values).ravel().view(np.int64))
                 nodes_of.append(np.repeat(nodes.view(np.int64), BANDS))
+                sketches_of.append(np.repeat(sketch_of(values), BANDS))
         if keys_of:
-            yield from local_bands(np.concatenate(keys_of), np.concatenate(nodes_of))
+            yield from local_bands(*(np.concatenate(x) for x in (keys_of, nodes_of, sketches_of)))
 
 
 def _texts(picked):
@@ -140,16 +148,29 @@ def _texts(picked):
 
 def _sets(column: pa.Array) -> np.ndarray:
     """The different shingles of each line, sorted, below the line's number in the high bits."""
-    keys = []
+    keys, bits = [], np.uint64(64 - max(len(column) - 1, 1).bit_length())
     for low, high, data, offsets in slices(column.cast(pa.string())):
-        hashes, begin = line_shingles(_prefix(data), offsets[:-1], offsets[1:])
+        hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
         line = np.repeat(np.arange(low, high, dtype=np.uint64), np.diff(np.append(begin, len(hashes))))
-        keys.append(line << np.uint64(32) | hashes)
+        keys.append(line << bits | hashes >> np.uint64(64) - bits)
     keys = np.concatenate(keys)
     keys.sort()
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, token, weight) of each line's different shingles."""
+    for batch in batches:
+        for low, high, data, offsets in slices(batch.column(1).cast(pa.string())):
+            hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
+            line = np.repeat(np.arange(low, high), np.diff(np.append(begin, len(hashes))))
+            order = np.lexsort((hashes, line))
+            line, hashes = line[order], hashes[order]
+            new = np.concatenate(([True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])))
+            nodes = batch.column(0).to_numpy()[line[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hashes[new].view(np.int64)), pa.array(np.ones(len(nodes)))], ["node", "token", "weight"])
+
+
 def _verifier(threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +182,8 @@ def _verifier(threshold: float):
                 n, a, b = high - low, *(_sets(batch.column(i).slice(low, high - low)) for i in (2, 3))
                 both = np.concatenate((a, b))
                 both.sort()
-                same, own = (np.bincount((x >> np.uint64(32)).astype(np.int64), minlength=n) for x in (both[1:][both[1:] == both[:-1]], both))
+                bits = np.uint64(64 - max(n - 1, 1).bit_length())
+                same, own = (np.bincount((x >> bits).astype(np.int64), minlength=n) for x in (both[1:][both[1:] == both[:-1]], both))
                 keep[low:high] = same >= threshold * (own - same)
                 low = high
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])
@@ -173,7 +195,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of the lines that are near-equal to a different one."""
     ship(docs.sparkSession)
     texts = docs.select(text_of().alias("text"))
-    bands = texts.mapInArrow(_signer, "key long, node long, other long, bucket long")
+    bands = texts.mapInArrow(_signer, BANDS_SCHEMA)
 
     def fetch(pairs: DataFrame) -> DataFrame:
         wanted = wanted_nodes(pairs)
@@ -188,7 +210,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(threshold), "u long, v long")
 
-    return link_classes(bands, fetch, judge)
+    return link_classes(bands, fetch, judge, lambda own: own.mapInArrow(_tokens, "node long, token long, weight double"), threshold)
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,9 +226,10 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", text_of()).alias("row"), order, text_of().alias("text"))
     lines = rows.mapInArrow(_lines, "row long, order long, line int, node long")
     lines = lines.join(roots, "node", "left").select("row", "order", "line", F.coalesce("root", "node").alias("root"))
-    firsts = lines.groupBy("root").agg(F.min(F.struct("order", "row", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Firsts are stored, so the join with a hot line's places is one that Spark can split.
+    firsts = settle(lines.groupBy("root").agg(F.min(F.struct("order", "row", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = lines.join(firsts, "root").where((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
-    return later.groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines")).select(F.col("row").alias("row_key"), "lines")
+    return later.groupBy("row").agg(F.collect_set("line").alias("lines")).select(F.col("row").alias("row_key"), "lines")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -216,14 +239,19 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     document is dropped there too. Of repeated rows each is treated alike (as one document
     that is there several times: what is first in it stays in every copy). Null texts stay
     null. A document all of whose lines are dropped keeps its row, with what blank lines it
-    has. Other columns are kept as they are.
+    has. Other columns are kept as they are; where there is a column ``dropped`` the count
+    has the next free name, ``dropped_1`` and so on. An empty table gives no rows.
     """
     gone = dropped_lines(docs, threshold).select(F.col("row_key").alias("_gone_key"), F.col("lines").alias("_gone"))
-    own = docs.withColumn("_own_key", F.xxhash64("doc_id", text_of())).join(gone, F.col("_own_key") == F.col("_gone_key"), "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text")
-    kept = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return own.select(*kept, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("dropped"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*kept).alias("_record"), F.xxhash64("doc_id", text_of()).alias("_own_key"), F.split("text", "\n", -1).alias("_lines"))
+    own = own.join(gone, F.col("_own_key") == F.col("_gone_key"), "left")
+    # The places that stay, by one hash set, and their lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    rest = F.transform(places, lambda i: F.get(F.col("_lines"), i))
+    text = F.array_join(F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(rest), "\n").alias("text")
+    columns = [text if c == "text" else F.col(f"_record.`{c}`").alias(c) for c in docs.columns]
+    return own.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(free_name(docs, "dropped")))
 
 
 def lines_digest(docs: DataFrame) -> DataFrame:

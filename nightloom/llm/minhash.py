@@ -1,7 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is a run of five words; its weight in a document is how often it occurs there
-times a smoothed inverse document frequency between 1 and 2. Each of 64 samples picks one
+times a smoothed inverse document frequency, 1 + ln((n + 1) / (df + 1)) / ln(n + 1), in 16
+steps between 1 (in every document) and 2 (in one). Document frequencies are counted over
+all documents, in a table of hashed cells of constant size. Each of 64 samples picks one
 shingle of a document with probability proportional to its weight, consistently across
 documents; bands of four samples give the candidates, and the weighted Jaccard similarity
 of the whole texts decides.
@@ -9,7 +11,6 @@ of the whole texts decides.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import batched
 
@@ -19,20 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, ship, text_of
-from .neardup import classes, link_classes, local_bands, texts_of, wanted_nodes
+from .neardup import BANDS_SCHEMA, classes, link_classes, local_bands, sketch_of, texts_of, wanted_nodes
 from .textkernels import ALNUM, mix, shingles, slices, span_hashes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 16
 BAND_SAMPLES = 4
-#: Shingles in at least this share of the documents are frequent; all rarer ones have the greatest
-#: inverse document frequency, 2. There can be no more than (mean shingles of a text) / share of them.
-FREQUENT_SHARE = 0.01
-#: Slices whose documents are such a group when candidates for frequent shingles are named.
-GROUP_SLICES = 4
-#: Candidates for frequent shingles that are counted in one pass (8 bytes each); more take more passes.
-BLOCK_SHINGLES = 2_000_000
+#: Document frequencies are counted in 2**24 cells by hash (one byte each when broadcast). A cell's count is
+#: the sum of its shingles' frequencies: too high by (shingles of a mean text) / 2**24 of the documents on average.
+CELL_BITS = 24
+#: Cells are dealt to tasks in blocks of this many.
+_BLOCK = 1 << 16
+#: Slices whose cells make one row per block.
+GROUP_SLICES = 16
+#: Steps of the inverse document frequency between 1 and 2.
+STEPS = 15
 
 
 def _gamma_levels(bits: int) -> np.ndarray:
@@ -61,9 +64,9 @@ def _step(log_weight: np.ndarray | float, choice: np.ndarray | slice) -> np.ndar
     return (_R[choice] * (_t(log_weight, choice) - _B[choice] + 1)).astype(np.float32)
 
 
-#: The usual weight: a shingle that occurs once and is not frequent.
-_USUAL = 2.0
-_USUAL_STEP = _step(np.log(_USUAL), slice(None))
+_IDF = 1 + np.arange(STEPS + 1, dtype=np.float32) / STEPS
+# What a shingle that occurs once takes off, by its step of idf and the hash's choice.
+_ONCE = np.stack([_step(np.log(float(x)), slice(None)) for x in _IDF]).ravel()
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -75,30 +78,30 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray,
 
 
 class Weights:
-    """Frequent shingles and their inverse document frequencies; 2 for all others."""
+    """The step of idf of every cell."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray):
-        order = np.argsort(terms)
-        self.terms, self.idf = terms[order], idf[order].astype(np.float32)
+    def __init__(self, steps: np.ndarray):
+        self.steps = steps
+
+    def step(self, terms: np.ndarray) -> np.ndarray:
+        return self.steps[(terms & np.uint64(len(self.steps) - 1)).astype(np.int64)]
 
     def of(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(terms), 2, np.float32)
-        if len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            idf = np.where(self.terms[at] == terms, self.idf[at], idf)
-        return idf * counts
+        return _IDF[self.step(terms)] * counts
 
 
-def band_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each (shingles, weights), at least one each: a key per band."""
+def samples(rows: list[tuple[np.ndarray, np.ndarray]], weights: Weights) -> np.ndarray:
+    """For each (shingles, counts), at least one each: a column with a hash per sample of the shingle taken and its t."""
     terms = np.concatenate([x for x, _ in rows])
-    weights = np.concatenate([x for _, x in rows])
+    counts = np.concatenate([x for _, x in rows])
     sizes = np.array([len(x) for x, _ in rows])
     begin = np.cumsum(sizes) - sizes
     short = (terms >> np.uint64(32)).astype(np.uint32)
-    unusual = np.flatnonzero(weights != _USUAL)
-    log_weight = np.log(weights.astype(np.float64))
-    keys = np.zeros((len(rows), BANDS), np.uint64)
+    step = weights.step(terms).astype(np.int64)
+    log_weight = np.log(_IDF[step].astype(np.float64) * counts)
+    offset = step << 16
+    often = np.flatnonzero(counts > 1)
+    out = np.zeros((BANDS * BAND_SAMPLES, len(rows)), np.uint64)
     for k in range(BANDS * BAND_SAMPLES):
         h = short ^ np.uint32((k + 1) * 0x9E3779B1 & 0xFFFFFFFF)
         for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
@@ -106,83 +109,92 @@ def band_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             h *= np.uint32(odd)
         h ^= h >> np.uint32(16)
         choice = (h >> np.uint32(16)).astype(np.int64)
-        log_a = np.take(_LOG_C, (h & np.uint32(0xFFF)).astype(np.int64)) - np.take(_USUAL_STEP, choice)
-        if len(unusual):
-            log_a[unusual] = _LOG_C[h[unusual] & np.uint32(0xFFF)] - _step(log_weight[unusual], choice[unusual])
+        log_a = np.take(_LOG_C, (h & np.uint32(0xFFF)).astype(np.int64)) - np.take(_ONCE, offset + choice)
+        if len(often):
+            log_a[often] = _LOG_C[h[often] & np.uint32(0xFFF)] - _step(log_weight[often], choice[often])
         least = np.minimum.reduceat(log_a, begin)
         hits = np.flatnonzero(log_a == np.repeat(least, sizes))
         least = hits[np.searchsorted(hits, begin)]
         t = _t(log_weight[least], choice[least]).astype(np.int64).view(np.uint64)
-        band = k // BAND_SAMPLES
-        keys[:, band] = mix(keys[:, band] ^ mix(terms[least] + t * np.uint64(0x9E3779B97F4A7C15)))
+        out[k] = mix(terms[least] + t * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A key per document and band."""
+    keys = np.zeros((values.shape[1], BANDS), np.uint64)
+    for k, row in enumerate(values):
+        keys[:, k // BAND_SAMPLES] = mix(keys[:, k // BAND_SAMPLES] ^ row)
     # A key is of its band.
     return mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
-def frequent_shingles(docs: DataFrame) -> DataFrame:
-    """(term, df) of the shingles that occur in at least ``FREQUENT_SHARE`` of the documents, counted over all.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, cells): per block the cells of each document's different shingles, two bytes each."""
+    for batch in batches:
+        for some in batched(term_counts(batch.column(0)), GROUP_SLICES):
+            found = [x for _, rows in some for x, _ in rows]
+            cells = np.sort((np.concatenate(found) & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32))
+            bounds = np.searchsorted(cells, np.arange(((1 << CELL_BITS) // _BLOCK) + 1) * _BLOCK)
+            low = (cells & np.uint32(_BLOCK - 1)).astype(np.uint16)
+            blocks = np.flatnonzero(np.diff(bounds))
+            packed = [low[bounds[i] : bounds[i + 1]].tobytes() for i in blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "cells"])
 
-    If a shingle has that share of all documents it has it in some group of them too. The
-    first pass names the shingles that have it in the group of some slices, the second counts
-    these everywhere.
-    """
-    spark = docs.sparkSession
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _idf_steps(n: int):
+    """(block, steps): the counts of each block's cells, summed over rows sorted by block, as steps of idf."""
+
+    def of(counts: np.ndarray) -> bytes:
+        idf = np.log((n + 1) / (counts + 1)) / np.log(n + 1)
+        return np.rint(np.clip(idf, 0, 1) * STEPS).astype(np.uint8).tobytes()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, counts = None, np.zeros(_BLOCK, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([of(counts)], pa.binary())], ["block", "steps"])
         for batch in batches:
-            for some in batched(term_counts(batch.column(0)), GROUP_SLICES):
-                rows = [x for _, own in some for x in own]
-                found = [x for x, _ in rows if len(x)]
-                if found:
-                    terms, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms[n >= FREQUENT_SHARE * len(rows)].view(np.int64))], ["term"])
-
-    def counter(shared):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            totals = np.zeros(len(known), np.int64)
-            for batch in batches:
-                for _, rows in term_counts(batch.column(0)):
-                    found = [x for x, _ in rows if len(x)]
-                    if found:
-                        terms = np.concatenate(found).view(np.int64)
-                        at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-                        totals += np.bincount(at[known[at] == terms], minlength=len(known))
-            seen = np.flatnonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(known[seen]), pa.array(totals[seen])], ["term", "df"])
-
-        return count
-
-    named = settle(docs.select(text_of().alias("text")).mapInArrow(name, "term long").distinct())
-    n_blocks = math.ceil(named.count() / BLOCK_SHINGLES)
-    counted = spark.createDataFrame([], "term long, df long")
-    for block in range(n_blocks):
-        known = np.sort(named.where(F.pmod("term", F.lit(n_blocks)) == block).toPandas()["term"].to_numpy(np.int64))
-        shared = spark.sparkContext.broadcast(known)
-        counted = counted.unionByName(docs.select(text_of().alias("text")).mapInArrow(counter(shared), "term long, df long"))
-    return counted.groupBy("term").agg(F.sum("df").alias("df"))
+            for own, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block is not None and own != block:
+                    yield row()
+                    counts[:] = 0
+                block = own
+                counts += np.bincount(np.frombuffer(cells.as_buffer(), np.uint16), minlength=_BLOCK)
+        if block is not None:
+            yield row()
+
+    return total
 
 
 def fit_weights(docs: DataFrame) -> Weights:
+    """Document frequencies of all documents; a cell that no document has is that of a shingle in one at most."""
     n = docs.count()
-    frequent = frequent_shingles(docs).where(F.col("df") >= FREQUENT_SHARE * n).toPandas()
-    idf = 1 + np.log(max(n, 1) / frequent["df"].to_numpy(float)) / math.log(1 / FREQUENT_SHARE)
-    return Weights(frequent["term"].to_numpy(np.int64).view(np.uint64), np.clip(idf, 1, 2))
+    steps = np.full((1 << CELL_BITS) // _BLOCK * _BLOCK, STEPS, np.uint8)
+    if n:
+        cells = docs.select(text_of().alias("text")).mapInArrow(_cells, "block int, cells binary")
+        # Without a combine on the map side a row is two bytes a shingle; a task sums the rows of a block one by one.
+        totals = cells.repartition("block").sortWithinPartitions("block").mapInArrow(_idf_steps(n), "block int, steps binary")
+        for row in totals.collect():  # one row per block
+            steps[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.steps, np.uint8)
+    return Weights(steps)
 
 
 def _signer(shared):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys_of, nodes_of = batch.column(0).to_numpy(), [], []
+            nodes, keys_of, nodes_of, sketches_of = batch.column(0).to_numpy(), [], [], []
             for low, rows in term_counts(batch.column(1)):
                 own = [i for i, (terms, _) in enumerate(rows) if len(terms)]
+                # Exact copies give the same entries once.
+                own = [own[i] for i in np.unique(nodes[low + np.array(own, np.int64)], return_index=True)[1]]
                 if own:
-                    keys_of.append(band_keys([(rows[i][0], shared.value.of(*rows[i])) for i in own]).ravel().view(np.int64))
+                    values = samples([rows[i] for i in own], shared.value)
+                    keys_of.append(band_keys(values).ravel().view(np.int64))
                     nodes_of.append(np.repeat(nodes[low + np.array(own)], BANDS))
+                    sketches_of.append(np.repeat(sketch_of(values), BANDS))
             if keys_of:
-                # Exact copies give the same entry once.
-                both = np.unique(np.stack((np.concatenate(keys_of), np.concatenate(nodes_of)), 1), axis=0)
-                yield from local_bands(both[:, 0].copy(), both[:, 1].copy())
+                keys, own, sketches = (np.concatenate(x) for x in (keys_of, nodes_of, sketches_of))
+                first = np.unique(np.stack((keys, own), 1), axis=0, return_index=True)[1]
+                yield from local_bands(keys[first], own[first], sketches[first])
 
     return sign
 
@@ -198,6 +210,20 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / total) if total else 0.0
 
 
+def _tokens(shared):
+    """(node, token, weight) of each text's different shingles."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, rows in term_counts(batch.column(1)):
+                node = np.repeat(batch.column(0).to_numpy()[low : low + len(rows)], [len(x) for x, _ in rows])
+                terms, counts = (np.concatenate(x) for x in zip(*rows))
+                weight = shared.value.of(terms, counts).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(terms.view(np.int64)), pa.array(weight)], ["node", "token", "weight"])
+
+    return tokens
+
+
 def _verifier(shared, threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,13 +250,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     at least the threshold; equal texts are always together. Texts without words are
     linked to equal texts only; a null text is empty. Candidates share one of 16 bands, so
     a link of exactly 0.8 is found with probability 0.9998. A null doc_id is a member like
-    any other and never names a class that has others. Repeated rows give repeated rows.
+    any other and never names a class that has others. Repeated rows give repeated rows;
+    an empty table gives none; other columns are not looked at.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(fit_weights(docs))
     texts = docs.select(F.xxhash64(text_of()).alias("node"), text_of().alias("text"))
-    bands = texts.mapInArrow(_signer(shared), "key long, node long, other long, bucket long")
+    bands = texts.mapInArrow(_signer(shared), BANDS_SCHEMA)
 
     def fetch(pairs: DataFrame) -> DataFrame:
         return settle(texts_of(texts, wanted_nodes(pairs)))
@@ -240,7 +267,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(shared, threshold), "u long, v long")
 
-    roots = link_classes(bands, fetch, judge)
+    def tokens(own: DataFrame) -> DataFrame:
+        return own.select("node", "text").mapInArrow(_tokens(shared), "node long, token long, weight double")
+
+    roots = link_classes(bands, fetch, judge, tokens, threshold)
     ids = docs.select("doc_id", F.xxhash64(text_of()).alias("node"), F.col("doc_id").isNull().alias("unnamed"))
     return classes(ids, roots, "unnamed", "doc_id", "node").select(
         "doc_id",

@@ -1,11 +1,16 @@
 """From band keys to verified links and classes, for any kind of signature.
 
-Items are texts, named by a 64-bit hash (``node``), so exact copies are one item. Items
-that share a band key are a bucket. Among the first 24 items of a bucket all pairs are
-candidates; every further item is compared with the first and with one of the others,
-chosen by a hash, which joins most of a large class by linear work. What this leaves apart
-in a larger bucket is then compared in rounds until all its pairs are decided: they are in
-one class or were verified. Buckets are read as sorted streams, never gathered.
+Items are texts, named by a 64-bit hash (``node``), so exact copies are one item. Each has
+a sketch, one bit of each of 64 samples. Items that share a band key are a bucket. Pairs of
+a bucket whose sketches agree in too few bits are no links: a link of exactly 0.8 agrees in
+57.6 bits on average and in fewer than ``AGREE`` once in about 100,000. Among the first 24
+items of a bucket all other pairs are candidates; every further item is compared with these
+24 and is a candidate with the three it is most alike, which joins most of a large class by
+linear work. The items of larger buckets that this leaves in several classes go through a
+prefix-filtered join: with all tokens ordered by rarity, two items that are a link share
+their rarest common token within the prefixes of both. So every pair of a large bucket is
+decided: it is in one class, cannot be a link, or was verified. Buckets are read as sorted
+streams, never gathered.
 """
 
 from __future__ import annotations
@@ -15,55 +20,79 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 from .components import components
 from .textkernels import mix
 
+#: Bits of 64 that the sketches of a link have in common at least.
+AGREE = 46
 #: The first items of a bucket, of which all pairs are candidates.
 ALL_PAIRS = 24
-#: Members of a larger bucket that the first round compares with all others; each round takes twice as many.
-PIVOTS = 8
+#: Of these, how many a later item of the bucket is a candidate with.
+BEST = 3
 #: Nodes that tasks get as one sorted array to pick their texts by (8 bytes each); more are joined.
 BROADCAST_NODES = 1_000_000
 
+BANDS_SCHEMA = "key long, node long, sketch long, other long, bucket long"
+_NAMES = ["key", "node", "sketch", "other", "bucket"]
+_PAIR_NAMES = ["u", "v", "bucket", "sketch"]
 
-def local_bands(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, node, other, bucket) of a part of the data; ``other`` is null for plain entries of a bucket.
+
+def sketch_of(values: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 64 rows, per column, as a long."""
+    out = np.zeros(values.shape[1], np.uint64)
+    for i, row in enumerate(values[:64]):
+        out |= (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)) << np.uint64(i)
+    return out.view(np.int64)
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 64 - np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+
+
+def _likest(first: np.ndarray, late: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (late item, one of the bucket's first) of the BEST that are alike enough; ``first`` is where a late item's bucket begins."""
+    bits = np.stack([_agree(sketches[first + i], sketches[late]) for i in range(ALL_PAIRS)])
+    out = [], []
+    for _ in range(BEST):
+        best = bits.argmax(axis=0)
+        at = np.arange(len(late))
+        good = bits[best, at] >= AGREE
+        out[0].append(late[good])
+        out[1].append((first + best)[good])
+        bits[best, at] = 0
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def local_bands(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, node, sketch, other, bucket) of a part of the data; ``other`` is null for plain entries of a bucket.
 
     Of a bucket that has many items here the first 24 are plain entries. Each further one
-    only names the first and one other of these: it is dealt by a key of its own, so a hot
-    bucket does not meet in one task. All items of such a bucket are also named as its
-    members, by ``bucket``, its key, and themselves as ``other``.
+    only names its candidates among these: it is dealt by a key of its own, so a hot bucket
+    does not meet in one task. All items of such a bucket are also named as its members, by
+    ``bucket``, its key, and themselves as ``other``.
     """
-    names = ["key", "node", "other", "bucket"]
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, sketches = keys[order], nodes[order], sketches[order]
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     begin = np.flatnonzero(new)
     sizes = np.diff(np.append(begin, len(keys)))
     place = np.arange(len(keys)) - np.repeat(begin, sizes)
     early = place < ALL_PAIRS
     none = pa.nulls(int(early.sum()), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(keys[early]), pa.array(nodes[early]), none, none], names)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[early]), pa.array(nodes[early]), pa.array(sketches[early]), none, none], _NAMES)
     late = np.flatnonzero(~early)
     if len(late):
-        first = np.repeat(begin, sizes)[late]
-        others = nodes[first + 1 + _pick(keys[late], nodes[late])]
-        own = mix(keys[late].view(np.uint64) + nodes[late].view(np.uint64) * np.uint64(3)).view(np.int64)
-        none = pa.nulls(len(late), pa.int64())
-        for i, other in enumerate((nodes[first], others)):
-            yield pa.RecordBatch.from_arrays([pa.array(own + i), pa.array(nodes[late]), pa.array(other), none], names)
-        large = np.repeat(sizes, sizes) > ALL_PAIRS
-        keys, nodes = keys[large], nodes[large]
-        own = mix(keys.view(np.uint64) + nodes.view(np.uint64) * np.uint64(5)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(nodes), pa.array(nodes), pa.array(keys)], names)
-
-
-def _pick(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(np.uint64) ^ nodes.view(np.uint64)) % np.uint64(ALL_PAIRS - 1)).astype(np.int64)
+        own = lambda i: pa.array(mix(keys[i].view(np.uint64) + nodes[i].view(np.uint64) * np.uint64(5)).view(np.int64))
+        u, v = _likest(np.repeat(begin, sizes)[late], late, sketches)
+        none = pa.nulls(len(u), pa.int64())
+        yield pa.RecordBatch.from_arrays([own(u), pa.array(nodes[u]), none, pa.array(nodes[v]), none], _NAMES)
+        large = np.flatnonzero(np.repeat(sizes, sizes) > ALL_PAIRS)
+        member = pa.array(nodes[large])
+        yield pa.RecordBatch.from_arrays([own(large), member, pa.array(sketches[large]), member, pa.array(keys[large])], _NAMES)
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,24 +100,24 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     A row with a ``bucket`` is no pair: it names a member of a bucket of more than ALL_PAIRS.
     """
-    carried_key, carried, seen = None, np.zeros(0, np.int64), 0
+    carried_key, carried, seen = None, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
     for batch in batches:
-        known = batch.filter(pc.is_valid(batch.column(2)))
+        known = batch.filter(pc.is_valid(batch.column(3)))
         if len(known):
-            u, v = known.column(1).to_numpy(), known.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), known.column(3)], ["u", "v", "bucket"])
-        batch = batch.filter(pc.is_null(batch.column(2)))
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            u, v = known.column(1).to_numpy(), known.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), known.column(4), known.column(2)], _PAIR_NAMES)
+        batch = batch.filter(pc.is_null(batch.column(3)))
+        keys, nodes, sketches = (batch.column(i).to_numpy() for i in range(3))
         same = np.concatenate(([False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])))
-        keys, nodes = keys[~same], nodes[~same]
+        keys, nodes, sketches = keys[~same], nodes[~same], sketches[~same]
         if not len(keys):
             continue
         old = 0
         if carried_key is not None and keys[0] == carried_key:
-            fresh = np.flatnonzero((keys != carried_key) | ~np.isin(nodes, carried))
-            old = len(carried)
+            fresh = np.flatnonzero((keys != carried_key) | ~np.isin(nodes, carried[0]))
+            old = len(carried[0])
             keys = np.concatenate((np.full(old, carried_key), keys[fresh]))
-            nodes = np.concatenate((carried, nodes[fresh]))
+            nodes, sketches = np.concatenate((carried[0], nodes[fresh])), np.concatenate((carried[1], sketches[fresh]))
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(begin, len(keys)))
         place = np.arange(len(keys)) - np.repeat(begin, sizes)
@@ -99,65 +128,96 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lag in range(1, min(int(sizes.max()), ALL_PAIRS)):
             later = np.flatnonzero((keys[lag:] == keys[:-lag]) & (place[lag:] < ALL_PAIRS)) + lag
             later = later[later >= old]
+            later = later[_agree(sketches[later - lag], sketches[later]) >= AGREE]
             u.append(nodes[later - lag])
             v.append(nodes[later])
         late = np.flatnonzero((place >= ALL_PAIRS) & (np.arange(len(keys)) >= old))
         if len(late):
-            first = np.repeat(begin, sizes)[late]
-            for other in (first, first + 1 + _pick(keys[late], nodes[late])):
-                u.append(nodes[other])
-                v.append(nodes[late])
+            a, b = _likest(np.repeat(begin, sizes)[late], late, sketches)
+            u.append(nodes[b])
+            v.append(nodes[a])
             large = np.zeros(len(begin), np.bool_)
             large[np.searchsorted(begin, late, "right") - 1] = True
             large = np.repeat(large, sizes)
             member = pa.array(nodes[large])
-            yield pa.RecordBatch.from_arrays([member, member, pa.array(keys[large])], ["u", "v", "bucket"])
+            yield pa.RecordBatch.from_arrays([member, member, pa.array(keys[large]), pa.array(sketches[large])], _PAIR_NAMES)
         carried_key, seen = keys[-1], int(place[-1]) + 1
-        carried = nodes[begin[-1] : begin[-1] + min(int(sizes[-1]), ALL_PAIRS)]
+        last = slice(begin[-1], begin[-1] + min(int(sizes[-1]), ALL_PAIRS))
+        carried = nodes[last], sketches[last]
         if u:
             u, v = np.concatenate(u), np.concatenate(v)
             none = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none], ["u", "v", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none], _PAIR_NAMES)
 
 
 def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct (u, v, bucket) from what ``local_bands`` gives: pairs, u < v, without a bucket, and members u of large ones."""
+    """Distinct (u, v, bucket, sketch) from what ``local_bands`` gives: pairs, u < v, without a bucket, and members u of large ones."""
     entries = bands.repartition("key").sortWithinPartitions("key", "node")
-    return entries.mapInArrow(_bucket_pairs, "u long, v long, bucket long").where("u <> v or bucket is not null").distinct()
+    return entries.mapInArrow(_bucket_pairs, "u long, v long, bucket long, sketch long").where("u <> v or bucket is not null").distinct()
 
 
-def link_classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def prefixes(tokens: DataFrame, threshold: float) -> DataFrame:
+    """(node, token, weight, size, rest, last): each node's rarest tokens, without which the rest of it is too light for a link.
+
+    ``tokens`` has (node, token, weight) of each node's different tokens. ``size`` is a
+    node's whole weight, ``rest`` that of the tokens after its prefix, ``last`` the prefix's
+    last token in the order of all tokens.
+    """
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    by_node = Window.partitionBy("node")
+    before = by_node.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.join(df, "token").select(
+        "node", "token", "weight", "df", F.sum("weight").over(by_node).alias("size"), F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("earlier")
+    )
+    own = placed.where(F.col("earlier") <= F.col("size") * (1 - threshold + 1e-6))
+    rest = F.col("size") - F.sum("weight").over(by_node)
+    return own.select("node", "token", "weight", "size", rest.alias("rest"), F.max(F.struct("df", "token")).over(by_node).alias("last"))
+
+
+def prefix_pairs(prefix: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of different ``root``, at least one of them ``apart``, that can be a link by what they share in their prefixes.
+
+    Common tokens up to the end of the prefix that ends first are in both prefixes; beyond
+    it there is no more in common than the rest of that node.
+    """
+    some = prefix.where("apart").select("token", *[F.col(x).alias(f"p_{x}") for x in ("node", "root", "weight", "size", "rest", "last")])
+    near = F.least("size", "p_size") >= F.greatest("size", "p_size") * (threshold - 1e-6)
+    once = ~F.col("apart") | (F.col("node") < F.col("p_node"))
+    both = prefix.join(some, "token").where((F.col("root") != F.col("p_root")) & near & once)
+    rest = F.when(F.col("last") <= F.col("p_last"), F.col("rest")).otherwise(F.col("p_rest"))
+    need = (F.col("size") + F.col("p_size")) * (threshold / (1 + threshold) - 1e-6) - rest
+    shared = both.select(F.least("node", "p_node").alias("u"), F.greatest("node", "p_node").alias("v"), F.least("weight", "p_weight").alias("w"), need.alias("need"))
+    return shared.groupBy("u", "v").agg(F.sum("w").alias("w"), F.max("need").alias("need")).where("w >= need").select("u", "v")
+
+
+def link_classes(
+    bands: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    judge: Callable[[DataFrame, DataFrame], DataFrame],
+    tokens: Callable[[DataFrame], DataFrame],
+    threshold: float,
+) -> DataFrame:
     """(node, root) of all items that have a verified link.
 
-    ``fetch`` gives the texts of the items of pairs (u, v); ``judge`` keeps the pairs that are a link by these texts.
+    ``fetch`` gives the texts of the items of pairs (u, v); ``judge`` keeps the pairs that
+    are a link by these texts; ``tokens`` gives (node, token, weight) of texts.
     """
     found = settle(candidates(bands))
-    pairs = found.where("bucket is null").select("u", "v")
-    own = fetch(pairs)
-    links = settle(judge(pairs, own))
+    # A member row (u, u) asks for its text as well.
+    own = fetch(found.select("u", "v"))
+    links = settle(judge(found.where("bucket is null").select("u", "v"), own))
     roots = components(links)
+    # Large buckets that are in several classes: all their items, and those outside the bucket's largest class.
     members = found.where("bucket is not null").select(F.col("bucket").alias("key"), F.col("u").alias("node"))
-    pivots = PIVOTS
-    while True:
-        # What is left of each bucket, by class; buckets of one class are done.
-        rooted = settle(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-        groups = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        groups = groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("apart"), F.count("*").alias("k"))
-        left = settle(rooted.join(groups.where("k > 1").drop("k"), "key"))
-        if left.isEmpty():
-            return roots
-        # Some members outside the largest class are compared with all of other classes. They are done then.
-        chosen = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("apart") < F.lit(pivots << 30)
-        left = left.withColumn("pivot", (F.col("root") != F.col("main")) & chosen)
-        some = left.where("pivot").select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
-        both = left.join(some, "key").where("root <> p_root")
-        pairs = settle(both.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct())
-        fresh = settle(judge(pairs, own))
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = components(links)
-        members = left.where("not pivot").select("key", "node")
-        pivots *= 2
+    rooted = settle(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    groups = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = settle(groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    if groups.isEmpty():
+        return roots
+    left = rooted.join(groups, "key").groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart"))
+    prefix = settle(prefixes(tokens(own.join(left.select("node"), "node", "left_semi")), threshold).join(left, "node"))
+    pairs = settle(prefix_pairs(prefix, threshold))
+    return components(links.unionByName(settle(judge(pairs, own))))
 
 
 def wanted_nodes(pairs: DataFrame) -> DataFrame:
@@ -172,7 +232,11 @@ def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def classes(items: DataFrame, roots: DataFrame, *order: str) -> DataFrame:
-    """Items (node and the columns of ``order``) with ``root`` and whether each is its class's first in the order."""
+    """Items (node and the columns of ``order``) with ``root``, the class's first in the order and its size.
+
+    Firsts are stored, so the join with a hot class's items is one that Spark can split.
+    """
     own = items.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = own.groupBy("root").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("class_size"))
-    return own.join(first, "root")
+    first = settle(own.groupBy("root").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("class_size")).where("class_size > 1"))
+    found = own.join(first, "root", "left")
+    return found.withColumns({"first": F.coalesce("first", F.struct(*order)), "class_size": F.coalesce("class_size", F.lit(1))})

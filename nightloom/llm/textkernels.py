@@ -13,25 +13,60 @@ SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_640_531_527
+_kept: list[tuple[np.ndarray, ...]] = []
 
 
-def _series(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _series(n: int) -> tuple[np.ndarray, ...]:
     steps = np.full((2, n), [[_BASE], [_INVERSE]])
     steps[:, 0] = 1
-    return tuple(np.multiply.accumulate(x, out=x) for x in steps)
+    out = [np.multiply.accumulate(x, out=x) for x in steps]
+    for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME))):
+        x, done = np.ones(n, np.uint64), 1
+        while done < n:
+            more = min(done, n - done)
+            x[done : done + more] = x[:more] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+            done += more
+        out.append(x)
+    return tuple(out)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64.
+def powers(n: int) -> tuple[np.ndarray, ...]:
+    """The first n powers of a base and of its inverse, modulo 2**64 and then modulo a prime.
 
     Those that a slice needs are kept by the worker; those of a longer text are not.
     """
     if n > SLICE_BYTES + 1:
         return _series(n)
-    if not _powers:
-        _powers.append(_series(SLICE_BYTES + 1))
-    return tuple(x[:n] for x in _powers[0])
+    if not _kept:
+        _kept.append(_series(SLICE_BYTES + 1))
+    return tuple(x[:n] for x in _kept[0])
+
+
+class Spans:
+    """Hashes of any spans of some bytes: equal bytes, equal hashes.
+
+    A polynomial modulo 2**64 alone has strings of 1,000 bytes and more that collide for
+    every base, so longer spans also have one modulo a prime in their hash.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self._power = powers(len(data) + 1)
+        values = data.astype(np.uint64) + np.uint64(1)
+        self._sums = np.zeros((2, len(data) + 1), np.uint64)
+        np.cumsum(values * self._power[0][:-1], out=self._sums[0, 1:])
+        terms = values * self._power[2][:-1]
+        # Terms are below 2**40: 2**23 of them fit without a modulo.
+        np.cumsum(terms if len(data) < 1 << 23 else terms % _PRIME, out=self._sums[1, 1:])
+
+    def short(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For spans of at most 64 bytes."""
+        return (self._sums[0, ends] - self._sums[0, starts]) * self._power[1][starts]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        prime = (self._sums[1, ends] - self._sums[1, starts]) % _PRIME * self._power[3][starts] % _PRIME
+        return mix(self.short(starts, ends) + (prime << np.uint64(32)) + (ends - starts).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,10 +137,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def span_hashes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans: equal bytes, equal hashes."""
-    power, inverse = powers(len(mapped) + 1)
-    sums = np.zeros(len(mapped) + 1, np.uint64)
-    np.cumsum((mapped.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return Spans(mapped).of(starts, ends)
 
 
 def join_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -156,8 +156,8 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
         return x
 
     n = len(rows)
-    df = Counter(t for s in sets.values() for t in s)
-    idf = {t: min(2, 1 + np.log(n / c) / np.log(100)) if c >= 0.01 * n else 2 for t, c in df.items()}
+    df = Counter(t for s in [*sets.values(), sets[0]] for t in s)  # the first text is there twice
+    idf = {t: 1 + round(float(np.clip(np.log((n + 1) / (c + 1)) / np.log(n + 1), 0, 1)) * minhash.STEPS) / minhash.STEPS for t, c in df.items()}
     for a in sets:
         for b in sets:
             keys = set(sets[a]) | set(sets[b])
@@ -203,19 +203,77 @@ def test_a_star_in_large_buckets_is_one_class(spark):
     for cut in range(3):
         docs = spark.createDataFrame([(i, t.replace("w", f"v{cut}")) for i, t in rows], "doc_id long, text string").repartition(1 + 2 * cut)
         with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(minhash, "fit_weights", lambda _: minhash.Weights(np.zeros(0, np.uint64), np.zeros(0)))
+            patch.setattr(minhash, "fit_weights", lambda _: minhash.Weights(np.full(1 << 16, minhash.STEPS, np.uint8)))
             assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
-def test_line_dedup(spark, empty):
-    base = "the quick brown fox jumps over the lazy dog near the river bank today"
-    rows = [(1, f"{base}\n\nown line number one"), (2, f"{base}!\nown line number two\n"), (3, base), (4, None), (5, ""), (6, "a\na\nb"), (7, "b"), (7, "b"), (None, base + "?")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "lines": F.lit(2)})
+def _line_jaccard(a, b):
+    a, b = ({t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_line_dedup_is_brute_force(spark, empty):
+    rng = np.random.default_rng(4)
+    signs = {"latin": list("abcdefghij "), "han": list("東京都大学生活中国語日本人山川田口"), "cyrillic": list("абвгдежзиклмн ")}
+    pool = []
+    for alphabet in signs.values():
+        for _ in range(12):
+            line = "".join(rng.choice(alphabet, rng.integers(50, 80)))
+            pool.append(line)
+            for _ in range(rng.integers(1, 4)):  # one character of a line of 50 to 80 changed, then another
+                at = int(rng.integers(0, len(line)))
+                line = line[:at] + "#" + line[at + 1 :]
+                pool.append(line)
+    thue = "0"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("01", "10"))
+    pool += ["x" * 300, "a", "b", "", " \t", "word " * 20_000, thue, thue.translate(str.maketrans("01", "10"))]
+    texts = ["\n".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 6))) for _ in range(60)] + [None, ""]
+    rows = [(int(i), t) for i, t in enumerate(texts)] + [(7, texts[8]), (None, texts[9]), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({"row": F.lit(1), "lines": F.lit(2), "root": F.lit(3), "dropped": F.lit(4), "_gone": F.lit(5)})
+    lines_of = sorted({x for _, t in rows for x in (t or "").split("\n") if any(c > " " for c in x)})
+    parent = {x: x for x in lines_of}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(lines_of):
+        for b in lines_of[:i]:
+            if _line_jaccard(a, b) >= 0.8:
+                parent[find(a)] = find(b)
+    # The first place of each class stays; rows alike in id and text are one document.
+    places, distinct = {}, sorted({(i is None, i or 0, t) for i, t in rows if t is not None}, key=lambda x: x[:2])
+    for null, i, t in distinct:
+        for at, x in enumerate(t.split("\n")):
+            if x in parent:
+                places.setdefault(find(x), []).append((null, i, t, at))
     found = lines.dedup_lines(docs)
-    assert found.columns == [*docs.columns, "dropped"]
+    assert found.columns == [*docs.columns, "dropped_1"] and found.count() == len(rows)
+    kept = Counter()
+    for r in found.collect():
+        source = [t for i, t in rows if i == r.doc_id]
+        assert r.dropped == 4 and (r.text is None) == (source == [None])
+        n = [len((t or "").split("\n")) for t in source]
+        assert not r.text or len(r.text.split("\n")) + r.dropped_1 in n
+        for x in set((r.text or "").split("\n")):
+            if x in parent:
+                kept[find(x), r.doc_id] += 1
+    classes = Counter(c for c, _ in kept)
+    assert set(classes) == set(places) and max(classes.values()) == 1  # each class stays in one document
+    order = lambda p: (p[0], p[1])
+    for (c, doc_id) in kept:
+        assert order(min(places[c], key=order)) == (doc_id is None, doc_id or 0)
+    assert lines.lines_digest(empty).count() == 0
+
+
+def test_line_dedup(spark):
+    base = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(1, f"{base}\n\nown line number one"), (2, f"{base}!\nown line number two\n"), (3, base.replace("dog", "fog")), (4, None), (5, ""), (6, "a\na\nb"), (7, "b"), (7, "b"), (None, base + "?")]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     texts = sorted(((r.doc_id or 0), r.text, r.dropped) for r in found.collect() if r.doc_id != 4)
     assert texts == [(0, "", 1), (1, rows[0][1], 0), (2, "own line number two\n", 1), (3, "", 1), (5, "", 0), (6, "a\nb", 1), (7, "", 1), (7, "", 1)]
-    assert lines.lines_digest(empty).count() == 0
 
 
 def test_toxicity_is_learnt_and_bounded(spark, odd, empty, labels):
