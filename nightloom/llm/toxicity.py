@@ -1,13 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-Each class, toxic and ordinary, has a bigram model with absolute discounting that backs
-off to the class's continuation counts (in how many contexts a word occurs). Both levels
-are interpolated with shared counts, a mixture of the classes in which toxic text has a
-small share. Counts of the larger class are scaled to the smaller one's and the weights
-are alike, so an expression too rare to survive the discount has the same probability in
-both classes and says nothing. The shared weight is high: expressions the classes have in
-common then differ by little, and those that one class alone has stand out. A document's
-score is a logistic function of the difference of its two log-likelihoods per word.
+Each class, toxic and ordinary, has a bigram model with absolute discounting: what the
+discount takes from a context's pairs is given to the class's continuation distribution (in
+how many contexts a word occurs), and what it takes there to the shared continuation
+counts. Both orders are mixed with the shared counts of the same order, in which toxic text
+has a small share. Every distribution sums to one. Counts of the larger class are scaled to
+the smaller one's and the weights are alike, so an expression too rare to survive the
+discount has nearly the same probability in both classes and says nothing. The shared
+weight is high: expressions the classes have in common then differ by little, and those
+that one class alone has stand out. A document's score is a logistic function of the
+difference of its two log-likelihoods per word.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .textkernels import ALNUM, mix, slices, span_hashes, words
 #: About how many labelled rows of each class the models are counted on, and how many calibrate the score, at most.
 MODEL_ROWS = 12_000
 CALIBRATION_ROWS = 6_000
-#: Taken off every count, of pairs and of words, and left to the shared counts.
+#: Taken off every count of a class, of pairs and of words, and given to the next lower order.
 DISCOUNT = 3.0
 #: Weight of the shared counts, and of toxic text in them.
 SHARED_WEIGHT = 0.98
@@ -95,21 +97,18 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[Data
 
 
 class KneserNeyContrast:
-    """Log-likelihood ratio of the two classes per word, as two sorted look-up tables."""
-
-    def __init__(self, unigrams: pd.DataFrame, pairs: pd.DataFrame):
-        """Discounted shares d0, d1 and ``shared`` of both; pairs also have the ``backoff`` of their context."""
-        uni = unigrams.sort_values("word")
-        self.words = uni["word"].to_numpy(np.int64)
-        own, shared = 1 - SHARED_WEIGHT, SHARED_WEIGHT
-        p = [own * uni[f"d{c}"].to_numpy() + shared * uni["shared"].to_numpy() for c in (0, 1)]
-        self.word_ratio = np.log(p[1] / p[0])
-        at = np.searchsorted(self.words, pairs["word"].to_numpy(np.int64))
-        back = pairs["backoff"].to_numpy()
-        q = [own * pairs[f"d{c}"].to_numpy() + shared * (pairs["shared"].to_numpy() + back * p[c][at]) for c in (0, 1)]
+    """Log-likelihood ratio of the two classes, as sorted look-up tables of words, contexts and pairs."""
+
+    def __init__(self, words: pd.DataFrame, contexts: pd.DataFrame, pairs: pd.DataFrame, unknown: tuple[float, float]):
+        """words: p0, p1; contexts: what b0, b1 of p0, p1 words get there that have no pair of their own; pairs: q0, q1."""
+        self.unknown = float(np.log(unknown[1] / unknown[0]))
+        own = words.sort_values("word")
+        self.words, self.word_ratio = own["word"].to_numpy(np.int64), np.log(own["p1"].to_numpy() / own["p0"].to_numpy())
+        own = contexts.sort_values("before")
+        self.contexts, self.context_ratio = own["before"].to_numpy(np.int64), np.log(own["b1"].to_numpy() / own["b0"].to_numpy())
         keys = _pair_key(pairs["before"].to_numpy(np.int64), pairs["word"].to_numpy(np.int64))
         order = np.argsort(keys)
-        self.pairs, self.pair_ratio = keys[order], np.log(q[1] / q[0])[order]
+        self.pairs, self.pair_ratio = keys[order], np.log(pairs["q1"].to_numpy() / pairs["q0"].to_numpy())[order]
 
     @staticmethod
     def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
@@ -125,7 +124,8 @@ class KneserNeyContrast:
             before, word, bounds = _bigrams(data, offsets)
             # Each distinct word is looked up once.
             distinct, where = np.unique(word, return_inverse=True)
-            ratio = self._find(self.words, self.word_ratio, distinct, 0.0)[where]
+            ratio = self._find(self.words, self.word_ratio, distinct, self.unknown)[where]
+            ratio = ratio + self._find(self.contexts, self.context_ratio, before, 0.0)
             pair = self._find(self.pairs, self.pair_ratio, _pair_key(before, word), np.nan)
             sums = np.concatenate(([0.0], np.cumsum(np.where(np.isnan(pair), ratio, pair))))
             n = np.diff(bounds)
@@ -133,40 +133,63 @@ class KneserNeyContrast:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _contrast(texts: DataFrame) -> KneserNeyContrast:
-    """Count and smooth; what is collected is bounded by the sample."""
+def smoothed(texts: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, tuple[float, float]] | None:
+    """Count and smooth: words, contexts and pairs with their probabilities by class, and that of an unknown word.
+
+    Only words and pairs that survive the discount in a class are collected; all others have
+    the probability that the lower order gives them. ``None`` without texts of both classes.
+    """
     counts = texts.mapInArrow(_count, "before long, word long, toxic int, n long, left long")
     of = lambda c, name: F.when(F.col("toxic") == c, F.col(name)).otherwise(0)
     by_class = [F.sum(of(c, "n")).alias(f"n{c}") for c in (0, 1)] + [F.bit_or(of(c, "left")).alias(f"left{c}") for c in (0, 1)]
     pairs = settle(counts.groupBy("before", "word").agg(*by_class))
     sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)] + [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]
     row = pairs.agg(*sums).first()
-    if not row["n0"] or not row["n1"]:  # one class alone tells nothing
-        nothing = pd.DataFrame({x: np.zeros(0) for x in ("word", "before", "d0", "d1", "shared", "backoff")})
-        return KneserNeyContrast(nothing, nothing)
-    cut = lambda n: F.greatest(n - F.lit(DISCOUNT), F.lit(0.0))
+    if not row["n0"] or not row["n1"]:
+        return None
+    cut = lambda n: F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0))
     mixture = lambda a, b: F.col(a) * (1 - TOXIC_SHARE) + F.col(b) * TOXIC_SHARE
-    telling = F.greatest("n0", "n1") > DISCOUNT
-    # Continuation counts: the contexts of each word, scaled to the class that has fewer.
+    own, shared = 1 - SHARED_WEIGHT, SHARED_WEIGHT
+    # Continuation counts: the contexts of each word, scaled to the class that has fewer; an unknown word has half of one.
     contexts_of = float(min(row["k0"], row["k1"]))
     continued = [(F.sum((F.col(f"n{c}") > 0).cast("long")) * (contexts_of / row[f"k{c}"])).alias(f"n{c}") for c in (0, 1)]
     unigrams = settle(pairs.groupBy("word").agg(*continued))
+    kept_mass = unigrams.agg(*[(F.sum(cut(f"n{c}")) / contexts_of).alias(f"d{c}") for c in (0, 1)]).first()
+    continuation = mixture("n0", "n1") / (contexts_of + 0.5)
+    p = [(own * cut(f"n{c}") / contexts_of + (own * (1 - kept_mass[f"d{c}"]) + shared) * continuation).alias(f"p{c}") for c in (0, 1)]
+    unknown = tuple((own * (1 - kept_mass[f"d{c}"]) + shared) * 0.5 / (contexts_of + 0.5) for c in (0, 1))
+    words_of = unigrams.select("word", *p, (F.greatest("n0", "n1") > DISCOUNT).alias("telling"))
+    # Pairs. One that continues few different texts, as a passage that is copied, is no evidence for a class.
     tokens = float(min(row["n0"], row["n1"]))
-    # A pair that continues few different texts, as a passage that is copied, is no evidence for a class.
     lasting = lambda c: F.when(F.bit_count(f"left{c}") > DISCOUNT, F.col(f"n{c}")).otherwise(0.0)
     scaled = [(F.col(f"n{c}") * (tokens / row[f"n{c}"])).alias(f"n{c}") for c in (0, 1)]
     equal = pairs.select("before", "word", *scaled, *[(lasting(c) * (tokens / row[f"n{c}"])).alias(f"e{c}") for c in (0, 1)])
+    kept = F.greatest("e0", "e1") > DISCOUNT
+    when_kept = lambda x: F.sum(F.when(kept, x).otherwise(0.0))
     contexts = equal.groupBy("before").agg(
-        *[(F.sum(f"n{c}") + CONTEXT_PRIOR).alias(f"of{c}") for c in (0, 1)], (F.sum(mixture("n0", "n1")) + CONTEXT_PRIOR).alias("of")
-    )
-    shares = [(cut(F.col(f"e{c}")) / F.col(f"of{c}")).alias(f"d{c}") for c in (0, 1)]
-    kept = equal.where(F.greatest("e0", "e1") > DISCOUNT).join(contexts, "before")
-    kept = kept.select("before", "word", *shares, (mixture("n0", "n1") / F.col("of")).alias("shared"), (CONTEXT_PRIOR / F.col("of")).alias("backoff"))
-    words_of = unigrams.select(
-        "word", *[(cut(F.col(f"n{c}")) / contexts_of).alias(f"d{c}") for c in (0, 1)], (mixture("n0", "n1") / contexts_of).alias("shared"), telling.alias("telling")
+        *[(F.sum(f"n{c}") + CONTEXT_PRIOR).alias(f"of{c}") for c in (0, 1)],
+        *[when_kept(cut(f"e{c}")).alias(f"own{c}") for c in (0, 1)],
+        (F.sum(mixture("n0", "n1")) + CONTEXT_PRIOR).alias("of"),
+        when_kept(mixture("n0", "n1")).alias("common"),
+        F.max(kept).alias("kept"),
     )
-    needed = words_of.where("telling").unionByName(words_of.where("not telling").join(kept.select("word").distinct(), "word", "left_semi"))
-    return KneserNeyContrast(needed.drop("telling").toPandas(), kept.toPandas())
+    # What a context leaves to the lower order: 1 in a context that keeps no pair.
+    left_over = [(own * (1 - F.col(f"own{c}") / F.col(f"of{c}")) + shared * (1 - F.col("common") / F.col("of"))).alias(f"b{c}") for c in (0, 1)]
+    contexts = settle(contexts.where("kept").select("before", "of0", "of1", "of", *left_over))
+    both = equal.where(kept).join(contexts, "before").join(words_of.drop("telling"), "word")
+    q = [
+        (own * cut(f"e{c}") / F.col(f"of{c}") + shared * mixture("n0", "n1") / F.col("of") + F.col(f"b{c}") * F.col(f"p{c}")).alias(f"q{c}") for c in (0, 1)
+    ]
+    found = both.select("before", "word", *q).toPandas()
+    return words_of.where("telling").drop("telling").toPandas(), contexts.select("before", "b0", "b1").toPandas(), found, unknown
+
+
+def _contrast(texts: DataFrame) -> KneserNeyContrast:
+    found = smoothed(texts)
+    if found is None:  # one class alone tells nothing
+        nothing = pd.DataFrame({x: np.zeros(0) for x in ("word", "before", "p0", "p1", "b0", "b1", "q0", "q1")})
+        return KneserNeyContrast(nothing, nothing, nothing, (1.0, 1.0))
+    return KneserNeyContrast(*found)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float, float, float]:

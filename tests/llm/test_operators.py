@@ -276,6 +276,35 @@ def test_line_dedup(spark):
     assert texts == [(0, "", 1), (1, rows[0][1], 0), (2, "own line number two\n", 1), (3, "", 1), (5, "", 0), (6, "a\nb", 1), (7, "", 1), (7, "", 1)]
 
 
+def test_kneser_ney_is_a_distribution(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DISCOUNT", 1.0)
+    monkeypatch.setattr(toxicity, "CONTEXT_PRIOR", 3.0)
+    rng = np.random.default_rng(6)
+    texts = [(" ".join(f"w{x}" for x in rng.zipf(1.6, 40) % 12) + (" vile foul" * 3 if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(40)] + [("", 1), (None, 0)]
+    words, contexts, pairs, unknown = toxicity.smoothed(spark.createDataFrame(texts, "text string, toxic int").repartition(3))
+    before = [Counter(), Counter()]
+    for text, c in texts:
+        own = (text or "").split()
+        before[c].update(zip(["", *own], own))
+    least = min(len(before[0]), len(before[1]))
+    n = [Counter(w for _, w in x) for x in before]
+    vocabulary = sorted(set(n[0]) | set(n[1]))
+    hashed = {w: int(toxicity._bigrams(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0]) for w in vocabulary}
+    p = {}
+    for c in (0, 1):
+        d = {w: max(n[c][w] * least / len(before[c]) - 1, 0) / least for w in vocabulary}
+        share = {w: (0.99 * n[0][w] / len(before[0]) + 0.01 * n[1][w] / len(before[1])) * least / (least + 0.5) for w in vocabulary}
+        rest = 0.02 * (1 - sum(d.values())) + 0.98
+        p[c] = {hashed[w]: 0.02 * d[w] + rest * share[w] for w in vocabulary}
+        assert abs(unknown[c] - rest * 0.5 / (least + 0.5)) < 1e-12 and abs(sum(p[c].values()) + unknown[c] - 1) < 1e-9
+        assert all(abs(r[f"p{c}"] - p[c][r["word"]]) < 1e-12 for _, r in words.astype({"word": object}).iterrows())
+        for _, context in contexts.astype({"before": object}).iterrows():
+            own = pairs[pairs["before"] == context["before"]]
+            rest = 1 - sum(p[c][w] for w in own["word"])
+            assert len(own) and abs(own[f"q{c}"].sum() + context[f"b{c}"] * rest - 1) < 1e-9
+    assert len(pairs) > 10
+
+
 def test_toxicity_is_learnt_and_bounded(spark, odd, empty, labels):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join([f"w{x}" for x in rng.zipf(1.5, 60) % 300] + ["vile", "foul"] * (3 * (i % 4 == 0)))) for i in range(800)]
@@ -309,29 +338,50 @@ def test_sharding(spark, real, odd, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == real.count()
 
 
-def test_cross_parsing_counts_phrases():
+@pytest.mark.parametrize("segment", [3, 16, 512])
+def test_cross_parsing_counts_phrases(monkeypatch, segment):
     texts = {"a": b"abcabxab cdabca\0ccab", "b": b"xyzab yxxz zzab"}
     parser = langid.CrossParser(texts)
     rng = np.random.default_rng(2)
     rows = [bytes(rng.choice(list(b"abcxyz q"), n).tolist()) for n in (0, 1, 5, 40, 511, 512, 513, 1500) for _ in range(5)]
+    rows += [b"abcabxab cdabca" * 200, b"xyzab yxxz zzab" * 40 + b"q", b"\xff" * 1100]
+    monkeypatch.setattr(langid, "SEGMENT", segment)
     offsets = np.cumsum([0, *map(len, rows)])
     found = parser.phrases(np.frombuffer(b"".join(rows), np.uint8), offsets)
     for i, row in enumerate(rows):
         for k, language in enumerate(parser.languages):
             n = 0
-            for at in range(0, len(row), langid.SEGMENT):
-                part, j = row[at : at + langid.SEGMENT], 0
-                while j < len(part):
-                    end = j + 1
-                    while end <= len(part) and part[j:end] in texts[language]:
-                        end += 1
-                    j, n = max(end - 1, j + 1), n + 1
+            j = 0
+            while j < len(row):
+                end = j + 1
+                while end <= len(row) and row[j:end] in texts[language]:
+                    end += 1
+                j, n = max(end - 1, j + 1), n + 1
             assert found[k, i] == n
 
 
 def test_languages(spark, real, odd, empty):
     rows = langid.language_ids(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
+    # The whole prediction by brute force: the fewest phrases, weighted by the logarithm of the training text's length.
+    trained = langid.training_texts(real, langid.in_fold("doc_id", 4, 2))
+    parser = langid.CrossParser(trained)
+    found = _by_id(langid.language_ids(real))
+    for row in real.limit(25).collect():
+        text = re.sub("[^a-z\x80-\U0010ffff]+", " ", row.text.lower()).encode()
+        costs = []
+        for language in parser.languages:
+            own, at, n = trained[language], 0, 0
+            while at < len(text):
+                end = at + 1
+                while end <= len(text) and text[at:end] in own:
+                    end += 1
+                at, n = max(end - 1, at + 1), n + 1
+            costs.append(n * np.log2(max(len(own), 2)))
+        assert found[row.doc_id].lang_pred == parser.languages[int(np.argmin(costs))]
+        assert abs(found[row.doc_id].score - (1 - min(costs) / sorted(costs)[1])) < 1e-9
+    long = spark.createDataFrame([(i, "wort und satz oder so " * 3000 if i % 2 else "palabra y frase o eso " * 3000, "de" if i % 2 else "es") for i in range(12)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == ("de" if r.doc_id % 2 else "es") for r in langid.language_ids(long).collect())
     found = langid.language_ids(odd).collect()
     assert len(found) == odd.count() and {r.lang_pred for r in found if r.doc_id in (0, 1, 2)} == {"und"}
     assert langid.language_ids(empty).count() == 0
