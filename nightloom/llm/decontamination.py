@@ -28,6 +28,8 @@ HIT_SHARE = 20
 BLOCK_WINDOWS = 200_000
 #: The same for the benchmark's distinct words when they are counted in the corpus (8 bytes each).
 BLOCK_TOKENS = 2_000_000
+#: Places of windows that are compared at once; a word that many windows have as their prefix takes several steps.
+STEP_PLACES = 1_000_000
 
 _WINDOWS = "item_id string, window binary, tokens array<long>"
 _HITS = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
@@ -55,6 +57,8 @@ def _token_counter(tokens):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.value
+        if not len(known):
+            return
         totals = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
@@ -69,6 +73,16 @@ def _token_counter(tokens):
     return count
 
 
+def _merged(spans: set[tuple[int, int]] | tuple) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1]["last"]:
+            out[-1]["last"] = max(out[-1]["last"], last)
+        else:
+            out.append({"first": first, "last": last})
+    return out
+
+
 def _finder(index):
     """Per document: its words, and the spans and items of the windows that occur in it."""
 
@@ -83,26 +97,32 @@ def _finder(index):
                 own_spans: dict[int, set] = {}
                 own_items: dict[int, set] = {}
                 left = np.searchsorted(prefix, hashes, "left")
-                hit = np.flatnonzero(prefix[np.minimum(left, len(prefix) - 1)] == hashes) if len(prefix) else []
-                if len(hit):
-                    left, n = left[hit], np.searchsorted(prefix, hashes[hit], "right") - left[hit]
-                    window = np.repeat(left - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    begin = np.repeat(hit, n) - at_offset[window]
-                    row = np.searchsorted(bounds, np.repeat(hit, n), "right") - 1
+                hit = np.flatnonzero(prefix[np.minimum(left, len(prefix) - 1)] == hashes) if len(prefix) else np.zeros(0, np.int64)
+                left = left[hit]
+                n = np.searchsorted(prefix, hashes[hit], "right") - left
+                upto = np.concatenate(([0], np.cumsum(n)))
+                raw, first = mapped.tobytes() if len(hit) else b"", 0
+                while first < len(hit):
+                    last = max(first + 1, int(np.searchsorted(upto, upto[first] + STEP_PLACES, "right")) - 1)
+                    own = n[first:last]
+                    window = np.repeat(left[first:last] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                    at = np.repeat(hit[first:last], own)
+                    begin = at - at_offset[window]
+                    row = np.searchsorted(bounds, at, "right") - 1
                     keep = (begin >= bounds[row]) & (begin + sizes[window] <= bounds[row + 1])
                     begin, window, row = begin[keep], window[keep], row[keep]
                     for j in range(WINDOW):
                         inside = j < sizes[window]
                         same = ~inside | (hashes[np.minimum(begin + j, len(hashes) - 1)] == sequences[window, j])
                         begin, window, row = begin[same], window[same], row[same]
-                    raw = mapped.tobytes()
                     for b, w, r in zip(begin.tolist(), window.tolist(), row.tolist()):
                         end = b + int(sizes[w])
                         if b" ".join(raw[starts[i] : ends[i]] for i in range(b, end)) == texts[w]:
                             own_spans.setdefault(r, set()).add((b - int(bounds[r]), end - int(bounds[r])))
                             own_items.setdefault(r, set()).update(items[w])
+                    first = last
                 for r in range(high - low):
-                    spans.append([{"first": a, "last": b} for a, b in sorted(own_spans.get(r, ()))])
+                    spans.append(_merged(own_spans.get(r, ())))
                     found.append(sorted(own_items.get(r, ())))
             span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
@@ -152,13 +172,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are maximal runs of ASCII letters and digits and of any character above ASCII,
     with A-Z in lower case. A null or empty text has no words and no spans. Items with a
     null id or without words have no windows; equal windows of several items count for
-    each. Repeated documents give repeated rows; other columns are not looked at.
+    each. Repeated documents give repeated rows; an empty benchmark gives documents without
+    hits, an empty table no rows; other columns are not looked at. Spans that overlap or
+    touch are one, but for spans from several blocks of windows.
     """
     spark = docs.sparkSession
     ship(spark)
     index = settle(prefix_index(docs, benchmark))
     n_blocks = max(1, math.ceil(index.count() / BLOCK_WINDOWS))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if n_blocks > 1:  # rows of several passes meet again by their number
+        rows = settle(rows)
     hits = None
     for block in range(n_blocks):
         own = index.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == block).orderBy("token", "window").collect()
@@ -184,8 +208,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    positions = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"] - 1))))
-    rows = contamination(docs, benchmark).select("doc_id", "n_words", F.size(positions).cast("long").alias("n_hit"), "items")
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    add = lambda x, s: F.struct(
+        F.greatest(x["end"], s["last"]).alias("end"), (x["n"] + F.greatest(s["last"] - F.greatest(x["end"], s["first"]), F.lit(0))).alias("n")
+    )
+    n_hit = F.aggregate(F.array_sort("spans"), start, add)["n"]
+    rows = contamination(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), "items")
     return rows.select(
         "doc_id",
         "n_words",

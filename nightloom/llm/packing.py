@@ -27,7 +27,8 @@ from .textkernels import NONSPACE, PieceCache, letter_cuts, slices, span_hashes
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Rows of a length are ranked in parts; a hot length spreads over this many tasks.
+#: Rows of a length are ranked in parts of about so many, but 64 parts at least; a hot length spreads over them.
+RANK_ROWS = 250_000
 RANK_PARTS = 64
 #: Low bits of a cached value that hold how many ids a piece has: more than a text of 2 GB can have.
 SIZE_BITS = 31
@@ -48,7 +49,14 @@ class _Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(x["content"].encode() for x in spec["added_tokens"])
-        suffix = spec["model"].get("end_of_word_suffix") or "</w>"
+        # Pieces are cut at white space and between ASCII letters and signs, where this kind of tokenizer always cuts:
+        # it drops white space and splits runs of letters, digits and signs. Any other one gets whole texts.
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        changes = (spec["normalizer"] or {}).get("normalizers", [])
+        drops = bool(steps) and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and "\\p{L}" in str(steps[0]["pattern"])
+        self.cuts = bool(suffix) and drops and all(x["type"] in ("NFC", "Lowercase", "Replace") for x in changes) and not spec["post_processor"]
+        suffix = suffix or "</w>"
         vocabulary = spec["model"]["vocab"]
         self.word_end = np.zeros(max(vocabulary.values()) + 1 + len(self.special), np.bool_)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -89,6 +97,9 @@ class _Encoder:
 
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        if not self.cuts:
+            yield from (self.whole(x) for x in column.to_pylist())
+            return
         for low, high, data, offsets in slices(column):
             inside = NONSPACE_ANY[data]
             cut = letter_cuts(data)
@@ -293,5 +304,6 @@ def pack(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_id: int =
         next_sequence += n
     table = np.array(sorted(entries), np.int64).reshape(-1, 4)
     shared = spark.sparkContext.broadcast((table[:, 0] << 40 | table[:, 1], table[:, 1].copy(), table[:, 2].copy(), table[:, 3].copy()))
-    rows = ranked(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
+    parts = max(RANK_PARTS, max(counts.values(), default=0) // RANK_ROWS)
+    rows = ranked(pieces, parts).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
     return rows.mapInArrow(_placer(shared), f"{_PIECES}, sequence_id long, offset long")

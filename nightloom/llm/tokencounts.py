@@ -2,7 +2,7 @@
 
 A text is cut where a byte-level tokenizer always cuts: before a space that a non-space
 follows, and between an ASCII letter and other ASCII signs. Tier one is a broadcast table of the hashes and token counts of
-frequent pieces, taken from a bounded number of documents; it only saves time. Tier two
+frequent pieces, taken from a bounded random sample of all documents; it only saves time. Tier two
 is a cache in each Python worker, filled by the tokenizer itself for pieces tier one
 misses. Hashes have 64 bits.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import ship, text_of
 from .textkernels import PieceCache, letter_cuts, slices, span_hashes
 
-#: Documents read for tier one (at most 20,000 characters of each), and the pieces it holds at most (9 bytes each).
+#: Documents sampled for tier one, about (at most 20,000 characters of each), and the pieces it holds at most (9 bytes each).
 WARM_DOCUMENTS = 500
 TABLE_PIECES = 100_000
 
@@ -111,7 +111,9 @@ def _counter(path: str, table):
 def frequent_pieces(docs: DataFrame, path: str, warm_documents: int = WARM_DOCUMENTS, table_pieces: int = TABLE_PIECES) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and token counts (below 256) of the most frequent pieces of some documents."""
 
-    sample = pa.array([r.text for r in docs.select(F.substring(text_of(), 1, 20_000).alias("text")).head(warm_documents)], pa.string())
+    texts = docs.select(F.substring(text_of(), 1, 20_000).alias("text"))
+    share = min(1.0, 1.2 * warm_documents / max(docs.count(), 1))
+    sample = pa.array([r.text for r in texts.sample(share, 17).limit(2 * warm_documents).collect()], pa.string())
     seen: Counter[bytes] = Counter()
     for _, _, data, offsets in slices(sample):
         starts, ends, _ = pieces(data, offsets)
@@ -137,8 +139,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     Counts are those of the library on the whole text, without added special tokens; a
     special token's string inside a text is handled as the library does by default. A null
-    text counts as empty: 0 bytes and 0 tokens. Repeated rows are counted each; other
-    columns are not looked at. Tokenizers that do not cut at spaces are run on whole texts.
+    text counts as empty: 0 bytes and 0 tokens. Repeated rows are counted each; an empty
+    table gives no rows; other columns are not looked at. Tokenizers that do not cut at spaces are run on whole texts.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -99,11 +99,26 @@ def test_decontamination_is_brute_force(spark, real, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
 
 
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_decontamination_without_benchmark_or_documents(spark, odd, empty, aqe):
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        benchmark = spark.createDataFrame([], "item_id long, text string")
+        rows = decontamination.contamination_digest(odd, benchmark).collect()
+        assert len(rows) == odd.count() and not any(r.n_hit or r.contaminated for r in rows)
+        nothing = spark.createDataFrame([(1, None), (2, ""), (None, "a")], "item_id long, text string")
+        assert decontamination.decontaminate(odd, nothing).count() == odd.count()
+        assert decontamination.contamination_digest(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_decontamination_in_blocks_is_the_same(spark, odd, monkeypatch):
     benchmark = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "no id")], "item_id long, text string")
     one = sorted(map(tuple, decontamination.contamination_digest(odd, benchmark).fillna(-1).collect()))
     monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 1)
     monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 2)
+    monkeypatch.setattr(decontamination, "STEP_PLACES", 1)
     assert sorted(map(tuple, decontamination.contamination_digest(odd, benchmark).fillna(-1).collect())) == one
 
 
@@ -435,6 +450,29 @@ def test_packing_keeps_all_ids_of_a_long_piece(spark):
     assert [r.ids_crc32 for r in rows] == [zlib.crc32(ids[a : a + 4096].tobytes()) for a in range(0, len(ids), 4096)]
 
 
+def _colliding():
+    """Two different texts of 4096 letters that every polynomial modulo 2**64 takes for one."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_that_collide_in_a_polynomial_have_their_own_ids(spark):
+    texts = _colliding()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        for row in tokencounts.token_counts(docs, path).collect():
+            assert row.n_tokens == len(library.encode(texts[row.doc_id], add_special_tokens=False).ids)
+        rows = sorted(packing.pack(docs, path).collect(), key=lambda r: (r.doc_id, r.start))
+        for i, text in enumerate(texts):
+            ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            assert [r.ids_crc32 for r in rows if r.doc_id == i] == [zlib.crc32(ids[a : a + 4096].tobytes()) for a in range(0, len(ids), 4096)]
+    assert lines.dedup_lines(docs).where("dropped > 0").count() == 0 or _line_jaccard(*texts) >= 0.8
+
+
 def test_token_counts_are_the_librarys(spark, odd, empty):
     rng = np.random.default_rng(1)
     signs = [" ", "  ", "\n", "\t", "a", "B", "é", "　", "\x85", "\xa0", "\x1c", "1", ".", ",", "'s", "<|endoftext|>", "中", "́", " \n", "\x00", "😀", " the", "'"]
