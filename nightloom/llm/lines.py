@@ -45,17 +45,27 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def line_shingles(data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of non-empty lines, line by line, and where each line's begin."""
-    chars = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
-    low, high = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
+    """64-bit hashes of the shingles of non-empty lines in the order of their places, and where each line's begin."""
+    lead = data & 0xC0 != 0x80
+    if lead.all():  # a character is a byte
+        low, high, sums, inverse = starts, ends, spans.sums, spans.inverse[: len(data)]
+    else:
+        chars = np.append(np.flatnonzero(lead), len(data))
+        low, high = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
+        sums, inverse = spans.sums[chars], spans.inverse[chars[:-1]]
+    hashes = np.zeros(len(sums) - 1, np.uint64)
+    if len(hashes) >= SHINGLE:
+        hashes[: len(hashes) - SHINGLE + 1] = (sums[SHINGLE:] - sums[:-SHINGLE]) * inverse[: len(hashes) - SHINGLE + 1]
+    few = np.flatnonzero(high - low < SHINGLE)
+    hashes[low[few]] = spans.short(starts[few], ends[few])
     made = np.maximum(high - low - SHINGLE + 1, 1)
-    begin = np.cumsum(made) - made
-    first = np.repeat(low - begin, made) + np.arange(made.sum())
-    last = np.minimum(first + SHINGLE, np.repeat(high, made))
-    hashes = spans.short(chars[first], chars[last])
+    inside = np.zeros(len(sums), np.int8)
+    np.add.at(inside, low, 1)
+    np.subtract.at(inside, low + made, 1)
+    hashes = hashes[np.cumsum(inside[:-1], dtype=np.int8).view(np.bool_)]
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    return hashes ^ hashes >> np.uint64(32), begin
+    return hashes ^ hashes >> np.uint64(32), np.cumsum(made) - made
 
 
 def signatures(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -102,12 +112,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
-    """The slice's spans; node, start and end of each different line that is not blank."""
+    """The slice's spans; node, start and end of each different line that is not blank, in their order."""
     starts, ends, _ = line_spans(data, offsets)
     keep = ~_blank(data, starts, ends)
     spans = Spans(data)
-    nodes, first = np.unique(spans.of(starts[keep], ends[keep]), return_index=True)
-    return spans, nodes, starts[keep][first], ends[keep][first]
+    nodes = spans.of(starts[keep], ends[keep])
+    first = np.sort(np.unique(nodes, return_index=True)[1])
+    return spans, nodes[first], starts[keep][first], ends[keep][first]
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,19 +169,6 @@ def _sets(column: pa.Array) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, token, weight) of each line's different shingles."""
-    for batch in batches:
-        for low, high, data, offsets in slices(batch.column(1).cast(pa.string())):
-            hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
-            line = np.repeat(np.arange(low, high), np.diff(np.append(begin, len(hashes))))
-            order = np.lexsort((hashes, line))
-            line, hashes = line[order], hashes[order]
-            new = np.concatenate(([True], (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])))
-            nodes = batch.column(0).to_numpy()[line[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hashes[new].view(np.int64)), pa.array(np.ones(len(nodes)))], ["node", "token", "weight"])
-
-
 def _verifier(threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +208,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(threshold), "u long, v long")
 
-    return link_classes(bands, fetch, judge, lambda own: own.mapInArrow(_tokens, "node long, token long, weight double"), threshold)
+    return link_classes(bands, fetch, judge)
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,25 +49,38 @@ class Spans:
     """Hashes of any spans of some bytes: equal bytes, equal hashes.
 
     A polynomial modulo 2**64 alone has strings of 1,000 bytes and more that collide for
-    every base, so longer spans also have one modulo a prime in their hash.
+    every base, so spans from 512 bytes on also have one modulo a prime in their hash.
     """
 
     def __init__(self, data: np.ndarray):
         self._power = powers(len(data) + 1)
-        values = data.astype(np.uint64) + np.uint64(1)
-        self._sums = np.zeros((2, len(data) + 1), np.uint64)
-        np.cumsum(values * self._power[0][:-1], out=self._sums[0, 1:])
-        terms = values * self._power[2][:-1]
+        self._values = data.astype(np.uint64) + np.uint64(1)
+        self.sums = self._summed(self._values * self._power[0][:-1])
+        self.inverse = self._power[1]
+
+    @staticmethod
+    def _summed(terms: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(terms) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        return sums
+
+    @cached_property
+    def _prime_sums(self) -> np.ndarray:
+        terms = self._values * self._power[2][:-1]
         # Terms are below 2**40: 2**23 of them fit without a modulo.
-        np.cumsum(terms if len(data) < 1 << 23 else terms % _PRIME, out=self._sums[1, 1:])
+        return self._summed(terms if len(terms) < 1 << 23 else terms % _PRIME)
 
     def short(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For spans of at most 64 bytes."""
-        return (self._sums[0, ends] - self._sums[0, starts]) * self._power[1][starts]
+        """For spans of fewer than 512 bytes."""
+        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        prime = (self._sums[1, ends] - self._sums[1, starts]) % _PRIME * self._power[3][starts] % _PRIME
-        return mix(self.short(starts, ends) + (prime << np.uint64(32)) + (ends - starts).astype(np.uint64))
+        out = self.short(starts, ends) + (ends - starts).astype(np.uint64)
+        long = np.flatnonzero(ends - starts >= 512)
+        if len(long):
+            a, b = starts[long], ends[long]
+            out[long] += ((self._prime_sums[b] - self._prime_sums[a]) % _PRIME * self._power[3][a] % _PRIME) << np.uint64(32)
+        return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
