@@ -7,11 +7,10 @@ a bucket whose sketches agree in too few bits are no links: a link of exactly 0.
 items of a bucket, in an order of its own, all other pairs are candidates; every further
 item is compared with these 24 and is a candidate with the three it is most alike. That
 joins most of a large class by linear work. What it leaves apart in a larger bucket is
-compared with representatives in two rounds: the items most like the majority of the
-bucket, such as the original of many edited copies, and then the one most like the
-majority of what is still outside its largest class. The work is linear in the items. On a
-table with buckets of up to 1,600 near copies this links 0.996 of the items that comparing
-all pairs of every bucket links. Buckets are read as sorted streams, never gathered.
+compared with a representative: the item most like the majority of the bucket, such as the
+original of many edited copies. All work is linear in the items. On a table with buckets of
+up to 1,600 near copies this links 0.986 of the items that comparing all pairs of every
+bucket links. Buckets are read as sorted streams, never gathered.
 """
 
 from __future__ import annotations
@@ -34,8 +33,6 @@ AGREE = 48
 ALL_PAIRS = 24
 #: Of these, how many a later item of the bucket is a candidate with.
 BEST = 3
-#: Representatives of a larger bucket in each round: the likest of so many parts of it, and of what is apart.
-PARTS = (8, 1)
 #: Nodes that tasks get as one sorted array to pick their texts by (8 bytes each); more are joined.
 BROADCAST_NODES = 1_000_000
 
@@ -159,19 +156,14 @@ def candidates(bands: DataFrame) -> DataFrame:
     return entries.mapInArrow(_bucket_pairs, "u long, v long, bucket long, sketch long").where("u <> v or bucket is not null").distinct()
 
 
-def representatives(rooted: DataFrame, parts: int) -> DataFrame:
-    """(key, p, p_root, p_sketch): of each part of a bucket the item that is most like the majority of the bucket.
-
-    ``rooted`` has key, node, sketch and root; ``voting`` items make the majority and are chosen from.
-    """
-    votes = rooted.where("voting")
+def representatives(members: DataFrame) -> DataFrame:
+    """(key, p, p_root, p_sketch): of each bucket the item that is most like its majority; members have key, node, sketch and root."""
     bit = lambda i: F.shiftright("sketch", i).bitwiseAND(1)
-    sums = votes.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)])
+    sums = members.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)])
     majority = sum((F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(-(1 << 63) if i == 63 else 1 << i)).otherwise(F.lit(0)) for i in range(64)), F.lit(0))
     sums = settle(sums.select("key", majority.cast("long").alias("majority")))
     alike = F.lit(64) - F.bit_count(F.col("sketch").bitwiseXOR(F.col("majority")))
-    part = F.pmod(F.xxhash64("node"), F.lit(parts))
-    best = votes.join(sums, "key").groupBy("key", part.alias("part")).agg(F.max(F.struct(alike.alias("alike"), "node", "root", "sketch")).alias("best"))
+    best = members.join(sums, "key").groupBy("key").agg(F.max(F.struct(alike.alias("alike"), "node", "root", "sketch")).alias("best"))
     return best.select("key", F.col("best.node").alias("p"), F.col("best.root").alias("p_root"), F.col("best.sketch").alias("p_sketch"))
 
 
@@ -186,24 +178,17 @@ def link_classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], judg
     links = settle(judge(found.where("bucket is null").select("u", "v"), own))
     roots = components(links)
     members = found.where("bucket is not null").select(F.col("bucket").alias("key"), F.col("u").alias("node"), "sketch")
-    for every, parts in zip((True, False), PARTS):
-        rooted = settle(members.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
-        groups = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        # Buckets that are still in several classes.
-        groups = settle(groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
-        if groups.isEmpty():
-            return roots
-        left = rooted.join(groups, "key").withColumn("voting", F.lit(every) | (F.col("root") != F.col("main")))
-        alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("p_sketch"))) <= 64 - AGREE
-        chosen = settle(representatives(left, parts))
-        both = left.join(chosen, "key").where((F.col("root") != F.col("p_root")) & alike)
-        pairs = both.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-        fresh = settle(judge(pairs, own))
-        links = links.unionByName(fresh)
-        # A representative has been compared with all others.
-        members = left.join(chosen.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").select("key", "node", "sketch")
-        roots = components(links)
-    return roots
+    rooted = settle(members.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
+    # Buckets that are still in several classes.
+    split = settle(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    if split.isEmpty():
+        return roots
+    left = rooted.join(split, "key")
+    chosen = settle(representatives(left))
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("p_sketch"))) <= 64 - AGREE
+    both = left.join(chosen, "key").where((F.col("root") != F.col("p_root")) & alike)
+    pairs = both.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
+    return components(links.unionByName(settle(judge(pairs, own))))
 
 
 def wanted_nodes(pairs: DataFrame) -> DataFrame:
