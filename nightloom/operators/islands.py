@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightloom.shipping import ship_library
+
 
 def runs(df: DataFrame, flag: Column, by: str = "rec", at: str = "i", least: int = 1, open_at_end: bool = False) -> DataFrame:
     """(by, start, end) of maximal runs of true rows of a signal without gaps.
@@ -76,14 +82,41 @@ def split_long(events: DataFrame, above: float, part: float) -> DataFrame:
     return own.withColumns({"start": F.col("start") + F.col("part") * step, "end": F.col("start") + (F.col("part") + 1) * step, "was_split": F.col("_n") > 1}).drop("_n", "_length")
 
 
+def _greedy(overlap: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values(["avg_conf", "ord"], ascending=[False, True])
+        longest = float((own["end"] - own["start"]).max())
+        starts, ends, keep = [], [], np.zeros(len(own), np.bool_)
+        for at, (s, e) in enumerate(zip(own["start"].to_list(), own["end"].to_list())):
+            # Kept ones that can meet this one begin less than the longest length before it.
+            low, high = bisect.bisect_left(starts, s - longest), bisect.bisect_left(starts, e)
+            meets = False
+            for s2, e2 in zip(starts[low:high], ends[low:high]):
+                both = max(min(e, e2) - max(s, s2), 0.0)
+                whole = (e - s) + (e2 - s2)
+                meets |= whole > 0 and whole - both > 0 and both / (whole - both) > overlap
+            if not meets:
+                keep[at] = True
+                place = bisect.bisect_left(starts, s)
+                starts.insert(place, s)
+                ends.insert(place, e)
+        return own[keep]
+
+    return run
+
+
 def suppressed(events: DataFrame, overlap: float, by: str = "rec") -> DataFrame:
     """Greedy suppression: by confidence, keep an event that overlaps no kept one by more than ``overlap``.
 
-    ``events`` has by, ord (input order), start, end, avg_conf; equal confidences keep the input order.
+    ``events`` has by, ord (input order), start, end, avg_conf; equal confidences keep the
+    input order. Events that no chain of overlaps connects are judged apart, so a task holds
+    one such chain at a time, not a recording.
     """
-    one = F.struct((-F.col("avg_conf")).alias("neg"), F.col("ord").alias("ord"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"))
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("_all"))
-    iou = "(greatest(least(y.e, x.e) - greatest(y.s, x.s), 0D) / ((y.e - y.s) + (x.e - x.s) - greatest(least(y.e, x.e) - greatest(y.s, x.s), 0D)))"
-    fold = f"""aggregate(_all, cast(array() as array<struct<neg:double,ord:bigint,s:double,e:double>>),
-        (k, x) -> if(exists(k, y -> (y.e - y.s) + (x.e - x.s) > 0 and {iou} > {overlap}D), k, concat(k, array(x))))"""
-    return rows.select(by, F.inline(F.expr(fold))).select(by, "ord", F.col("s").alias("start"), F.col("e").alias("end"), (-F.col("neg")).alias("avg_conf"))
+    ship_library(events.sparkSession)
+    own = events.select(by, F.col("ord").cast("long").alias("ord"), *[F.col(x).cast("double").alias(x) for x in ("start", "end", "avg_conf")])
+    in_order = Window.partitionBy(by).orderBy("start", "ord")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
+    own = own.withColumn("_chain", F.sum("_new").over(in_order)).drop("_new")
+    schema = f"{own.schema[by].name} {own.schema[by].dataType.simpleString()}, ord long, start double, end double, avg_conf double, _chain long"
+    return own.groupBy(by, "_chain").applyInPandas(_greedy(overlap), schema).drop("_chain")

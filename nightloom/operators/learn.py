@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightloom.config import DEFAULT, Config
 from nightloom.operators.frames import packed
+from nightloom.operators.islands import class_runs, split_long, suppressed
+from nightloom.shipping import ship_library
 
 
 def norm_stats(df: DataFrame, channels: list[str]) -> DataFrame:
@@ -89,6 +92,23 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
 
 
+def dense_confusion(pairs: DataFrame, classes: list[int]) -> DataFrame:
+    """(truth, predicted, n) for every pair of classes, 0 where there is none: one scan with conditional counts."""
+    cells = [(t, p) for t in classes for p in classes]
+    sums = [F.count_if((F.col("truth") == t) & (F.col("predicted") == p)).alias(f"_{i}") for i, (t, p) in enumerate(cells)]
+    rows = F.array(*[F.struct(F.lit(t).alias("truth"), F.lit(p).alias("predicted"), F.col(f"_{i}").alias("n")) for i, (t, p) in enumerate(cells)])
+    return pairs.agg(*sums).select(F.inline(rows))
+
+
+def report_averages(by_class: DataFrame) -> DataFrame:
+    """(accuracy, macro and weighted precision, recall and f1) from a classification report of all classes."""
+    names, n = ("precision", "recall", "f1"), F.sum("support")
+    mean = [F.avg(x).alias(f"macro_{x}") for x in names]
+    weighted = [F.coalesce(F.try_divide(F.sum(F.col(x) * F.col("support")), n), F.lit(0.0)).alias(f"weighted_{x}") for x in names]
+    hits = F.sum(F.col("recall") * F.col("support"))
+    return by_class.agg(F.coalesce(F.try_divide(hits, n), F.lit(0.0)).alias("accuracy"), *mean, *weighted, n.alias("support"))
+
+
 def classification_report(pairs: DataFrame, classes: list[int]) -> DataFrame:
     """(label, precision, recall, f1, support); zero where a denominator is."""
     sums = []
@@ -103,18 +123,42 @@ def classification_report(pairs: DataFrame, classes: list[int]) -> DataFrame:
 
 
 def threshold_grid(features: DataFrame) -> DataFrame:
-    """Samples below each apnea threshold and in each hypopnea band: the grid is a broadcast dimension of one scan."""
-    spark = features.sparkSession
-    tenths = lambda n, name: spark.range(1, n + 1).select((F.col("id") / F.lit(10.0)).alias(name))
-    grid = tenths(6, "apnea").crossJoin(tenths(7, "hypopnea")).where(F.col("hypopnea") < 1 - F.col("apnea"))
-    own = features.where("baseline >= 1").select((F.col("env") / F.col("baseline")).alias("r"))
-    # Equal ratios count once with their number, so the grid multiplies few rows.
-    own = own.groupBy("r").agg(F.count("*").alias("m")).crossJoin(F.broadcast(grid))
-    r, m = F.col("r"), F.col("m")
-    count = lambda keep: F.sum(F.when(keep, m).otherwise(0))
-    return own.groupBy("apnea", "hypopnea").agg(
-        count(r < F.col("apnea")).alias("below"), count((r <= 1 - F.col("hypopnea")) & (r > F.col("apnea"))).alias("between_n")
-    )
+    """Samples below each apnea threshold and in each hypopnea band: one scan with a pair of counts per cell."""
+    cells = [(a / 10, h / 10) for a in range(1, 7) for h in range(1, 8) if h / 10 < 1 - a / 10]
+    r = F.col("env") / F.col("baseline")
+    sums = []
+    for i, (a, h) in enumerate(cells):
+        sums += [F.count_if(r < a).alias(f"_b{i}"), F.count_if((r <= 1 - F.lit(h)) & (r > a)).alias(f"_n{i}")]
+    row = lambda i, a, h: F.struct(F.lit(a).alias("apnea"), F.lit(h).alias("hypopnea"), F.col(f"_b{i}").alias("below"), F.col(f"_n{i}").alias("between_n"))
+    return features.where("baseline >= 1").agg(*sums).select(F.inline(F.array(*[row(i, a, h) for i, (a, h) in enumerate(cells)])))
+
+
+def inferred_events(windows: DataFrame, slow: DataFrame, length: float, config: Config = DEFAULT) -> DataFrame:
+    """(rec, type, start, end, avg_conf) of a network's windows (rec, start, label, conf), in seconds.
+
+    Runs of equal classes; those under 10 s go, those over ``split_above_sec``
+    are split and pass; of the others a hypopnea (class 4) needs a fall of raw SpO2; then
+    greedy suppression. ``slow`` has rec, i and spo2, one row a second.
+    """
+    runs = class_runs(windows, config.confidence, length).where(F.col("end") - F.col("start") >= 10)
+    runs = split_long(runs.withColumns({"start": F.col("start").cast("double"), "end": F.col("end").cast("double")}), config.split_above_sec, config.split_part_sec)
+    judged = runs.where((F.col("type") == 4) & ~F.col("was_split")).select("rec", F.col("start").alias("start_sec"), F.col("end").alias("end_sec"))
+    passed = desaturation_gate(judged, slow, 30, 10, 30, config.gate_drop).select("rec", F.col("start_sec").alias("start"), F.lit(True).alias("_passed"))
+    kept = runs.join(passed, ["rec", "start"], "left").where((F.col("type") != 4) | F.col("was_split") | F.col("_passed"))
+    in_order = Window.partitionBy("rec").orderBy("start", "part")
+    kept = kept.withColumn("ord", F.row_number().over(in_order))
+    alone = suppressed(kept.select("rec", "ord", "start", "end", "avg_conf"), config.overlap)
+    return alone.join(kept.select("rec", "ord", "type"), ["rec", "ord"]).select("rec", "type", "start", "end", "avg_conf")
+
+
+def inferred_index(events: DataFrame, slow: DataFrame) -> DataFrame:
+    """(rec, obstr, cntrl, mixed, hypop, duration_hrs, ahi) of every recording; one without events has zeros."""
+    names = {1: "obstr", 2: "cntrl", 3: "mixed", 4: "hypop"}
+    counts = events.groupBy("rec").agg(*[F.count_if(F.col("type") == k).alias(x) for k, x in names.items()])
+    hours = slow.groupBy("rec").agg((F.count("*") / F.lit(3600.0)).alias("duration_hrs"))
+    out = hours.join(counts, "rec", "left").na.fill(0, list(names.values()))
+    total = sum((F.col(x) for x in names.values()), F.lit(0))
+    return out.select("rec", *names.values(), "duration_hrs", (total / F.col("duration_hrs")).alias("ahi"))
 
 
 class CNN:
@@ -155,7 +199,7 @@ class Mira:
              "down": [new(2 * dims, dims) for _ in range(experts + 1)], "share": new(dims, 1)}
             for _ in range(layers)
         ]
-        self.flow = new(dims + 1, dims), new(dims, dims)
+        self.flow = new(dims + 1, 2 * dims), np.zeros(2 * dims), new(2 * dims, dims), np.zeros(dims)
         self.head = new(dims, classes)
 
     @staticmethod
@@ -164,11 +208,12 @@ class Mira:
 
     @staticmethod
     def rotate(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Pairs of features turned by time; x is (n, heads, time, d)."""
+        """Pairs of neighbouring features turned by time; x is (n, heads, time, d)."""
         half = x.shape[-1] // 2
         angle = t[:, None] * 10000.0 ** (-np.arange(half) / half)
-        a, b = x[..., :half], x[..., half:]
-        return np.concatenate((a * np.cos(angle) - b * np.sin(angle), a * np.sin(angle) + b * np.cos(angle)), -1)
+        a, b, out = x[..., 0::2], x[..., 1::2], np.empty_like(x)
+        out[..., 0::2], out[..., 1::2] = a * np.cos(angle) - b * np.sin(angle), a * np.sin(angle) + b * np.cos(angle)
+        return out
 
     @staticmethod
     def gelu(x: np.ndarray) -> np.ndarray:
@@ -184,18 +229,22 @@ class Mira:
 
     def mixture(self, block: dict, x: np.ndarray) -> np.ndarray:
         gate = x @ block["gate"]
-        least = np.sort(gate, -1)[..., -self.top, None]
-        gate = np.where(gate >= least, np.exp(gate - gate.max(-1, keepdims=True)), 0)
+        # Exactly the top ones; equal gates by number.
+        chosen = np.argsort(-gate, -1, kind="stable")[..., : self.top]
+        open_ = np.zeros(gate.shape, np.bool_)
+        np.put_along_axis(open_, chosen, True, -1)
+        gate = np.where(open_, np.exp(gate - gate.max(-1, keepdims=True)), 0)
         gate /= gate.sum(-1, keepdims=True)
         run = lambda i: self.gelu(x @ block["up"][i]) @ block["down"][i]
         out = sum(gate[..., i, None] * run(i) for i in range(gate.shape[-1]))
         return out + run(gate.shape[-1]) / (1 + np.exp(-(x @ block["share"])))
 
     def step(self, h: np.ndarray, dt: float) -> np.ndarray:
-        """Four Runge-Kutta steps of the latent state."""
-        f = lambda y: np.tanh(np.concatenate((y, np.full((len(y), 1), dt)), 1) @ self.flow[0]) @ self.flow[1]
+        """Four Runge-Kutta steps of the latent state; the net gets the length of a step."""
+        w1, b1, w2, b2 = self.flow
+        s = dt / 4
+        f = lambda y: np.tanh(np.concatenate((y, np.full((len(y), 1), s)), 1) @ w1 + b1) @ w2 + b2
         for _ in range(4):
-            s = dt / 4
             k1 = f(h)
             k2 = f(h + s / 2 * k1)
             k3 = f(h + s / 2 * k2)
@@ -213,16 +262,21 @@ class Mira:
         return (x.mean(axis=1) + self.step(x[:, -1], 1.0)) @ self.head
 
 
-def predict_windows(windows: DataFrame, channels: list[str], network) -> DataFrame:
-    """(rec, start, label, conf) of each window; the network is broadcast and run on batches."""
+def predict_windows(windows: DataFrame, channels: list[str], network, stats: dict[str, tuple[float, float]]) -> DataFrame:
+    """(rec, start, label, conf) of each window; ``stats`` has the training data's mean and deviation by channel.
+
+    The network is broadcast and run on batches.
+    """
+    ship_library(windows.sparkSession)
     shared = windows.sparkSession.sparkContext.broadcast(network)
+    mean, deviation = (np.array([stats[c][i] for c in channels]) for i in (0, 1))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for low in range(0, len(frame), 256):
                 part = frame.iloc[low : low + 256]
                 x = np.stack([np.stack(part[c].to_list()) for c in channels], -1).astype(float)
-                logits = shared.value((x - x.mean(1, keepdims=True)) / (x.std(1, keepdims=True) + 1e-9))
+                logits = shared.value((x - mean) / (deviation + 1e-9))
                 p = np.exp(logits - logits.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 yield pd.DataFrame({"rec": part["rec"], "start": part["start"], "label": p.argmax(1), "conf": p.max(1)})

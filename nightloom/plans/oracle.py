@@ -198,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
             from (select vec_id, {logits} as a from embeddings), (select unnest([1, 2, 3, 4, 5]) as k)""",
         "topk_experts": """select vec_id, k - 1 as expert, rn as place from (select vec_id, k, row_number() over (partition by vec_id order by embedding[k] desc, k) as rn from embeddings, (select unnest(range(1, 9)) as k)) where rn <= 2""",
         "runlength_events": "select rec, type, start, \"end\", avg_conf, n from rl",
-        "iou_pairs": f"""select a.rec, a.s as s1, b.s as s2, {iou} / ((a.e - a.s) + (b.e - b.s) - {iou}) as iou from (select rec, start_sec as s, end_sec as e from hypopneas) a
+        "iou_pairs": f"""select a.rec, a.s as s1, b.s as s2, {iou} / ((a.e - a.s) + (b.e - b.s) - {iou}) as iou from (select rec, start_sec as s, end_sec as e from csr) a
             join (select rec, start_sec as s, end_sec as e from desats) b on a.rec = b.rec and a.s < b.e and b.s < a.e""",
         "desat_gate": """select h.rec, h.start_sec, max(case when s.i < floor(h.start_sec) + 10 then s.spo2 end)::bigint as base, min(case when s.i >= floor(h.start_sec) then s.spo2 end)::bigint as nadir
             from hypopneas h join slow s on s.rec = h.rec and s.i >= greatest(floor(h.start_sec) - 30, 0) and s.i < floor(h.end_sec) + 30 group by h.rec, h.start_sec
@@ -222,7 +222,13 @@ def oracle_sql() -> dict[str, str]:
         "alignment_ratio": "select rec, round(q.m / t.m, 9) as ratio from (select rec, median(env) as m from feat f where exists (select 1 from apr a where a.rec = f.rec and f.j >= a.start_sec * 4 and f.j < a.end_sec * 4) group by rec) q join (select rec, median(env) as m from feat group by rec) t using (rec)",
         "split_long": """select rec, part, start_sec + part * len / n as start_sec, start_sec + (part + 1) * len / n as end_sec from (select rec, start_sec, end_sec - start_sec as len,
             case when end_sec - start_sec > 12 then floor((end_sec - start_sec) / 6)::bigint else 1 end as n from hypopneas), (select unnest(range(0, 200)) as part) where part < n""",
-        "temporal_nms": "select rec, start_sec, end_sec from nms",
+        "confusion_dense": """select t as truth, p as predicted, count(quality) as n from (select unnest([0, 1, 2]) as t), (select unnest([0, 1, 2]) as p)
+            left join labels on quality = t and toxic = p group by t, p""",
+        "report_averages": """select round(sum(tp) / sum(su), 9) as accuracy, round(avg(pc), 9) as macro_precision, round(avg(rc), 9) as macro_recall, round(avg(f), 9) as macro_f1,
+            round(sum(pc * su) / sum(su), 9) as weighted_precision, round(sum(rc * su) / sum(su), 9) as weighted_recall, round(sum(f * su) / sum(su), 9) as weighted_f1, sum(su)::bigint as support
+            from (select tp, su, coalesce(tp::double / nullif(pr, 0), 0) as pc, coalesce(tp::double / nullif(su, 0), 0) as rc, coalesce(2.0::double * tp / nullif(pr + su, 0), 0) as f
+            from (select c, count(case when quality = c and toxic = c then 1 end) as tp, count(case when toxic = c then 1 end) as pr,
+            count(case when quality = c then 1 end) as su from labels, (select unnest([0, 1]) as c) group by c))""",
         "stream_sliding": """select rec, w.s as window_start, count(*) as n, sum(c)::bigint as total from (select user_id % 8 as rec, floor(epoch(ts))::bigint as t, cast(round(value * 100) as bigint) as c from events) e,
             (select unnest([0, 30]) as back) b, lateral (select (e.t // 30) * 30 - b.back as s) w group by rec, w.s""",
     }
@@ -232,10 +238,6 @@ def oracle_sql() -> dict[str, str]:
             rl2 as (select *, row_number() over (partition by rec order by start) as o from rl1),
             rl3 as (select *, o - row_number() over (partition by rec, label order by start) as g from rl2 where ok),
             rl as (select rec, label as type, min(start) as start, (max(start) + 60)::double as "end", round(avg(conf), 9) as avg_conf, count(*) as n from rl3 group by rec, label, g)""",
-        "temporal_nms": """nms as (select rec, x.s as start_sec, x.e as end_sec from (select rec, unnest(list_reduce(list_prepend([]::struct(neg double, ord bigint, s double, e double)[], list_transform(a, lambda x: [x])),
-            lambda k, x: case when len(list_filter(k, lambda y: (y.e - y.s) + (x[1].e - x[1].s) > 0 and greatest(least(y.e, x[1].e) - greatest(y.s, x[1].s), 0) / ((y.e - y.s) + (x[1].e - x[1].s) - greatest(least(y.e, x[1].e) - greatest(y.s, x[1].s), 0)) > 0.3::double)) > 0
-            then k else list_concat(k, x) end)) as x from (select rec, list_sort(list({'neg': -conf, 'ord': ord, 's': s, 'e': e})) as a from
-            (select rec, i as ord, i::double as s, (i + 4 + c % 13)::double as e, (c % 50) / 50.0::double as conf from slow where i < 300) group by rec)))""",
     }
     done = {}
     for name, query in out.items():

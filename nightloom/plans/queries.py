@@ -139,12 +139,12 @@ def _split(v: _View) -> DataFrame:
 
 
 def _nms(v: _View) -> DataFrame:
-    own = v.slow.where("i < 300").selectExpr("rec", "i as ord", "cast(i as double) as start", "cast(i + 4 + c % 13 as double) as end", "(c % 50) / 50.0D as avg_conf")
+    own = v.slow.selectExpr("rec", "i as ord", "cast(i as double) as start", "cast(i + 4 + c % 13 as double) as end", "(c % 50) / 50.0D as avg_conf")
     return _seconds(islands.suppressed(own, DEFAULT.overlap))
 
 
 def _iou(v: _View) -> DataFrame:
-    a = v.hypopneas.select("rec", F.col("start_sec").alias("s1"), F.col("end_sec").alias("e1"))
+    a = detect.cheyne_stokes(v.features, v.slow, RATE).select("rec", F.col("start_sec").alias("s1"), F.col("end_sec").alias("e1"))
     b = v.desats.select("rec", F.col("start_sec").alias("s2"), F.col("end_sec").alias("e2"))
     own = a.join(b, "rec").where("s1 < e2 and s2 < e1")
     return own.select("rec", "s1", "s2", scalar.temporal_iou(*[F.col(x) for x in ("s1", "e1", "s2", "e2")]).alias("iou"))
@@ -162,6 +162,15 @@ def _classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.classification_report(_labels(spark, sf_dir).select(F.col("quality").alias("truth"), F.col("toxic").alias("predicted")), [0, 1])
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).select(F.col("quality").alias("truth"), F.col("toxic").alias("predicted"))
+
+
+def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = learn.report_averages(learn.classification_report(_pairs(spark, sf_dir), [0, 1]))
+    return found.select(*[F.round(x, 9).alias(x) for x in found.columns if x != "support"], "support")
+
+
 def _mae(v: _View) -> DataFrame:
     error = F.abs(F.col("ahi") - F.col("odi"))
     return v.indices.agg(F.round(F.avg(error), 9).alias("mae"), F.max(error).alias("worst"))
@@ -214,7 +223,15 @@ def _report_texts(v: _View) -> DataFrame:
 
 
 def _predicted(v: _View, kernel) -> DataFrame:
-    return learn.predict_windows(frames.tiles(v.slow, 60, 30, ["spo2", "effort", "pulse"]), ["spo2", "effort", "pulse"], kernel)
+    channels = ["spo2", "effort", "pulse"]
+    stats = {x["channel"]: (x["mean"], x["std"]) for x in learn.norm_stats(v.slow, channels).collect()}  # a row per channel
+    return learn.predict_windows(frames.tiles(v.slow, 60, 30, channels), channels, kernel, stats)
+
+
+def _inferred(v: _View) -> DataFrame:
+    """Windows with a made label and confidence, taken to the network's index."""
+    windows = v.slow.where("i % 30 = 0").selectExpr("rec", "i as start", "(i div 30) * 7 div 3 % 5 as label", "(i div 30) % 10 / 10.0D as conf")
+    return learn.inferred_index(learn.inferred_events(windows, v.slow, 60), v.slow)
 
 
 def queries() -> dict[str, Query]:
@@ -267,6 +284,9 @@ def queries() -> dict[str, Query]:
         "desat_gate": v(_gate),
         "confusion": _confusion,
         "classification_report": _classification,
+        "confusion_dense": lambda spark, sf_dir: learn.dense_confusion(_pairs(spark, sf_dir), [0, 1, 2]),
+        "report_averages": _averages,
+        "patient_ahi": v(_inferred),
         "ahi_mae": v(_mae),
         "duplicates": _duplicates,
         "patient_split": v(lambda x: learn.patient_split(x.slow.select("rec").distinct(), 0.2, 42)),
