@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again, the last one's result stays there."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:  # what the stage before kept has been read
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
