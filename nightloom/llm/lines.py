@@ -169,6 +169,16 @@ def _sets(column: pa.Array) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
 
 
+def _profile(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different shingles of each line, sorted, all of weight 1, and how many each has."""
+    found = []
+    for _, _, data, offsets in slices(column.cast(pa.string())):
+        hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
+        found += [np.unique(x) for x in np.split(hashes, begin[1:])]
+    terms = np.concatenate(found)
+    return terms, np.ones(len(terms)), np.array([len(x) for x in found])
+
+
 def _verifier(threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +218,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(threshold), "u long, v long")
 
-    return link_classes(bands, fetch, judge)
+    return link_classes(bands, fetch, judge, _profile, threshold)
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -210,6 +210,16 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / total) if total else 0.0
 
 
+def _profiler(shared):
+    def profile(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different shingles of each text, sorted, their weights, and how many each has."""
+        found = [x for _, rows in term_counts(column) for x in rows]
+        terms, counts = (np.concatenate(x) for x in zip(*found))
+        return terms, shared.value.of(terms, counts).astype(np.float64), np.array([len(x) for x, _ in found])
+
+    return profile
+
+
 def _verifier(shared, threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +263,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         both = both.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return both.select("u", "v", "a", "b").mapInArrow(_verifier(shared, threshold), "u long, v long")
 
-    roots = link_classes(bands, fetch, judge)
+    roots = link_classes(bands, fetch, judge, _profiler(shared), threshold)
     ids = docs.select("doc_id", F.xxhash64(text_of()).alias("node"), F.col("doc_id").isNull().alias("unnamed"))
     return classes(ids, roots, "unnamed", "doc_id", "node").select(
         "doc_id",

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 from .components import components
-from .textkernels import mix
+from .textkernels import among, mix
 
 #: Bits of 64 that the sketches of a link have in common at least.
 AGREE = 48
@@ -35,6 +35,8 @@ ALL_PAIRS = 24
 BEST = 3
 #: Nodes that tasks get as one sorted array to pick their texts by (8 bytes each); more are joined.
 BROADCAST_NODES = 1_000_000
+#: Bytes of text in a block of a bucket; a task holds two blocks at a time.
+BLOCK_BYTES = 1 << 19
 
 BANDS_SCHEMA = "key long, node long, sketch long, other long, bucket long"
 _NAMES = ["key", "node", "sketch", "other", "bucket"]
@@ -167,10 +169,62 @@ def representatives(members: DataFrame) -> DataFrame:
     return best.select("key", F.col("best.node").alias("p"), F.col("best.root").alias("p_root"), F.col("best.sketch").alias("p_sketch"))
 
 
-def link_classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def block_links(table: pa.Table, profile: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float) -> pa.Table:
+    """Links (u, v) between the rows of a block that ask and all rows that do not, one per asking row and other class."""
+    table = table.combine_chunks()
+    asking, others = table.filter(table["asks"]), table.filter(pc.invert(table["asks"]))
+    terms, weights, sizes = profile(asking["text"].combine_chunks())
+    begin = np.append(0, np.cumsum(sizes))
+    known, other_weights, other_sizes = profile(others["text"].combine_chunks())
+    vocabulary, at = np.unique(known, return_inverse=True)
+    first = np.cumsum(other_sizes) - other_sizes
+    totals = np.add.reduceat(other_weights, first)
+    own_roots, roots = asking["root"].to_numpy(), others["root"].to_numpy()
+    shared, u, v = np.zeros(len(vocabulary)), [], []
+    for i, root in enumerate(own_roots):
+        own, weight = terms[begin[i] : begin[i + 1]], weights[begin[i] : begin[i + 1]]
+        here = among(vocabulary, own)
+        place = np.searchsorted(vocabulary, own[here])
+        shared[place] = weight[here]
+        both = np.add.reduceat(np.minimum(shared[at], other_weights), first)
+        shared[place] = 0
+        hits = np.flatnonzero((both >= threshold * (totals + weight.sum() - both)) & (roots != root))
+        hits = hits[np.unique(roots[hits], return_index=True)[1]]
+        u.append(np.full(len(hits), i))
+        v.append(hits)
+    u, v = asking["node"].to_numpy()[np.concatenate(u)], others["node"].to_numpy()[np.concatenate(v)]
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def links_between(members: DataFrame, own: DataFrame, profile: Callable, threshold: float) -> DataFrame:
+    """Links (u, v) that tie the classes of each bucket: of all linked pairs of two classes, at least one per item outside the largest and class.
+
+    members has key, node and root, own the texts by node. Blocks are dealt by (bucket, block, block).
+    """
+    sized = settle(members.join(own.select("node", F.octet_length("text").cast("long").alias("bytes")), "node"))
+    shares = sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda x: F.floor(x / BLOCK_BYTES).cast("int") + 1
+    largest = F.max(F.struct("n", "root", "bytes")).alias("largest")
+    plan = settle(shares.groupBy("key").agg(largest, F.sum("bytes").alias("bytes"), F.count("*").alias("roots")).where("roots > 1"))
+    plan = plan.select("key", F.col("largest.root").alias("most"), blocks(F.col("bytes") - F.col("largest.bytes")).alias("asking"), blocks(F.col("bytes")).alias("all"))
+    placed = sized.join(plan, "key").withColumns({"a": F.pmod(F.xxhash64("node", F.lit(1)), "asking").cast("int"), "b": F.pmod(F.xxhash64("node", F.lit(2)), "all").cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = placed.where("root <> most").select("key", "a", every("all").alias("b"), F.lit(True).alias("asks"), "node", "root")
+    rows = rows.unionByName(placed.select("key", every("asking").alias("a"), "b", F.lit(False).alias("asks"), "node", "root"))
+    none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+    def find(table: pa.Table) -> pa.Table:
+        asks = pc.sum(table["asks"]).as_py()
+        return block_links(table, profile, threshold) if 0 < asks < len(table) else none
+
+    return rows.join(own, "node").groupBy("key", "a", "b").applyInArrow(find, "u long, v long")
+
+
+def link_classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], profile: Callable, threshold: float) -> DataFrame:
     """(node, root) of all items that have a verified link.
 
     ``fetch`` gives the texts of the items of pairs (u, v); ``judge`` keeps the pairs that are a link by these texts.
+    ``profile`` gives the terms of some texts, each text's sorted, their weights, and how many terms each text has.
     """
     found = settle(candidates(bands))
     # A member row (u, u) asks for its text as well.
@@ -178,17 +232,26 @@ def link_classes(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], judg
     links = settle(judge(found.where("bucket is null").select("u", "v"), own))
     roots = components(links)
     members = found.where("bucket is not null").select(F.col("bucket").alias("key"), F.col("u").alias("node"), "sketch")
-    rooted = settle(members.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
-    # Buckets that are still in several classes.
-    split = settle(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
-    if split.isEmpty():
+    left = settle(_split(members, roots))
+    if left.isEmpty():
         return roots
-    left = rooted.join(split, "key")
     chosen = settle(representatives(left))
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("p_sketch"))) <= 64 - AGREE
     both = left.join(chosen, "key").where((F.col("root") != F.col("p_root")) & alike)
     pairs = both.select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-    return components(links.unionByName(settle(judge(pairs, own))))
+    links = links.unionByName(settle(judge(pairs, own)))
+    roots = components(links)
+    left = settle(_split(left.drop("root"), roots))
+    if left.isEmpty():
+        return roots
+    return components(links.unionByName(settle(links_between(left, own, profile, threshold).distinct())))
+
+
+def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (key, node, sketch) of buckets that are in several classes, with their roots."""
+    rooted = settle(members.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
+    split = settle(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    return rooted.join(split, "key")
 
 
 def wanted_nodes(pairs: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nightloom.llm import components as cc
-from nightloom.llm import decontamination, fingerprints, langid, lines, minhash, packing, sharding, suffixtree, tokencounts, toxicity
+from nightloom.llm import decontamination, fingerprints, langid, lines, minhash, neardup, packing, sharding, suffixtree, tokencounts, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, node string"
@@ -222,6 +223,43 @@ def test_a_star_in_large_buckets_is_one_class(spark):
             assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [1 << 19, 1 << 13])
+def test_large_buckets_decide_every_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(8)
+    base = rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 120)
+    texts = ["".join(base)]
+    for _ in range(500):  # edits near the threshold, so that most pairs are no links
+        own = base.copy()
+        for at in rng.choice(np.arange(3, 115, 9), rng.integers(2, 7), replace=False):
+            own[at] = rng.choice(list("0123"))
+        texts.append("".join(own))
+    docs = spark.createDataFrame([("\n".join(texts[i : i + 20]),) for i in range(0, len(texts), 20)], "text string").repartition(4)
+    column = pa.array(texts)
+    (_, _, data, offsets), = lines.slices(column)
+    spans = lines.Spans(data)
+    nodes = spans.of(offsets[:-1], offsets[1:]).view(np.int64)
+    keys = lines.band_keys(lines.signatures(*lines.line_shingles(data, spans, offsets[:-1], offsets[1:])))
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero((keys[:i] == keys[i]).any(axis=1)):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    whole = Counter(find(i) for i in range(len(texts)))
+    assert len(whole) > 20 and max(whole.values()) > 50
+    found = {r.node: r.root for r in lines.line_classes(docs).collect()}
+    assert {frozenset(i for i in range(len(texts)) if find(i) == c) for c in whole if whole[c] > 1} == {
+        frozenset(i for i in range(len(texts)) if found.get(int(nodes[i])) == c) for c in set(found.values())
+    }
+
+
 def _line_jaccard(a, b):
     a, b = ({t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in (a, b))
     return len(a & b) / len(a | b)
