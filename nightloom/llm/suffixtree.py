@@ -1,20 +1,26 @@
 """Language-model scores by a probabilistic suffix tree of words.
 
-States are contexts of up to two preceding words that are frequent enough in the training
-text. A context is kept if its next-word distribution diverges from that of its suffix, the
-context without its first word. A kept context has probabilities of its own for the words
-that follow it often, with a discount; the rest of its mass goes to other words as its
-suffix has them, down to add-one word frequencies. A word is scored in the longest kept
-context that ends before it.
-
-Word counts are a distributed table. Frequent words are looked up where the texts are;
-the others, which no context has a probability of its own for, are joined with it.
+States are contexts of any number of preceding words. The tree grows a word at a time: a
+context is a candidate if it occurs often enough in the training text and its suffix, the
+context without its first word, is a state; it becomes one if its next-word distribution
+diverges from that of its suffix. Growth ends when no context passes. A state has
+probabilities of its own for the words that follow it often enough, with a discount; the
+rest of its mass goes to other words as its suffix has them, down to add-one word
+frequencies. A word is scored in the longest state that ends before it.
+
+All thresholds are counts, so the tree grows with the corpus. Counts, candidates, states and
+the finished tree are distributed tables. A word's log probability is a sum of values that
+its word, its states and its pairs of a state and a next word have each, so a document's
+score is a sum over keys: those of the most frequent entries are looked up where the texts
+are, in a table of bounded size, and the others are joined, with the same result. Bitmaps of
+a fixed size leave out keys that no table has; what passes by chance meets no row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,20 +31,23 @@ from pyspark.sql import functions as F
 from .common import in_fold, settle, ship, text_of
 from .textkernels import NONSPACE, mix, slices, span_hashes, words
 
-DEPTH = 2
-#: A context's least share of all training tokens (so at most the inverse of it are contexts of a depth).
-CONTEXT_SHARE = 5e-5
-#: A next word's least probability in a context to have one of its own (at most the inverse of it per context).
-NEXT_SHARE = 0.01
-#: A word's least share of all training tokens to be looked up in tasks (at most the inverse of it are).
-WORD_SHARE = 5e-7
+#: Occurrences in the training text that a context needs.
+MIN_CONTEXT = 32
+#: Occurrences after a context that a next word needs to have a probability of its own.
+MIN_PAIR = 8
 #: Least divergence, in nats, of a context's distribution from its suffix's.
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
-#: Candidate pairs of context and next word that are counted in one pass.
-BLOCK_PAIRS = 4_000_000
+#: Entries of the tree that are looked up in tasks; all others are joined.
+HEAD_ROWS = 3_000_000
+#: Bits of a bitmap, as a power of two.
+BITMAP_BITS = 26
+#: A context's next words are dealt over this many groups.
+SALTS = 8
 
 _END = np.int64(0x0E4D)
+_STATE = np.int64(0x57A7E)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -52,31 +61,51 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield low, high, tokens, begin
 
 
-def contexts(tokens: np.ndarray, begin: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the hash of the ``depth`` tokens before it, and whether its row has that many."""
+def pair_keys(context: np.ndarray, token: np.ndarray | np.int64) -> np.ndarray:
+    return mix((context.view(np.uint64) ^ np.uint64(0xA5)) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(token, np.int64).view(np.uint64)).view(np.int64)
+
+
+def contexts(tokens: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By depth from one on, for each place the hash of as many tokens before it, and whether its row has these."""
     place = np.arange(len(tokens)) - np.repeat(begin[:-1], np.diff(begin))
-    key = np.full(len(tokens), np.uint64(depth))
-    for back in range(1, depth + 1):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.roll(tokens, back).view(np.uint64))
-    return key.view(np.int64), place >= depth
+    key, depth = np.zeros(len(tokens), np.uint64), 0
+    power = np.uint64(1)
+    while True:
+        depth += 1
+        power = np.uint64(int(power) * int(_STEP) % (1 << 64))
+        key = key + np.roll(tokens, depth).view(np.uint64) * power
+        yield key.view(np.int64), place >= depth
+
+
+def _followed(context: pd.Series, token: pd.Series) -> pd.Series:
+    """The hash of a context that is followed by one more token."""
+    return pd.Series(((context.to_numpy(np.int64).view(np.uint64) + token.to_numpy(np.int64).view(np.uint64)) * _STEP).view(np.int64))
+
 
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
-def pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix((context.view(np.uint64) ^ np.uint64(0xA5)) * np.uint64(0xD6E8FEB86659FD93) + token.view(np.uint64)).view(np.int64)
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            cells = np.unique(_cell(pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+            word, first = np.unique(cells >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
 
-def _at(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each value is in the sorted ones, -1 if it is not there."""
-    if not len(known):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, at, -1)
+def bitmap(entries: DataFrame) -> np.ndarray:
+    """2 ** BITMAP_BITS bits, of which those of all (context, token) are set; at most 2 ** (BITMAP_BITS - 6) rows come to the driver."""
+    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def _at_distinct(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The same, each distinct value looked up once."""
-    distinct, where = np.unique(wanted, return_inverse=True)
-    return _at(known, distinct)[where]
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cells = _cell(keys)
+    return (bits[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,200 +118,224 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["token", "n"])
 
 
-def _candidates(shared, depth: int):
-    """Pairs of a context and a frequent word that have NEXT_SHARE in the texts of a batch."""
+def _pairs(shared, depth: int):
+    """Counts of pairs of a candidate context and a next word that its suffix has a probability for, in the texts of a batch."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, frequent = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates, below = shared.value
         for batch in batches:
             found = []
             for _, _, tokens, begin in sequences(batch.column(0)):
-                context, there = contexts(tokens, begin, depth)
-                there = np.flatnonzero(there)
-                at = _at_distinct(wanted, context[there])
-                there, at = there[at >= 0], at[at >= 0]
-                found.append((at, tokens[there]))
+                suffix = np.zeros(len(tokens), np.int64)
+                for d, (context, there) in enumerate(contexts(tokens, begin), 1):
+                    if d == depth:
+                        break
+                    suffix = context
+                at = np.flatnonzero(there)
+                at = at[_may_have(candidates, pair_keys(context[at], _STATE))]
+                at = at[_may_have(below, pair_keys(suffix[at], tokens[at]))]
+                found.append((context[at], tokens[at]))
             if found:
-                at, token = (np.concatenate(x) for x in zip(*found))
-                total = np.bincount(at, minlength=len(wanted))
-                order = np.lexsort((token, at))
-                at, token = at[order], token[order]
-                new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (token[1:] != token[:-1])))) if len(at) else np.zeros(0, np.int64)
-                n = np.diff(np.append(new, len(at)))
-                at, token = at[new], token[new]
-                keep = (n >= NEXT_SHARE * total[at]) & (_at(frequent, token) >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[at[keep]]), pa.array(token[keep])], ["context", "token"])
-
-    return find
+                context, token = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((token, context))
+                context, token = context[order], token[order]
+                new = np.ones(len(context), np.bool_)
+                new[1:] = (context[1:] != context[:-1]) | (token[1:] != token[:-1])
+                new = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[new]), pa.array(token[new]), pa.array(np.diff(np.append(new, len(context))))], ["context", "token", "n"]
+                )
 
+    return count
 
-def _pair_counter(shared, depth: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = shared.value
-        totals = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for _, _, tokens, begin in sequences(batch.column(0)):
-                context, there = contexts(tokens, begin, depth)
-                there = np.flatnonzero(there)
-                there = there[_at_distinct(wanted, context[there]) >= 0]
-                at = _at(known, pair_keys(context[there], tokens[there]))
-                totals += np.bincount(at[at >= 0], minlength=len(known))
-        seen = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(known[seen]), pa.array(totals[seen])], ["pair", "n"])
 
-    return count
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[2:]], ["key", "n", "value", "word"])
 
 
-def _pair_counts(training: DataFrame, wanted: np.ndarray, frequent: np.ndarray, depth: int) -> pd.DataFrame:
-    """(context, token, pair, n) of the candidate pairs, counted over all training texts.
+def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_context: int, min_pair: int) -> list[DataFrame]:
+    """Per depth the entries (context, token, n, value) of its states, which have a token of their own, and pairs.
 
-    A pair that has NEXT_SHARE of its context's occurrences has it in some batch, so none is missed.
+    A state's value is the log10 share of the suffix's probability that a word without one of its own
+    keeps; a pair's is what its own probability is more than that.
     """
-    spark = training.sparkSession
+    session = training.sparkSession
     texts = training.select("text")
-    shared = spark.sparkContext.broadcast((wanted, frequent))
-    pairs = settle(texts.mapInArrow(_candidates(shared, depth), "context long, token long").distinct()).toPandas()
-    pairs["pair"] = pair_keys(pairs["context"].to_numpy(np.int64), pairs["token"].to_numpy(np.int64))
-    known, totals = np.sort(pairs["pair"].to_numpy(np.int64)), []
-    for low in range(0, len(known), BLOCK_PAIRS):
-        block = spark.sparkContext.broadcast((wanted, known[low : low + BLOCK_PAIRS]))
-        counted = texts.mapInArrow(_pair_counter(block, depth), "pair long, n long")
-        totals.append(counted.groupBy("pair").agg(F.sum("n").alias("n")).toPandas())
-    return pairs.merge(pd.concat(totals) if totals else pd.DataFrame({"pair": [], "n": []}), on="pair")
-
-
-class SuffixTree:
-    """Log10 probabilities of frequent words, and of each depth's kept contexts and pairs."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
-        self.denominator = total + distinct + 1
-        self.log_word = np.log10((self.counts + 1) / self.denominator)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def word(self, tokens: np.ndarray) -> np.ndarray:
-        at = _at(self.tokens, tokens)
-        return np.where(at >= 0, self.log_word[at] if len(self.log_word) else 0.0, -math.log10(self.denominator))
-
-    def add_level(self, frame: pd.DataFrame) -> None:
-        """frame: context, token, pair, n, total (of the context), below (log10 probability in the suffix)."""
-        own = frame[frame["n"] >= NEXT_SHARE * frame["total"]].copy()
-        own["p"] = (own["n"] - DISCOUNT) / own["total"]
-        own["q"] = 10.0 ** own["below"]
-        sums = own.groupby("context")[["p", "q"]].transform("sum")
-        rest_p, rest_q = np.maximum(1 - sums["p"], 1e-9), np.maximum(1 - sums["q"], 1e-9)
-        part = own["p"] * np.log(own["p"] / own["q"])
-        divergence = part.groupby(own["context"]).transform("sum") + rest_p * np.log(rest_p / rest_q)
-        own["backoff"] = np.log10(rest_p / rest_q)
-        own = own[divergence >= DIVERGENCE]
-        contexts_of = own.drop_duplicates("context").sort_values("context")
-        own = own.sort_values("pair")
-        self.levels.append(
-            (contexts_of["context"].to_numpy(np.int64), contexts_of["backoff"].to_numpy(float), own["pair"].to_numpy(np.int64), np.log10(own["p"].to_numpy(float)))
+    followed = F.pandas_udf(_followed, "long")
+    denominator = float(total + distinct + 1)
+    nothing = F.lit(0).cast("long")
+    below = counts.where(F.col("n") >= min_pair).select(nothing.alias("context"), "token", ((F.col("n") + 1) / denominator).alias("q"))
+    candidates = settle(
+        counts.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
+            followed(nothing, "token").alias("context"), nothing.alias("suffix"), F.col("n").alias("total")
         )
-
-    def raise_to(self, log_p: np.ndarray, level: int, context: np.ndarray, there: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Log-probabilities in contexts one word longer, from those in their suffixes."""
-        keys, backoff, pairs, own = self.levels[level]
-        at = np.full(len(context), -1)
-        at[there] = _at_distinct(keys, context[there])
-        kept = np.flatnonzero(at >= 0)
-        log_p = log_p.copy()
-        found = _at(pairs, pair_keys(context[kept], tokens[kept]))
-        log_p[kept] = np.where(found >= 0, own[found] if len(own) else 0.0, log_p[kept] + backoff[at[kept]])
-        return log_p
-
-
-def fit(docs: DataFrame, held_out: Column) -> tuple[SuffixTree, DataFrame, int, int]:
-    """The tree, the table of all words (token, n), and how many tokens and different ones there are."""
-    ship(docs.sparkSession)
-    training = docs.where(~held_out).select(text_of().alias("text"))
-    counts = settle(training.mapInArrow(_count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = row["total"] or 0, row["distinct"]
-    frequent = counts.where(F.col("n") >= max(WORD_SHARE * total, 1)).toPandas()
-    tree = SuffixTree(frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), total, distinct)
-    # Contexts of one word, then those that a frequent pair of these makes.
-    often = (tree.counts >= CONTEXT_SHARE * total) & (tree.tokens != _END)
-    chains = pd.DataFrame({"total": tree.counts[often], "w1": tree.tokens[often]})
-    for depth in range(1, DEPTH + 1):
-        names = [f"w{i}" for i in range(depth, 0, -1)]
-        chain = chains[names].to_numpy(np.int64).reshape(len(chains), depth)
-        ends = np.concatenate((chain, np.zeros((len(chain), 1), np.int64)), axis=1).ravel()
-        begin = np.arange(0, len(ends) + 1, depth + 1)
-        key, there = contexts(ends, begin, depth)
-        chains["context"] = key[there] if len(chain) else np.zeros(0, np.int64)
-        wanted = np.sort(chains["context"].to_numpy(np.int64))
-        counted = _pair_counts(training, wanted, tree.tokens, depth) if len(wanted) else pd.DataFrame({x: np.zeros(0, np.int64) for x in ("context", "token", "pair", "n")})
-        frame = counted.merge(chains, on="context")
-        token = frame["token"].to_numpy(np.int64)
-        below = tree.word(token)
-        for level in range(depth - 1):
-            # The suffix's context: the last level + 1 words of the chain.
-            own = frame[[f"w{i}" for i in range(level + 1, 0, -1)]].to_numpy(np.int64)
-            padded = np.concatenate((own, np.zeros((len(own), 1), np.int64)), axis=1).ravel()
-            suffix, is_last = contexts(padded, np.arange(0, len(padded) + 1, level + 2), level + 1)
-            below = tree.raise_to(below, level, suffix[is_last], np.ones(len(own), np.bool_), token)
-        frame["below"] = below
-        tree.add_level(frame)
-        longer = frame[(frame["n"] >= max(CONTEXT_SHARE * total, 1)) & (frame["token"] != _END)]
-        chains = pd.DataFrame({"total": longer["n"].to_numpy(), "w1": longer["token"].to_numpy(), **{f"w{i + 1}": longer[f"w{i}"].to_numpy() for i in range(1, depth + 1)}})
-    return tree, counts, total, distinct
+    )
+    levels: list[DataFrame] = []
+    while not candidates.isEmpty():
+        known = bitmap(candidates.select("context", F.lit(int(_STATE)).alias("token")))
+        shared = session.sparkContext.broadcast((known, bitmap(below)))
+        counted = (
+            texts.mapInArrow(_pairs(shared, len(levels) + 1), "context long, token long, n long")
+            .withColumn("salt", F.pmod("token", F.lit(SALTS)))
+            .repartition("context", "salt")
+            .groupBy("context", "token", "salt")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= min_pair)
+            .drop("salt")
+        )
+        rows = settle(
+            counted.join(candidates, "context")
+            .join(below.select(F.col("context").alias("suffix"), "token", "q"), ["suffix", "token"])
+            .withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
+        )
+        shared.unpersist()
+        rest_p = (F.max("total") - F.sum("n") + DISCOUNT * F.count("*")) / F.max("total")
+        sums = rows.groupBy("context").agg(
+            rest_p.alias("rest_p"), (1 - F.sum("q")).alias("rest_q"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("own"), F.max("total").alias("n")
+        )
+        diverges = F.col("own") + F.col("rest_p") * F.log(F.col("rest_p") / F.col("rest_q")) >= DIVERGENCE
+        states = settle(sums.where(diverges).select("context", "n", F.log10(F.col("rest_p") / F.col("rest_q")).alias("value")))
+        kept = rows.join(states.select("context", F.col("value").alias("backoff")), "context")
+        pairs = settle(kept.select("context", "token", "n", "p", (F.log10("p") - F.log10("q") - F.col("backoff")).alias("value")))
+        levels.append(pairs.drop("p").unionByName(states.withColumn("token", F.lit(int(_STATE)))))
+        below = pairs.select("context", "token", F.col("p").alias("q"))
+        longer = rows.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
+            followed("context", "token").alias("context"), followed("suffix", "token").alias("suffix"), F.col("n").alias("total")
+        )
+        candidates = settle(longer.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "total"))
+    return levels
+
+
+class Head:
+    """Values of the most frequent keys, found by their first bits, and the bitmap of all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, others: np.ndarray, depth: int):
+        order = np.argsort(keys.view(np.uint64))
+        self.keys, self.values, self.others, self.depth = keys[order], values[order], others, depth
+        self.bits = max(int(len(keys)).bit_length(), 1)
+        bucket = self._bucket(self.keys)
+        self.starts = np.searchsorted(bucket, np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, 0 where there is none; whether there is one; and which keys may be among the others."""
+        bucket = self._bucket(keys)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        value, found = np.zeros(len(keys)), np.zeros(len(keys), np.bool_)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            hit = self.keys[at[open_]] == keys[open_]
+            value[open_[hit]] = self.values[at[open_[hit]]]
+            found[open_[hit]] = True
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        others = np.flatnonzero(~found)
+        return value, found, others[_may_have(self.others, keys[others])]
 
 
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: SuffixTree = shared.value
+        head: Head = shared.value
         for batch in batches:
             for low, high, tokens, begin in sequences(batch.column(3)):
-                at = _at_distinct(tree.tokens, tokens)
-                rare = at < 0
-                # A rare word adds its own frequency later: here it only has the contexts' shares of the rest.
-                base = np.where(rare, 0.0, tree.log_word[at] if len(tree.log_word) else 0.0)
-                log_p = base
-                for level in range(len(tree.levels)):
-                    context, there = contexts(tokens, begin, level + 1)
-                    log_p = tree.raise_to(log_p, level, context, there, tokens)
-                sums = [np.add.reduceat(x, begin[:-1]) for x in (base, log_p, (~rare).astype(np.int64))]
-                rare_at = np.flatnonzero(rare)
-                rare_bounds = np.searchsorted(rare_at, begin)
-                lists = pa.ListArray.from_arrays(pa.array(rare_bounds, pa.int32()), pa.array(tokens[rare_at]))
+                row_of = np.repeat(np.arange(high - low), np.diff(begin))
+                key = pair_keys(np.zeros(len(tokens), np.int64), tokens)
+                value, found, others = head.find(key)
+                base = np.bincount(row_of, value, high - low)
+                known = np.bincount(row_of[found], minlength=high - low)
+                own, open_rows, open_keys = base.copy(), [row_of[others]], [key[others]]
+                active = np.ones(len(tokens), np.bool_)
+                for depth, (context, there) in enumerate(contexts(tokens, begin), 1):
+                    at = np.flatnonzero(active & there)
+                    if depth > head.depth or not len(at):
+                        break
+                    state = pair_keys(context[at], _STATE)
+                    value, found, others = head.find(state)
+                    found[others] = True
+                    open_rows.append(row_of[at[others]])
+                    open_keys.append(state[others])
+                    own += np.bincount(row_of[at], value, high - low)
+                    active[:] = False
+                    at = at[found]
+                    active[at] = True
+                    key = pair_keys(context[at], tokens[at])
+                    value, _, others = head.find(key)
+                    open_rows.append(row_of[at[others]])
+                    open_keys.append(key[others])
+                    own += np.bincount(row_of[at], value, high - low)
+                rows, keys = np.concatenate(open_rows), np.concatenate(open_keys)
+                order = np.argsort(rows, kind="stable")
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(high - low + 1)), pa.int32()), pa.array(keys[order]))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(low, high - low) for i in range(3)], pa.array(np.diff(begin)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare"],
+                    [*[batch.column(i).slice(low, high - low) for i in range(3)], pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(own), lists],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "keys"],
                 )
 
     return score
 
 
-def language_model_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
+def _least_of_head(entries: DataFrame, head_rows: int) -> float:
+    """The least class of counts whose entries and those of greater classes are at most ``head_rows``."""
+    sizes = entries.groupBy("class").count().toPandas().sort_values("class", ascending=False)
+    fit = sizes["count"].cumsum() <= head_rows
+    return float(sizes["class"][fit].min()) if fit.any() else math.inf
+
+
+def language_model_scores(
+    docs: DataFrame, modulus: int = 7, remainder: int = 2, min_context: int = MIN_CONTEXT, min_pair: int = MIN_PAIR, head_rows: int = HEAD_ROWS
+) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are runs of anything but ASCII white space, with A-Z in lower case, and one end
     token; a null text has the end token alone. ``base_score`` sums log10 add-one word
     frequencies, ``score`` the log10 probabilities of the suffix tree. Without training
-    rows every token is unknown: each counts with the frequency of an unknown word.
-    Repeated rows are learnt from and scored each; other columns are not looked at.
+    rows every token is unknown: each counts with the frequency of an unknown word; an empty
+    table has no result rows. Repeated rows are learnt from and scored each; other columns
+    are not looked at. ``head_rows`` changes no result.
     """
     spark = docs.sparkSession
+    ship(spark)
     held_out = in_fold("doc_id", modulus, remainder)
-    tree, counts, total, distinct = fit(docs, held_out)
-    shared = spark.sparkContext.broadcast(tree)
+    training = docs.where(~held_out).select(text_of().alias("text"))
+    counts = settle(training.mapInArrow(_count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    total, distinct = row["total"] or 0, row["distinct"]
+    levels = grow(training, counts, total, distinct, min_context, min_pair)
+    columns = ["context", "token", "n", "value", "word"]
+    parts = [counts.select(F.lit(0).cast("long").alias("context"), "token", "n", F.log10(F.col("n") + 1).alias("value"), F.lit(1).cast("long").alias("word"))]
+    parts += [level.withColumn("word", F.lit(0).cast("long")).select(columns) for level in levels]
+    entries = settle(
+        reduce(DataFrame.unionByName, parts).withColumn("class", F.floor(F.log2("n") * 8))
+    )
+    least = _least_of_head(entries, head_rows)
+    in_head = F.col("class") >= F.lit(least)
+
+    def keyed(of: DataFrame) -> DataFrame:
+        return of.select(columns).mapInArrow(_with_keys, "key long, n long, value double, word long")
+
+    head = keyed(entries.where(in_head)).select("key", "value").toPandas()
+    others = entries.where(~in_head)
+    shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(np.int64), head["value"].to_numpy(float), bitmap(others), len(levels)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, keys array<long>"
     scored = settle(rows.mapInArrow(_scorer(shared), schema))
-    denominator = float(total + distinct + 1)
-    rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
-    n = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((n + 1) / denominator)).alias("rare_sum"), F.sum((n > 0).cast("long")).alias("rare_known"))
-    more = F.coalesce("rare_sum", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    joined = scored.select("row", F.explode("keys").alias("key")).join(keyed(others), "key")
+    joined = joined.groupBy("row").agg(
+        F.sum("value").alias("more"), F.sum(F.col("value") * F.col("word")).alias("more_base"), F.sum("word").alias("more_known")
+    )
+    unknown = F.col("n_tokens") * -math.log10(total + distinct + 1)
+    zero = F.lit(0.0)
+    return scored.drop("keys").join(joined, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("own") + more).alias("score"),
+        (F.col("base") + F.coalesce("more_base", zero) + unknown).alias("base_score"),
+        (F.col("own") + F.coalesce("more", zero) + unknown).alias("score"),
     )

@@ -542,16 +542,55 @@ def test_language_model(spark, real, odd, empty):
     assert suffixtree.language_model_scores(odd).count() == odd.count() and suffixtree.language_model_scores(empty).count() == 0
 
 
-def test_suffix_tree_probabilities_sum_to_one():
-    import pandas as pd
-
-    tokens, counts = np.array([1, 2, 3, 4]), np.array([40, 30, 20, 10])
-    tree = suffixtree.SuffixTree(tokens, counts, 100, 4)
-    context = np.array([9])
-    frame = pd.DataFrame({"context": [9, 9], "token": [1, 2], "n": [30, 5], "total": [40, 40]})
-    frame["pair"] = suffixtree.pair_keys(frame["context"].to_numpy(), frame["token"].to_numpy())
-    frame["below"] = tree.word(frame["token"].to_numpy())
-    tree.add_level(frame)
-    everything = np.array([1, 2, 3, 4, 77])  # one more stands for all unknown words
-    log_p = tree.raise_to(tree.word(everything), 0, np.repeat(context, 5), np.ones(5, bool), everything)
-    assert abs((10**log_p).sum() - 1) < 1e-9
+def _tree_log_p(own_texts, min_context, min_pair):
+    """The suffix tree by brute force: a function of the words before a word, and it, to its log10 probability."""
+    unigrams = Counter(t for own in own_texts for t in own)
+    total, distinct = sum(unigrams.values()), len(unigrams)
+    states, depth = {}, 0
+
+    def p(context, t):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (unigrams[t] + 1) / (total + distinct + 1)
+        own, share = states[context]
+        return own[t] if t in own else share * p(context[1:], t)
+
+    grown = {(): Counter(unigrams)}
+    while grown:
+        depth += 1
+        often = {(*c, t) for c, after in grown.items() for t, n in after.items() if n >= min_context and t is not None}
+        often = {c for c in often if len(c) == 1 or c[1:] in states}
+        grown = {}
+        for own in own_texts:
+            for i in range(depth, len(own)):
+                c = tuple(own[i - depth : i])
+                if c in often:
+                    grown.setdefault(c, Counter())[own[i]] += 1
+        found = {}
+        for c, after in grown.items():
+            n = sum(after.values())
+            own = {t: (m - 0.5) / n for t, m in after.items() if m >= min_pair}
+            if own:
+                rest, rest_q = 1 - sum(own.values()), 1 - sum(p(c[1:], t) for t in own)
+                if sum(x * np.log(x / p(c[1:], t)) for t, x in own.items()) + rest * np.log(rest / rest_q) >= suffixtree.DIVERGENCE:
+                    found[c] = (own, rest / rest_q)
+        states |= found
+    return p, states, unigrams
+
+
+@pytest.mark.parametrize("head_rows", [40, 1_000_000])
+def test_suffix_tree_scores_are_brute_force(spark, head_rows):
+    rng = np.random.default_rng(4)
+    phrases = ["the cat sat on the mat", "the dog sat on the rug and slept", "a cat and a dog", "on the rug a dog slept and the cat", "on the mat"]
+    texts = [" ".join(rng.choice(phrases, rng.integers(1, 5))) + f" w{i % 9}" for i in range(60)] + ["the cat sat on the unseen thing", "", None, "never met"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = [[*(t or "").split(), None] for t in texts]
+    p, states, unigrams = _tree_log_p([own for i, own in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2], 6, 2)
+    assert max(map(len, states)) >= 3
+    found = _by_id(suffixtree.language_model_scores(docs, min_context=6, min_pair=2, head_rows=head_rows))
+    for i, own in enumerate(tokens):
+        wanted = sum(np.log10(p(tuple(own[:k]), t)) for k, t in enumerate(own))
+        assert abs(found[i].score - wanted) < 1e-9 * max(1, abs(wanted)), texts[i]
+    for context in [(), *states]:  # one more word stands for all unknown ones
+        assert abs(sum(p(context, t) for t in [*unigrams, "unknown"]) - 1) < 1e-9
