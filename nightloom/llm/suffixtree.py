@@ -39,9 +39,9 @@ MIN_PAIR = 8
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
 #: Entries of the tree that are looked up in tasks; all others are joined.
-HEAD_ROWS = 3_000_000
+HEAD_ROWS = 1_000_000
 #: Bits of a bitmap, as a power of two.
-BITMAP_BITS = 26
+BITMAP_BITS = 25
 #: A context's next words are dealt over this many groups.
 SALTS = 8
 
@@ -318,9 +318,11 @@ def language_model_scores(
     def keyed(of: DataFrame) -> DataFrame:
         return of.select(columns).mapInArrow(_with_keys, "key long, n long, value double, word long")
 
-    head = keyed(entries.where(in_head)).select("key", "value").toPandas()
     others = entries.where(~in_head)
-    shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(np.int64), head["value"].to_numpy(float), bitmap(others), len(levels)))
+    bits = bitmap(others)
+    head = keyed(entries.where(in_head)).select("key", "value").toPandas()
+    shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(np.int64), head["value"].to_numpy(float), bits, len(levels)))
+    del head
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, keys array<long>"
     scored = settle(rows.mapInArrow(_scorer(shared), schema))
