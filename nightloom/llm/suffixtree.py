@@ -39,11 +39,13 @@ MIN_PAIR = 8
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
 #: Entries of the tree that are looked up in tasks; all others are joined.
-HEAD_ROWS = 1_000_000
+HEAD_ROWS = 500_000
 #: Bits of a bitmap, as a power of two.
-BITMAP_BITS = 25
+BITMAP_BITS = 26
 #: A context's next words are dealt over this many groups.
 SALTS = 8
+#: Tasks that send a bitmap or the looked-up entries to the driver, so that each sends less than a megabyte.
+SENDERS = 32
 
 _END = np.int64(0x0E4D)
 _STATE = np.int64(0x57A7E)
@@ -97,7 +99,7 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap(entries: DataFrame) -> np.ndarray:
     """2 ** BITMAP_BITS bits, of which those of all (context, token) are set; at most 2 ** (BITMAP_BITS - 6) rows come to the driver."""
-    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS).toPandas()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -186,8 +188,8 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
             .drop("salt")
         )
         rows = settle(
-            counted.join(candidates, "context")
-            .join(below.select(F.col("context").alias("suffix"), "token", "q"), ["suffix", "token"])
+            counted.join(candidates.hint("merge"), "context")
+            .join(below.select(F.col("context").alias("suffix"), "token", "q").hint("merge"), ["suffix", "token"])
             .withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
         )
         shared.unpersist()
@@ -197,14 +199,14 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
         )
         diverges = F.col("own") + F.col("rest_p") * F.log(F.col("rest_p") / F.col("rest_q")) >= DIVERGENCE
         states = settle(sums.where(diverges).select("context", "n", F.log10(F.col("rest_p") / F.col("rest_q")).alias("value")))
-        kept = rows.join(states.select("context", F.col("value").alias("backoff")), "context")
+        kept = rows.join(states.select("context", F.col("value").alias("backoff")).hint("merge"), "context")
         pairs = settle(kept.select("context", "token", "n", "p", (F.log10("p") - F.log10("q") - F.col("backoff")).alias("value")))
         levels.append(pairs.drop("p").unionByName(states.withColumn("token", F.lit(int(_STATE)))))
         below = pairs.select("context", "token", F.col("p").alias("q"))
         longer = rows.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
             followed("context", "token").alias("context"), followed("suffix", "token").alias("suffix"), F.col("n").alias("total")
         )
-        candidates = settle(longer.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").select("context", "suffix", "total"))
+        candidates = settle(longer.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total"))
     return levels
 
 
@@ -320,19 +322,19 @@ def language_model_scores(
 
     others = entries.where(~in_head)
     bits = bitmap(others)
-    head = keyed(entries.where(in_head)).select("key", "value").toPandas()
+    head = keyed(entries.where(in_head)).select("key", "value").repartition(SENDERS).toPandas()
     shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(np.int64), head["value"].to_numpy(float), bits, len(levels)))
     del head
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, keys array<long>"
     scored = settle(rows.mapInArrow(_scorer(shared), schema))
-    joined = scored.select("row", F.explode("keys").alias("key")).join(keyed(others), "key")
+    joined = scored.select("row", F.explode("keys").alias("key")).join(keyed(others).hint("merge"), "key")
     joined = joined.groupBy("row").agg(
         F.sum("value").alias("more"), F.sum(F.col("value") * F.col("word")).alias("more_base"), F.sum("word").alias("more_known")
     )
     unknown = F.col("n_tokens") * -math.log10(total + distinct + 1)
     zero = F.lit(0.0)
-    return scored.drop("keys").join(joined, "row", "left").select(
+    return scored.drop("keys").join(joined.hint("merge"), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
