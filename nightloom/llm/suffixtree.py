@@ -41,7 +41,7 @@ DISCOUNT = 0.5
 #: Entries of the tree that are looked up in tasks; all others are joined.
 HEAD_ROWS = 500_000
 #: Bits of a bitmap, as a power of two.
-BITMAP_BITS = 26
+BITMAP_BITS = 24
 #: A context's next words are dealt over this many groups.
 SALTS = 8
 #: Tasks that send a bitmap or the looked-up entries to the driver, so that each sends less than a megabyte.
@@ -192,7 +192,7 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
             .join(below.select(F.col("context").alias("suffix"), "token", "q").hint("merge"), ["suffix", "token"])
             .withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
         )
-        shared.unpersist()
+        shared.destroy()  # the rows are stored, no task needs it again
         rest_p = (F.max("total") - F.sum("n") + DISCOUNT * F.count("*")) / F.max("total")
         sums = rows.groupBy("context").agg(
             rest_p.alias("rest_p"), (1 - F.sum("q")).alias("rest_q"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("own"), F.max("total").alias("n")
@@ -211,7 +211,7 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
 
 
 class Head:
-    """Values of the most frequent keys, found by their first bits, and the bitmap of all others."""
+    """Values of the most frequent keys, found by their first bits, and the bitmap of all other states and pairs."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, others: np.ndarray, depth: int):
         order = np.argsort(keys.view(np.uint64))
@@ -247,7 +247,8 @@ def _scorer(shared):
             for low, high, tokens, begin in sequences(batch.column(3)):
                 row_of = np.repeat(np.arange(high - low), np.diff(begin))
                 key = pair_keys(np.zeros(len(tokens), np.int64), tokens)
-                value, found, others = head.find(key)
+                value, found, _ = head.find(key)
+                others = np.flatnonzero(~found)  # every word that is not looked up here is joined
                 base = np.bincount(row_of, value, high - low)
                 known = np.bincount(row_of[found], minlength=high - low)
                 own, open_rows, open_keys = base.copy(), [row_of[others]], [key[others]]
@@ -321,7 +322,7 @@ def language_model_scores(
         return of.select(columns).mapInArrow(_with_keys, "key long, n long, value double, word long")
 
     others = entries.where(~in_head)
-    bits = bitmap(others)
+    bits = bitmap(others.where("word = 0"))
     head = keyed(entries.where(in_head)).select("key", "value").repartition(SENDERS).toPandas()
     shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(np.int64), head["value"].to_numpy(float), bits, len(levels)))
     del head
