@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_digest
 from .common import read_table
 from .decontamination import contamination_digest
 from .fingerprints import fingerprint_digest
@@ -72,6 +73,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return bpe_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
         "op10_language_model": op10_language_model,
+        "op12_bpe": op12_bpe,
     }
 
 
