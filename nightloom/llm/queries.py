@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digest
 from .common import read_table
+from .convtrie import conversation_trie
 from .decontamination import contamination_digest
 from .fingerprints import fingerprint_digest
 from .langid import language_ids
@@ -74,6 +75,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_token_counts": op9_token_counts,
         "op10_language_model": op10_language_model,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_bpe": op12_bpe,
         "op13_resampling": op13_resampling,
     }
@@ -121,9 +128,32 @@ from docs left join hits using (r) left join named using (r)
 """
 
 
+_CRC_TABLE = "(select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) as crc)"
+
+# An id's decimal digits, and the minus, are bytes as they are.
+_TRIE = f"""
+with step as {_CRC_TABLE},
+turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n from conversations where conv_id is not null),
+names as (select distinct conv_id as c, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)) as b from turns),
+ids as (select c, xor(list_reduce(b, lambda s, x: xor(s >> 8, crc[(xor(s, x) & 255) + 1]), 4294967295), 4294967295) % 4 as h from names, step),
+rebuilt as (select c, n as o, role, text from ids join turns on conv_id = c - c % 20 where n <= h union all select c, n + 4, role, text from ids join turns on conv_id = c where n > h),
+whole as (select c, coalesce(t, []) as t from ids left join (select c, list({{'role': role, 'text': text}} order by o) as t from rebuilt group by c) using (c)),
+cut as (select c, t, unnest(range(len(t) + 1)) as d from whole),
+prefixes as (select c, d, d = len(t) as last, sha256(cast(to_json(t[:d]) as varchar)) as k, case when d > 0 then sha256(cast(to_json(t[:d - 1]) as varchar)) end as p,
+    case when d > 0 then len(regexp_extract_all(t[d].text, '[^\\x20\\x09-\\x0D]+')) else 0 end as words from cut),
+nodes as (select k, p, d, words, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(cast(c as varchar), ',' order by c) filter (last), '') as ends from prefixes group by k, p, d, words),
+children as (select p, count(*) as n_children from nodes where p is not null group by p),
+above as (select distinct a.k as up, b.k as k from prefixes a join prefixes b on a.c = b.c and a.d <= b.d),
+known as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children on children.p = n.k),
+sums as (select up as k, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * words) as saved_tokens from above join known using (k) group by up)
+select n.conv_id, n.d as depth, q.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from known n join sums using (k) left join nodes q on q.k = n.p
+"""
+
 # crc32 byte by byte, with a table made by its rule.
 _RESAMPLING = f"""
-with step as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) as crc),
+with step as {_CRC_TABLE},
 docs as (select row_number() over () as r, doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
 marks as (select {_WORDS.format(text="coalesce(text, '')")} as w from benchmark),
 source as (select r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from docs),
@@ -144,4 +174,4 @@ union all select doc_id, n_features, weight, score, null from scored where words
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, sample, hash or run a tokenizer, which SQL does not express."""
-    return {"op1_decontamination": _CONTAMINATION, "op13_resampling": _RESAMPLING}
+    return {"op1_decontamination": _CONTAMINATION, "op11_conversation_trie": _TRIE, "op13_resampling": _RESAMPLING}
