@@ -225,8 +225,13 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, whole; rows that share a doc_id are judged each by its own text."""
+    """The documents that are not contaminated, whole; rows that share a doc_id are judged each by its own text.
+
+    Null and empty texts have no words and stay, a very long text is judged whole. Equal rows
+    go or stay together, all columns stay whatever their names, an empty table gives no rows.
+    """
     key = F.xxhash64("doc_id", "text")
     flagged = contamination_digest(docs.select(key.alias("doc_id"), "text"), benchmark).where("contaminated")
-    flagged = flagged.select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_own_key", key).join(flagged, F.col("_own_key") == F.col("_key"), "left_anti").drop("_own_key")
+    flagged = flagged.select(F.col("doc_id").alias("hit")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), key.alias("own"))
+    return own.join(flagged, F.col("own") == F.col("hit"), "left_anti").select("record.*")

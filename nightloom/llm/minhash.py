@@ -276,11 +276,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one with the least doc_id, whole; of repeated rows one."""
+    """One document of each class, the one with the least doc_id, whole; of repeated rows one.
+
+    Null texts are empty ones, and of rows without doc_id one stays per class that has no
+    other. All columns stay whatever their names; an empty table gives no rows.
+    """
     found = near_duplicates(docs, threshold)
     # Every class keeps one (doc_id, text); equal ones are repeated rows.
     first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first_node")))
-    first = first.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    own = docs.withColumn("_text_node", F.xxhash64(text_of()))
-    kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_node") == F.col("_node")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_node"]).drop("_text_node")
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("node").alias("first_text")).distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), "doc_id", F.xxhash64(text_of()).alias("text_node"))
+    kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_node") == F.col("first_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_node"]).select("record.*")

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 
 #: Bytes of text in a bucket; a task holds one bucket at a time.
 BUCKET_BYTES = 16 << 20
@@ -78,16 +78,20 @@ def external_shuffle(
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, seed: int = 42, **options) -> None:
-    """Write the shuffled records as Parquet under ``path/shard=N``, in slot order within a shard."""
+    """Write the shuffled records as Parquet under ``path/shard=N``, in slot order within a shard.
+
+    Where the records have a column ``shard`` or ``slot`` of their own, the number's name is
+    the next free one, ``shard_1`` and so on, in the path too.
+    """
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
     shuffled = external_shuffle(docs, n_shards, seed, **options)
     # Contiguous runs of slots make the files, so that a shard is written by several tasks.
     run = F.expr("slot div 100000").alias("run")
     (
-        shuffled.withColumn("run", run)
-        .repartition("shard", "run")
+        shuffled.repartition("shard", run)
         .sortWithinPartitions("shard", "slot")
-        .select("shard", "slot", "record.*")
-        .write.partitionBy("shard")
+        .select(F.col("shard").alias(shard), F.col("slot").alias(slot), "record.*")
+        .write.partitionBy(shard)
         .parquet(path)
     )
 
