@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 class Config:
     """Seconds, fractions and percent; the defaults are the untuned ones."""
 
+    chunk_sec: int = 600
     apnea_remaining: float = 0.1
     hypopnea_drop: float = 0.3
     min_event_sec: float = 10.0

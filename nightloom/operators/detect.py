@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 
 from nightloom.config import DEFAULT, Config
 from nightloom.functions.scalar import near, position_label
-from nightloom.operators import frames, islands
+from nightloom.operators import frames, islands, scan
+from nightloom.storage import stored
 
 
 def flow_features(flow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
-    """(rec, j, flow, env, baseline): envelope over a second, baseline as its sliding high percentile."""
-    own = frames.envelope(flow, rate // 2)
-    slow = frames.downsample_max(own, "env", rate)
-    slow = frames.sliding_percentile(slow, "env", config.baseline_half_sec, config.baseline_share, "baseline")
-    return frames.upsample(slow, "baseline", rate, own)
+    """(rec, j, flow, env, baseline, smooth, turn): envelope over a second, baseline as its sliding high percentile, turning points."""
+    return scan.features(flow, rate, config)
 
 
 def spo2_features(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    return frames.valid_mean(slow, "spo2", config.spo2_low, config.spo2_high, config.baseline_half_sec, config.spo2_fallback, "spo2_base")
+    return frames.valid_mean(slow, "spo2", config.spo2_low, config.spo2_high, config.baseline_half_sec, config.spo2_fallback, "spo2_base", size=config.chunk_sec)
 
 
 def at_position(events: DataFrame, slow: DataFrame) -> DataFrame:
@@ -35,101 +33,108 @@ def at_position(events: DataFrame, slow: DataFrame) -> DataFrame:
     return own.withColumn("position", F.coalesce(position_label(F.col("_code").cast("double")), F.lit("Unknown"))).drop("_mid", "_code")
 
 
-def seconds_within(events: DataFrame, slow: DataFrame, low: Column, high: Column, values: list[str]) -> DataFrame:
-    """Events joined with the seconds floor(low) up to floor(high), by an equi-join on each second."""
-    own = events.withColumn("_i", F.explode(F.when(F.floor(high) > F.floor(low), F.sequence(F.floor(low), F.floor(high) - 1)).otherwise(F.array().cast("array<bigint>"))))
-    return own.join(slow.select("rec", F.col("i").alias("_i"), *values), ["rec", "_i"])
+def with_seconds(events: DataFrame, slow: DataFrame, low: Column, high: Column, values: list[str], aggregates: list[Column]) -> DataFrame:
+    """Events with aggregates of ``_i`` and the values at the seconds floor(low) up to floor(high), by an equi-join on each second.
+
+    An event without such a second stays, with the aggregates of no row.
+    """
+    seconds = F.when(F.floor(high) > F.floor(low), F.sequence(F.floor(low), F.floor(high) - 1)).otherwise(F.array().cast("array<bigint>"))
+    own = events.withColumn("_i", F.explode_outer(seconds)).join(slow.select("rec", F.col("i").alias("_i"), *values), ["rec", "_i"], "left")
+    return own.groupBy(*events.columns).agg(*aggregates)
 
 
 def with_nadir(events: DataFrame, slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds the least valid SpO2 from an event's start to 30 s after its end; null if there is none."""
-    valid = slow.where(F.col("spo2").between(config.spo2_low, config.spo2_high))
-    seen = seconds_within(events, valid, F.col("start_sec"), F.col("end_sec") + config.post_event_sec, ["spo2"])
-    least = seen.groupBy("rec", "start_sec").agg(F.min("spo2").cast("double").alias("spo2_nadir"))
-    return events.join(least, ["rec", "start_sec"], "left")
+    valid = F.when(F.col("spo2").between(config.spo2_low, config.spo2_high), F.col("spo2").cast("double"))
+    return with_seconds(events, slow, F.col("start_sec"), F.col("end_sec") + config.post_event_sec, ["spo2"], [F.min(valid).alias("spo2_nadir")])
+
 
+def in_seconds(runs: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
+    """Runs of at least the least length, with start_sec and end_sec in place of samples."""
+    own = runs.where(F.col("end") - F.col("start") >= int(config.min_event_sec * rate))
+    return own.withColumns({"start_sec": F.col("start") / rate, "end_sec": F.col("end") / rate}).drop("start", "end")
 
-def apnea_runs(features: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
-    stopped = (F.col("env") < F.col("baseline") * config.apnea_remaining) & (F.col("baseline") > config.noise_floor)
-    found = islands.runs(features, stopped, at="j", least=int(config.min_event_sec * rate))
-    return found.select("rec", (F.col("start") / rate).alias("start_sec"), (F.col("end") / rate).alias("end_sec"))
+
+def apnea_runs(found: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
+    """(rec, start_sec, end_sec) of stopped flow, from a scan."""
+    return in_seconds(scan.flow_runs(found, "apnea"), rate, config).drop("cell")
 
 
 def classified(apneas: DataFrame, slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds event_type from the variance of the effort: flat, flat only at first, or there throughout."""
-    seen = seconds_within(apneas, slow, F.col("start_sec"), F.col("end_sec"), ["effort"])
-    event = Window.partitionBy("rec", "start_sec")
-    seen = seen.withColumns({"_k": F.row_number().over(event.orderBy("_i")) - 1, "_len": F.count("*").over(event)})
-    first = F.col("_k") < F.expr("_len div 2")
-
-    def variance(keep: Column) -> Column:
-        x = F.when(keep, F.col("effort"))
-        n, s, q = F.count(x), F.sum(x), F.sum(x * x)
+    zero = F.lit(0).cast(slow.schema["effort"].dataType)
+    samples = F.array_sort(F.collect_list(F.when(F.col("effort").isNotNull(), F.struct("_i", "effort"))))
+    own = with_seconds(apneas, slow, F.col("start_sec"), F.col("end_sec"), ["effort"], [samples.alias("_x")])
+    own = own.withColumn("_x", F.col("_x.effort"))
+
+    def variance(x: Column) -> Column:
+        n, s, q = F.size(x), F.aggregate(x, zero, lambda a, y: a + y), F.aggregate(x, zero, lambda a, y: a + y * y)
         return F.when(n > 0, (n * q - s * s) / (n * n)).otherwise(0.0)
 
-    limits = seen.groupBy("rec", "start_sec").agg(variance(F.lit(True)).alias("_all"), variance(first).alias("_first"), variance(~first).alias("_second"))
+    half = F.expr("size(_x) div 2").cast("int")
+    first, second = F.slice("_x", F.lit(1), half), F.slice("_x", half + 1, F.size("_x") - half)
     low = config.effort_variance
     kind = (
-        F.when(F.col("_all").isNull(), "Unclassified")
-        .when(F.col("_all") < low, "Central")
-        .when((F.col("_first") < low) & (F.col("_second") >= low), "Mixed")
+        F.when(F.size("_x") == 0, "Unclassified")
+        .when(variance(F.col("_x")) < low, "Central")
+        .when((variance(first) < low) & (variance(second) >= low), "Mixed")
         .otherwise("Obstructive")
     )
-    return apneas.join(limits, ["rec", "start_sec"], "left").withColumn("event_type", kind).drop("_all", "_first", "_second")
+    return own.withColumn("event_type", kind).drop("_x")
 
 
-def apneas(features: DataFrame, slow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
-    found = classified(apnea_runs(features, rate, config), slow, config)
-    return at_position(with_nadir(found, slow, config), slow)
+def apneas(found: DataFrame, slow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
+    own = classified(apnea_runs(found, rate, config), slow, config)
+    return at_position(with_nadir(own, slow, config), slow)
+
+
+def dropped(config: Config = DEFAULT) -> Column:
+    return F.col("spo2_base") - F.col("spo2") >= config.desaturation_drop
 
 
 def desaturations(spo2: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Runs of valid SpO2 at least 3 below its baseline, bridging invalid samples."""
     valid = F.col("spo2").between(config.spo2_low, config.spo2_high)
-    low = F.col("spo2_base") - F.col("spo2") >= config.desaturation_drop
-    aggregates = [F.min("spo2").cast("double").alias("spo2_nadir"), F.min_by("spo2_base", "i").alias("_base")]
-    found = islands.bridged_runs(spo2, valid, low, aggregates, least=int(config.desaturation_min_sec))
+    found = islands.bridged_runs(spo2, valid, dropped(config), ["spo2"], ["spo2_base"], least=int(config.desaturation_min_sec), size=config.chunk_sec)
+    nadir = F.col("spo2").cast("double")
     found = found.select(
         "rec", F.lit("Desaturation").alias("event_type"), F.col("start").cast("double").alias("start_sec"), F.col("end").cast("double").alias("end_sec"),
-        "spo2_nadir", (F.col("_base") - F.col("spo2_nadir")).alias("spo2_drop"),
+        nadir.alias("spo2_nadir"), (F.col("spo2_base") - nadir).alias("spo2_drop"),
     )
     return at_position(found, spo2)
 
 
-def hypopneas(features: DataFrame, spo2: DataFrame, desats: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
-    """Runs of reduced flow that a drop of SpO2 confirms, during or up to 30 s after them."""
-    ratio = F.try_divide("env", "baseline")
-    reduced = (ratio <= 1 - config.hypopnea_drop) & (ratio > config.apnea_remaining)
-    found = islands.bridged_runs(features, F.col("baseline") >= config.noise_floor, reduced, [], at="j", least=int(config.min_event_sec * rate))
-    found = found.select("rec", (F.col("start") / rate).alias("start_sec"), (F.col("end") / rate).alias("end_sec"))
-    until = F.col("end_sec") + config.post_event_sec
-    dropped = spo2.where(F.col("spo2").between(config.spo2_low, config.spo2_high) & (F.col("spo2_base") - F.col("spo2") >= config.desaturation_drop))
-    by_sample = seconds_within(found, dropped, F.col("start_sec"), until, []).select("rec", "start_sec")
-    near_events = found.join(desats.select("rec", F.col("start_sec").alias("_s"), F.col("end_sec").alias("_e")), "rec")
-    by_event = near_events.where((F.col("_s") < until) & (F.col("_e") > F.col("start_sec"))).select("rec", "start_sec")
-    confirmed = by_sample.unionByName(by_event).distinct()
-    found = found.join(confirmed, ["rec", "start_sec"], "left_semi").withColumn("event_type", F.lit("Hypopnea"))
-    return at_position(with_nadir(found, spo2, config), spo2)
+def confirmed(candidates: DataFrame, spo2: DataFrame, desats: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The runs (rec, cell, start_sec, end_sec) that a drop of SpO2 follows or accompanies, up to 30 s after them.
 
+    Drops are seconds of valid SpO2 below the baseline, taken as runs, and desaturations; both
+    are looked up by the minute, not by all pairs of a recording.
+    """
+    valid = F.col("spo2").between(config.spo2_low, config.spo2_high)
+    seconds = islands.runs(spo2, valid & dropped(config), open_at_end=True, size=config.chunk_sec)
+    # A run meets floor(from) up to floor(until) if its first second ends by then, an event if it begins before.
+    drops = seconds.select("rec", (F.col("start") + 1).cast("double").alias("s2"), F.col("end").cast("double").alias("e2"), F.lit(True).alias("_whole"))
+    drops = drops.unionByName(desats.select("rec", F.col("start_sec").alias("s2"), F.col("end_sec").alias("e2"), F.lit(False).alias("_whole")))
+    own = candidates.withColumns({"s1": F.col("start_sec"), "e1": F.col("end_sec") + config.post_event_sec})
+    on = (F.col("e2") > F.col("s1")) & ((F.col("s2") < F.col("e1")) | (F.col("_whole") & (F.col("s2") == F.col("e1"))))
+    return islands.overlapping(own, drops, on).select(*candidates.columns).distinct()
 
-def csr_extrema(features: DataFrame, rate: int, config: Config = DEFAULT, peaks: bool = True) -> DataFrame:
-    """(rec, j): strict local extrema of the envelope smoothed over 30 s, at least 20 s apart.
 
-    ``env_units``, a whole-number multiple of the envelope, keeps the smoothing exact.
-    """
-    half = int(config.csr_smooth_sec * rate) // 2
-    own = frames.centred_sums(features, "env_units", half, "_s", "_n", at="j").withColumn("smooth", F.col("_s") / F.col("_n"))
-    order = Window.partitionBy("rec").orderBy("j")
-    before, after = F.lag("smooth").over(order), F.lead("smooth").over(order)
-    mine = F.col("smooth")
-    extreme = (mine > before) & (mine > after) if peaks else (mine < before) & (mine < after)
-    found = own.select("rec", "j", extreme.alias("_x")).where("_x")
-    return islands.thinned(found, int(config.csr_distance_sec * rate))
+def hypopneas(found: DataFrame, spo2: DataFrame, desats: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
+    """Runs of reduced flow, from a scan, that a drop of SpO2 confirms."""
+    runs = in_seconds(scan.flow_runs(found, "hypopnea"), rate, config)
+    own = confirmed(runs, spo2, desats, config).drop("cell").withColumn("event_type", F.lit("Hypopnea"))
+    return at_position(with_nadir(own, spo2, config), spo2)
+
+
+def csr_extrema(found: DataFrame, rate: int, config: Config = DEFAULT, peaks: bool = True) -> DataFrame:
+    """(rec, j): strict local extrema of the envelope smoothed over 30 s, at least 20 s apart, from a scan."""
+    return islands.thinned(scan.points(found, "peak" if peaks else "trough"), int(config.csr_distance_sec * rate))
 
 
-def cheyne_stokes(features: DataFrame, slow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
+def cheyne_stokes(found: DataFrame, slow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
     """Three or more consecutive cycles between peaks of 40 to 90 s, where there are three peaks and troughs."""
-    peaks, troughs = (csr_extrema(features, rate, config, x) for x in (True, False))
+    peaks, troughs = (csr_extrema(found, rate, config, x) for x in (True, False))
     enough = [x.groupBy("rec").count().where(F.col("count") >= 3).select("rec") for x in (peaks, troughs)]
     peaks = peaks.join(enough[0], "rec", "left_semi").join(enough[1], "rec", "left_semi")
     order = Window.partitionBy("rec").orderBy("j")
@@ -137,37 +142,29 @@ def cheyne_stokes(features: DataFrame, slow: DataFrame, rate: int, config: Confi
     length = (F.col("_next") - F.col("j")) / rate
     valid = cycles.where(length.between(config.csr_low_sec, config.csr_high_sec))
     valid = valid.withColumn("_group", F.col("_o") - F.row_number().over(order))
-    found = valid.groupBy("rec", "_group").agg(F.min("j").alias("_s"), F.max("_next").alias("_e"), F.count("*").alias("_n"))
-    found = found.where(F.col("_n") >= config.csr_cycles)
-    found = found.select("rec", F.lit("CheyneStokes").alias("event_type"), (F.col("_s") / rate).alias("start_sec"), (F.col("_e") / rate).alias("end_sec"))
-    return at_position(found, slow)
+    own = valid.groupBy("rec", "_group").agg(F.min("j").alias("_s"), F.max("_next").alias("_e"), F.count("*").alias("_n"))
+    own = own.where(F.col("_n") >= config.csr_cycles)
+    own = own.select("rec", F.lit("CheyneStokes").alias("event_type"), (F.col("_s") / rate).alias("start_sec"), (F.col("_e") / rate).alias("end_sec"))
+    return at_position(own, slow)
 
 
 def snore_windows(flow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
     """(rec, w, rms, hf_ratio, zcr, snoring) of complete windows of 2 s every second; w is the window's second."""
-    size = 2 * rate
-    own = flow.withColumn("w", F.explode(F.array(F.expr(f"j div {rate}"), F.expr(f"j div {rate} - 1")))).where("w >= 0")
-    window = Window.partitionBy("rec", "w").orderBy("j")
-    own = own.withColumn("_d", F.col("flow") - F.lag("flow").over(window))
-    own = own.withColumn("_cross", (F.col("_d") >= 0) != (F.lag("_d").over(window) >= 0))
-    sums = own.groupBy("rec", "w").agg(
-        F.count("*").alias("_n"), F.sum(F.col("flow") * F.col("flow")).alias("_q"), F.sum(F.col("_d") * F.col("_d")).alias("_dq"), F.count_if("_cross").alias("_c")
-    )
-    sums = sums.where(F.col("_n") == size).withColumn("rms", F.sqrt(F.col("_q") / size))
-    sums = sums.withColumn("hf_ratio", F.when(F.col("rms") > config.snore_rms_floor, F.sqrt(F.col("_dq") / (size - 1)) / F.col("rms")).otherwise(0.0))
-    sums = sums.withColumn("zcr", F.col("_c") / F.lit(float(size - 2)))
-    snoring = (F.col("hf_ratio") > config.snore_ratio) & (F.col("zcr") > config.snore_crossings) & (F.col("rms") > config.snore_rms)
-    return sums.select("rec", "w", "rms", "hf_ratio", "zcr", snoring.alias("snoring"))
+    return scan.snore_windows(flow, rate, config)
+
 
+def snore_runs(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(rec, event_type, start_sec, end_sec) of snoring seconds in a row, from a scan."""
+    own = scan.flow_runs(found, "snore").where(F.col("end") - F.col("start") >= int(config.snore_min_sec))
+    return own.select("rec", F.lit("Snore").alias("event_type"), F.col("start").cast("double").alias("start_sec"), F.col("end").cast("double").alias("end_sec"))
 
-def snores(flow: DataFrame, slow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
-    found = islands.runs(snore_windows(flow, rate, config), F.col("snoring"), at="w", least=int(config.snore_min_sec))
-    found = found.select("rec", F.lit("Snore").alias("event_type"), F.col("start").cast("double").alias("start_sec"), F.col("end").cast("double").alias("end_sec"))
-    return at_position(found, slow)
+
+def snores(found: DataFrame, slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    return at_position(snore_runs(found, config), slow)
 
 
 def sentinel_segments(slow: DataFrame, channel: str, sentinel: float, config: Config = DEFAULT) -> DataFrame:
-    return islands.runs(slow, near(F.col(channel), sentinel, config.sentinel_tolerance), open_at_end=True)
+    return islands.runs(slow, near(F.col(channel), sentinel, config.sentinel_tolerance), open_at_end=True, size=config.chunk_sec)
 
 
 def excluded(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -179,18 +176,19 @@ def excluded(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def all_events(view: dict[str, DataFrame], rate: int, config: Config = DEFAULT) -> DataFrame:
     """Every detector's events, with ``rank`` in the order in which the detectors come.
 
-    Several detectors read the features, which are kept in memory or on disk meanwhile.
+    The flow is scanned once for all of them; positions and nadirs are looked up for all
+    events together.
     """
-    slow, flow = view["slow"], view["flow"]
-    spo2 = spo2_features(slow, config).persist()
-    features = flow_features(flow, rate, config).withColumn("env_units", F.col("env_sum") * F.expr("60 div env_n")).persist()
-    desats = desaturations(spo2, config)
-    gone = excluded(slow, config).select(
-        "rec", F.lit("Excluded").alias("event_type"), F.col("start").cast("double").alias("start_sec"), F.col("end").cast("double").alias("end_sec"), F.lit("Unknown").alias("position")
-    )
-    parts = [gone, desats, apneas(features, slow, rate, config), hypopneas(features, spo2, desats, rate, config), cheyne_stokes(features, slow, rate, config), snores(flow, slow, rate, config)]
-    found = None
-    for rank, part in enumerate(parts):
-        part = part.withColumn("rank", F.lit(rank))
-        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    return found.select("rec", "event_type", "start_sec", "end_sec", "position", "spo2_nadir", "spo2_drop", "rank")
+    slow = view["slow"]
+    found, spo2 = scan.scan(view["flow"], rate, config), stored(spo2_features(slow, config).select("rec", "i", "position", "spo2", "spo2_base"))
+    desats = desaturations(spo2, config).drop("position")
+    gone = excluded(slow, config).select("rec", F.lit("Excluded").alias("event_type"), F.col("start").cast("double").alias("start_sec"), F.col("end").cast("double").alias("end_sec"))
+    runs = in_seconds(scan.flow_runs(found, "hypopnea"), rate, config)
+    hypo = confirmed(runs, spo2, desats, config).drop("cell").withColumn("event_type", F.lit("Hypopnea"))
+    breathing = classified(apnea_runs(found, rate, config), slow, config).withColumn("rank", F.lit(2)).unionByName(hypo.withColumn("rank", F.lit(3)))
+    others = [(gone, 0), (desats, 1), (cheyne_stokes(found, slow, rate, config).drop("position"), 4), (snore_runs(found, config), 5)]
+    out = with_nadir(breathing, slow, config)
+    for part, rank in others:
+        out = out.unionByName(part.withColumn("rank", F.lit(rank)), allowMissingColumns=True)
+    out = at_position(out, slow).withColumn("position", F.when(F.col("event_type") == "Excluded", "Unknown").otherwise(F.col("position")))
+    return out.select("rec", "event_type", "start_sec", "end_sec", "position", "spo2_nadir", "spo2_drop", "rank")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightloom.config import DEFAULT, Config
-from nightloom.operators.frames import packed
+from nightloom.operators.frames import pieces
 from nightloom.operators.islands import class_runs, split_long, suppressed
 from nightloom.shipping import ship_library
 
@@ -28,16 +28,16 @@ def zscores(df: DataFrame, stats: DataFrame, channel: str) -> DataFrame:
 
 def event_windows(events: DataFrame, slow: DataFrame, half: int, values: list[str]) -> DataFrame:
     """A window of ``half`` samples to either side of each event's middle, if it lies within the recording."""
-    own = events.join(packed(slow, values), "rec")
     centre = F.floor(F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) / 2)
-    own = own.withColumn("_at", centre - half).where((F.col("_at") >= 0) & (F.col("_at") + 2 * half < F.col("n")))
-    return own.select("rec", "start_sec", *[F.slice(v, F.col("_at").cast("int") + 1, 2 * half).alias(v) for v in values])
+    spans = events.select("rec", "start_sec", (centre - half).alias("_low")).where("_low >= 0")
+    return pieces(spans, ["rec", "start_sec"], 2 * half, slow, values)
 
 
 def negative_windows(events: DataFrame, slow: DataFrame, half: int, seed: int, attempts: int = 20) -> DataFrame:
     """(rec, centre): seeded random windows that meet no event window and not each other, up to one per event.
 
-    Candidates are hashes; those near events go by an anti join, the rest are taken in turn.
+    Candidates are hashes; those near events go by an anti join on stretches of a window's
+    length, the rest are taken in turn, those that no chain of overlaps connects apart.
     """
     n = slow.groupBy("rec").agg(F.count("*").alias("n"))
     wanted = events.groupBy("rec").agg(F.count("*").alias("wanted")).join(n, "rec").where(F.col("n") > 2 * half)
@@ -45,15 +45,14 @@ def negative_windows(events: DataFrame, slow: DataFrame, half: int, seed: int, a
     centre = F.lit(half) + F.pmod(F.xxhash64("rec", "k", F.lit(seed)), F.col("n") - 2 * half)
     tries = tries.select("rec", "k", "wanted", centre.alias("centre"))
     taken = events.select("rec", F.floor(F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) / 2).alias("_c"))
-    near = tries.select("rec", "k", F.explode(F.sequence(F.col("centre") - 2 * half + 1, F.col("centre") + 2 * half - 1)).alias("_c"))
-    free = tries.join(near.join(taken, ["rec", "_c"]).select("rec", "k").distinct(), ["rec", "k"], "left_anti")
-    kept = F.aggregate(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "centre"))), lambda x: x["centre"]),
-        F.array().cast("array<bigint>"),
-        lambda have, x: F.when(F.exists(have, lambda y: F.abs(y - x) < 2 * half), have).otherwise(F.concat(have, F.array(x))),
-    )
-    found = free.groupBy("rec", "wanted").agg(kept.alias("_kept"))
-    return found.select("rec", F.explode(F.slice("_kept", F.lit(1), F.col("wanted").cast("int"))).alias("centre"))
+    taken = taken.withColumn("_stretch", F.floor(F.col("_c") / (2 * half)))
+    stretch = F.floor(F.col("centre") / (2 * half))
+    near = tries.withColumn("_stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).join(taken, ["rec", "_stretch"])
+    near = near.where(F.abs(F.col("_c") - F.col("centre")) < 2 * half).select("rec", "k").distinct()
+    free = tries.join(near, ["rec", "k"], "left_anti")
+    kept = suppressed(free.select("rec", F.col("k").alias("ord"), (F.col("centre") - half).alias("start"), (F.col("centre") + half).alias("end"), F.lit(0.0).alias("avg_conf")), 0.0)
+    kept = kept.join(wanted.select("rec", "wanted"), "rec").withColumn("_place", F.row_number().over(Window.partitionBy("rec").orderBy("ord")))
+    return kept.where("_place <= wanted").select("rec", (F.col("start") + half).cast("long").alias("centre"))
 
 
 def patient_split(patients: DataFrame, share: float, seed: int) -> DataFrame:

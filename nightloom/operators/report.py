@@ -12,21 +12,25 @@ from nightloom.operators.detect import excluded
 _COUNTED = ("Obstructive", "Central", "Mixed", "Unclassified", "Hypopnea", "Desaturation", "Snore")
 
 
-def oxygen(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(rec, mean_spo2, min_spo2, t90, t88) over valid SpO2; zeros where there is none."""
+def _oxygen(config: Config) -> list[Column]:
     v = F.when(F.col("spo2").between(config.spo2_low, config.spo2_high), F.col("spo2"))
     share = lambda below: safe_ratio(F.count_if(v < below) * 100, F.count(v))
-    return slow.groupBy("rec").agg(
-        safe_ratio(F.sum(v), F.count(v)).alias("mean_spo2"), F.coalesce(F.min(v).cast("double"), F.lit(0.0)).alias("min_spo2"), share(90).alias("t90"), share(88).alias("t88")
-    )
+    return [safe_ratio(F.sum(v), F.count(v)).alias("mean_spo2"), F.coalesce(F.min(v).cast("double"), F.lit(0.0)).alias("min_spo2"), share(90).alias("t90"), share(88).alias("t88")]
+
+
+def _quality(config: Config) -> list[Column]:
+    good = lambda c, s: F.count_if(~near(F.col(c), s, config.sentinel_tolerance)) / F.count("*")
+    return [F.lit(1.0).alias("sqi_flow"), good("spo2", config.spo2_sentinel).alias("sqi_spo2"), good("pulse", config.pulse_sentinel).alias("sqi_pulse")]
+
+
+def oxygen(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(rec, mean_spo2, min_spo2, t90, t88) over valid SpO2; zeros where there is none."""
+    return slow.groupBy("rec").agg(*_oxygen(config))
 
 
 def signal_quality(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(rec, sqi_flow, sqi_spo2, sqi_pulse): shares of samples that are not the sentinel."""
-    good = lambda c, s: F.count_if(~near(F.col(c), s, config.sentinel_tolerance)) / F.count("*")
-    return slow.groupBy("rec").agg(
-        F.lit(1.0).alias("sqi_flow"), good("spo2", config.spo2_sentinel).alias("sqi_spo2"), good("pulse", config.pulse_sentinel).alias("sqi_pulse")
-    )
+    return slow.groupBy("rec").agg(*_quality(config))
 
 
 def valid_seconds(slow: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -56,13 +60,16 @@ def indices(events: DataFrame, slow: DataFrame, config: Config = DEFAULT) -> Dat
     supine = F.col("position") == "Supine"
     # One grouping of the events serves all counts, so that the detectors run once.
     sums = events.groupBy("rec").agg(
+        F.sum(F.when(F.col("event_type") == "Excluded", F.col("end_sec") - F.col("start_sec")).otherwise(0.0)).cast("long").alias("_gone"),
         *_counts(),
         F.count_if(breathing).alias("total_ahi_events"), F.count_if(breathing & supine).alias("_supine"),
         F.sum(F.when(F.col("event_type") == "CheyneStokes", F.col("end_sec") - F.col("start_sec")).otherwise(0.0)).alias("_csr"),
     )
-    seconds = slow.groupBy("rec").agg(F.count_if(position_label(F.col("position").cast("double")) == "Supine").alias("_supine_sec"))
-    out = valid_seconds(slow, config).join(seconds, "rec").join(sums, "rec", "left")
-    out = out.na.fill(0).join(oxygen(slow, config), "rec").join(signal_quality(slow, config), "rec")
+    # One grouping of the samples serves everything else.
+    supine_sec = F.count_if(position_label(F.col("position").cast("double")) == "Supine").alias("_supine_sec")
+    whole = slow.groupBy("rec").agg(F.count("*").alias("seconds"), supine_sec, *_oxygen(config), *_quality(config))
+    out = whole.join(sums, "rec", "left").na.fill(0)
+    out = out.withColumn("valid_sec", F.col("seconds") - F.col("_gone")).drop("_gone")
     hourly = lambda n, sec: F.when(sec > 0, n / (sec / F.lit(3600.0))).otherwise(0.0)
     n: Column = F.col("total_ahi_events")
     out = out.withColumns(

@@ -181,14 +181,14 @@ def oracle_sql() -> dict[str, str]:
         "severity": """select rec, ahi, case when ahi < 5 then 'Normal' when ahi < 15 then 'Mild' when ahi < 30 then 'Moderate' else 'Severe' end as osa_severity,
             ahi_non_supine > 0 and coalesce(ahi_supine / nullif(ahi_non_supine, 0) > 2, false) as positional_osa from kpi""",
         "clinical_report": "select k.rec, k.seconds, k.valid_sec::bigint as valid_sec, k.total_ahi_events, k.desaturation_count, k.ahi, k.odi, o.mean_spo2, o.min_spo2, o.t90, o.t88 from kpi k join oxy o on o.rec = k.rec",
-        "resample_grid": """select rec, g, round(b + (nb - b) * (x - floor(x)), 9) as value from (select t.rec, g, least(g / 2.5::double, t.n - 1.0::double) as x from tot t, (select unnest(range(0, 200)) as g)) q
+        "resample_grid": """select rec, g, round(b + (nb - b) * (x - floor(x)), 9) as value from (select rec, g, g / 2.5::double as x from (select rec, n, unnest(range(0, 3 * n)) as g from tot) where 2 * g < 5 * (n - 1)) q
             join (select rec as r2, i, spo2::double as b, coalesce(lead(spo2) over (partition by rec order by i), spo2)::double as nb from slow) k on k.r2 = q.rec and k.i = floor(x)""",
         "norm_stats": """select channel, round(avg(v), 9) as mean, round(stddev_pop(v), 9) as std from (select 'effort' as channel, effort as v from slow
             union all select 'pulse', pulse from slow union all select 'spo2', spo2 from slow) group by channel""",
         "zscore": "select rec, i, round((spo2 - m) / (sd + 1e-9), 6) as z from slow, (select avg(spo2) as m, stddev_pop(spo2) as sd from slow)",
         "derived_channels": """select rec, i, spo2 - coalesce(lag(spo2) over (partition by rec order by i), spo2) as spo2_deriv,
             round(least(greatest(abs(effort) / (abs(amp) + 1e-6), 0), 10), 9) as effort_ratio from slow""",
-        "model_windows": """select t.rec, w.s as start, sum(x.spo2)::bigint as spo2_sum, count(*) as n from tot t, (select unnest(range(0, 20000, 30)) as s) w
+        "model_windows": """select t.rec, w.s as start, sum(x.spo2)::bigint as spo2_sum, count(*) as n from (select rec, n, unnest(range(0, n, 30)) as s from tot) w join tot t on t.rec = w.rec
             join slow x on x.i >= w.s and x.i < w.s + 60 where x.rec = t.rec and w.s < t.n - 60 group by t.rec, w.s""",
         "event_windows": """select a.rec, a.start_sec, sum(x.spo2)::bigint as spo2_sum, count(*) as n from (select rec, start_sec, floor(start_sec + (end_sec - start_sec) / 2)::bigint as c from apr) a
             join tot t on t.rec = a.rec join slow x on x.rec = a.rec and x.i >= a.c - 30 and x.i < a.c + 30 where a.c - 30 >= 0 and a.c + 30 < t.n group by a.rec, a.start_sec""",

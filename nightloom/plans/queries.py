@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nightloom.config import DEFAULT
 from nightloom.functions import scalar
-from nightloom.operators import detect, frames, islands, learn, report
+from nightloom.operators import detect, frames, islands, learn, report, scan
 from nightloom.plans.signal_view import RATE, signal_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,11 @@ class _View:
 
     @property
     def features(self) -> DataFrame:
-        return detect.flow_features(self.flow, RATE).withColumn("env_units", F.col("env_sum") * F.expr("60 div env_n"))
+        return detect.flow_features(self.flow, RATE)
+
+    @property
+    def found(self) -> DataFrame:
+        return scan.scan(self.flow, RATE)
 
     @property
     def spo2(self) -> DataFrame:
@@ -43,11 +47,11 @@ class _View:
 
     @property
     def apneas(self) -> DataFrame:
-        return detect.apneas(self.features, self.slow, RATE)
+        return detect.apneas(self.found, self.slow, RATE)
 
     @property
     def hypopneas(self) -> DataFrame:
-        return detect.hypopneas(self.features, self.spo2, self.desats, RATE)
+        return detect.hypopneas(self.found, self.spo2, self.desats, RATE)
 
     @property
     def events(self) -> DataFrame:
@@ -71,7 +75,9 @@ def _seconds(df: DataFrame) -> DataFrame:
 
 
 def _resampled(v: _View) -> DataFrame:
-    grid = v.slow.select("rec").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("t", F.col("g") / F.lit(2.5))
+    # At 2.5 a second, as long as the recording: g / 2.5 is less than its last second.
+    grid = v.slow.groupBy("rec").agg(F.max("i").alias("n"))
+    grid = grid.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(5 * n + 1) div 2")))).where("2 * g < 5 * n").withColumn("t", F.col("g") / F.lit(2.5))
     signal = v.slow.select("rec", "i", F.col("spo2").cast("double").alias("value"))
     return frames.interpolate(signal, 1.0, grid, "value").select("rec", F.col("g").cast("long").alias("g"), F.round("value", 9).alias("value"))
 
@@ -100,7 +106,7 @@ def _model_windows(v: _View) -> DataFrame:
 
 
 def _event_windows(v: _View) -> DataFrame:
-    runs = detect.apnea_runs(v.features, RATE)
+    runs = detect.apnea_runs(v.found, RATE)
     own = learn.event_windows(runs, v.slow, 30, ["spo2"])
     return own.select("rec", "start_sec", _total("spo2").alias("spo2_sum"), F.size("spo2").cast("long").alias("n"))
 
@@ -144,9 +150,9 @@ def _nms(v: _View) -> DataFrame:
 
 
 def _iou(v: _View) -> DataFrame:
-    a = detect.cheyne_stokes(v.features, v.slow, RATE).select("rec", F.col("start_sec").alias("s1"), F.col("end_sec").alias("e1"))
+    a = detect.cheyne_stokes(v.found, v.slow, RATE).select("rec", F.col("start_sec").alias("s1"), F.col("end_sec").alias("e1"))
     b = v.desats.select("rec", F.col("start_sec").alias("s2"), F.col("end_sec").alias("e2"))
-    own = a.join(b, "rec").where("s1 < e2 and s2 < e1")
+    own = islands.overlapping(a, b, F.expr("s1 < e2 and s2 < e1"))
     return own.select("rec", "s1", "s2", scalar.temporal_iou(*[F.col(x) for x in ("s1", "e1", "s2", "e2")]).alias("iou"))
 
 
@@ -193,7 +199,7 @@ def _grid_best(v: _View) -> DataFrame:
 
 def _alignment(v: _View) -> DataFrame:
     features = v.features.select("rec", "j", "env")
-    runs = detect.apnea_runs(v.features, RATE)
+    runs = detect.apnea_runs(v.found, RATE)
     inside = runs.select("rec", F.explode(F.sequence((F.col("start_sec") * RATE).cast("long"), (F.col("end_sec") * RATE).cast("long") - 1)).alias("j"))
     q = features.join(inside, ["rec", "j"]).groupBy("rec").agg(F.percentile("env", 0.5).alias("q"))
     t = features.groupBy("rec").agg(F.percentile("env", 0.5).alias("t"))
@@ -248,16 +254,16 @@ def queries() -> dict[str, Query]:
         "excluded_merged": v(lambda x: _seconds(detect.excluded(x.slow))),
         "sqi": v(lambda x: report.signal_quality(x.slow)),
         "valid_duration": v(lambda x: report.valid_seconds(x.slow)),
-        "apnea_runs": v(lambda x: detect.apnea_runs(x.features, RATE)),
-        "apnea_classified": v(lambda x: detect.classified(detect.apnea_runs(x.features, RATE), x.slow).select("rec", "start_sec", "end_sec", "event_type")),
+        "apnea_runs": v(lambda x: detect.apnea_runs(x.found, RATE)),
+        "apnea_classified": v(lambda x: detect.classified(detect.apnea_runs(x.found, RATE), x.slow).select("rec", "start_sec", "end_sec", "event_type")),
         "apnea_nadir_position": v(lambda x: x.apneas.select("rec", "event_type", "start_sec", "end_sec", "position", "spo2_nadir")),
         "desaturation": v(lambda x: x.desats.select("rec", "start_sec", "end_sec", "position", "spo2_nadir", "spo2_drop")),
         "hypopnea": v(lambda x: x.hypopneas.select("rec", "start_sec", "end_sec", "position", "spo2_nadir")),
-        "csr_peaks": v(lambda x: detect.csr_extrema(x.features, RATE, peaks=True)),
-        "csr_troughs": v(lambda x: detect.csr_extrema(x.features, RATE, peaks=False)),
-        "csr_segments": v(lambda x: detect.cheyne_stokes(x.features, x.slow, RATE).select("rec", "start_sec", "end_sec", "position")),
+        "csr_peaks": v(lambda x: detect.csr_extrema(x.found, RATE, peaks=True)),
+        "csr_troughs": v(lambda x: detect.csr_extrema(x.found, RATE, peaks=False)),
+        "csr_segments": v(lambda x: detect.cheyne_stokes(x.found, x.slow, RATE).select("rec", "start_sec", "end_sec", "position")),
         "snore_windows": v(lambda x: detect.snore_windows(x.flow, RATE).select("rec", "w", F.round("hf_ratio", 9).alias("hf_ratio"), "zcr", F.round("rms", 9).alias("rms"), "snoring")),
-        "snore_events": v(lambda x: detect.snores(x.flow, x.slow, RATE).select("rec", "start_sec", "end_sec", "position")),
+        "snore_events": v(lambda x: detect.snores(x.found, x.slow).select("rec", "start_sec", "end_sec", "position")),
         "all_events": v(lambda x: x.events.drop("rank")),
         "event_counts": v(lambda x: report.event_counts(x.events)),
         "oxygen_metrics": v(lambda x: report.oxygen(x.slow)),
@@ -272,7 +278,7 @@ def queries() -> dict[str, Query]:
         "derived_channels": v(_derived),
         "model_windows": v(_model_windows),
         "event_windows": v(_event_windows),
-        "negatives": v(lambda x: learn.negative_windows(detect.apnea_runs(x.features, RATE), x.slow, 5, 42)),
+        "negatives": v(lambda x: learn.negative_windows(detect.apnea_runs(x.found, RATE), x.slow, 5, 42)),
         "class_weights": _class_weights,
         "argmax_windows": _argmax,
         "softmax_windows": _softmax,

@@ -32,10 +32,10 @@ def _bridged(flags, least):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.sampled_from([True, False, None]), min_size=1, max_size=40))
-def test_bridged_runs_are_a_state_machine(spark, flags):
+@given(st.lists(st.sampled_from([True, False, None]), min_size=1, max_size=40), st.sampled_from([1, 2, 3, 7, 100]))
+def test_bridged_runs_are_a_state_machine(spark, flags, size):
     df = spark.createDataFrame([(0, i, f) for i, f in enumerate(flags)], "rec long, i long, f boolean")
-    found = islands.bridged_runs(df, F.col("f").isNotNull(), F.col("f"), [], least=2)
+    found = islands.bridged_runs(df, F.col("f").isNotNull(), F.col("f"), least=2, size=size)
     assert _rows(found, "start", "end") == _bridged(flags, 2)
 
 
@@ -69,10 +69,10 @@ def test_thinning_is_greedy(spark):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.one_of(st.none(), st.integers(-50, 50)), min_size=1, max_size=30), st.integers(0, 7))
-def test_centred_sums_are_frames(spark, values, half):
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50)), min_size=1, max_size=30), st.integers(0, 7), st.sampled_from([1, 4, 9, 100]))
+def test_centred_sums_are_frames(spark, values, half, size):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "rec long, i long, v long")
-    for r in frames.centred_sums(df, "v", half, "s", "n").collect():
+    for r in frames.centred_sums(df, "v", half, "s", "n", size=size).collect():
         own = [x for x in values[max(0, r.i - half) : r.i + half + 1] if x is not None]
         assert (r.s, r.n) == (sum(own), len(own))
 
