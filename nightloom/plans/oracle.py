@@ -116,6 +116,37 @@ _CTES: dict[str, str] = {
         case when sup_sec > 0 then sup / (sup_sec / 3600.0::double) else 0 end as ahi_supine,
         case when seconds - sup_sec > 0 then (total_ahi_events - sup) / ((seconds - sup_sec) / 3600.0::double) else 0 end as ahi_non_supine,
         case when valid_sec > 0 then desaturation_count / (valid_sec / 3600.0::double) else 0 end as odi, csr_sec / 60.0::double as csr_duration_min from kpi0""",
+    "truth": """select rec, case c // 53 % 5 when 0 then 'OBSTR' when 1 then 'CNTRL' when 2 then 'MIXED' when 3 then 'HYPOP' else 'OTHER' end as t from slow where c % 53 = 0 and rec <> 7""",
+    "tc": """select rec, count(case when t = 'OBSTR' then 1 end) as obstr, count(case when t = 'CNTRL' then 1 end) as cntrl, count(case when t = 'MIXED' then 1 end) as mixed,
+        count(case when t = 'HYPOP' then 1 end) as hypop, count(case when t <> 'OTHER' then 1 end) as true_events from truth group by rec""",
+    "cells": """select row_number() over (order by a10, h10) - 1 as cell, a10 / 10.0::double as apnea, h10 / 10.0::double as hypopnea, 1 - h10 / 10.0::double as upto
+        from (select unnest(range(1, 7)) as a10), (select unnest(range(1, 8)) as h10) where h10 / 10.0::double < 1 - a10 / 10.0::double""",
+    "gaf": "select rec, apnea, j, env < baseline * apnea and baseline > 1 as f from feat, (select distinct apnea from cells)",
+    "gar": """select rec, apnea, count(*) as apneas from (select rec, apnea, min(j) as s, max(j) + 1 as e from
+        (select rec, apnea, j, f, j - row_number() over (partition by rec, apnea, f order by j) as g from gaf) where f group by rec, apnea, g)
+        join tot using (rec) where e - s >= 40 and e <= last_j group by rec, apnea""",
+    "gh1": """select rec, cell, j, nx, env / baseline <= upto and env / baseline > apnea as f, o from
+        (select rec, j, env, baseline, row_number() over (partition by rec order by j) as o, lead(j) over (partition by rec order by j) as nx from feat where baseline >= 1) x, cells""",
+    "gh2": """select rec, cell, min(j) / 4.0::double as start_sec, arg_max(coalesce(nx, -1), j) / 4.0::double as end_sec from
+        (select *, o - row_number() over (partition by rec, cell, f order by j) as g from gh1) where f group by rec, cell, g""",
+    "gh3": "select * from gh2 where end_sec >= 0 and end_sec - start_sec >= 10",
+    "ghk": """select distinct h.rec, h.cell, h.start_sec from gh3 h join sp s on s.rec = h.rec and s.spo2 between 50 and 100 and s.spo2_base - s.spo2 >= 3
+        and s.i >= floor(h.start_sec) and s.i < floor(h.end_sec + 30)
+        union select distinct h.rec, h.cell, h.start_sec from gh3 h join desats d on d.rec = h.rec and d.start_sec < h.end_sec + 30 and d.end_sec > h.start_sec""",
+    "ge": """select t.rec, c.cell, c.apnea, c.hypopnea, coalesce(a.apneas, 0) as apneas, coalesce(h.n, 0) as hypopneas from tot t cross join cells c left join gar a on a.rec = t.rec and a.apnea = c.apnea
+        left join (select rec, cell, count(*) as n from ghk group by rec, cell) h on h.rec = t.rec and h.cell = c.cell""",
+    "gt0": """select cell, apnea, hypopnea, sum(apneas)::bigint as apneas, sum(hypopneas)::bigint as hypopneas, sum(apneas + hypopneas)::bigint as events, sum(true_events)::bigint as true_events,
+        abs(sum(apneas + hypopneas) - sum(true_events))::bigint as error from ge join tc using (rec) group by cell, apnea, hypopnea""",
+    "gt": "select *, error < coalesce(min(error) over (order by cell rows between unbounded preceding and 1 preceding), error + 1) as best from gt0",
+    "pw1": "select rec, i as start, (i // 30) * 7 // 3 % 5 as label, row_number() over (partition by rec order by i) as o, (i // 30) % 10 / 10.0::double >= 0.3::double as ok from slow where i % 30 = 0",
+    "pw2": "select rec, label as type from (select *, o - row_number() over (partition by rec, label order by start) as g from pw1 where label <> 0 and ok) group by rec, label, g",
+    "px": """select t.rec, t.n / 3600.0::double as hours, coalesce(obstr, 0) as obstr, coalesce(hypop, 0) as hypop, coalesce(al, 0) / (t.n / 3600.0::double) as ahi, coalesce(cntrl, 0) as cntrl, coalesce(mixed, 0) as mixed
+        from tot t left join (select rec, count(case when type = 1 then 1 end) as obstr, count(case when type = 4 then 1 end) as hypop,
+        count(case when type = 2 then 1 end) as cntrl, count(case when type = 3 then 1 end) as mixed, count(*) as al from pw2 group by rec) using (rec)""",
+    "cmp": """select k.rec, case when valid_sec > 0 then coalesce(true_events, 0) / (valid_sec / 3600.0::double) else 0 end as true_ahi, k.ahi as detector_ahi, p.ahi as model_ahi,
+        case when k.ahi < 5 then 'Normal' when k.ahi < 15 then 'Mild' when k.ahi < 30 then 'Moderate' else 'Severe' end as osa_severity,
+        coalesce(t.obstr, 0) as true_obstr, coalesce(t.cntrl, 0) as true_cntrl, coalesce(t.mixed, 0) as true_mixed, coalesce(t.hypop, 0) as true_hypop,
+        p.obstr as model_obstr, p.cntrl as model_cntrl, p.mixed as model_mixed, p.hypop as model_hypop from kpi k join px p on p.rec = k.rec left join tc t on t.rec = k.rec""",
 }
 _POS = "case p.position when 1 then 'Upright' when 2 then 'Prone' when 3 then 'Left' when 4 then 'Supine' when 5 then 'Right' else 'Unknown' end"
 _THIN = """select rec, unnest(list_reduce(list_prepend([]::bigint[], list_transform(a, lambda x: [x])), lambda k, x: case when len(k) = 0 or x[1] - k[-1] >= 80 then list_concat(k, x) else k end)) as j
@@ -207,18 +238,26 @@ def oracle_sql() -> dict[str, str]:
         "classification_report": """select c as label, coalesce(tp::double / nullif(pr, 0), 0) as precision, coalesce(tp::double / nullif(su, 0), 0) as recall,
             coalesce(2.0::double * tp / nullif(pr + su, 0), 0) as f1, su as support from (select c, count(case when quality = c and toxic = c then 1 end) as tp,
             count(case when toxic = c then 1 end) as pr, count(case when quality = c then 1 end) as su from labels, (select unnest([0, 1]) as c) group by c)""",
-        "ahi_mae": "select round(avg(abs(ahi - odi)), 9) as mae, max(abs(ahi - odi)) as worst from kpi",
+        "ahi_mae": "select count(*) as recordings, round(avg(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as mae, round(max(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as worst from kpi k join tc using (rec)",
+        "grid_events": "select rec, cell, apnea, hypopnea, apneas, hypopneas from ge",
+        "grid_totals": "select cell, printf('v1.0-A%.1f-H%.1f', apnea, hypopnea) as version, apnea, hypopnea, apneas, hypopneas, events, true_events, error, best from gt",
+        "grid_argmin": "select apnea, hypopnea, apneas, hypopneas, events, error from (select *, row_number() over (order by error, cell) as r from gt) where r = 1",
+        "truth_counts": "select rec, obstr, cntrl, mixed, hypop, true_events from tc",
+        "model_errors": "select rec, round(true_events / hours, 9) as true_ahi, round(ahi, 9) as ahi, round(abs(ahi - true_events / hours), 9) as error from px join (select rec, true_events from tc) using (rec)",
+        "comparison": """select rec, round(true_ahi, 9) as true_ahi, round(detector_ahi, 9) as detector_ahi, round(model_ahi, 9) as model_ahi, osa_severity,
+            case when true_ahi < 5 then 'Normal' when true_ahi < 15 then 'Mild' when true_ahi < 30 then 'Moderate' else 'Severe' end as true_severity, true_obstr, true_hypop, model_obstr, model_hypop from cmp""",
+        "comparison_report": """select section, rec, line_no, line from (values (0, null::bigint, 0, '# Comparison of labels, detector and network'), (0, null, 1, ''), (0, null, 2, '## Index (events per hour)'),
+            (0, null, 3, '| Patient | Labels | Detector | Network | Severity |'), (0, null, 4, '|-|-|-|-|-|'), (1, null, 0, ''), (1, null, 1, '## Events by class'),
+            (1, null, 2, '| Patient | Class | Labels | Network |'), (1, null, 3, '|-|-|-|-|')) h(section, rec, line_no, line)
+            union all select 0, rec, 0, printf('| patient_%03d | **%.2f** | %.2f | %.2f | %s |', rec, true_ahi, detector_ahi, model_ahi, osa_severity) from cmp
+            union all select 1, rec, k, printf('| patient_%03d | %s | %d | %d |', rec, name, own, model) from (select rec, unnest([0, 1, 2, 3]) as k, unnest(['Obstructive', 'Central', 'Mixed', 'Hypopnea']) as name,
+            unnest([true_obstr, true_cntrl, true_mixed, true_hypop]) as own, unnest([model_obstr, model_cntrl, model_mixed, model_hypop]) as model from cmp)""",
         "duplicates": "select md5(text) as digest, count(*) as n, min(doc_id) as first_id from documents group by text having count(*) > 1",
         "patient_split": "select rec, case when r <= ceil(0.2 * n) then 'test' else 'train' end as split from (select rec, row_number() over (order by md5(rec::varchar || '-42')) as r, count(*) over () as n from tot)",
         "grid_search": """select a10 / 10.0::double as apnea, h10 / 10.0::double as hypopnea, count(case when r < a10 / 10.0::double then 1 end) as below,
             count(case when r <= 1 - h10 / 10.0::double and r > a10 / 10.0::double then 1 end) as between_n
             from (select env / baseline as r from feat where baseline >= 1), (select unnest(range(1, 7)) as a10), (select unnest(range(1, 8)) as h10)
             where h10 / 10.0::double < 1 - a10 / 10.0::double group by a10, h10""",
-        "grid_argmin": """select apnea, hypopnea, err from (select apnea, hypopnea, abs(below + between_n - 20000) as err, row_number() over (order by abs(below + between_n - 20000), apnea, hypopnea) as r from
-            (select a10 / 10.0::double as apnea, h10 / 10.0::double as hypopnea, count(case when r < a10 / 10.0::double then 1 end) as below,
-            count(case when r <= 1 - h10 / 10.0::double and r > a10 / 10.0::double then 1 end) as between_n
-            from (select env / baseline as r from feat where baseline >= 1), (select unnest(range(1, 7)) as a10), (select unnest(range(1, 8)) as h10)
-            where h10 / 10.0::double < 1 - a10 / 10.0::double group by a10, h10)) where r = 1""",
         "alignment_ratio": "select rec, round(q.m / t.m, 9) as ratio from (select rec, median(env) as m from feat f where exists (select 1 from apr a where a.rec = f.rec and f.j >= a.start_sec * 4 and f.j < a.end_sec * 4) group by rec) q join (select rec, median(env) as m from feat group by rec) t using (rec)",
         "split_long": """select rec, part, start_sec + part * len / n as start_sec, start_sec + (part + 1) * len / n as end_sec from (select rec, start_sec, end_sec - start_sec as len,
             case when end_sec - start_sec > 12 then floor((end_sec - start_sec) / 6)::bigint else 1 end as n from hypopneas), (select unnest(range(0, 200)) as part) where part < n""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nightloom.config import DEFAULT
 from nightloom.functions import scalar
-from nightloom.operators import detect, frames, islands, learn, report, scan
+from nightloom.operators import compare, detect, frames, islands, learn, report, scan, tuning
 from nightloom.plans.signal_view import RATE, signal_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,9 +177,33 @@ def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(x, 9).alias(x) for x in found.columns if x != "support"], "support")
 
 
+def _truth(v: _View) -> DataFrame:
+    return compare.truth_counts(v.view["truth"])
+
+
+def _detected(v: _View) -> DataFrame:
+    return v.indices.withColumnRenamed("valid_duration_hours", "hours")
+
+
+def _predictions(v: _View) -> DataFrame:
+    """The index of runs of made window labels, neither split nor suppressed."""
+    windows = v.slow.where("i % 30 = 0").selectExpr("rec", "i as start", "(i div 30) * 7 div 3 % 5 as label", "(i div 30) % 10 / 10.0D as conf")
+    return learn.inferred_index(islands.class_runs(windows, DEFAULT.confidence, 60), v.slow)
+
+
 def _mae(v: _View) -> DataFrame:
-    error = F.abs(F.col("ahi") - F.col("odi"))
-    return v.indices.agg(F.round(F.avg(error), 9).alias("mae"), F.max(error).alias("worst"))
+    found = compare.mean_error(compare.index_errors(_truth(v), _detected(v)))
+    return found.select("recordings", F.round("mae", 9).alias("mae"), F.round("worst", 9).alias("worst"))
+
+
+def _model_mae(v: _View) -> DataFrame:
+    predicted = _predictions(v).withColumnRenamed("duration_hrs", "hours")
+    found = compare.index_errors(_truth(v), predicted)
+    return found.select("rec", F.round("true_ahi", 9).alias("true_ahi"), F.round("ahi", 9).alias("ahi"), F.round("error", 9).alias("error"))
+
+
+def _compared(v: _View) -> DataFrame:
+    return compare.comparison(_truth(v), _detected(v), _predictions(v))
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,10 +215,12 @@ def _grid(v: _View) -> DataFrame:
     return learn.threshold_grid(v.features)
 
 
-def _grid_best(v: _View) -> DataFrame:
-    error = F.abs(F.col("below") + F.col("between_n") - 20000)
-    best = _grid(v).agg(F.min(F.struct(error.alias("err"), "apnea", "hypopnea")).alias("b"))
-    return best.select("b.apnea", "b.hypopnea", "b.err")
+def _grid_events(v: _View) -> DataFrame:
+    return tuning.grid_events(v.view, RATE)
+
+
+def _grid_totals(v: _View) -> DataFrame:
+    return tuning.grid_totals(_grid_events(v), _truth(v))
 
 
 def _alignment(v: _View) -> DataFrame:
@@ -297,7 +323,13 @@ def queries() -> dict[str, Query]:
         "duplicates": _duplicates,
         "patient_split": v(lambda x: learn.patient_split(x.slow.select("rec").distinct(), 0.2, 42)),
         "grid_search": v(_grid),
-        "grid_argmin": v(_grid_best),
+        "grid_events": v(lambda x: _grid_events(x).drop("failed")),
+        "grid_totals": v(_grid_totals),
+        "grid_argmin": v(lambda x: tuning.best_cell(_grid_totals(x))),
+        "truth_counts": v(_truth),
+        "model_errors": v(_model_mae),
+        "comparison": v(lambda x: _compared(x).select("rec", *[F.round(c, 9).alias(c) for c in ("true_ahi", "detector_ahi", "model_ahi")], "osa_severity", "true_severity", "true_obstr", "true_hypop", "model_obstr", "model_hypop")),
+        "comparison_report": v(lambda x: compare.markdown(_compared(x))),
         "alignment_ratio": v(_alignment),
         "stream_sliding": _sliding,
         "cnn_forward": v(lambda x: _predicted(x, learn.CNN(3, seed=1))),

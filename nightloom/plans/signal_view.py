@@ -35,4 +35,10 @@ def signal_view(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     flow = flow.selectExpr(
         "rec", "4 * i + k as j", "amp * case when (i div 40) % 2 = 0 then if(k % 2 = 0, 1, -1) else if(i % 2 = 0, 1, -1) end + c % 3 as flow"
     )
-    return {"slow": slow, "flow": flow}
+    return {"slow": slow, "flow": flow, "truth": _truth(slow)}
+
+
+def _truth(slow: DataFrame) -> DataFrame:
+    """(rec, t, s, d): labelled events made of the samples, some of a kind that does not count."""
+    kind = "element_at(array('OBSTR', 'cntrl', 'MIXED', 'HYPOP', 'OTHER'), cast(c div 53 % 5 as int) + 1)"
+    return slow.where("c % 53 = 0 and rec <> 7").selectExpr("rec", f"{kind} as t", "cast(i as double) as s", "10.0D + c % 20 as d")
