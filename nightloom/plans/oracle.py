@@ -239,6 +239,8 @@ def oracle_sql() -> dict[str, str]:
             coalesce(2.0::double * tp / nullif(pr + su, 0), 0) as f1, su as support from (select c, count(case when quality = c and toxic = c then 1 end) as tp,
             count(case when toxic = c then 1 end) as pr, count(case when quality = c then 1 end) as su from labels, (select unnest([0, 1]) as c) group by c)""",
         "ahi_mae": "select count(*) as recordings, round(avg(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as mae, round(max(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as worst from kpi k join tc using (rec)",
+        "edf_roundtrip": "select rec, 'SaO2' as label, i, spo2::double as value from slow union all select rec, 'Resp thorax', i, effort::double from slow",
+        "config_version": """select rec, substr(md5('{"rec":' || rec || ',"n":' || n || '}'), 1, 8) as version from tot""",
         "grid_events": "select rec, cell, apnea, hypopnea, apneas, hypopneas from ge",
         "grid_totals": "select cell, printf('v1.0-A%.1f-H%.1f', apnea, hypopnea) as version, apnea, hypopnea, apneas, hypopneas, events, true_events, error, best from gt",
         "grid_argmin": "select apnea, hypopnea, apneas, hypopneas, events, error from (select *, row_number() over (order by error, cell) as r from gt) where r = 1",

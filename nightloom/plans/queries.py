@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from nightloom.config import DEFAULT
 from nightloom.functions import scalar
 from nightloom.operators import compare, detect, frames, islands, learn, report, scan, tuning
 from nightloom.plans.signal_view import RATE, signal_view
+from nightloom.sources import edf_source
+from nightloom.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -238,6 +241,19 @@ def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("rec", F.unix_seconds("w.start").alias("window_start"), "n", "total")
 
 
+def _edf_roundtrip(v: _View) -> DataFrame:
+    """Two signals of every recording written as recordings, and read again."""
+    spark = v.slow.sparkSession
+    parts = frames.packed(v.slow, ["spo2", "effort"], size=DEFAULT.chunk_sec)
+    row = lambda k, label, unit, x: F.struct(F.lit(k).alias("signal"), F.lit(label).alias("label"), F.lit(unit).alias("unit"), F.lit(1.0).alias("sample_rate"), F.col(x).cast("array<double>").alias("samples"))
+    signals = parts.select(F.format_string("patient_%03d/recording", "rec").alias("recording"), "chunk", F.inline(F.array(row(0, "SaO2", "%", "spo2"), row(1, "Resp thorax", "", "effort"))))
+    folder = f"{shared_folder(spark)}/edf-{uuid.uuid4().hex}"
+    edf_source.write_recordings(signals, folder)
+    chunks = spark.read.format("edf").load(folder)
+    rows = chunks.select(F.regexp_extract("path", "patient_([0-9]+)/", 1).cast("long").alias("rec"), "label", "first", F.posexplode("samples").alias("k", "value"))
+    return rows.select("rec", "label", (F.col("first") + F.col("k")).alias("i"), F.round("value", 6).alias("value"))
+
+
 def _class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
     return learn.class_weights(counts, 2.0).select("label", "n", F.round("weight", 9).alias("weight"))
@@ -305,6 +321,8 @@ def queries() -> dict[str, Query]:
         "model_windows": v(_model_windows),
         "event_windows": v(_event_windows),
         "negatives": v(lambda x: learn.negative_windows(detect.apnea_runs(x.found, RATE), x.slow, 5, 42)),
+        "edf_roundtrip": v(_edf_roundtrip),
+        "config_version": v(lambda x: x.slow.groupBy("rec").agg(F.count("*").alias("n")).select("rec", scalar.config_version(F.col("rec"), F.col("n")).alias("version"))),
         "class_weights": _class_weights,
         "argmax_windows": _argmax,
         "softmax_windows": _softmax,

@@ -59,5 +59,5 @@ def test_unknown_record_count_is_an_error():
 
 
 def test_gaps_are_zero():
-    out = edf.discontinuous_to_continuous([0.0, 3.0], np.ones(20), 10, 1.0)
+    out = edf.placed(np.ones(20), [0.0, 3.0], 10, 1.0)
     assert len(out) == 40 and out[:10].all() and out[30:].all() and not out[10:30].any()
