@@ -70,6 +70,13 @@ def class_weights(counts: DataFrame, factor: float) -> DataFrame:
     return own.withColumn("weight", F.col("_w") / F.sum("_w").over(everything) * F.count("*").over(everything)).drop("_w")
 
 
+def class_histogram(rows: DataFrame, classes: int, factor: float) -> DataFrame:
+    """(label, n, weight) of every class, 0 for those that do not occur; the weights' sum is the number of classes."""
+    sums = rows.agg(*[F.count_if(F.col("label") == c).alias(f"_{c}") for c in range(classes)])
+    counts = sums.select(F.inline(F.array(*[F.struct(F.lit(c).cast("long").alias("label"), F.col(f"_{c}").alias("n")) for c in range(classes)])))
+    return class_weights(counts, factor)
+
+
 def top_experts(logits: DataFrame, token: str, k: int) -> DataFrame:
     """(token, expert, place): the k greatest logits; equal ones by number."""
     own = logits.select(token, F.posexplode("logits").alias("expert", "x"))

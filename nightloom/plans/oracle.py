@@ -147,6 +147,10 @@ _CTES: dict[str, str] = {
         case when k.ahi < 5 then 'Normal' when k.ahi < 15 then 'Mild' when k.ahi < 30 then 'Moderate' else 'Severe' end as osa_severity,
         coalesce(t.obstr, 0) as true_obstr, coalesce(t.cntrl, 0) as true_cntrl, coalesce(t.mixed, 0) as true_mixed, coalesce(t.hypop, 0) as true_hypop,
         p.obstr as model_obstr, p.cntrl as model_cntrl, p.mixed as model_mixed, p.hypop as model_hypop from kpi k join px p on p.rec = k.rec left join tc t on t.rec = k.rec""",
+    "lw": """select rec, i as start, (i // 30) * 7 // 3 % 5 as label, split from slow join (select rec, case when r <= ceil(0.2 * n) then 'test' else 'train' end as split
+        from (select rec, row_number() over (order by md5(rec::varchar || '-42')) as r, count(*) over () as n from tot)) using (rec) where i % 30 = 0""",
+    "lc": "select label, count(*) as n, sum(count(*)) over () as total, count(*) over () as classes from lw group by label",
+    "ln": "select *, row_number() over (partition by label order by rec, start) - 1 as number from lw",
 }
 _POS = "case p.position when 1 then 'Upright' when 2 then 'Prone' when 3 then 'Left' when 4 then 'Supine' when 5 then 'Right' else 'Unknown' end"
 _THIN = """select rec, unnest(list_reduce(list_prepend([]::bigint[], list_transform(a, lambda x: [x])), lambda k, x: case when len(k) = 0 or x[1] - k[-1] >= 80 then list_concat(k, x) else k end)) as j
@@ -241,6 +245,13 @@ def oracle_sql() -> dict[str, str]:
         "ahi_mae": "select count(*) as recordings, round(avg(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as mae, round(max(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as worst from kpi k join tc using (rec)",
         "edf_roundtrip": "select rec, 'SaO2' as label, i, spo2::double as value from slow union all select rec, 'Resp thorax', i, effort::double from slow",
         "config_version": """select rec, substr(md5('{"rec":' || rec || ',"n":' || n || '}'), 1, 8) as version from tot""",
+        "balanced_batches": """select batch, label, place, rec, start from (select label, n, batch, unnest(range(0, 64 // classes)) as place from
+            (select label, n, classes, unnest(range(0, (total // 64)::bigint)) as batch from lc)) join ln using (label)
+            where number = ('0x' || substr(md5('42-0-' || batch || '-' || label || '-' || place), 1, 8))::bigint % n""",
+        "dataset_roundtrip": """select w.rec, w.start, w.split, w.label, sum(x.spo2)::bigint as spo2, sum(x.effort)::bigint as effort, sum(x.pulse)::bigint as pulse from lw w join tot t on t.rec = w.rec
+            join slow x on x.rec = w.rec and x.i >= w.start and x.i < w.start + 60 where w.start < t.n - 60 group by w.rec, w.start, w.split, w.label""",
+        "class_histogram": """select label, n, round(w / sum(w) over () * 5, 9) as weight from (select k as label, count(x) as n, 1 / (sqrt(count(x)) + 1) * case when k > 0 then 2 else 1 end as w
+            from (select unnest(range(0, 5)) as k) left join (select label as x from lw where label <> 3) on x = k group by k)""",
         "grid_events": "select rec, cell, apnea, hypopnea, apneas, hypopneas from ge",
         "grid_totals": "select cell, printf('v1.0-A%.1f-H%.1f', apnea, hypopnea) as version, apnea, hypopnea, apneas, hypopneas, events, true_events, error, best from gt",
         "grid_argmin": "select apnea, hypopnea, apneas, hypopneas, events, error from (select *, row_number() over (order by error, cell) as r from gt) where r = 1",

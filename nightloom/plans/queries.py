@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from nightloom.config import DEFAULT
 from nightloom.functions import scalar
-from nightloom.operators import compare, detect, frames, islands, learn, report, scan, tuning
+from nightloom.operators import compare, detect, frames, islands, learn, matching, report, scan, training, tuning
 from nightloom.plans.signal_view import RATE, signal_view
-from nightloom.sources import edf_source
+from nightloom.sources import edf_source, tensors
 from nightloom.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +241,53 @@ def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("rec", F.unix_seconds("w.start").alias("window_start"), "n", "total")
 
 
+def _labelled_windows(v: _View) -> DataFrame:
+    """Made labels of the windows, and the part that their recording is in."""
+    split = learn.patient_split(v.slow.select("rec").distinct(), 0.2, 42)
+    return v.slow.where("i % 30 = 0").selectExpr("rec", "i as start", "cast((i div 30) * 7 div 3 % 5 as int) as label").join(split, "rec")
+
+
+def _balanced(v: _View) -> DataFrame:
+    return training.balanced_batches(_labelled_windows(v).drop("split"), 64, 42, 0).select("batch", "label", F.col("place").cast("long").alias("place"), "rec", "start")
+
+
+_CHANNELS = ["spo2", "effort", "pulse"]
+
+
+def _training_windows(v: _View) -> DataFrame:
+    return frames.tiles(v.slow, 60, 30, _CHANNELS).withColumn("start", F.col("start").cast("long")).join(_labelled_windows(v), ["rec", "start"])
+
+
+def _dataset(v: _View) -> DataFrame:
+    """The windows written as a dataset and read again: their channels' sums."""
+    spark = v.slow.sparkSession
+    folder = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    tensors.write_dataset(_training_windows(v), folder, _CHANNELS, 60, stats=learn.norm_stats(v.slow, _CHANNELS))
+    rows, _ = tensors.read_dataset(spark, folder, _CHANNELS, 60)
+    x = tensors.window_array(F.col("x"), 60, 3)
+    total = lambda k: F.aggregate(x, F.lit(0.0), lambda a, r: a + r[k].cast("double")).cast("long")
+    return rows.select("rec", "start", "split", F.col("label").cast("long").alias("label"), *[total(k).alias(c) for k, c in enumerate(_CHANNELS)])
+
+
+def _training(v: _View) -> DataFrame:
+    """The epochs of a short training of the small network."""
+    stats = {x["channel"]: (x["mean"], x["std"]) for x in learn.norm_stats(v.slow, _CHANNELS).collect()}  # a row per channel
+    _, log = training.train(_training_windows(v), _CHANNELS, stats, training.Plan(epochs=2, together=8))
+    return v.slow.sparkSession.createDataFrame([tuple(r.values()) for r in log], "epoch long, train_loss double, train_acc double, test_loss double, test_acc double")
+
+
+def _class_histogram(v: _View) -> DataFrame:
+    return learn.class_histogram(_labelled_windows(v).where("label <> 3"), 5, 2.0).select("label", "n", F.round("weight", 9).alias("weight"))
+
+
+def _matching(v: _View) -> DataFrame:
+    """Labelled events against those of the detectors."""
+    truth = v.view["truth"].where("upper(t) <> 'OTHER'").selectExpr("rec", "cast(s as long) as id", "s as start", "s + d as end")
+    found = v.events.where(F.col("event_type").isin("Obstructive", "Central", "Mixed", "Hypopnea"))
+    found = found.select("rec", (F.col("start_sec") * RATE).cast("long").alias("id"), F.col("start_sec").alias("start"), F.col("end_sec").alias("end"))
+    return matching.matched(truth, found, 0.3)
+
+
 def _edf_roundtrip(v: _View) -> DataFrame:
     """Two signals of every recording written as recordings, and read again."""
     spark = v.slow.sparkSession
@@ -322,6 +369,11 @@ def queries() -> dict[str, Query]:
         "event_windows": v(_event_windows),
         "negatives": v(lambda x: learn.negative_windows(detect.apnea_runs(x.found, RATE), x.slow, 5, 42)),
         "edf_roundtrip": v(_edf_roundtrip),
+        "balanced_batches": v(_balanced),
+        "dataset_roundtrip": v(_dataset),
+        "cnn_training": v(_training),
+        "class_histogram": v(_class_histogram),
+        "event_matching": v(_matching),
         "config_version": v(lambda x: x.slow.groupBy("rec").agg(F.count("*").alias("n")).select("rec", scalar.config_version(F.col("rec"), F.col("n")).alias("version"))),
         "class_weights": _class_weights,
         "argmax_windows": _argmax,
