@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from nightloom.functions.scalar import LABEL_CODES, label_code, safe_ratio, severity
+from nightloom.operators.frames import CHUNK, framed_sum
 
 #: Columns of counts, by label; the same names everywhere.
 COUNTS = {"OBSTR": "obstr", "CNTRL": "cntrl", "MIXED": "mixed", "HYPOP": "hypop"}
@@ -52,6 +53,26 @@ def comparison(truth: DataFrame, detected: DataFrame, predicted: DataFrame) -> D
     return out.select("rec", "true_ahi", "detector_ahi", "model_ahi", "osa_severity", severity(F.col("true_ahi")).alias("true_severity"), *numbers[4:])
 
 
+def alignment(flow: DataFrame, truth: DataFrame, rate: int, seconds: int = 10, most: float = 0.7, size: int = CHUNK) -> DataFrame:
+    """(rec, events, ratio, verdict): whether labelled apneas lie where the flow is low.
+
+    ``ratio`` is the median, over the apneas of ``truth`` (rec, t, s, d), of the flow at their middle
+    to the recording's median flow, the flow being a mean of the distance from its mean over
+    ``seconds``. Labels of another recording have a ratio near 1: from ``most`` on it is a MISMATCH.
+    """
+    width = seconds * rate
+    means = flow.groupBy("rec").agg(F.avg("flow").alias("_mean"), F.max("j").alias("_last"))
+    own = flow.select("rec", "j", "flow").join(means, "rec").withColumn("_d", F.abs(F.col("flow") - F.col("_mean")))
+    own = framed_sum(own, "_d", width // 2, width - width // 2 - 1, "_sum", at="j", size=size).select("rec", "j", "_last", (F.col("_sum") / width).alias("env"))
+    centre = F.floor((F.col("s") + F.col("d") / 2) * rate)
+    events = truth.where(F.upper("t").isin("OBSTR", "CNTRL", "MIXED")).select("rec", centre.alias("j"))
+    at = own.join(events, ["rec", "j"]).where((F.col("j") >= width) & (F.col("j") < F.col("_last") + 1 - width))
+    low = at.groupBy("rec").agg(F.percentile("env", 0.5).alias("_event"), F.count("*").alias("events"))
+    whole = own.groupBy("rec").agg(F.percentile("env", 0.5).alias("_all"))
+    ratio = F.col("_event") / (F.col("_all") + 1e-9)
+    return low.join(whole, "rec").select("rec", "events", ratio.alias("ratio"), F.when(ratio < most, "OK").otherwise("MISMATCH").alias("verdict"))
+
+
 def _row(*cells: Column | str) -> Column:
     parts = [F.lit("|")]
     for x in cells:

@@ -42,6 +42,14 @@ def centred_sums(df: DataFrame, value: str, half: int, total: str, count: str, b
     return out.where("_mine").drop("_run_sum", "_run_n", "_chunk", "_mine")
 
 
+def framed_sum(df: DataFrame, value: str, before: int, after: int, total: str, by: str = "rec", at: str = "i", size: int = CHUNK) -> DataFrame:
+    """Sum of a value without nulls over the frame from ``before`` to ``after``, cut at the ends."""
+    order, everything = _in_chunk(by, at), Window.partitionBy(by, "_chunk")
+    out = chunked(df, before + 1, after, by, at, size).withColumn("_run", F.sum(value).over(order.rowsBetween(_FIRST, _NOW)))
+    last = F.coalesce(F.lead("_run", after).over(order), F.sum(value).over(everything))
+    return out.withColumn(total, last - F.coalesce(F.lag("_run", before + 1).over(order), F.lit(0))).where("_mine").drop("_run", "_chunk", "_mine")
+
+
 def envelope(flow: DataFrame, half: int, scale: int = 1, by: str = "rec", at: str = "j", size: int = CHUNK) -> DataFrame:
     """Mean absolute value over a centred frame, clipped at the ends, as ``env``; sum and count stay beside it."""
     out = flow.withColumn("_a", F.abs("flow"))

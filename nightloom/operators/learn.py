@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,25 +193,103 @@ class CNN:
         return x.mean(axis=1) @ self.head[0] + self.head[1]
 
 
+_ERF_STEP = 1e-3
+_ERF = np.array([math.erf(k * _ERF_STEP) for k in range(6002)])
+_ERF_SLOPE = 2 / math.sqrt(math.pi) * np.exp(-((np.arange(6002) * _ERF_STEP) ** 2))
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function, by cubic interpolation of a table; right to 1e-12."""
+    a = np.minimum(np.abs(x), 6.0)
+    k = (a / _ERF_STEP).astype(np.int64)
+    t = a / _ERF_STEP - k
+    low, high, dl, dh = _ERF[k], _ERF[k + 1], _ERF_SLOPE[k] * _ERF_STEP, _ERF_SLOPE[k + 1] * _ERF_STEP
+    rise = high - low
+    return np.sign(x) * (low + t * (dl + t * (3 * rise - 2 * dl - dh + t * (dl + dh - 2 * rise))))
+
+
+class Linear:
+    """An affine map with weights and, if wanted, a bias within one over the root of its width."""
+
+    def __init__(self, rng: np.random.Generator, width: int, out: int, bias: bool = True):
+        bound = width**-0.5
+        self.w = rng.uniform(-bound, bound, (width, out))
+        self.b = rng.uniform(-bound, bound, out) if bias else np.zeros(out)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.w + self.b
+
+
+class Norm:
+    """Features brought to mean 0 and deviation 1, with a gain and a bias."""
+
+    def __init__(self, dims: int):
+        self.gain, self.bias = np.ones(dims), np.zeros(dims)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * self.gain + self.bias
+
+
+class Expert:
+    """Two layers, four times as wide between them."""
+
+    def __init__(self, rng: np.random.Generator, dims: int):
+        self.up, self.down = Linear(rng, dims, 4 * dims), Linear(rng, 4 * dims, dims)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        h = self.up(x)
+        return self.down(0.5 * h * (1 + erf(h / math.sqrt(2))))
+
+
+class Block:
+    """Rotary attention and a mixture of experts, each on normalised features and added to them."""
+
+    def __init__(self, rng: np.random.Generator, dims: int, heads: int, experts: int, top: int):
+        self.heads, self.top = heads, top
+        self.before_attention, self.before_experts = Norm(dims), Norm(dims)
+        self.query, self.key, self.value, self.out = (Linear(rng, dims, dims, bias=False) for _ in range(4))
+        self.experts, self.shared = [Expert(rng, dims) for _ in range(experts)], Expert(rng, dims)
+        self.gate, self.shared_gate = Linear(rng, dims, experts), Linear(rng, dims, 1)
+
+    def attend(self, x: np.ndarray, t: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        n, time, dims = x.shape
+        q, k, v = (f(x).reshape(n, time, self.heads, -1).swapaxes(1, 2) for f in (self.query, self.key, self.value))
+        q, k = Mira.rotate(q, t), Mira.rotate(k, t)
+        score = q @ k.swapaxes(-1, -2) / np.sqrt(q.shape[-1])
+        score = score if mask is None else score + mask
+        score = np.exp(score - score.max(-1, keepdims=True))
+        return self.out(((score / score.sum(-1, keepdims=True)) @ v).swapaxes(1, 2).reshape(n, time, dims))
+
+    def mixture(self, x: np.ndarray) -> np.ndarray:
+        """Each token by its top experts alone, equal gates by number, and by the shared one."""
+        tokens = x.reshape(-1, x.shape[-1])
+        gate = self.gate(tokens)
+        chosen = np.argsort(-gate, -1, kind="stable")[:, : self.top]
+        share = np.take_along_axis(gate, chosen, -1)
+        share = np.exp(share - share.max(-1, keepdims=True))
+        share /= share.sum(-1, keepdims=True)
+        out = self.shared(tokens) / (1 + np.exp(-self.shared_gate(tokens)))
+        for number, expert in enumerate(self.experts):
+            token, place = np.nonzero(chosen == number)
+            if len(token):
+                out[token] += share[token, place, None] * expert(tokens[token])
+        return out.reshape(x.shape)
+
+    def __call__(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+        x = x + self.attend(self.before_attention(x), t)
+        return x + self.mixture(self.before_experts(x))
+
+
 class Mira:
     """Rotary attention blocks with a mixture of experts, a Runge-Kutta step of the last state, a linear layer."""
 
-    def __init__(self, channels: int, classes: int = 5, dims: int = 32, layers: int = 2, heads: int = 4, experts: int = 4, top: int = 2, seed: int = 0):
+    def __init__(self, channels: int, classes: int = 5, dims: int = 64, layers: int = 2, heads: int = 4, experts: int = 8, top: int = 2, seed: int = 0):
         assert dims % heads == 0
         rng = np.random.default_rng(seed)
-        new = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape)
-        self.heads, self.top, self.embed = heads, top, new(channels, dims)
-        self.blocks = [
-            {"qkv": new(dims, 3 * dims), "out": new(dims, dims), "gate": new(dims, experts), "up": [new(dims, 2 * dims) for _ in range(experts + 1)],
-             "down": [new(2 * dims, dims) for _ in range(experts + 1)], "share": new(dims, 1)}
-            for _ in range(layers)
-        ]
-        self.flow = new(dims + 1, 2 * dims), np.zeros(2 * dims), new(2 * dims, dims), np.zeros(dims)
-        self.head = new(dims, classes)
-
-    @staticmethod
-    def norm(x: np.ndarray) -> np.ndarray:
-        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
+        self.embed = Linear(rng, channels, dims)
+        self.blocks = [Block(rng, dims, heads, experts, top) for _ in range(layers)]
+        self.flow = Linear(rng, dims + 1, 2 * dims), Linear(rng, 2 * dims, dims)
+        self.norm, self.head = Norm(dims), Linear(rng, dims, classes)
 
     @staticmethod
     def rotate(x: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -221,35 +300,11 @@ class Mira:
         out[..., 0::2], out[..., 1::2] = a * np.cos(angle) - b * np.sin(angle), a * np.sin(angle) + b * np.cos(angle)
         return out
 
-    @staticmethod
-    def gelu(x: np.ndarray) -> np.ndarray:
-        return 0.5 * x * (1 + np.tanh(0.7978845608 * (x + 0.044715 * x**3)))
-
-    def attend(self, block: dict, x: np.ndarray, t: np.ndarray) -> np.ndarray:
-        n, time, dims = x.shape
-        q, k, v = (y.reshape(n, time, self.heads, -1).swapaxes(1, 2) for y in np.split(x @ block["qkv"], 3, -1))
-        q, k = self.rotate(q, t), self.rotate(k, t)
-        score = q @ k.swapaxes(-1, -2) / np.sqrt(q.shape[-1])
-        score = np.exp(score - score.max(-1, keepdims=True))
-        return ((score / score.sum(-1, keepdims=True)) @ v).swapaxes(1, 2).reshape(n, time, dims) @ block["out"]
-
-    def mixture(self, block: dict, x: np.ndarray) -> np.ndarray:
-        gate = x @ block["gate"]
-        # Exactly the top ones; equal gates by number.
-        chosen = np.argsort(-gate, -1, kind="stable")[..., : self.top]
-        open_ = np.zeros(gate.shape, np.bool_)
-        np.put_along_axis(open_, chosen, True, -1)
-        gate = np.where(open_, np.exp(gate - gate.max(-1, keepdims=True)), 0)
-        gate /= gate.sum(-1, keepdims=True)
-        run = lambda i: self.gelu(x @ block["up"][i]) @ block["down"][i]
-        out = sum(gate[..., i, None] * run(i) for i in range(gate.shape[-1]))
-        return out + run(gate.shape[-1]) / (1 + np.exp(-(x @ block["share"])))
-
     def step(self, h: np.ndarray, dt: float) -> np.ndarray:
         """Four Runge-Kutta steps of the latent state; the net gets the length of a step."""
-        w1, b1, w2, b2 = self.flow
+        inner, outer = self.flow
         s = dt / 4
-        f = lambda y: np.tanh(np.concatenate((y, np.full((len(y), 1), s)), 1) @ w1 + b1) @ w2 + b2
+        f = lambda y: outer(np.tanh(inner(np.concatenate((y, np.full((len(y), 1), s)), 1))))
         for _ in range(4):
             k1 = f(h)
             k2 = f(h + s / 2 * k1)
@@ -260,12 +315,11 @@ class Mira:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         t = np.arange(x.shape[1], dtype=float)
-        x = x @ self.embed
+        x = self.embed(x)
         for block in self.blocks:
-            x = x + self.attend(block, self.norm(x), t)
-            x = x + self.mixture(block, self.norm(x))
+            x = block(x, t)
         x = self.norm(x)
-        return (x.mean(axis=1) + self.step(x[:, -1], 1.0)) @ self.head
+        return self.head(x.mean(axis=1) + self.step(x[:, -1], 1.0))
 
 
 def predict_windows(windows: DataFrame, channels: list[str], network, stats: dict[str, tuple[float, float]]) -> DataFrame:

@@ -87,27 +87,53 @@ def indices(events: DataFrame, slow: DataFrame, config: Config = DEFAULT) -> Dat
     return out.withColumns({"osa_severity": severity(F.col("ahi")), "positional_osa": F.coalesce(positional, F.lit(False))}).drop("_supine", "_supine_sec", "_csr")
 
 
-def as_json(report: DataFrame, events: DataFrame) -> DataFrame:
+def as_json(report: DataFrame, events: DataFrame, pretty: bool = False) -> DataFrame:
     """(rec, json): the report and the list of events in order of start; nulls are left out."""
     one = F.struct("start_sec", "rank", "event_type", "end_sec", (F.col("end_sec") - F.col("start_sec")).alias("duration_sec"), "position", "spo2_nadir", "spo2_drop")
     rows = events.groupBy("rec").agg(F.array_sort(F.collect_list(one)).alias("events"))
     fields = F.struct(*[c for c in report.columns if c != "rec"]).alias("report")
-    return report.join(rows, "rec", "left").select("rec", F.to_json(F.struct(fields, F.col("events"))).alias("json"))
+    return report.join(rows, "rec", "left").select("rec", F.to_json(F.struct(fields, F.col("events")), {"pretty": str(pretty).lower()}).alias("json"))
 
 
 def as_text(report: DataFrame, minutes: DataFrame) -> DataFrame:
-    """(rec, text): a fixed layout, positions by minutes from the most."""
+    """(rec, text): everything in the report in a fixed layout; positions by minutes from the most, equal ones by name."""
     each = minutes.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct((-F.col("minutes")).alias("neg"), "position"))).alias("_p"))
-    lines = F.transform("_p", lambda x: F.format_string("  %s: %.1f min", x["position"], -x["neg"]))
-    return report.join(each, "rec", "left").select(
+    own = report.join(each, "rec", "left")
+    whole = F.col("recording_duration_hours") * 60
+    lines = F.transform("_p", lambda x: F.format_string("  %-10s %6.1f min  (%.0f%%)", x["position"], -x["neg"], safe_ratio(-x["neg"] * 100, whole)))
+    share = lambda c: F.col(c) * 100
+    hourly = lambda title, c: F.format_string(f"  {title} %.1f events/hr", c)
+    counts = [F.format_string(f"  {x}: %d", f"{x.lower()}_count") for x in _COUNTED]
+    return own.select(
         "rec",
         F.concat_ws(
             "\n",
-            F.format_string("Recording: %.1f h, valid %.1f h", "recording_duration_hours", "valid_duration_hours"),
-            F.format_string("AHI: %.1f (%s)", "ahi", "osa_severity"),
-            F.format_string("Supine AHI: %.1f, other AHI: %.1f", "ahi_supine", "ahi_non_supine"),
-            F.format_string("ODI: %.1f", "odi"),
-            F.format_string("SpO2: mean %.1f, lowest %.0f, T90 %.1f, T88 %.1f", "mean_spo2", "min_spo2", "t90", "t88"),
+            F.lit("RECORDING"),
+            F.format_string("  Duration: %.1f hours, valid: %.1f hours", "recording_duration_hours", "valid_duration_hours"),
+            F.format_string("  Signal quality: flow %.0f%%, SpO2 %.0f%%, pulse %.0f%%", share("sqi_flow"), share("sqi_spo2"), share("sqi_pulse")),
+            F.lit("INDICES"),
+            F.format_string("  AHI: %.1f events/hr (%s)", "ahi", "osa_severity"),
+            hourly("AHI, supine:", "ahi_supine"),
+            hourly("AHI, elsewhere:", "ahi_non_supine"),
+            F.concat(F.lit("  Positional: "), F.when(F.col("positional_osa"), "Yes").otherwise("No")),
+            hourly("ODI:", "odi"),
+            F.lit("OXYGEN"),
+            F.format_string("  SpO2: mean %.1f%%, lowest %.0f%%", "mean_spo2", "min_spo2"),
+            F.format_string("  Below 90: %.1f%% of time, below 88: %.1f%%", "t90", "t88"),
+            F.lit("EVENTS"),
+            *counts,
+            F.format_string("  Counted in the AHI: %d", "total_ahi_events"),
+            F.format_string("  Cheyne-Stokes: %.1f min", "csr_duration_min"),
+            F.lit("POSITIONS"),
             F.array_join(lines, "\n"),
         ).alias("text"),
     )
+
+
+def emit(texts: DataFrame, path: str | None = None) -> None:
+    """Each recording's text as a file under ``path/rec=N``, or printed, one after the other, without a path."""
+    if path is not None:
+        texts.select("rec", "text").write.mode("overwrite").partitionBy("rec").text(path)
+        return
+    for row in texts.orderBy("rec").toLocalIterator():  # a partition at a time
+        print(row["text"])

@@ -151,6 +151,9 @@ _CTES: dict[str, str] = {
         from (select rec, row_number() over (order by md5(rec::varchar || '-42')) as r, count(*) over () as n from tot)) using (rec) where i % 30 = 0""",
     "lc": "select label, count(*) as n, sum(count(*)) over () as total, count(*) over () as classes from lw group by label",
     "ln": "select *, row_number() over (partition by label order by rec, start) - 1 as number from lw",
+    "bx": """select rec, j, sum(abs(flow - m)) over (partition by rec order by j rows between 20 preceding and 19 following) / 40 as env
+        from flow join (select rec, avg(flow) as m from flow group by rec) using (rec)""",
+    "ba": "select rec, floor((i::double + (10 + c % 20) / 2.0::double) * 4)::bigint as c from slow where c % 53 = 0 and rec <> 7 and c // 53 % 5 < 3",
 }
 _POS = "case p.position when 1 then 'Upright' when 2 then 'Prone' when 3 then 'Left' when 4 then 'Supine' when 5 then 'Right' else 'Unknown' end"
 _THIN = """select rec, unnest(list_reduce(list_prepend([]::bigint[], list_transform(a, lambda x: [x])), lambda k, x: case when len(k) = 0 or x[1] - k[-1] >= 80 then list_concat(k, x) else k end)) as j
@@ -245,6 +248,8 @@ def oracle_sql() -> dict[str, str]:
         "ahi_mae": "select count(*) as recordings, round(avg(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as mae, round(max(abs(ahi - true_events / (valid_sec / 3600.0::double))), 9) as worst from kpi k join tc using (rec)",
         "edf_roundtrip": "select rec, 'SaO2' as label, i, spo2::double as value from slow union all select rec, 'Resp thorax', i, effort::double from slow",
         "config_version": """select rec, substr(md5('{"rec":' || rec || ',"n":' || n || '}'), 1, 8) as version from tot""",
+        "alignment_check": """select rec, events, round(q / (m + 1e-9), 6) as ratio, case when q / (m + 1e-9) < 0.7 then 'OK' else 'MISMATCH' end as verdict from (select rec, median(env) as m from bx group by rec)
+            join (select b.rec, count(*) as events, median(env) as q from bx b join ba a on a.rec = b.rec and a.c = b.j join tot t on t.rec = b.rec where b.j >= 40 and b.j < t.last_j + 1 - 40 group by b.rec) using (rec)""",
         "balanced_batches": """select batch, label, place, rec, start from (select label, n, batch, unnest(range(0, 64 // classes)) as place from
             (select label, n, classes, unnest(range(0, (total // 64)::bigint)) as batch from lc)) join ln using (label)
             where number = ('0x' || substr(md5('42-0-' || batch || '-' || label || '-' || place), 1, 8))::bigint % n""",

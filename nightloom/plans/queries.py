@@ -369,6 +369,7 @@ def queries() -> dict[str, Query]:
         "event_windows": v(_event_windows),
         "negatives": v(lambda x: learn.negative_windows(detect.apnea_runs(x.found, RATE), x.slow, 5, 42)),
         "edf_roundtrip": v(_edf_roundtrip),
+        "alignment_check": v(lambda x: compare.alignment(x.flow, x.view["truth"], RATE).select("rec", "events", F.round("ratio", 6).alias("ratio"), "verdict")),
         "balanced_batches": v(_balanced),
         "dataset_roundtrip": v(_dataset),
         "cnn_training": v(_training),

@@ -1,5 +1,7 @@
 """Suppression, the inference chain and the networks' parts against plain Python."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -80,18 +82,90 @@ def test_parts_of_the_rotary_network():
     for pair in range(4):
         z = (x[..., 2 * pair] + 1j * x[..., 2 * pair + 1]) * np.exp(1j * t * 10000 ** (-pair / 4))
         assert np.allclose(turned[..., 2 * pair], z.real) and np.allclose(turned[..., 2 * pair + 1], z.imag)
-    h, (w1, b1, w2, b2) = rng.normal(size=(3, 32)), net.flow
-    assert w1.shape == (33, 64) and w2.shape == (64, 32)
-    f = lambda y: np.tanh(np.hstack((y, np.full((3, 1), 0.25))) @ w1 + b1) @ w2 + b2
-    y = h
-    for _ in range(4):
-        a = f(y)
-        b = f(y + 0.125 * a)
-        c = f(y + 0.125 * b)
-        d = f(y + 0.25 * c)
-        y = y + 0.25 / 6 * (a + 2 * b + 2 * c + d)
-    assert np.allclose(net.step(h, 1.0), y)
-    block = dict(net.blocks[0], gate=np.zeros((32, 4)))  # all gates are equal: the first two stay
-    z = rng.normal(size=(1, 2, 32))
-    run = lambda i: net.gelu(z @ block["up"][i]) @ block["down"][i]
-    assert np.allclose(net.mixture(block, z), (run(0) + run(1)) / 2 + run(4) / (1 + np.exp(-(z @ block["share"]))))
+
+
+def test_erf():
+    x = np.concatenate((np.linspace(-7, 7, 4001), [0.0, 1e-9]))
+    assert np.allclose(learn.erf(x), [math.erf(v) for v in x], atol=1e-12)
+
+
+def _norm(v, norm):
+    return [(a - np.mean(v)) / math.sqrt(np.var(v) + 1e-5) * g + b for a, g, b in zip(v, norm.gain, norm.bias)]
+
+
+def _expert(v, expert):
+    h = [sum(v[i] * expert.up.w[i, o] for i in range(len(v))) + expert.up.b[o] for o in range(4 * len(v))]
+    return np.array([0.5 * a * (1 + math.erf(a / math.sqrt(2))) for a in h]) @ expert.down.w + expert.down.b
+
+
+def test_the_rotary_network_token_by_token():
+    """The whole forward pass against loops over tokens, heads and experts."""
+    rng = np.random.default_rng(4)
+    net = learn.Mira(2, classes=3, dims=8, layers=2, heads=2, experts=3, top=2, seed=5)
+    for block in net.blocks:
+        for norm in (block.before_attention, block.before_experts):
+            norm.gain, norm.bias = rng.normal(1, 0.1, 8), rng.normal(0, 0.1, 8)
+    x = rng.normal(size=(2, 5, 2))
+    for own, logits in zip(x, net(x)):
+        state = [v @ net.embed.w + net.embed.b for v in own]
+        for block in net.blocks:
+            normal = [np.array(_norm(v, block.before_attention)) for v in state]
+            heads = []
+            for h in range(2):
+                part = slice(4 * h, 4 * h + 4)
+                q, k, v = ([(n @ m.w)[part] for n in normal] for m in (block.query, block.key, block.value))
+                turn = lambda y, t: np.concatenate([[y[2 * i] * math.cos(t * 100.0**-i) - y[2 * i + 1] * math.sin(t * 100.0**-i), y[2 * i] * math.sin(t * 100.0**-i) + y[2 * i + 1] * math.cos(t * 100.0**-i)] for i in range(2)])
+                out = []
+                for i in range(5):
+                    score = np.exp([turn(q[i], i) @ turn(k[j], j) / 2 for j in range(5)])
+                    out.append(sum(s * v[j] for j, s in enumerate(score / score.sum())))
+                heads.append(out)
+            state = [s + np.concatenate((heads[0][i], heads[1][i])) @ block.out.w for i, s in enumerate(state)]
+            mixed = []
+            for s in state:
+                v = np.array(_norm(s, block.before_experts))
+                gate = v @ block.gate.w + block.gate.b
+                top = sorted(range(3), key=lambda e: (-gate[e], e))[:2]
+                share = np.exp(gate[top]) / np.exp(gate[top]).sum()
+                shared = 1 / (1 + math.exp(-(v @ block.shared_gate.w + block.shared_gate.b)[0]))
+                mixed.append(s + sum(w * _expert(v, block.experts[e]) for w, e in zip(share, top)) + shared * _expert(v, block.shared))
+            state = mixed
+        state = [np.array(_norm(s, net.norm)) for s in state]
+        inner, outer = net.flow
+        f = lambda y: np.tanh(np.append(y, 0.25) @ inner.w + inner.b) @ outer.w + outer.b
+        y = state[-1]
+        for _ in range(4):
+            a = f(y)
+            b = f(y + 0.125 * a)
+            c = f(y + 0.125 * b)
+            d = f(y + 0.25 * c)
+            y = y + 0.25 / 6 * (a + 2 * b + 2 * c + d)
+        assert np.allclose(logits, (np.mean(state, axis=0) + y) @ net.head.w + net.head.b)
+
+
+def test_equal_gates_go_by_number():
+    block = learn.Mira(3, dims=8, seed=2).blocks[0]
+    block.gate.w[:], block.gate.b[:] = 0, 0
+    z = np.random.default_rng(1).normal(size=(1, 2, 8))
+    expected = (block.experts[0](z) + block.experts[1](z)) / 2 + block.shared(z) / (1 + np.exp(-block.shared_gate(z)))
+    assert np.allclose(block.mixture(z), expected)
+
+
+def test_the_convolutional_network_step_by_step():
+    rng = np.random.default_rng(6)
+    net = learn.CNN(2, 3, seed=1)
+    for layer in net.layers:
+        layer.update(b=rng.normal(size=len(layer["b"])), gamma=rng.normal(1, 0.2, len(layer["b"])), mean=rng.normal(size=len(layer["b"])), var=rng.uniform(0.5, 2, len(layer["b"])))
+    x = rng.normal(size=(1, 17, 2))
+    own = x[0]
+    for layer in net.layers:
+        size, out = layer["w"].shape[1], []
+        for t in range(0, (len(own) - 1) // 2 + 1):
+            total = layer["b"].copy()
+            for k in range(size):
+                at = 2 * t + k - size // 2
+                if 0 <= at < len(own):
+                    total += layer["w"][:, k] @ own[at]
+            out.append(np.maximum((total - layer["mean"]) / np.sqrt(layer["var"] + 1e-5) * layer["gamma"] + layer["beta"], 0))
+        own = np.array(out)
+    assert np.allclose(net(x)[0], own.mean(axis=0) @ net.head[0] + net.head[1])
