@@ -2,8 +2,8 @@
 
 States are contexts of any number of preceding words. The tree grows a word at a time: a
 context is a candidate if it occurs often enough in the training text and its suffix, the
-context without its first word, is a state; it becomes one if its next-word distribution
-diverges from that of its suffix. Growth ends when no context passes. A state has
+context without its first word, is a state, whatever it begins with; it becomes one if its
+next-word distribution diverges from that of its suffix. Growth ends when no context passes. A state has
 probabilities of its own for the words that follow it often enough, with a discount; the
 rest of its mass goes to other words as its suffix has them, down to add-one word
 frequencies. A word is scored in the longest state that ends before it.
@@ -49,6 +49,7 @@ SENDERS = 32
 
 _END = np.int64(0x0E4D)
 _STATE = np.int64(0x57A7E)
+_ALL = np.int64(0xA11)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,6 +152,38 @@ def _pairs(shared, depth: int):
     return count
 
 
+def _after_states(shared, depth: int):
+    """Counts of the contexts of a depth whose suffix may be a state, as pairs with ``_ALL``, and of their pairs as in ``_pairs``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, below = shared.value
+        for batch in batches:
+            found = []
+            for _, _, tokens, begin in sequences(batch.column(0)):
+                suffix = np.zeros(len(tokens), np.int64)
+                for d, (context, there) in enumerate(contexts(tokens, begin), 1):
+                    if d == depth:
+                        break
+                    suffix = context
+                at = np.flatnonzero(there)
+                at = at[_may_have(states, pair_keys(suffix[at], _STATE))]
+                found.append((context[at], np.full(len(at), _ALL), suffix[at]))
+                at = at[_may_have(below, pair_keys(suffix[at], tokens[at]))]
+                found.append((context[at], tokens[at], suffix[at]))
+            if found:
+                context, token, suffix = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((token, context))
+                context, token, suffix = context[order], token[order], suffix[order]
+                new = np.ones(len(context), np.bool_)
+                new[1:] = (context[1:] != context[:-1]) | (token[1:] != token[:-1])
+                new = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[new]), pa.array(token[new]), pa.array(suffix[new]), pa.array(np.diff(np.append(new, len(context))))], ["context", "token", "suffix", "n"]
+                )
+
+    return count
+
+
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
@@ -175,18 +208,23 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
         )
     )
     levels: list[DataFrame] = []
-    while not candidates.isEmpty():
-        known = bitmap(candidates.select("context", F.lit(int(_STATE)).alias("token")))
-        shared = session.sparkContext.broadcast((known, bitmap(below)))
-        counted = (
-            texts.mapInArrow(_pairs(shared, len(levels) + 1), "context long, token long, n long")
-            .withColumn("salt", F.pmod("token", F.lit(SALTS)))
-            .repartition("context", "salt")
-            .groupBy("context", "token", "salt")
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= min_pair)
-            .drop("salt")
-        )
+    states, salted = None, F.pmod("token", F.lit(SALTS))
+    while not (candidates if len(levels) < 2 else states).isEmpty():
+        if len(levels) < 2:
+            # Words, and words after words, that occur so often are known from the counts before.
+            shared = session.sparkContext.broadcast((bitmap(candidates.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below)))
+            counted = texts.mapInArrow(_pairs(shared, len(levels) + 1), "context long, token long, n long").withColumn("salt", salted)
+            counted = counted.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pair).drop("salt")
+        else:
+            # Any context whose suffix is a state, whether or not what it begins with was a candidate.
+            shared = session.sparkContext.broadcast((bitmap(states.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below)))
+            found = texts.mapInArrow(_after_states(shared, len(levels) + 1), "context long, token long, suffix long, n long").withColumn("salt", salted)
+            found = found.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix"))
+            whole = F.col("token") == int(_ALL)
+            found = settle(found.where(F.col("n") >= F.when(whole, min_context).otherwise(min_pair)).drop("salt"))
+            candidates = found.where(whole).select("context", "suffix", F.col("n").alias("total"))
+            candidates = candidates.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total")
+            counted = found.where(~whole).select("context", "token", "n")
         rows = settle(
             counted.join(candidates.hint("merge"), "context")
             .join(below.select(F.col("context").alias("suffix"), "token", "q").hint("merge"), ["suffix", "token"])
@@ -203,10 +241,11 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
         pairs = settle(kept.select("context", "token", "n", "p", (F.log10("p") - F.log10("q") - F.col("backoff")).alias("value")))
         levels.append(pairs.drop("p").unionByName(states.withColumn("token", F.lit(int(_STATE)))))
         below = pairs.select("context", "token", F.col("p").alias("q"))
-        longer = rows.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
-            followed("context", "token").alias("context"), followed("suffix", "token").alias("suffix"), F.col("n").alias("total")
-        )
-        candidates = settle(longer.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total"))
+        if len(levels) == 1:
+            longer = rows.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
+                followed("context", "token").alias("context"), followed("suffix", "token").alias("suffix"), F.col("n").alias("total")
+            )
+            candidates = settle(longer.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total"))
     return levels
 
 
@@ -301,6 +340,8 @@ def language_model_scores(
     table has no result rows. Repeated rows are learnt from and scored each; other columns
     are not looked at. ``head_rows`` changes no result.
     """
+    if min_context < min_pair:
+        raise ValueError("a context needs at least as many occurrences as a pair")
     spark = docs.sparkSession
     ship(spark)
     held_out = in_fold("doc_id", modulus, remainder)

@@ -556,29 +556,49 @@ def _tree_log_p(own_texts, min_context, min_pair):
         own, share = states[context]
         return own[t] if t in own else share * p(context[1:], t)
 
-    grown = {(): Counter(unigrams)}
-    while grown:
+    grown = True
+    while grown:  # every context of a depth, from all substrings
         depth += 1
-        often = {(*c, t) for c, after in grown.items() for t, n in after.items() if n >= min_context and t is not None}
-        often = {c for c in often if len(c) == 1 or c[1:] in states}
-        grown = {}
+        after: dict = {}
         for own in own_texts:
             for i in range(depth, len(own)):
-                c = tuple(own[i - depth : i])
-                if c in often:
-                    grown.setdefault(c, Counter())[own[i]] += 1
-        found = {}
-        for c, after in grown.items():
-            n = sum(after.values())
-            own = {t: (m - 0.5) / n for t, m in after.items() if m >= min_pair}
-            if own:
+                after.setdefault(tuple(own[i - depth : i]), Counter())[own[i]] += 1
+        grown = {}
+        for c, follow in after.items():
+            n = sum(follow.values())
+            own = {t: (m - 0.5) / n for t, m in follow.items() if m >= min_pair}
+            if n >= min_context and (depth == 1 or c[1:] in states) and own:
                 rest, rest_q = 1 - sum(own.values()), 1 - sum(p(c[1:], t) for t in own)
                 if sum(x * np.log(x / p(c[1:], t)) for t, x in own.items()) + rest * np.log(rest / rest_q) >= suffixtree.DIVERGENCE:
-                    found[c] = (own, rest / rest_q)
-        states |= found
+                    grown[c] = (own, rest / rest_q)
+        states |= grown
     return p, states, unigrams
 
 
+def test_a_context_grows_from_its_suffix_whatever_it_begins_with(spark):
+    """(b) tells nothing, (c) and (b c) do, and (d b c) tells more."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(300):
+        words = rng.choice(list("bcdefgh"), 60).tolist()
+        for k in range(2, 60):
+            if words[k - 3 : k] == ["d", "b", "c"]:
+                words[k] = "e"
+            elif words[k - 1] == "c":
+                words[k] = rng.choice(["f", "f", words[k]] if words[k - 2] == "b" else ["h", "g", words[k]])
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = [[*t.split(), None] for t in texts]
+    p, states, _ = _tree_log_p([own for i, own in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2], 32, 8)
+    assert ("b",) not in states and ("b", "c") in states and ("d", "b", "c") in states
+    found = _by_id(suffixtree.language_model_scores(docs))
+    for i, own in enumerate(tokens):
+        wanted = sum(np.log10(p(tuple(own[:k]), t)) for k, t in enumerate(own))
+        assert abs(found[i].score - wanted) < 1e-9 * abs(wanted), texts[i]
+    with pytest.raises(ValueError):
+        suffixtree.language_model_scores(docs, min_context=4, min_pair=5)
+
+
 @pytest.mark.parametrize("head_rows", [40, 1_000_000])
 def test_suffix_tree_scores_are_brute_force(spark, head_rows):
     rng = np.random.default_rng(4)
