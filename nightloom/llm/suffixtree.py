@@ -100,9 +100,9 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap(entries: DataFrame) -> np.ndarray:
     """2 ** BITMAP_BITS bits, of which those of all (context, token) are set; at most 2 ** (BITMAP_BITS - 6) rows come to the driver."""
-    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS).toPandas()
+    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -364,8 +364,8 @@ def language_model_scores(
 
     others = entries.where(~in_head)
     bits = bitmap(others.where("word = 0"))
-    head = keyed(entries.where(in_head)).select("key", "value").repartition(SENDERS).toPandas()
-    shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(np.int64), head["value"].to_numpy(float), bits, len(levels)))
+    head = keyed(entries.where(in_head)).select("key", "value").repartition(SENDERS).toArrow()  # columns, not half a million row objects
+    shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(), head["value"].to_numpy(), bits, len(levels)))
     del head
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, keys array<long>"
