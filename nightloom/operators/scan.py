@@ -127,8 +127,17 @@ def _snoring(chunk: _Chunk, rate: int, config: Config) -> tuple[np.ndarray, ...]
 def _opened(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[_Chunk]:
     for batch in batches:
         for rec, number, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            j, flow = (np.asarray(rows.values.field(x)) for x in ("j", "flow"))
-            order = np.argsort(j)
+            first, second = rows.values.field(0), rows.values.field(1)
+            if pa.types.is_list(second.type):  # stretches of samples, each from a number on
+                starts, sizes = np.asarray(first), np.diff(np.asarray(second.offsets))
+                order = np.argsort(starts, kind="stable")
+                ends = np.cumsum(sizes)
+                j = np.arange(sizes.sum()) + np.repeat(starts - (ends - sizes), sizes)
+                flow = np.asarray(second.flatten())
+                order = np.concatenate([np.arange(ends[k] - sizes[k], ends[k]) for k in order])
+            else:
+                j, flow = np.asarray(first), np.asarray(second)
+                order = np.argsort(j)
             chunk = _Chunk(rec, number, j[order], flow[order], number * size, (number + 1) * size)
             if chunk.mine.stop > chunk.mine.start:
                 yield chunk
@@ -191,10 +200,23 @@ def _snore_rows(rate: int, size: int, config: Config):
 
 
 def flow_chunks(flow: DataFrame, rate: int, config: Config = DEFAULT) -> DataFrame:
-    """(rec, _chunk, rows): the samples of every chunk and those that its frames reach, in one exchange."""
+    """(rec, _chunk, rows): the samples of every chunk and those that its frames reach, in one exchange.
+
+    ``flow`` has a row per sample (rec, j, flow), or one per stretch of samples (rec, first,
+    samples), as the source of recordings gives them; stretches are cut and sent whole.
+    """
     ship_library(flow.sparkSession)
-    before = config.baseline_half_sec * rate + rate // 2
-    own = chunked(flow.select(F.col("rec").cast("long").alias("rec"), F.col("j").cast("long").alias("j"), "flow"), before, before + rate, "rec", "j", config.chunk_sec * rate)
+    before, size = config.baseline_half_sec * rate + rate // 2, config.chunk_sec * rate
+    if "samples" in flow.columns:
+        after = before + rate
+        own = flow.select(F.col("rec").cast("long").alias("rec"), F.col("first").cast("long").alias("first"), "samples").where(F.size("samples") > 0)
+        end = F.col("first") + F.size("samples")
+        targets = F.sequence(F.greatest(F.lit(0).cast("long"), F.expr(f"(first - {after}) div {size}")), F.expr(f"(first + size(samples) - 1 + {before}) div {size}"))
+        own = own.withColumn("_chunk", F.explode(targets))
+        low, high = F.greatest("first", F.col("_chunk") * size - before), F.least(end, (F.col("_chunk") + 1) * size + after)
+        part = F.slice("samples", (low - F.col("first") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+        return own.select("rec", "_chunk", F.struct(low.alias("first"), part.alias("samples")).alias("_part")).groupBy("rec", "_chunk").agg(F.collect_list("_part").alias("rows"))
+    own = chunked(flow.select(F.col("rec").cast("long").alias("rec"), F.col("j").cast("long").alias("j"), "flow"), before, before + rate, "rec", "j", size)
     return own.groupBy("rec", "_chunk").agg(F.collect_list(F.struct("j", "flow")).alias("rows"))
 
 

@@ -86,6 +86,16 @@ def test_kernel_and_windows_agree(flow):
     assert {(r.rec, r.j): (r.env, r.baseline) for r in detect.flow_features(df, RATE, replace(DEFAULT, chunk_sec=50)).collect()} == expected
 
 
+@pytest.mark.parametrize("length, seconds", [(1, 60), (37, 20), (240, 60), (5000, 600), (5000, 7)])
+def test_stretches_of_samples_give_what_rows_give(spark, flow, length, seconds):
+    signals, df = flow
+    rows = [(r, k, x[k : k + length].tolist()) for r, x in signals.items() for k in range(0, len(x), length)]
+    stretches = spark.createDataFrame(rows, "rec long, first long, samples array<long>").repartition(3)
+    config = replace(DEFAULT, chunk_sec=seconds)
+    found = [sorted(map(str, scan.scan(x, RATE, config, CELLS).collect())) for x in (df, stretches)]
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("seconds", [1, 10, 600])
 def test_snoring_windows(spark, seconds):
     rng = np.random.default_rng(7)
