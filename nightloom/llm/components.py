@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import settle, ship
 
 
+#: Edges in a part. Rounds over few edges take few tasks, each of which would leave files of its own.
+PART_EDGES = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")).first()
     return row["n"], row["mark"]
@@ -55,13 +59,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settle(edges.mapInArrow(_forest, "u long, v long").distinct())
     mark = _mark(edges)
     while mark[0]:
+        parts = -(-mark[0] // PART_EDGES)
+        edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         joined = large.join(least, F.col("u") == F.col("c"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        edges = settle(small.where("u <> v").distinct())
+        edges = settle(small.where("u <> v").distinct().coalesce(parts))
         before, mark = mark, _mark(edges)
         if mark == before:
             break
