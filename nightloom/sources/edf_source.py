@@ -279,3 +279,12 @@ def write_recordings(signals: DataFrame, path: str, **options) -> None:
 def samples_of(chunks: DataFrame, value: str) -> DataFrame:
     """(path, i, value): a row per sample of the chunks of a signal."""
     return chunks.select("path", "first", F.posexplode("samples").alias("_k", value)).select("path", (F.col("first") + F.col("_k")).alias("i"), value)
+
+
+def preview(chunks: DataFrame, k: int = 10) -> DataFrame:
+    """(path, signal, label, n, least, greatest, mean, first) per signal; ``first`` has up to ``k`` values from its first chunk."""
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return chunks.where("samples is not null").groupBy("path", "signal", "label").agg(
+        F.sum(F.size("samples")).alias("n"), F.min(F.array_min("samples")).alias("least"), F.max(F.array_max("samples")).alias("greatest"),
+        (F.sum(total) / F.sum(F.size("samples"))).alias("mean"), F.min_by(F.slice("samples", 1, k), "first").alias("first"),
+    )

@@ -23,4 +23,10 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("header", "true").csv(path)
+    """The rows of a run, one per grid cell or epoch, as one more CSV file with one header."""
+    rows.coalesce(1).write.mode("append").option("header", "true").csv(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All runs' rows of a log."""
+    return spark.read.schema(schema).option("header", "true").csv(path)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightloom.sources import binding, edf, edf_source, extract
+from nightloom.sources import binding, edf, edf_source, events, extract
 
 
 def _bytes(seconds=25, seed=1, onsets=None, record_sec=1.0):
@@ -182,3 +182,20 @@ def test_a_second_extraction_has_nothing_to_do(spark, tmp_path):
     (own(1) / "recording.edf").unlink()
     assert [r.patient for r in extract.extract_recordings(spark, str(raw), manifest).collect()] == ["patient_001"]
     assert (own(1) / "recording.edf").exists()
+
+
+def test_preview(source, tmp_path):
+    (tmp_path / "r.edf").write_bytes(_bytes())
+    rows = {r.label: r for r in edf_source.preview(source(tmp_path, chunk_sec=10)).collect()}
+    flow = np.round(np.random.default_rng(1).normal(0, 50, 250), 1)
+    assert rows["Resp nasal"].n == 250 and np.allclose((rows["Resp nasal"].least, rows["Resp nasal"].greatest, rows["Resp nasal"].mean), (flow.min(), flow.max(), flow.mean()), atol=1e-6)
+    assert np.allclose(rows["Resp nasal"].first, flow[:10], atol=1e-6) and rows["SaO2 x"].n == 25
+
+
+def test_a_log_grows_by_a_file_a_run(spark, tmp_path):
+    rows = spark.createDataFrame([("v1", 0.1, 3), ("v2", 0.2, 4)], "version string, apnea double, error long").repartition(2)
+    for _ in range(2):
+        events.append_log(rows, str(tmp_path / "log"))
+    files = list((tmp_path / "log").glob("part-*"))
+    assert len(files) == 2 and all(f.read_text().count("version") == 1 for f in files)
+    assert events.read_log(spark, str(tmp_path / "log"), "version string, apnea double, error long").where("error = 4").count() == 2
