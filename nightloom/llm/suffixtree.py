@@ -153,10 +153,13 @@ def _pairs(shared, depth: int):
 
 
 def _after_states(shared, depth: int):
-    """Counts of the contexts of a depth whose suffix may be a state, as pairs with ``_ALL``, and of their pairs as in ``_pairs``."""
+    """Counts of the contexts of a depth whose suffix may be a state, as pairs with ``_ALL``, and of their pairs as in ``_pairs``.
+
+    A context occurs no more often than its first two words, so those must be frequent too.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, below = shared.value
+        states, below, frequent = shared.value
         for batch in batches:
             found = []
             for _, _, tokens, begin in sequences(batch.column(0)):
@@ -165,7 +168,10 @@ def _after_states(shared, depth: int):
                     if d == depth:
                         break
                     suffix = context
+                    if d == 2:
+                        pair = context
                 at = np.flatnonzero(there)
+                at = at[_may_have(frequent, pair_keys(pair[at - (depth - 2)], _STATE))]
                 at = at[_may_have(states, pair_keys(suffix[at], _STATE))]
                 found.append((context[at], np.full(len(at), _ALL), suffix[at]))
                 at = at[_may_have(below, pair_keys(suffix[at], tokens[at]))]
@@ -217,7 +223,7 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
             counted = counted.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pair).drop("salt")
         else:
             # Any context whose suffix is a state, whether or not what it begins with was a candidate.
-            shared = session.sparkContext.broadcast((bitmap(states.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below)))
+            shared = session.sparkContext.broadcast((bitmap(states.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below), frequent))
             found = texts.mapInArrow(_after_states(shared, len(levels) + 1), "context long, token long, suffix long, n long").withColumn("salt", salted)
             found = found.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix"))
             whole = F.col("token") == int(_ALL)
@@ -245,6 +251,8 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
             longer = rows.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
                 followed("context", "token").alias("context"), followed("suffix", "token").alias("suffix"), F.col("n").alias("total")
             )
+            longer = settle(longer)
+            frequent = bitmap(longer.select("context", F.lit(int(_STATE)).alias("token")))
             candidates = settle(longer.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total"))
     return levels
 
