@@ -8,9 +8,11 @@ items of a bucket, in an order of its own, all other pairs are candidates; every
 item is compared with these 24 and is a candidate with the three it is most alike. That
 joins most of a large class by linear work. What it leaves apart in a larger bucket is
 compared with a representative: the item most like the majority of the bucket, such as the
-original of many edited copies. All work is linear in the items. On a table with buckets of
-up to 1,600 near copies this links 0.986 of the items that comparing all pairs of every
-bucket links. Buckets are read as sorted streams, never gathered.
+original of many edited copies. So far all work is linear in the items. In buckets that are
+still in several classes, every item outside the largest class is then compared with all
+items of other classes by the texts, in blocks (``links_between``), so no link is lost; this
+step is quadratic where a large bucket is of many classes. Buckets are read as sorted
+streams, never gathered.
 """
 
 from __future__ import annotations
