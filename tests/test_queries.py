@@ -1,4 +1,6 @@
+import itertools
 import json
+import re
 
 import duckdb
 import pandas as pd
@@ -86,6 +88,19 @@ def test_a_short_training(spark):
     assert [r.epoch for r in rows] == [1, 2] and all(r.train_loss > 0 and r.test_loss > 0 for r in rows)
 
 
+@pytest.mark.parametrize("name", ["resample_grid", "event_windows", "alignment_ratio"])
+def test_rows_that_are_made_are_not_broadcast(spark, name):
+    """Rows made of few others look small to the planner, at any size."""
+    found = catalog.queries()[name](spark, SF)
+    found.collect()
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = lambda x: re.search(r"[A-Z]", x).start() if re.search(r"[A-Z]", x) else 0
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            inside = list(itertools.takewhile(lambda x: depth(x) > depth(line), lines[at + 1 :]))
+            assert not any("Generate explode(sequence" in x for x in inside), "\n".join(lines)
+
+
 def test_every_query_is_tested():
     tested = {"cnn_forward", "mira_forward", "report_texts", "negatives", "temporal_nms", "patient_ahi", "event_matching", "cnn_training"}
     assert set(catalog.queries()) - set(ORACLE) == tested
