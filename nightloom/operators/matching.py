@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightloom.functions.scalar import temporal_iou
-from nightloom.operators.islands import overlapping
+from nightloom.operators.islands import in_groups, overlapping
 from nightloom.shipping import ship_library
 
 
 def _taken(frame: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a chain from the likest on, each event once."""
+    """The pairs of some chains from the likest on, each event of a chain once."""
     left, right, keep = set(), set(), []
-    for at, t, p in frame.sort_values(["iou", "truth", "found"], ascending=[False, True, True])[["truth", "found"]].itertuples():
-        if t not in left and p not in right:
-            left.add(t)
-            right.add(p)
+    for at, chain, t, p in frame.sort_values(["iou", "truth", "found"], ascending=[False, True, True])[["_chain", "truth", "found"]].itertuples():
+        if (chain, t) not in left and (chain, p) not in right:
+            left.add((chain, t))
+            right.add((chain, p))
             keep.append(at)
     return frame.loc[keep]
 
@@ -26,7 +26,7 @@ def matched(truth: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame
     """(rec, truth, found, iou): pairs of events whose overlap over union is at least ``least``, from the likest on, each event in one.
 
     Both have rec, id, start and end. Pairs are looked for by the minute. Events that no chain of
-    pairs connects in time are judged apart, so a task holds one such chain, not a recording.
+    pairs connects in time are judged apart, and a task holds some such chains, not a recording.
     """
     ship_library(truth.sparkSession)
     a = truth.select("rec", F.col("id").cast("long").alias("truth"), F.col("start").cast("double").alias("s1"), F.col("end").cast("double").alias("e1"))
@@ -34,12 +34,9 @@ def matched(truth: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame
     iou = temporal_iou(*[F.col(x) for x in ("s1", "e1", "s2", "e2")])
     pairs = overlapping(a, b, F.expr("s1 < e2 and s2 < e1")).withColumn("iou", iou).where(F.col("iou") >= least)
     pairs = pairs.withColumns({"low": F.least("s1", "s2"), "high": F.greatest("e1", "e2")})
-    order = Window.partitionBy("rec").orderBy("low", "truth", "found")
-    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    pairs = pairs.withColumn("_new", F.when(F.col("low") < reach, 0).otherwise(1))
-    pairs = pairs.withColumn("chain", F.sum("_new").over(order)).select("rec", "chain", "truth", "found", "iou")
-    schema = f"rec {pairs.schema['rec'].dataType.simpleString()}, chain long, truth long, found long, iou double"
-    return pairs.groupBy("rec", "chain").applyInPandas(_taken, schema).drop("chain")
+    pairs = in_groups(pairs, "low", "high", ["truth", "found"]).select("rec", "_group", "_chain", "truth", "found", "iou")
+    schema = f"rec {pairs.schema['rec'].dataType.simpleString()}, _group long, _chain long, truth long, found long, iou double"
+    return pairs.groupBy("rec", "_group").applyInPandas(_taken, schema).drop("_group", "_chain")
 
 
 def match_report(truth: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -97,3 +97,22 @@ def test_tiles_leave_out_the_exact_fit(spark):
     for n, tiles in ((60, 0), (61, 1), (91, 2)):
         df = spark.createDataFrame([(0, i, i) for i in range(n)], "rec long, i long, v long")
         assert frames.tiles(df, 60, 30, ["v"]).count() == tiles
+
+
+def test_chains_are_judged_in_few_groups_and_none_is_cut(spark, monkeypatch):
+    """A thousand chains are a group, not a thousand; a chain that begins in a group is in it whole."""
+    rows = [(r, k, 10.0 * (k // 3) + k % 3, 10.0 * (k // 3) + k % 3 + 5, (k * 7 % 11) / 11) for r in (1, 2) for k in range(3000)]
+    df = spark.createDataFrame(rows, "rec long, ord long, start double, end double, avg_conf double")
+    own = islands.in_groups(df, "start", "end", ["ord"])
+    assert own.select("rec", "_chain").distinct().count() == 2000 and own.select("rec", "_group").distinct().count() == 2
+    whole = sorted(map(tuple, islands.suppressed(df, 0.3).collect()))
+    monkeypatch.setattr(islands, "TOGETHER", 7)
+    cut = islands.in_groups(df, "start", "end", ["ord"])
+    assert cut.select("rec", "_group").distinct().count() > 200 and cut.select("rec", "_chain", "_group").distinct().count() == 2000
+    assert sorted(map(tuple, islands.suppressed(df, 0.3).collect())) == whole
+
+
+def test_events_without_a_start_meet_none(spark):
+    rows = [(1, 1, 0.0, 10.0, 0.9), (1, 2, None, 9.0, 0.8), (1, 3, 1.0, 10.0, 0.5), (1, 4, 30.0, 40.0, 0.4), (1, 5, 31.0, 40.0, 0.3)]
+    df = spark.createDataFrame(rows, "rec long, ord long, start double, end double, avg_conf double")
+    assert _rows(islands.suppressed(df, 0.3), "ord") == [(1,), (2,), (4,)]
