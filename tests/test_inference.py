@@ -1,6 +1,7 @@
 """Suppression, the inference chain and the networks' parts against plain Python."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -169,3 +170,14 @@ def test_the_convolutional_network_step_by_step():
             out.append(np.maximum((total - layer["mean"]) / np.sqrt(layer["var"] + 1e-5) * layer["gamma"] + layer["beta"], 0))
         own = np.array(out)
     assert np.allclose(net(x)[0], own.mean(axis=0) @ net.head[0] + net.head[1])
+
+
+def test_erf_works_in_blocks():
+    """It needs little memory besides its result, however long the input is, and has the same values for any shape."""
+    x = np.linspace(-7, 7, 40_000).reshape(200, 200)
+    tracemalloc.start()
+    found = learn.erf(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * x.nbytes
+    assert np.array_equal(found.T, learn.erf(x.T)) and np.allclose(found.ravel(), [math.erf(v) for v in x.ravel()], atol=1e-12)
