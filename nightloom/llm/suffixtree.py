@@ -12,8 +12,11 @@ All thresholds are counts, so the tree grows with the corpus. Counts, candidates
 the finished tree are distributed tables. A word's log probability is a sum of values that
 its word, its states and its pairs of a state and a next word have each, so a document's
 score is a sum over keys: those of the most frequent entries are looked up where the texts
-are, in a table of bounded size, and the others are joined, with the same result. Bitmaps of
-a fixed size leave out keys that no table has; what passes by chance meets no row.
+are, in a table of bounded size, and the others are joined, with the same result: a batch
+names such a key once, with the documents it is in. Bitmaps of a fixed size leave out keys
+that no table has; what passes by chance meets no row. Pairs of a word and the next, and of
+two words and the next, are first sieved by hash cells, two bytes an occurrence: a pair is
+no more frequent than its cell, so those of rare cells need no count of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,10 @@ HEAD_ROWS = 500_000
 BITMAP_BITS = 24
 #: A context's next words are dealt over this many groups.
 SALTS = 8
+#: Occurrences in a part of the cells of a sieve, which one task counts.
+PART_CELLS = 1 << 22
+#: Keys of documents, or their values, that a task gathers before it gives them on.
+GATHERED = 1 << 21
 #: Tasks that send a bitmap or the looked-up entries to the driver, so that each sends less than a megabyte.
 SENDERS = 32
 
@@ -98,14 +106,18 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
 
-def bitmap(entries: DataFrame) -> np.ndarray:
-    """2 ** BITMAP_BITS bits, of which those of all (context, token) are set; at most 2 ** (BITMAP_BITS - 6) rows come to the driver."""
-    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS).toArrow()
+def _bits_of(found: pa.Table) -> np.ndarray:
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def bitmap(entries: DataFrame) -> np.ndarray:
+    """2 ** BITMAP_BITS bits, of which those of all (context, token) are set; at most 2 ** (BITMAP_BITS - 6) rows come to the driver."""
+    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS).toArrow()
+    return _bits_of(found)
+
+
 def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     cells = _cell(keys)
     return (bits[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
@@ -121,23 +133,78 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["token", "n"])
 
 
+def _places(shared, depth: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a candidate context of a depth and a next word that its suffix has a probability for."""
+    candidates, below = shared[:2]
+    suffix = np.zeros(len(tokens), np.int64)
+    for d, (context, there) in enumerate(contexts(tokens, begin), 1):
+        if d == depth:
+            break
+        suffix = context
+    at = np.flatnonzero(there)
+    at = at[_may_have(candidates, pair_keys(context[at], _STATE))]
+    at = at[_may_have(below, pair_keys(suffix[at], tokens[at]))]
+    return context[at], tokens[at]
+
+
+def _cells(shared, depth: int, bits: int):
+    """The first 32 bits of the keys of ``_places``, by their first ``bits``: how many each next 16 - bits have, and all last 16, in order."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(pair_keys(*_places(shared.value, depth, tokens, begin)).view(np.uint64) >> np.uint64(32)).astype(np.uint32) for _, _, tokens, begin in sequences(batch.column(0))]
+            if found:
+                found = np.concatenate(found)
+                found.sort()
+                counts = np.bincount(found >> 16, minlength=1 << 16).astype(np.uint32).reshape(1 << bits, -1)
+                low = np.split(found.astype(np.uint16), np.cumsum(counts.sum(axis=1))[:-1])
+                columns = [pa.array(np.arange(1 << bits)), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "counts", "low"])
+
+    return cells
+
+
+def _frequent_cells(least: int):
+    """Bits of the cells of a part that are there ``least`` times."""
+
+    def find(table: pa.Table) -> pa.Table:
+        part, found = table["part"][0].as_py(), []
+        for counts, low in zip(table["counts"].to_pylist(), table["low"].to_pylist()):
+            counts = np.frombuffer(counts, np.uint32)
+            high = np.arange(len(counts), dtype=np.uint32) + np.uint32(part * len(counts))
+            found.append(np.repeat(high << np.uint32(16), counts) | np.frombuffer(low, np.uint16))
+        found = np.concatenate(found)
+        found.sort()
+        first = np.flatnonzero(np.concatenate((found[:1] == found[:1], found[1:] != found[:-1])))
+        cells = found[first[np.diff(np.append(first, len(found))) >= least]].astype(np.int64) >> (32 - BITMAP_BITS)
+        word, first = np.unique(cells >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first) if len(word) else np.zeros(0, np.uint64)
+        return pa.table({"word": word, "bits": bits.view(np.int64)})
+
+    return find
+
+
+def sieve(texts: DataFrame, shared, depth: int, total: int, least: int) -> np.ndarray:
+    """A bitmap that has all pairs of ``_places`` with ``least`` occurrences, and few others: two bytes an occurrence are shuffled.
+
+    Parts are by the first bits of a cell and so of the bitmap. The more occurrences than 2 ** 32 there are, the more others pass.
+    """
+    bits = min(max(math.ceil(math.log2(max(total, 1) / PART_CELLS)), 0), 10)
+    cells = texts.mapInArrow(_cells(shared, depth, bits), "part long, counts binary, low binary")
+    return _bits_of(cells.groupBy("part").applyInArrow(_frequent_cells(least), "word long, bits long").repartition(SENDERS).toArrow())
+
+
 def _pairs(shared, depth: int):
-    """Counts of pairs of a candidate context and a next word that its suffix has a probability for, in the texts of a batch."""
+    """Counts of the pairs of ``_places`` that the sieve lets through, in the texts of a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates, below = shared.value
+        sieved = shared.value[2]
         for batch in batches:
             found = []
             for _, _, tokens, begin in sequences(batch.column(0)):
-                suffix = np.zeros(len(tokens), np.int64)
-                for d, (context, there) in enumerate(contexts(tokens, begin), 1):
-                    if d == depth:
-                        break
-                    suffix = context
-                at = np.flatnonzero(there)
-                at = at[_may_have(candidates, pair_keys(context[at], _STATE))]
-                at = at[_may_have(below, pair_keys(suffix[at], tokens[at]))]
-                found.append((context[at], tokens[at]))
+                context, token = _places(shared.value, depth, tokens, begin)
+                through = _may_have(sieved, pair_keys(context, token))
+                found.append((context[through], token[through]))
             if found:
                 context, token = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((token, context))
@@ -218,7 +285,11 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
     while not (candidates if len(levels) < 2 else states).isEmpty():
         if len(levels) < 2:
             # Words, and words after words, that occur so often are known from the counts before.
-            shared = session.sparkContext.broadcast((bitmap(candidates.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below)))
+            known = bitmap(candidates.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below)
+            shared = session.sparkContext.broadcast(known)
+            sieved = sieve(texts, shared, len(levels) + 1, total, min_pair)
+            shared.destroy()
+            shared = session.sparkContext.broadcast((*known, sieved))
             counted = texts.mapInArrow(_pairs(shared, len(levels) + 1), "context long, token long, n long").withColumn("salt", salted)
             counted = counted.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pair).drop("salt")
         else:
@@ -287,10 +358,31 @@ class Head:
         return value, found, others[_may_have(self.others, keys[others])]
 
 
+_SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double"
+_SCORED = f"key long, block long, places binary, sums struct<{_SUMS.replace(' ', ':').replace(',:', ',')}>"
+_SUMS_TYPE = pa.struct(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())]
+)
+
+
+def _by_key(rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """A row per key and block of 65,536 rows, with the places of the rows in the block."""
+    order = np.argsort(keys, kind="stable")  # rows ascend, so those of a key do
+    rows, keys = rows[order], keys[order]
+    block = rows >> 16
+    new = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], (keys[1:] != keys[:-1]) | (block[1:] != block[:-1]))))
+    at = np.append(new, len(keys)).astype(np.int32) * 2
+    places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(at), pa.py_buffer((rows & 0xFFFF).astype(np.uint16))])
+    return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(block[new]), places, pa.nulls(len(new), _SUMS_TYPE)], ["key", "block", "places", "sums"])
+
+
 def _scorer(shared):
+    """A row per document with what is looked up here, under a key of its own, and rows of ``_by_key`` for what is joined."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = shared.value
         for batch in batches:
+            ids, gathered, size = batch.column(0).to_numpy(), [], 0
             for low, high, tokens, begin in sequences(batch.column(3)):
                 row_of = np.repeat(np.arange(high - low), np.diff(begin))
                 key = pair_keys(np.zeros(len(tokens), np.int64), tokens)
@@ -320,15 +412,50 @@ def _scorer(shared):
                     own += np.bincount(row_of[at], value, high - low)
                 rows, keys = np.concatenate(open_rows), np.concatenate(open_keys)
                 order = np.argsort(rows, kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(high - low + 1)), pa.int32()), pa.array(keys[order]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(low, high - low) for i in range(3)], pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(own), lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "keys"],
-                )
+                gathered.append((ids[low:high][rows[order]], keys[order]))
+                size += len(rows)
+                if size >= GATHERED:
+                    yield _by_key(*(np.concatenate(x) for x in zip(*gathered)))
+                    gathered, size = [], 0
+                n, own_key = high - low, mix(ids[low:high].view(np.uint64)).view(np.int64)
+                row = [*(batch.column(i).slice(low, n) for i in range(3)), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(own)]
+                sums = pa.StructArray.from_arrays(row, fields=list(_SUMS_TYPE))
+                yield pa.RecordBatch.from_arrays([pa.array(own_key), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), sums], ["key", "block", "places", "sums"])
+            if size:
+                yield _by_key(*(np.concatenate(x) for x in zip(*gathered)))
 
     return score
 
 
+def _row_sums(rows: list[np.ndarray], values: list[np.ndarray], words_: list[np.ndarray]) -> pa.RecordBatch:
+    rows, values, is_word = (np.concatenate(x) for x in (rows, values, words_))
+    row, at = np.unique(rows, return_inverse=True)
+    sums = lambda x: np.bincount(at, x, len(row))
+    none = [pa.nulls(len(row), f.type) for f in _SUMS_TYPE][1:4]
+    return pa.RecordBatch.from_arrays([pa.array(row), *none, pa.array(sums(is_word).astype(np.int64)), pa.array(sums(values * is_word)), pa.array(sums(values))], [f.name for f in _SUMS_TYPE])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are, and sums per document of the values of joined keys."""
+    rows, values, words_, size = [], [], [], 0
+    for batch in batches:
+        documents = batch.filter(pc.is_null(batch["places"]))
+        yield pa.RecordBatch.from_arrays(documents["sums"].flatten(), [f.name for f in _SUMS_TYPE])
+        batch = batch.filter(pc.and_(pc.is_valid(batch["places"]), pc.is_valid(batch["value"])))
+        if len(batch):
+            n = pc.binary_length(batch["places"]).to_numpy() // 2
+            places = np.frombuffer(b"".join(batch["places"].to_pylist()), np.uint16)
+            rows.append(np.repeat(batch["block"].to_numpy() << 16, n) | places)
+            values.append(np.repeat(batch["value"].to_numpy(), n))
+            words_.append(np.repeat(batch["word"].to_numpy(), n))
+            size += len(places)
+        if size >= GATHERED:
+            yield _row_sums(rows, values, words_)
+            rows, values, words_, size = [], [], [], 0
+    if size:
+        yield _row_sums(rows, values, words_)
+
+
 def _least_of_head(entries: DataFrame, head_rows: int) -> float:
     """The least class of counts whose entries and those of greater classes are at most ``head_rows``."""
     sizes = entries.groupBy("class").count().toPandas().sort_values("class", ascending=False)
@@ -361,9 +488,7 @@ def language_model_scores(
     columns = ["context", "token", "n", "value", "word"]
     parts = [counts.select(F.lit(0).cast("long").alias("context"), "token", "n", F.log10(F.col("n") + 1).alias("value"), F.lit(1).cast("long").alias("word"))]
     parts += [level.withColumn("word", F.lit(0).cast("long")).select(columns) for level in levels]
-    entries = settle(
-        reduce(DataFrame.unionByName, parts).withColumn("class", F.floor(F.log2("n") * 8))
-    )
+    entries = reduce(DataFrame.unionByName, parts).withColumn("class", F.floor(F.log2("n") * 8))  # all of them are stored tables
     least = _least_of_head(entries, head_rows)
     in_head = F.col("class") >= F.lit(least)
 
@@ -376,20 +501,18 @@ def language_model_scores(
     shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(), head["value"].to_numpy(), bits, len(levels)))
     del head
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, keys array<long>"
-    scored = settle(rows.mapInArrow(_scorer(shared), schema))
-    joined = scored.select("row", F.explode("keys").alias("key")).join(keyed(others).hint("merge"), "key")
-    joined = joined.groupBy("row").agg(
-        F.sum("value").alias("more"), F.sum(F.col("value") * F.col("word")).alias("more_base"), F.sum("word").alias("more_known")
-    )
+    scored = rows.mapInArrow(_scorer(shared), _SCORED)
+    values_of = keyed(others).select("key", "value", "word")
+    scored = scored.join(values_of.hint("merge"), "key", "left").select("block", "places", "sums", "value", "word").mapInArrow(_spread, _SUMS)
+    largest = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
+    scored = scored.groupBy("row").agg(*largest, *[F.sum(c).alias(c) for c in ("n_known", "base", "own")])
     unknown = F.col("n_tokens") * -math.log10(total + distinct + 1)
-    zero = F.lit(0.0)
-    return scored.drop("keys").join(joined.hint("merge"), "row", "left").select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) + unknown).alias("base_score"),
-        (F.col("own") + F.coalesce("more", zero) + unknown).alias("score"),
+        (F.col("base") + unknown).alias("base_score"),
+        (F.col("own") + unknown).alias("score"),
     )

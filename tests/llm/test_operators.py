@@ -614,3 +614,32 @@ def test_suffix_tree_scores_are_brute_force(spark, head_rows):
         assert abs(found[i].score - wanted) < 1e-9 * max(1, abs(wanted)), texts[i]
     for context in [(), *states]:  # one more word stands for all unknown ones
         assert abs(sum(p(context, t) for t in [*unigrams, "unknown"]) - 1) < 1e-9
+
+
+def test_sieve_passes_every_frequent_pair_and_few_others(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 5000) for _ in range(50)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tokens = [np.concatenate([own for _, _, own, _ in suffixtree.sequences(pa.array([t]))]) for t in texts]
+    counts = Counter((a, b) for own in tokens for a, b in zip(own[:-1].tolist(), own[1:].tolist()))
+    all_bits = np.full(1 << (suffixtree.BITMAP_BITS - 6), np.uint64((1 << 64) - 1))
+    for part_cells in (1 << 22, 1000):  # one part, and sixteen
+        monkeypatch.setattr(suffixtree, "PART_CELLS", part_cells)
+        shared = spark.sparkContext.broadcast((all_bits, all_bits))
+        bits = suffixtree.sieve(docs, shared, 1, sum(map(len, tokens)), 8)
+        context = np.array([a for a, _ in counts], np.int64).view(np.uint64) * suffixtree._STEP
+        passed = suffixtree._may_have(bits, suffixtree.pair_keys(context.view(np.int64), np.array([b for _, b in counts], np.int64)))
+        frequent = np.array([n >= 8 for n in counts.values()])
+        assert frequent.any() and passed[frequent].all() and passed[~frequent].sum() <= 2
+
+
+def test_a_batch_names_a_joined_key_once_with_its_documents():
+    rows, keys = np.repeat(np.arange(65_530, 65_542), 3), np.tile(np.array([7, -9, 7]), 12)
+    found = suffixtree._by_key(rows, keys).to_pylist()
+    assert [(r["key"], r["block"]) for r in found] == [(-9, 0), (-9, 1), (7, 0), (7, 1)]
+    again = [(r["block"] * 65_536 + int(p), r["key"]) for r in found for p in np.frombuffer(r["places"], np.uint16)]
+    assert sorted(again) == sorted(zip(rows.tolist(), keys.tolist()))
+    joined = pa.record_batch([*(suffixtree._by_key(rows, keys).column(i) for i in (1, 2, 3)), pa.array([0.5, 0.5, 2.0, None]), pa.array([1, 1, 0, None], pa.int64())], ["block", "places", "sums", "value", "word"])
+    sums = {r["row"]: r for batch in suffixtree._spread(iter([joined])) for r in batch.to_pylist()}
+    assert (sums[65_530]["own"], sums[65_530]["base"], sums[65_530]["n_known"]) == (4.5, 0.5, 1)
+    assert (sums[65_541]["own"], sums[65_541]["base"], sums[65_541]["n_known"]) == (0.5, 0.5, 1)
