@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, settle, ship, text_of
-from .neardup import BANDS_SCHEMA, BROADCAST_NODES, link_classes, local_bands, sketch_of, texts_of, wanted_nodes
+from .neardup import BANDS_SCHEMA, BROADCAST_NODES, SIGNED_ENTRIES, link_classes, local_bands, sketch_of, texts_of, wanted_nodes
 from .textkernels import SLICE_BYTES, Spans, among, mix, slices
 
 #: Characters (code points) in a shingle; a shorter line has one, itself.
@@ -26,7 +26,7 @@ THRESHOLD = 0.8
 BANDS = 14
 BAND_VALUES = 5
 #: Shingles whose hashes are multiplied together, so that they stay in the processor's cache.
-_BLOCK = 1 << 16
+_BLOCK = 1 << 17
 # Odd, and without a pattern: multiples of one number would make the same shingle the least in many rows.
 _MULTIPLIERS = [np.uint32(int(x) >> 32 | 1) for x in mix(np.arange(1, BANDS * BAND_VALUES + 1, dtype=np.uint64))]
 
@@ -134,6 +134,9 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys_of.append(band_keys(values).ravel().view(np.int64))
                 nodes_of.append(np.repeat(nodes.view(np.int64), BANDS))
                 sketches_of.append(np.repeat(sketch_of(values), BANDS))
+            if sum(map(len, keys_of)) >= SIGNED_ENTRIES:
+                yield from local_bands(*(np.concatenate(x) for x in (keys_of, nodes_of, sketches_of)))
+                keys_of, nodes_of, sketches_of = [], [], []
         if keys_of:
             yield from local_bands(*(np.concatenate(x) for x in (keys_of, nodes_of, sketches_of)))
 
@@ -157,16 +160,23 @@ def _texts(picked):
     return texts
 
 
-def _sets(column: pa.Array) -> np.ndarray:
-    """The different shingles of each line, sorted, below the line's number in the high bits."""
+def _numbered(column: pa.Array) -> np.ndarray:
+    """The shingles of each line: its number in the high bits, then those of the hash; the last bit is 0."""
     keys, bits = [], np.uint64(64 - max(len(column) - 1, 1).bit_length())
     for low, high, data, offsets in slices(column.cast(pa.string())):
         hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
         line = np.repeat(np.arange(low, high, dtype=np.uint64), np.diff(np.append(begin, len(hashes))))
-        keys.append(line << bits | hashes >> np.uint64(64) - bits)
-    keys = np.concatenate(keys)
+        keys.append(line << bits | (hashes >> np.uint64(65) - bits) << np.uint64(1))
+    return np.concatenate(keys)
+
+
+def _overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair of lines how many different shingles both have, and the sum of what each has."""
+    keys, n = np.concatenate((_numbered(a), _numbered(b) | np.uint64(1))), len(a)
     keys.sort()
-    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    line = (keys >> np.uint64(64 - max(n - 1, 1).bit_length())).astype(np.int64)
+    return np.bincount(line[1:][keys[1:] ^ keys[:-1] == 1], minlength=n), np.bincount(line, minlength=n)
 
 
 def _profile(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,11 +197,7 @@ def _verifier(threshold: float):
             upto = np.concatenate(([0], np.cumsum(size)))
             while low < len(batch):  # pairs of about a slice of text together
                 high = max(int(np.searchsorted(upto, upto[low] + SLICE_BYTES, "right")) - 1, low + 1)
-                n, a, b = high - low, *(_sets(batch.column(i).slice(low, high - low)) for i in (2, 3))
-                both = np.concatenate((a, b))
-                both.sort()
-                bits = np.uint64(64 - max(n - 1, 1).bit_length())
-                same, own = (np.bincount((x >> bits).astype(np.int64), minlength=n) for x in (both[1:][both[1:] == both[:-1]], both))
+                same, own = _overlaps(*(batch.column(i).slice(low, high - low) for i in (2, 3)))
                 keep[low:high] = same >= threshold * (own - same)
                 low = high
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["u", "v"])

@@ -11,8 +11,9 @@ compared with a representative: the item most like the majority of the bucket, s
 original of many edited copies. So far all work is linear in the items. In buckets that are
 still in several classes, every item outside the largest class is then compared with all
 items of other classes by the texts, in blocks (``links_between``), so no link is lost; this
-step is quadratic where a large bucket is of many classes. Buckets are read as sorted
-streams, never gathered.
+step is quadratic where a large bucket is of many classes. Entries of buckets are dealt by
+the first bits of their keys, those of a part and a batch as one row, so that few rows are
+shuffled and sorted; a task takes its parts one after the other.
 """
 
 from __future__ import annotations
@@ -40,7 +41,14 @@ BROADCAST_NODES = 1_000_000
 #: Bytes of text in a block of a bucket; a task holds two blocks at a time.
 BLOCK_BYTES = 1 << 19
 
-BANDS_SCHEMA = "key long, node long, sketch long, other long, bucket long"
+#: Bits of a key that name its part: 4,096 parts, each of which a task sorts in memory.
+PART_BITS = 12
+#: Entries that a task sorts at a time, in whole parts.
+PART_ENTRIES = 1 << 18
+#: Entries after which a signer gives its buckets on.
+SIGNED_ENTRIES = 1 << 19
+
+BANDS_SCHEMA = "part int, key binary, node binary, sketch binary, other binary, bucket binary"
 _NAMES = ["key", "node", "sketch", "other", "bucket"]
 _PAIR_NAMES = ["u", "v", "bucket", "sketch"]
 
@@ -71,92 +79,125 @@ def _likest(first: np.ndarray, late: np.ndarray, sketches: np.ndarray) -> tuple[
     return np.concatenate(out[0]), np.concatenate(out[1])
 
 
+def _by_bucket(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """An order by key; in buckets of more than ALL_PAIRS, by the bucket's own order of nodes."""
+    order = np.argsort(keys)
+    begin = np.flatnonzero(np.concatenate(([True], keys[order[1:]] != keys[order[:-1]])))
+    sizes = np.diff(np.append(begin, len(keys)))
+    large = np.flatnonzero(np.repeat(sizes > ALL_PAIRS, sizes))
+    own = order[large]
+    order[large] = own[np.lexsort((mix(keys[own].view(np.uint64) ^ nodes[own].view(np.uint64)), keys[own]))]
+    return order
+
+
+def _packed(part: np.ndarray, bounds: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row per part with its values in each column, eight bytes each; columns that are not given are null."""
+    at = pa.py_buffer((bounds * 8).astype(np.int32))
+    values = [pa.Array.from_buffers(pa.binary(), len(part), [None, at, pa.py_buffer(np.ascontiguousarray(columns[x]))]) if x in columns else pa.nulls(len(part), pa.binary()) for x in _NAMES]
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *values], ["part", *_NAMES])
+
+
 def local_bands(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, node, sketch, other, bucket) of a part of the data; ``other`` is null for plain entries of a bucket.
+    """The buckets of a part of the data, packed: entries have key, node and sketch and are dealt by their keys' first bits.
 
-    Of a bucket that has many items here the first 24 are plain entries. Each further one
-    only names its candidates among these: it is dealt by a key of its own, so a hot bucket
-    does not meet in one task. All items of such a bucket are also named as its members, by
+    Of a bucket that has many items here the first 24 are entries. Each further one only
+    names its candidates among these, as rows of node and other, so a hot bucket does not
+    meet in one task. All items of such a bucket are also named as its members, by
     ``bucket``, its key, and themselves as ``other``.
     """
-    order = np.lexsort((mix(keys.view(np.uint64) ^ nodes.view(np.uint64)), keys))
+    order = _by_bucket(keys, nodes)
     keys, nodes, sketches = keys[order], nodes[order], sketches[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(begin, len(keys)))
     place = np.arange(len(keys)) - np.repeat(begin, sizes)
     early = place < ALL_PAIRS
-    none = pa.nulls(int(early.sum()), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(keys[early]), pa.array(nodes[early]), pa.array(sketches[early]), none, none], _NAMES)
     late = np.flatnonzero(~early)
+    part = keys[early] >> (64 - PART_BITS)
+    bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    yield _packed(part[bounds], np.append(bounds, len(part)), key=keys[early], node=nodes[early], sketch=sketches[early])
     if len(late):
-        own = lambda i: pa.array(mix(keys[i].view(np.uint64) + nodes[i].view(np.uint64) * np.uint64(5)).view(np.int64))
         u, v = _likest(np.repeat(begin, sizes)[late], late, sketches)
-        none = pa.nulls(len(u), pa.int64())
-        yield pa.RecordBatch.from_arrays([own(u), pa.array(nodes[u]), none, pa.array(nodes[v]), none], _NAMES)
         large = np.flatnonzero(np.repeat(sizes, sizes) > ALL_PAIRS)
-        member = pa.array(nodes[large])
-        yield pa.RecordBatch.from_arrays([own(large), member, pa.array(sketches[large]), member, pa.array(keys[large])], _NAMES)
+        yield _packed(keys[late[:1]] >> (64 - PART_BITS), np.array([0, len(u)]), node=nodes[u], other=nodes[v])
+        yield _packed(keys[late[:1]] >> (64 - PART_BITS), np.array([0, len(large)]), node=nodes[large], sketch=sketches[large], other=nodes[large], bucket=keys[large])
+
+
+def _sorted_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of whole parts by key, without buckets of one item, and other rows as they are, of packed rows sorted by part."""
+
+    def values(rows: list, name: str) -> np.ndarray:
+        return np.frombuffer(b"".join(row[name] for row in rows), np.int64)
+
+    def entries(rows: list) -> Iterator[pa.RecordBatch]:
+        keys, nodes, sketches = (values(rows, x) for x in _NAMES[:3])
+        order = _by_bucket(keys, nodes)
+        keys = keys[order]
+        same = keys[1:] == keys[:-1]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        keys, order = keys[shared], order[shared]
+        if len(keys):
+            # Equal items of a bucket are to be next to each other.
+            again = np.lexsort((mix(keys.view(np.uint64) ^ nodes[order].view(np.uint64)), keys))
+            keys, order = keys[again], order[again]
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[order]), pa.array(sketches[order]), none, none], _NAMES)
+
+    gathered, size, last = [], 0, None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["key"] is None:
+                node, other = values([row], "node"), values([row], "other")
+                rest = [pa.nulls(len(node), pa.int64()) if row[x] is None else pa.array(values([row], x)) for x in ("sketch", "bucket")]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node), rest[0], pa.array(other), rest[1]], _NAMES)
+                continue
+            if size >= PART_ENTRIES and row["part"] != last:
+                yield from entries(gathered)
+                gathered, size = [], 0
+            gathered.append(row)
+            size += len(row["key"]) // 8
+            last = row["part"]
+    if gathered:
+        yield from entries(gathered)
 
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of entries sorted by key, a bucket's own order and node; a bucket may go on in the next batch.
+    """Candidate pairs of packed rows sorted by part.
 
     A row with a ``bucket`` is no pair: it names a member of a bucket of more than ALL_PAIRS.
     """
-    carried_key, carried, seen = None, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
-    for batch in batches:
-        known = batch.filter(pc.is_valid(batch.column(3)))
-        if len(known):
-            u, v = known.column(1).to_numpy(), known.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), known.column(4), known.column(2)], _PAIR_NAMES)
-        batch = batch.filter(pc.is_null(batch.column(3)))
+    for batch in _sorted_parts(batches):
+        if batch.column(3).null_count == 0:
+            u, v = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), batch.column(4), batch.column(2)], _PAIR_NAMES)
+            continue
         keys, nodes, sketches = (batch.column(i).to_numpy() for i in range(3))
         same = np.concatenate(([False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])))
         keys, nodes, sketches = keys[~same], nodes[~same], sketches[~same]
-        if not len(keys):
-            continue
-        old = 0
-        if carried_key is not None and keys[0] == carried_key:
-            fresh = np.flatnonzero((keys != carried_key) | ~np.isin(nodes, carried[0]))
-            old = len(carried[0])
-            keys = np.concatenate((np.full(old, carried_key), keys[fresh]))
-            nodes, sketches = np.concatenate((carried[0], nodes[fresh])), np.concatenate((carried[1], sketches[fresh]))
         begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(begin, len(keys)))
         place = np.arange(len(keys)) - np.repeat(begin, sizes)
-        if old:
-            place[old : sizes[0]] += seen - old
-        u, v = [], []
-        # Earlier and later item of each pair; a pair of two carried items was found before.
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lag in range(1, min(int(sizes.max()), ALL_PAIRS)):
             later = np.flatnonzero((keys[lag:] == keys[:-lag]) & (place[lag:] < ALL_PAIRS)) + lag
-            later = later[later >= old]
             later = later[_agree(sketches[later - lag], sketches[later]) >= AGREE]
             u.append(nodes[later - lag])
             v.append(nodes[later])
-        late = np.flatnonzero((place >= ALL_PAIRS) & (np.arange(len(keys)) >= old))
+        late = np.flatnonzero(place >= ALL_PAIRS)
         if len(late):
             a, b = _likest(np.repeat(begin, sizes)[late], late, sketches)
             u.append(nodes[b])
             v.append(nodes[a])
-            large = np.zeros(len(begin), np.bool_)
-            large[np.searchsorted(begin, late, "right") - 1] = True
-            large = np.repeat(large, sizes)
+            large = np.repeat(sizes > ALL_PAIRS, sizes)
             member = pa.array(nodes[large])
             yield pa.RecordBatch.from_arrays([member, member, pa.array(keys[large]), pa.array(sketches[large])], _PAIR_NAMES)
-        carried_key, seen = keys[-1], int(place[-1]) + 1
-        last = slice(begin[-1], begin[-1] + min(int(sizes[-1]), ALL_PAIRS))
-        carried = nodes[last], sketches[last]
-        if u:
-            u, v = np.concatenate(u), np.concatenate(v)
-            none = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none], _PAIR_NAMES)
+        u, v = np.concatenate(u), np.concatenate(v)
+        none = pa.nulls(len(u), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), none, none], _PAIR_NAMES)
 
 
 def candidates(bands: DataFrame) -> DataFrame:
     """Distinct (u, v, bucket, sketch) from what ``local_bands`` gives: pairs, u < v, without a bucket, and members u of large ones."""
-    entries = bands.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
+    entries = bands.repartition("part").sortWithinPartitions("part")
     return entries.mapInArrow(_bucket_pairs, "u long, v long, bucket long, sketch long").where("u <> v or bucket is not null").distinct()
 
 
@@ -253,7 +294,7 @@ def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members (key, node, sketch) of buckets that are in several classes, with their roots."""
     rooted = settle(members.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root")))
     split = settle(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
-    return rooted.join(split, "key")
+    return rooted.join(split, "key", "left_semi")
 
 
 def wanted_nodes(pairs: DataFrame) -> DataFrame:

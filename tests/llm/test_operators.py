@@ -643,3 +643,31 @@ def test_a_batch_names_a_joined_key_once_with_its_documents():
     sums = {r["row"]: r for batch in suffixtree._spread(iter([joined])) for r in batch.to_pylist()}
     assert (sums[65_530]["own"], sums[65_530]["base"], sums[65_530]["n_known"]) == (4.5, 0.5, 1)
     assert (sums[65_541]["own"], sums[65_541]["base"], sums[65_541]["n_known"]) == (0.5, 0.5, 1)
+
+
+def test_band_entries_are_packed_and_give_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate((rng.integers(1, 12, 3000), [24, 25, 90]))
+    keys = np.repeat(rng.integers(-(1 << 63), 1 << 63, len(sizes)), sizes)
+    nodes = rng.permutation(len(keys)).astype(np.int64)
+    sketches = np.where(np.arange(len(keys)) % 50, 0, -1)
+    deal = rng.permutation(len(keys))
+    packed = [[*neardup.local_bands(keys[own], nodes[own], sketches[own])] for own in np.array_split(np.append(deal, deal[:500]), 3)]
+    assert all(sum(batch.num_rows for batch in x) <= min((1 << neardup.PART_BITS) + 2, len(deal) // 3 * 0.6) for x in packed)
+    rows = pa.Table.from_batches([batch for x in packed for batch in x])
+    found = neardup.candidates(spark.createDataFrame(rows).repartition(3)).collect()
+    pairs, members = {(r.u, r.v) for r in found if r.bucket is None}, {(r.bucket, r.u, r.sketch) for r in found if r.bucket is not None}
+    large = np.repeat(sizes, sizes) > neardup.ALL_PAIRS
+    assert members == set(zip(keys[large].tolist(), nodes[large].tolist(), sketches[large].tolist()))
+    end = np.cumsum(sizes)
+    possible = {tuple(sorted((int(nodes[i]), int(nodes[j])))): sizes[k] for k in range(len(sizes)) for i in range(end[k] - sizes[k], end[k]) for j in range(end[k] - sizes[k], i) if sketches[i] == sketches[j]}
+    assert pairs <= set(possible) and {x for x, n in possible.items() if n <= neardup.ALL_PAIRS} <= pairs
+
+
+def test_overlaps_of_lines_count_different_shingles():
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abé"), rng.integers(1, 60))) for _ in range(200)]
+    a, b = pa.array(texts[:100]), pa.array([t[: i % 50] + u[-20:] for i, (t, u) in enumerate(zip(texts[:100], texts[100:]))])
+    same, both = lines._overlaps(a.cast(pa.binary()), b.cast(pa.binary()))
+    sets = [[{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in x.to_pylist()] for x in (a, b)]
+    assert same.tolist() == [len(x & y) for x, y in zip(*sets)] and both.tolist() == [len(x) + len(y) for x, y in zip(*sets)]
