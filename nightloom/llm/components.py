@@ -14,6 +14,8 @@ from .common import settle, ship
 
 #: Edges in a part. Rounds over few edges take few tasks, each of which would leave files of its own.
 PART_EDGES = 200_000
+#: Edges (16 bytes each) that one task ties by itself, at every size of the input; more take rounds.
+TASK_EDGES = 500_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -51,14 +53,18 @@ def components(edges: DataFrame) -> DataFrame:
     most. Then large-star and small-star steps alternate: each node's larger neighbours,
     then its smaller ones, are tied to the least node next to it. Every step is a grouping
     with a partial minimum and a join, and every round is stored, so no neighbourhood is
-    gathered in one place. Rounds grow with the logarithm of the longest chain. Nulls and
-    loops are dropped; no edges give no rows.
+    gathered in one place. Rounds grow with the logarithm of the longest chain. Edges that
+    are ``TASK_EDGES`` at most, at first or after some rounds, are stars after one pass of
+    one task. Nulls and loops are dropped; no edges give no rows.
     """
     ship(edges.sparkSession)
     edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     edges = settle(edges.mapInArrow(_forest, "u long, v long").distinct())
     mark = _mark(edges)
     while mark[0]:
+        if mark[0] <= TASK_EDGES:
+            edges = settle(edges.coalesce(1).mapInArrow(_forest, "u long, v long"))
+            break
         parts = -(-mark[0] // PART_EDGES)
         edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -27,6 +27,8 @@ BANDS = 14
 BAND_VALUES = 5
 #: Shingles whose hashes are multiplied together, so that they stay in the processor's cache.
 _BLOCK = 1 << 17
+#: Bytes of lines that are cut into shingles together, likewise.
+_PART = 1 << 16
 # Odd, and without a pattern: multiples of one number would make the same shingle the least in many rows.
 _MULTIPLIERS = [np.uint32(int(x) >> 32 | 1) for x in mix(np.arange(1, BANDS * BAND_VALUES + 1, dtype=np.uint64))]
 
@@ -68,6 +70,16 @@ def line_shingles(data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.n
     return hashes ^ hashes >> np.uint64(32), np.cumsum(made) - made
 
 
+def shingled(data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first line, end line, and what ``line_shingles`` gives) of lines in their order, some ``_PART`` bytes at a time."""
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _PART, "right")))
+        a, b = int(starts[low]), int(ends[high - 1])
+        yield low, high, *line_shingles(data[a:b], spans.part(a, b), starts[low:high] - a, ends[low:high] - a)
+        low = high
+
+
 def signatures(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A row of values per multiplier, a column per line: the least of the multiplied hashes."""
     hashes = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -97,18 +109,28 @@ def _blank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return seen[ends] == seen[starts]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, order, line, node) of the lines that are not blank; node is a hash of the line."""
+def _line_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, order, lines, nodes) of each row: the places of its lines that are not blank, and hashes of these lines."""
     for batch in batches:
-        ids, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for low, high, data, offsets in slices(batch.column(2)):
             starts, ends, bounds = line_spans(data, offsets)
-            row = np.repeat(np.arange(low, high), np.diff(bounds))
             line = np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds))
             keep = ~_blank(data, starts, ends)
-            nodes = Spans(data).of(starts[keep], ends[keep]).view(np.int64)
-            columns = [pa.array(ids[row[keep]]), pa.array(order[row[keep]]), pa.array(line[keep].astype(np.int32)), pa.array(nodes)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "order", "line", "node"])
+            nodes = Spans(data).of(starts[keep], ends[keep])
+            at = np.concatenate(([0], np.cumsum(keep)))[bounds]
+            packed = [
+                pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (line[keep].astype(np.int32), nodes)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), *packed], ["row", "order", "lines", "nodes"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, order, line, node) of what ``_line_nodes`` gives, a row per line."""
+    for batch in batches:
+        n = pc.binary_length(batch.column(3)).to_numpy() // 8
+        line, node = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind) for i, kind in ((2, np.int32), (3, np.int64)))
+        columns = [np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n), line, node]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "order", "line", "node"])
 
 
 def _distinct_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,11 +148,11 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, keys_of, nodes_of, sketches_of = np.zeros(0, np.uint64), [], [], []
         for _, _, data, offsets in slices(batch.column(0)):
             spans, nodes, starts, ends = _distinct_lines(data, offsets)
-            new = ~np.isin(nodes, seen)
+            new = ~among(seen, nodes)
             nodes, starts, ends = nodes[new], starts[new], ends[new]
-            seen = np.concatenate((seen, nodes))
+            seen = np.sort(np.concatenate((seen, nodes)))
             if len(nodes):
-                values = signatures(*line_shingles(data, spans, starts, ends))
+                values = np.concatenate([signatures(*x) for _, _, *x in shingled(data, spans, starts, ends)], axis=1)
                 keys_of.append(band_keys(values).ravel().view(np.int64))
                 nodes_of.append(np.repeat(nodes.view(np.int64), BANDS))
                 sketches_of.append(np.repeat(sketch_of(values), BANDS))
@@ -164,9 +186,12 @@ def _numbered(column: pa.Array) -> np.ndarray:
     """The shingles of each line: its number in the high bits, then those of the hash; the last bit is 0."""
     keys, bits = [], np.uint64(64 - max(len(column) - 1, 1).bit_length())
     for low, high, data, offsets in slices(column.cast(pa.string())):
-        hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
-        line = np.repeat(np.arange(low, high, dtype=np.uint64), np.diff(np.append(begin, len(hashes))))
-        keys.append(line << bits | (hashes >> np.uint64(65) - bits) << np.uint64(1))
+        for first, last, hashes, begin in shingled(data, Spans(data), offsets[:-1], offsets[1:]):
+            line = np.arange(low + first, low + last, dtype=np.uint64) << bits
+            hashes >>= np.uint64(65) - bits
+            hashes <<= np.uint64(1)
+            hashes |= np.repeat(line, np.diff(np.append(begin, len(hashes))))
+            keys.append(hashes)
     return np.concatenate(keys)
 
 
@@ -179,12 +204,17 @@ def _overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(line[1:][keys[1:] ^ keys[:-1] == 1], minlength=n), np.bincount(line, minlength=n)
 
 
+def _sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
 def _profile(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different shingles of each line, sorted, all of weight 1, and how many each has."""
     found = []
     for _, _, data, offsets in slices(column.cast(pa.string())):
-        hashes, begin = line_shingles(data, Spans(data), offsets[:-1], offsets[1:])
-        found += [np.unique(x) for x in np.split(hashes, begin[1:])]
+        for _, _, hashes, begin in shingled(data, Spans(data), offsets[:-1], offsets[1:]):
+            found += [_sorted_distinct(x) for x in np.split(hashes, begin[1:])]
     terms = np.concatenate(found)
     return terms, np.ones(len(terms)), np.array([len(x) for x in found])
 
@@ -238,6 +268,8 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         roots = F.broadcast(roots)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("order")
     rows = docs.select(F.xxhash64("doc_id", text_of()).alias("row"), order, text_of().alias("text"))
+    # Stored with a row per document, 12 bytes a line, so that the texts are read and hashed once.
+    rows = settle(rows.mapInArrow(_line_nodes, "row long, order long, lines binary, nodes binary"))
     lines = rows.mapInArrow(_lines, "row long, order long, line int, node long")
     lines = lines.join(roots, "node", "left").select("row", "order", "line", F.coalesce("root", "node").alias("root"))
     # Firsts are stored, so the join with a hot line's places is one that Spark can split.

@@ -58,6 +58,12 @@ class Spans:
         self.sums = self._summed(self._values * self._power[0][:-1])
         self.inverse = self._power[1]
 
+    def part(self, low: int, high: int) -> Spans:
+        """For spans of fewer than 512 bytes of the bytes from low to high, counted from low."""
+        out = object.__new__(Spans)
+        out.sums, out.inverse = self.sums[low : high + 1], self.inverse[low : high + 1]
+        return out
+
     @staticmethod
     def _summed(terms: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(terms) + 1, np.uint64)
