@@ -28,7 +28,7 @@ BAND_VALUES = 5
 #: Shingles whose hashes are multiplied together, so that they stay in the processor's cache.
 _BLOCK = 1 << 17
 #: Bytes of lines that are cut into shingles together, likewise.
-_PART = 1 << 16
+_PART = 1 << 17
 # Odd, and without a pattern: multiples of one number would make the same shingle the least in many rows.
 _MULTIPLIERS = [np.uint32(int(x) >> 32 | 1) for x in mix(np.arange(1, BANDS * BAND_VALUES + 1, dtype=np.uint64))]
 
@@ -48,7 +48,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def line_shingles(data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of non-empty lines in the order of their places, and where each line's begin."""
-    lead = data & 0xC0 != 0x80
+    lead = data.view(np.int8) >= -64  # not 0x80 to 0xBF
     if lead.all():  # a character is a byte
         low, high, sums, inverse = starts, ends, spans.sums, spans.inverse[: len(data)]
     else:
@@ -105,14 +105,17 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _blank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    seen = np.concatenate(([0], np.cumsum((data > 0x20).astype(np.int64))))
-    return seen[ends] == seen[starts]
+    """Which of all lines have no byte above a space; what follows a line up to the next one with bytes are line feeds."""
+    out, some = np.ones(len(starts), np.bool_), np.flatnonzero(ends > starts)
+    if len(some):
+        out[some] = np.maximum.reduceat(data, starts[some]) <= 0x20
+    return out
 
 
 def _line_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, order, lines, nodes) of each row: the places of its lines that are not blank, and hashes of these lines."""
     for batch in batches:
-        for low, high, data, offsets in slices(batch.column(2)):
+        for low, high, data, offsets in slices(batch.column(2), SLICE_BYTES >> 2):
             starts, ends, bounds = line_spans(data, offsets)
             line = np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds))
             keep = ~_blank(data, starts, ends)

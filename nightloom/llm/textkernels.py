@@ -54,7 +54,7 @@ class Spans:
 
     def __init__(self, data: np.ndarray):
         self._power = powers(len(data) + 1)
-        self._values = data.astype(np.uint64) + np.uint64(1)
+        self._values = np.add(data, np.uint64(1), dtype=np.uint64)
         self.sums = self._summed(self._values * self._power[0][:-1])
         self.inverse = self._power[1]
 
