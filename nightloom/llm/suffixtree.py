@@ -22,14 +22,16 @@ no more frequent than its cell, so those of rare cells need no count of their ow
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_fold, settle, ship, text_of
@@ -44,16 +46,30 @@ DIVERGENCE = 0.02
 DISCOUNT = 0.5
 #: Entries of the tree that are looked up in tasks; all others are joined.
 HEAD_ROWS = 500_000
-#: Bits of a bitmap, as a power of two.
+#: Bits of a bitmap, as a power of two, and of those that say what is to be joined.
 BITMAP_BITS = 24
+JOINED_BITS = 26
 #: A context's next words are dealt over this many groups.
 SALTS = 8
 #: Occurrences in a part of the cells of a sieve, which one task counts.
 PART_CELLS = 1 << 22
+#: Words of the training text for each part of the keys that are joined; there are 16 parts at least.
+PART_TOKENS = 1 << 24
+#: Rows of the table, as a power of two, whose sums are put together at a time.
+ASSEMBLED_BITS = 12
+#: Texts are cut to words in slices of about this many bytes, whose arrays fit a cache.
+CACHED_BYTES = 1 << 17
 #: Keys of documents, or their values, that a task gathers before it gives them on.
 GATHERED = 1 << 21
 #: Tasks that send a bitmap or the looked-up entries to the driver, so that each sends less than a megabyte.
 SENDERS = 32
+#: Contexts are sieved before they are counted where more than this part of the words come after what may be their suffix.
+SIEVED_SHARE = 8
+#: Texts with contexts that can still be longer are stored on their own once they are this part of all texts at most.
+FEW_TEXTS_SHARE = 8
+#: What an entry tells of a sequence: how often a word occurs, a word's share after a context, what a context keeps for others.
+#: A word that occurs often enough to be in a pair has the bit of pairs too.
+WORD, PAIR, STATE = 1, 2, 4
 
 _END = np.int64(0x0E4D)
 _STATE = np.int64(0x57A7E)
@@ -61,9 +77,32 @@ _ALL = np.int64(0xA11)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def _cleaned(session: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that are made here go when these end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = session.conf.get(name, None)
+    session.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        session.conf.unset(name) if before is None else session.conf.set(name, before)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``settle``; the shuffle files that the rows came through are not kept until the driver collects its garbage."""
+    with _cleaned(df.sparkSession):
+        return settle(df.select("*"))
+
+
+def _fetched(df: DataFrame) -> pa.Table:
+    with _cleaned(df.sparkSession):
+        return df.select("*").toArrow()
+
+
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, tokens, where each row's begin): hashes of a row's words and an end token."""
-    for low, high, data, offsets in slices(column):
+    for low, high, data, offsets in slices(column, CACHED_BYTES):
         starts, ends, bounds, mapped = words(data, offsets, NONSPACE)
         counts = np.diff(bounds)
         begin = bounds + np.arange(len(bounds))
@@ -93,33 +132,42 @@ def _followed(context: pd.Series, token: pd.Series) -> pd.Series:
     return pd.Series(((context.to_numpy(np.int64).view(np.uint64) + token.to_numpy(np.int64).view(np.uint64)) * _STEP).view(np.int64))
 
 
-def _cell(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _cell(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            cells = np.unique(_cell(pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
-            word, first = np.unique(cells >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+def _set_bits(bits: int):
+    def set_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy()
+                cells = np.unique(_cell(pair_keys(keys, batch.column(1).to_numpy()) if batch.num_columns > 1 else keys, bits))
+                word, first = np.unique(cells >> 6, return_index=True)
+                set_bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(set_bits.view(np.int64))], ["word", "bits"])
+
+    return set_
 
 
-def _bits_of(found: pa.Table) -> np.ndarray:
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+def _bits_of(found: pa.Table, bits: int) -> np.ndarray:
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, of which those of all keys, or of all (context, token), are set; at most 2 ** (bits - 6) rows come to the driver."""
+    found = keys.mapInArrow(_set_bits(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS)
+    return _bits_of(_fetched(found), bits)
+
+
 def bitmap(entries: DataFrame) -> np.ndarray:
-    """2 ** BITMAP_BITS bits, of which those of all (context, token) are set; at most 2 ** (BITMAP_BITS - 6) rows come to the driver."""
-    found = entries.select("context", "token").mapInArrow(_set_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS).toArrow()
-    return _bits_of(found)
+    """2 ** BITMAP_BITS bits, of which those of all (context, token) are set."""
+    return _bitmap(entries.select("context", "token"), BITMAP_BITS)
 
 
 def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cells = _cell(keys)
+    cells = _cell(keys, len(bits).bit_length() + 5)
     return (bits[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
 
 
@@ -147,15 +195,43 @@ def _places(shared, depth: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[
     return context[at], tokens[at]
 
 
-def _cells(shared, depth: int, bits: int):
-    """The first 32 bits of the keys of ``_places``, by their first ``bits``: how many each next 16 - bits have, and all last 16, in order."""
+def _after(shared, depth: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places after contexts of a depth whose suffix may be a state, with the contexts and suffixes of these.
+
+    A context occurs no more often than its first two words, so those must be frequent too.
+    """
+    states, _, frequent = shared[:3]
+    suffix = np.zeros(len(tokens), np.int64)
+    for d, (context, there) in enumerate(contexts(tokens, begin), 1):
+        if d == depth:
+            break
+        suffix = context
+        if d == 2:
+            pair = context
+    at = np.flatnonzero(there)
+    at = at[_may_have(states, pair_keys(suffix[at], _STATE))]
+    at = at[_may_have(frequent, pair_keys(pair[at - (depth - 2)], _STATE))]
+    return at, context[at], suffix[at]
+
+
+def _contexts_after(shared, depth: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.int64]:
+    return _after(shared, depth, tokens, begin)[1], _ALL
+
+
+def _cells(shared, depth: int, bits: int, least: int, places: Callable):
+    """The first 32 bits of the keys of ``places``, by their first ``bits``: how many each next 16 - bits have, and all last 16, in order.
+
+    What a batch has more than ``least`` times is there ``least`` times.
+    """
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(pair_keys(*_places(shared.value, depth, tokens, begin)).view(np.uint64) >> np.uint64(32)).astype(np.uint32) for _, _, tokens, begin in sequences(batch.column(0))]
+            found = [(pair_keys(*places(shared.value, depth, tokens, begin)).view(np.uint64) >> np.uint64(32)).astype(np.uint32) for _, _, tokens, begin in sequences(batch.column(0))]
             if found:
                 found = np.concatenate(found)
                 found.sort()
+                if len(found) > least:
+                    found = found[np.concatenate((np.ones(least, np.bool_), found[least:] != found[:-least]))]
                 counts = np.bincount(found >> 16, minlength=1 << 16).astype(np.uint32).reshape(1 << bits, -1)
                 low = np.split(found.astype(np.uint16), np.cumsum(counts.sum(axis=1))[:-1])
                 columns = [pa.array(np.arange(1 << bits)), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
@@ -184,14 +260,22 @@ def _frequent_cells(least: int):
     return find
 
 
-def sieve(texts: DataFrame, shared, depth: int, total: int, least: int) -> np.ndarray:
-    """A bitmap that has all pairs of ``_places`` with ``least`` occurrences, and few others: two bytes an occurrence are shuffled.
+def sieve(texts: DataFrame, shared, depth: int, total: int, least: int, places: Callable = _places) -> np.ndarray:
+    """A bitmap that has all keys of ``places`` with ``least`` occurrences, and few others: at most two bytes an occurrence are shuffled.
 
     Parts are by the first bits of a cell and so of the bitmap. The more occurrences than 2 ** 32 there are, the more others pass.
     """
     bits = min(max(math.ceil(math.log2(max(total, 1) / PART_CELLS)), 0), 10)
-    cells = texts.mapInArrow(_cells(shared, depth, bits), "part long, counts binary, low binary")
-    return _bits_of(cells.groupBy("part").applyInArrow(_frequent_cells(least), "word long, bits long").repartition(SENDERS).toArrow())
+    cells = texts.mapInArrow(_cells(shared, depth, bits, least, places), "part long, counts binary, low binary")
+    return _bits_of(_fetched(cells.groupBy("part").applyInArrow(_frequent_cells(least), "word long, bits long").repartition(SENDERS)), BITMAP_BITS)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key is, and how many there are of it."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    return order[new], np.diff(np.append(new, len(key)))
 
 
 def _pairs(shared, depth: int):
@@ -207,63 +291,66 @@ def _pairs(shared, depth: int):
                 found.append((context[through], token[through]))
             if found:
                 context, token = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((token, context))
-                context, token = context[order], token[order]
-                new = np.ones(len(context), np.bool_)
-                new[1:] = (context[1:] != context[:-1]) | (token[1:] != token[:-1])
-                new = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[new]), pa.array(token[new]), pa.array(np.diff(np.append(new, len(context))))], ["context", "token", "n"]
-                )
+                at, n = _distinct(pair_keys(context, token))
+                order = np.argsort(context[at])
+                at, n = at[order], n[order]
+                yield pa.RecordBatch.from_arrays([pa.array(context[at]), pa.array(token[at]), pa.array(n)], ["context", "token", "n"])
 
     return count
 
 
 def _after_states(shared, depth: int):
-    """Counts of the contexts of a depth whose suffix may be a state, as pairs with ``_ALL``, and of their pairs as in ``_pairs``.
-
-    A context occurs no more often than its first two words, so those must be frequent too.
-    """
+    """Counts of the contexts of ``_after`` that the sieve, if there is one, lets through, as pairs with ``_ALL``, and of their pairs as in ``_pairs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, below, frequent = shared.value
+        below, sieved = shared.value[1], shared.value[3]
         for batch in batches:
             found = []
             for _, _, tokens, begin in sequences(batch.column(0)):
-                suffix = np.zeros(len(tokens), np.int64)
+                at, context, suffix = _after(shared.value, depth, tokens, begin)
+                if sieved is not None:
+                    through = _may_have(sieved, pair_keys(context, _ALL))
+                    at, context, suffix = at[through], context[through], suffix[through]
+                found.append((context, np.full(len(at), _ALL), suffix))
+                known = _may_have(below, pair_keys(suffix, tokens[at]))
+                found.append((context[known], tokens[at[known]], suffix[known]))
+            if found:
+                context, token, suffix = (np.concatenate(x) for x in zip(*found))
+                at, n = _distinct(pair_keys(context, token))
+                order = np.argsort(context[at])
+                at, n = at[order], n[order]
+                yield pa.RecordBatch.from_arrays([pa.array(context[at]), pa.array(token[at]), pa.array(suffix[at]), pa.array(n)], ["context", "token", "suffix", "n"])
+
+    return count
+
+
+def _with_states(shared, depth: int):
+    """The texts that may have a state of a depth."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for low, _, tokens, begin in sequences(batch.column(0)):
                 for d, (context, there) in enumerate(contexts(tokens, begin), 1):
                     if d == depth:
                         break
-                    suffix = context
-                    if d == 2:
-                        pair = context
                 at = np.flatnonzero(there)
-                at = at[_may_have(frequent, pair_keys(pair[at - (depth - 2)], _STATE))]
-                at = at[_may_have(states, pair_keys(suffix[at], _STATE))]
-                found.append((context[at], np.full(len(at), _ALL), suffix[at]))
-                at = at[_may_have(below, pair_keys(suffix[at], tokens[at]))]
-                found.append((context[at], tokens[at], suffix[at]))
-            if found:
-                context, token, suffix = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((token, context))
-                context, token, suffix = context[order], token[order], suffix[order]
-                new = np.ones(len(context), np.bool_)
-                new[1:] = (context[1:] != context[:-1]) | (token[1:] != token[:-1])
-                new = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[new]), pa.array(token[new]), pa.array(suffix[new]), pa.array(np.diff(np.append(new, len(context))))], ["context", "token", "suffix", "n"]
-                )
+                at = at[_may_have(shared.value[0], pair_keys(context[at], _STATE))]
+                found.append(np.unique(np.searchsorted(begin, at, "right") - 1) + low)
+            yield batch.take(pa.array(np.concatenate(found)))
 
-    return count
+    return choose
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries by the sequence of words that each is about: a pair's is its context and its word, a state's its context."""
     for batch in batches:
-        key = pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[2:]], ["key", "n", "value", "word"])
+        context, token = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        sequence = np.where(token == _STATE, context, (context + token.view(np.uint64)) * _STEP)
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(sequence.view(np.int64), _STATE)), *batch.columns[2:]], ["key", "n", "value", "kind"])
 
 
-def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_context: int, min_pair: int) -> list[DataFrame]:
+def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_texts: int, min_context: int, min_pair: int) -> list[DataFrame]:
     """Per depth the entries (context, token, n, value) of its states, which have a token of their own, and pairs.
 
     A state's value is the log10 share of the suffix's probability that a word without one of its own
@@ -275,34 +362,46 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
     denominator = float(total + distinct + 1)
     nothing = F.lit(0).cast("long")
     below = counts.where(F.col("n") >= min_pair).select(nothing.alias("context"), "token", ((F.col("n") + 1) / denominator).alias("q"))
-    candidates = settle(
+    candidates = _stored(
         counts.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
             followed(nothing, "token").alias("context"), nothing.alias("suffix"), F.col("n").alias("total")
         )
     )
     levels: list[DataFrame] = []
     states, salted = None, F.pmod("token", F.lit(SALTS))
-    while not (candidates if len(levels) < 2 else states).isEmpty():
-        if len(levels) < 2:
+    while True:
+        depth = len(levels) + 1
+        after = (candidates if depth < 3 else states).agg(F.sum("total" if depth < 3 else "n")).first()[0] or 0  # places after what can be longer
+        if not after:
+            break
+        if depth < 3:
             # Words, and words after words, that occur so often are known from the counts before.
             known = bitmap(candidates.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below)
             shared = session.sparkContext.broadcast(known)
-            sieved = sieve(texts, shared, len(levels) + 1, total, min_pair)
+            sieved = sieve(texts, shared, depth, total, min_pair)
             shared.destroy()
             shared = session.sparkContext.broadcast((*known, sieved))
-            counted = texts.mapInArrow(_pairs(shared, len(levels) + 1), "context long, token long, n long").withColumn("salt", salted)
+            counted = texts.mapInArrow(_pairs(shared, depth), "context long, token long, n long").withColumn("salt", salted)
             counted = counted.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pair).drop("salt")
         else:
             # Any context whose suffix is a state, whether or not what it begins with was a candidate.
-            shared = session.sparkContext.broadcast((bitmap(states.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below), frequent))
-            found = texts.mapInArrow(_after_states(shared, len(levels) + 1), "context long, token long, suffix long, n long").withColumn("salt", salted)
+            known = bitmap(states.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below), frequent
+            sieved = None
+            shared = session.sparkContext.broadcast(known)
+            if after > total // SIEVED_SHARE:
+                sieved = sieve(texts, shared, depth, total, min_context, _contexts_after)
+            elif after <= n_texts // FEW_TEXTS_SHARE:
+                texts = _stored(texts.mapInArrow(_with_states(shared, depth - 1), "text string"))
+            shared.destroy()
+            shared = session.sparkContext.broadcast((*known, sieved))
+            found = texts.mapInArrow(_after_states(shared, depth), "context long, token long, suffix long, n long").withColumn("salt", salted)
             found = found.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix"))
             whole = F.col("token") == int(_ALL)
-            found = settle(found.where(F.col("n") >= F.when(whole, min_context).otherwise(min_pair)).drop("salt"))
+            found = _stored(found.where(F.col("n") >= F.when(whole, min_context).otherwise(min_pair)).drop("salt"))
             candidates = found.where(whole).select("context", "suffix", F.col("n").alias("total"))
             candidates = candidates.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total")
             counted = found.where(~whole).select("context", "token", "n")
-        rows = settle(
+        rows = _stored(
             counted.join(candidates.hint("merge"), "context")
             .join(below.select(F.col("context").alias("suffix"), "token", "q").hint("merge"), ["suffix", "token"])
             .withColumn("p", (F.col("n") - DISCOUNT) / F.col("total"))
@@ -313,53 +412,58 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, min_
             rest_p.alias("rest_p"), (1 - F.sum("q")).alias("rest_q"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("own"), F.max("total").alias("n")
         )
         diverges = F.col("own") + F.col("rest_p") * F.log(F.col("rest_p") / F.col("rest_q")) >= DIVERGENCE
-        states = settle(sums.where(diverges).select("context", "n", F.log10(F.col("rest_p") / F.col("rest_q")).alias("value")))
+        states = _stored(sums.where(diverges).select("context", "n", F.log10(F.col("rest_p") / F.col("rest_q")).alias("value")))
         kept = rows.join(states.select("context", F.col("value").alias("backoff")).hint("merge"), "context")
-        pairs = settle(kept.select("context", "token", "n", "p", (F.log10("p") - F.log10("q") - F.col("backoff")).alias("value")))
+        pairs = _stored(kept.select("context", "token", "n", "p", (F.log10("p") - F.log10("q") - F.col("backoff")).alias("value")))
         levels.append(pairs.drop("p").unionByName(states.withColumn("token", F.lit(int(_STATE)))))
         below = pairs.select("context", "token", F.col("p").alias("q"))
         if len(levels) == 1:
             longer = rows.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
                 followed("context", "token").alias("context"), followed("suffix", "token").alias("suffix"), F.col("n").alias("total")
             )
-            longer = settle(longer)
+            longer = _stored(longer)
             frequent = bitmap(longer.select("context", F.lit(int(_STATE)).alias("token")))
-            candidates = settle(longer.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total"))
+            candidates = _stored(longer.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total"))
     return levels
 
 
 class Head:
-    """Values of the most frequent keys, found by their first bits, and the bitmap of all other states and pairs."""
+    """Of the most frequent sequences, found by the first bits of their keys, what they are worth; and bitmaps of all other pairs and states."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, others: np.ndarray, depth: int):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, states: np.ndarray, longest: int):
         order = np.argsort(keys.view(np.uint64))
-        self.keys, self.values, self.others, self.depth = keys[order], values[order], others, depth
-        self.bits = max(int(len(keys)).bit_length(), 1)
-        bucket = self._bucket(self.keys)
-        self.starts = np.searchsorted(bucket, np.arange((1 << self.bits) + 1)).astype(np.int32)
+        keys, values, kinds = keys[order], values[order], kinds[order].astype(np.uint8)
+        first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+        self.keys, self.pairs, self.states, self.longest = keys[first], pairs, states, longest
+        added = lambda x: np.append(np.add.reduceat(x, first) if len(first) else x, 0.0)
+        self.values, self.words = added(values), added(np.where(kinds & WORD, values, 0.0))
+        self.kinds = np.append(np.bitwise_or.reduceat(kinds, first) if len(first) else kinds, np.uint8(0))
+        self.bits = len(keys).bit_length() + 1
+        self.starts = np.searchsorted(self._bucket(self.keys), np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values, 0 where there is none; whether there is one; and which keys may be among the others."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys are in ``values``, ``words`` and ``kinds``; those that are not here have none of these."""
         bucket = self._bucket(keys)
         at, end = self.starts[bucket], self.starts[bucket + 1]
-        value, found = np.zeros(len(keys)), np.zeros(len(keys), np.bool_)
+        found = np.full(len(keys), len(self.keys))
         open_ = np.flatnonzero(at < end)
         while len(open_):
             hit = self.keys[at[open_]] == keys[open_]
-            value[open_[hit]] = self.values[at[open_[hit]]]
-            found[open_[hit]] = True
+            found[open_[hit]] = at[open_[hit]]
             open_ = open_[~hit]
             at[open_] += 1
             open_ = open_[at[open_] < end[open_]]
-        others = np.flatnonzero(~found)
-        return value, found, others[_may_have(self.others, keys[others])]
+        return found
 
 
 _SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double"
-_SCORED = f"key long, block long, places binary, sums struct<{_SUMS.replace(' ', ':').replace(',:', ',')}>"
+#: Keys that documents look for, entries or documents: ``_wanted``, ``_entries`` and ``_documents`` say what the columns hold.
+_PACKED = "part long, kind int, block long, keys binary, counts binary, data binary"
+_DOCUMENT = np.dtype([("place", "<u2"), ("held_out", "u1"), ("no_id", "u1"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("own", "<f8")])
+_WANTED, _WORDS, _TREE, _DOCUMENTS = range(4)
 _SUMS_TYPE = pa.struct(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())]
 )
@@ -376,53 +480,137 @@ def _by_key(rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(block[new]), places, pa.nulls(len(new), _SUMS_TYPE)], ["key", "block", "places", "sums"])
 
 
-def _scorer(shared):
-    """A row per document with what is looked up here, under a key of its own, and rows of ``_by_key`` for what is joined."""
+def _part_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending keys: the same as unsigned numbers in this order, and where each part, by their first bits, begins and the last ends."""
+    ascending = keys.view(np.uint64) ^ np.uint64(1 << 63)
+    return ascending, np.append(np.searchsorted(ascending, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+
+def _deltas(ascending: np.ndarray, part: int, bits: int) -> bytes:
+    """The keys of a part as steps of as many bytes as the longest needs; the first byte tells how many these are."""
+    steps = np.diff(ascending, prepend=np.uint64(part << (64 - bits)))
+    width = max((int(steps.max()).bit_length() + 7) // 8, 1)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _undone(packed: bytes, part: int, bits: int) -> np.ndarray:
+    width = packed[0]
+    steps = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(part << (64 - bits))
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    names, types = zip(*((f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in _PACKED.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], list(names))
+
+
+def _wanted(keyed: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_by_key``, packed to a row per block and part: keys, how many places each has, and these."""
+    for block in pc.unique(keyed["block"]).to_pylist():
+        own = keyed.filter(pc.equal(keyed["block"], block))
+        ascending, begin = _part_of(own["key"].to_numpy(), bits)
+        _, at, places = own["places"].buffers()
+        at = np.frombuffer(at, np.int32)[: len(own) + 1]
+        rows = []
+        for part in np.flatnonzero(np.diff(begin)).tolist():
+            low, high = begin[part], begin[part + 1]
+            counts = (np.diff(at[low : high + 1]) // 2).astype("<i4")
+            rows.append((part, _WANTED, block, _deltas(ascending[low:high], part, bits), counts.tobytes(), places[at[low] : at[high]].to_pybytes()))
+        yield _packed(rows)
+
+
+def _entries(bits: int):
+    """Entries packed to rows per part: keys with the counts of words, and keys with the values of pairs and states."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= (1 if batch is None else GATHERED):
+                key, n, value, kind = (x.to_numpy() for x in pa.Table.from_batches(held).combine_chunks().columns)
+                rows = []
+                for which, these in ((_WORDS, kind & WORD != 0), (_TREE, kind & WORD == 0)):
+                    order = np.flatnonzero(these)
+                    order = order[np.argsort(key[order])]
+                    ascending, begin = _part_of(key[order], bits)
+                    for part in np.flatnonzero(np.diff(begin)).tolist():
+                        own = order[begin[part] : begin[part + 1]]
+                        keys = _deltas(ascending[begin[part] : begin[part + 1]], part, bits)
+                        rows.append((part, which, None, keys, *((n[own].tobytes(), None) if which == _WORDS else (None, value[own].tobytes()))))
+                yield _packed(rows)
+                held, size = [], 0
+
+    return pack
+
+
+def _documents(rows: np.ndarray, documents: np.ndarray, bits: int) -> pa.RecordBatch:
+    """What is known of documents where they are, a row per 4,096 rows of the table; these go along with any part."""
+    block = rows >> ASSEMBLED_BITS
+    documents["place"] = rows & ((1 << ASSEMBLED_BITS) - 1)
+    at = np.append(np.flatnonzero(np.concatenate((block[:1] == block[:1], block[1:] != block[:-1]))), len(rows))
+    return _packed([(int(block[a]) % (1 << bits), _DOCUMENTS, int(block[a]), None, None, documents[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])])
+
+
+def _scorer(shared, bits: int):
+    """Documents with the sums of what is looked up here, and the keys that are joined.
+
+    A sequence may be a pair if all but its last word may be a state, and all but its first a pair (or
+    a frequent word); it may be a state if all but its first word may be one.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = shared.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, gathered, size = batch.column(0).to_numpy(), [], 0
+            documents = np.zeros(len(ids), _DOCUMENT)
+            documents["doc_id"], documents["no_id"] = pc.fill_null(batch.column(1), 0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            documents["held_out"] = batch.column(2).to_numpy(zero_copy_only=False)
             for low, high, tokens, begin in sequences(batch.column(3)):
-                row_of = np.repeat(np.arange(high - low), np.diff(begin))
-                key = pair_keys(np.zeros(len(tokens), np.int64), tokens)
-                value, found, _ = head.find(key)
-                others = np.flatnonzero(~found)  # every word that is not looked up here is joined
-                base = np.bincount(row_of, value, high - low)
-                known = np.bincount(row_of[found], minlength=high - low)
-                own, open_rows, open_keys = base.copy(), [row_of[others]], [key[others]]
-                active = np.ones(len(tokens), np.bool_)
-                for depth, (context, there) in enumerate(contexts(tokens, begin), 1):
-                    at = np.flatnonzero(active & there)
-                    if depth > head.depth or not len(at):
+                lengths = np.diff(begin)
+                row_of = np.repeat(np.arange(low, high), lengths)
+                place = np.arange(len(tokens)) - np.repeat(begin[:-1], lengths)
+                documents["n_tokens"][low:high] = lengths
+                sequence = np.zeros(len(tokens), np.uint64)
+                pair = state = np.ones(len(tokens), np.bool_)
+                for length in range(1, head.longest + 1):
+                    sequence = (np.roll(sequence, 1) + tokens.view(np.uint64)) * _STEP
+                    there = place >= length - 1
+                    as_pair, as_state = there & np.roll(state, 1) & pair, there & state
+                    at = np.flatnonzero(as_pair | as_state)
+                    if not len(at):
                         break
-                    state = pair_keys(context[at], _STATE)
-                    value, found, others = head.find(state)
-                    found[others] = True
-                    open_rows.append(row_of[at[others]])
-                    open_keys.append(state[others])
-                    own += np.bincount(row_of[at], value, high - low)
-                    active[:] = False
-                    at = at[found]
-                    active[at] = True
-                    key = pair_keys(context[at], tokens[at])
-                    value, _, others = head.find(key)
-                    open_rows.append(row_of[at[others]])
-                    open_keys.append(key[others])
-                    own += np.bincount(row_of[at], value, high - low)
-                rows, keys = np.concatenate(open_rows), np.concatenate(open_keys)
-                order = np.argsort(rows, kind="stable")
-                gathered.append((ids[low:high][rows[order]], keys[order]))
-                size += len(rows)
+                    key = pair_keys(sequence[at].view(np.int64), _STATE)
+                    found = head.find(key)
+                    kind = head.kinds[found]
+                    documents["own"][low:high] += np.bincount(row_of[at] - low, head.values[found], high - low)
+                    pair, state = np.zeros(len(tokens), np.bool_), np.zeros(len(tokens), np.bool_)
+                    joined = np.zeros(len(at), np.bool_)
+                    for now, before, bit, others in ((pair, as_pair, PAIR, head.pairs), (state, as_state, STATE, head.states)):
+                        here = kind & bit != 0
+                        open_ = np.flatnonzero(before[at] & ~here)
+                        open_ = open_[_may_have(others, key[open_])]
+                        here[open_] = True
+                        now[at] = here & before[at]
+                        if length > 1 or bit == STATE:
+                            joined[open_] = True
+                    if length == 1:
+                        word = kind & WORD != 0
+                        joined |= ~word  # every word that is not looked up here is joined
+                        documents["known"][low:high] = np.bincount(row_of[at[word]] - low, minlength=high - low)
+                        documents["base"][low:high] = np.bincount(row_of[at] - low, head.words[found], high - low)
+                    gathered.append((ids[row_of[at[joined]]], key[joined]))
+                    size += len(gathered[-1][1])
                 if size >= GATHERED:
-                    yield _by_key(*(np.concatenate(x) for x in zip(*gathered)))
+                    yield from _wanted(_by_key(*(np.concatenate(x) for x in zip(*gathered))), bits)
                     gathered, size = [], 0
-                n, own_key = high - low, mix(ids[low:high].view(np.uint64)).view(np.int64)
-                row = [*(batch.column(i).slice(low, n) for i in range(3)), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(own)]
-                sums = pa.StructArray.from_arrays(row, fields=list(_SUMS_TYPE))
-                yield pa.RecordBatch.from_arrays([pa.array(own_key), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), sums], ["key", "block", "places", "sums"])
             if size:
-                yield _by_key(*(np.concatenate(x) for x in zip(*gathered)))
+                yield from _wanted(_by_key(*(np.concatenate(x) for x in zip(*gathered))), bits)
+            yield _documents(ids, documents, bits)
 
     return score
 
@@ -440,11 +628,14 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, values, words_, size = [], [], [], 0
     for batch in batches:
         documents = batch.filter(pc.is_null(batch["places"]))
-        yield pa.RecordBatch.from_arrays(documents["sums"].flatten(), [f.name for f in _SUMS_TYPE])
+        if len(documents):
+            yield pa.RecordBatch.from_arrays(documents["sums"].flatten(), [f.name for f in _SUMS_TYPE])
         batch = batch.filter(pc.and_(pc.is_valid(batch["places"]), pc.is_valid(batch["value"])))
         if len(batch):
             n = pc.binary_length(batch["places"]).to_numpy() // 2
-            places = np.frombuffer(b"".join(batch["places"].to_pylist()), np.uint16)
+            _, at, places = batch["places"].buffers()
+            at = np.frombuffer(at, np.int32)[batch["places"].offset :]
+            places = np.frombuffer(places, np.uint16)[at[0] // 2 : at[len(batch)] // 2]
             rows.append(np.repeat(batch["block"].to_numpy() << 16, n) | places)
             values.append(np.repeat(batch["value"].to_numpy(), n))
             words_.append(np.repeat(batch["word"].to_numpy(), n))
@@ -456,6 +647,65 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row_sums(rows, values, words_)
 
 
+def _joined(bits: int):
+    """What the entries of a part are worth to the documents that look for them: sums, packed to a row per 4,096 rows of the table."""
+
+    def join(table: pa.Table) -> pa.Table:
+        part, kinds = table["part"][0].as_py(), table["kind"].to_numpy()
+        undone = lambda i: _undone(table["keys"][i].as_py(), part, bits)
+        sides = []
+        for which, column, kind in ((_WORDS, "counts", "<i8"), (_TREE, "data", "<f8")):
+            at = np.flatnonzero(kinds == which).tolist()
+            keys = np.concatenate([np.zeros(0, np.uint64), *(undone(i) for i in at)])
+            values = np.concatenate([np.zeros(0, kind), *(np.frombuffer(table[column][i].as_py(), kind) for i in at)])
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values[order]
+            if which == _WORDS:
+                sides.append((keys, np.log10(values + 1.0), 1))
+            else:
+                first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+                sides.append((keys[first], np.add.reduceat(values, first) if len(first) else values, 0))
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for i in np.flatnonzero(kinds == _WANTED).tolist():
+                wanted, data = undone(i), table["data"][i].as_py()
+                at = np.concatenate(([0], np.cumsum(np.frombuffer(table["counts"][i].as_py(), "<i4") * 2))).astype(np.int32)
+                places = pa.Array.from_buffers(pa.binary(), len(wanted), [None, pa.py_buffer(at), pa.py_buffer(data)])
+                for keys, values, word in sides:
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                        hit = np.flatnonzero(keys[at] == wanted)
+                        n = len(hit)
+                        columns = [np.full(n, table["block"][i].as_py()), places.take(pa.array(hit)), pa.nulls(n, _SUMS_TYPE), values[at[hit]], np.full(n, word)]
+                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["block", "places", "sums", "value", "word"])
+
+        out = [(table["block"][i].as_py(), table["data"][i].as_py(), None) for i in np.flatnonzero(kinds == _DOCUMENTS).tolist()]
+        for sums in _spread(found()):
+            row = sums["row"].to_numpy()
+            block = row >> ASSEMBLED_BITS
+            columns = [(row & ((1 << ASSEMBLED_BITS) - 1)).astype("<u2"), *(sums[c].to_numpy() for c in ("n_known", "base", "own"))]
+            at = np.append(np.flatnonzero(np.concatenate((block[:1] == block[:1], block[1:] != block[:-1]))), len(row))
+            out += [(int(block[a]), None, b"".join(x[a:b].tobytes() for x in columns)) for a, b in zip(at[:-1], at[1:])]
+        block, documents, sums = zip(*out) if out else ((), (), ())
+        return pa.table({"block": pa.array(block, pa.int64()), "documents": pa.array(documents, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    return join
+
+
+def _assembled(table: pa.Table) -> pa.Table:
+    """The documents of a block with the sums of all parts."""
+    documents = np.concatenate([np.frombuffer(x, _DOCUMENT) for x in table["documents"].drop_null().to_pylist()])
+    index = np.zeros(1 << ASSEMBLED_BITS, np.int64)
+    index[documents["place"]] = np.arange(len(documents))
+    for sums in table["sums"].drop_null().to_pylist():
+        n = len(sums) // 26
+        at = index[np.frombuffer(sums, "<u2", n)]
+        for k, (column, kind) in enumerate((("known", "<i8"), ("base", "<f8"), ("own", "<f8"))):
+            documents[column][at] += np.frombuffer(sums, kind, n, 2 * n + 8 * n * k)
+    found = {"doc_id": pa.array(documents["doc_id"], mask=documents["no_id"] != 0), "held_out": pa.array(documents["held_out"] != 0)}
+    return pa.table(found | {c: pa.array(documents[k]) for c, k in (("n_tokens", "n_tokens"), ("n_known", "known"), ("base", "base"), ("own", "own"))})
+
+
 def _least_of_head(entries: DataFrame, head_rows: int) -> float:
     """The least class of counts whose entries and those of greater classes are at most ``head_rows``."""
     sizes = entries.groupBy("class").count().toPandas().sort_values("class", ascending=False)
@@ -481,31 +731,32 @@ def language_model_scores(
     ship(spark)
     held_out = in_fold("doc_id", modulus, remainder)
     training = docs.where(~held_out).select(text_of().alias("text"))
-    counts = settle(training.mapInArrow(_count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    counts = _stored(training.mapInArrow(_count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("token") == int(_END), F.col("n"))).alias("texts")).first()
     total, distinct = row["total"] or 0, row["distinct"]
-    levels = grow(training, counts, total, distinct, min_context, min_pair)
-    columns = ["context", "token", "n", "value", "word"]
-    parts = [counts.select(F.lit(0).cast("long").alias("context"), "token", "n", F.log10(F.col("n") + 1).alias("value"), F.lit(1).cast("long").alias("word"))]
-    parts += [level.withColumn("word", F.lit(0).cast("long")).select(columns) for level in levels]
+    levels = grow(training, counts, total, distinct, row["texts"] or 0, min_context, min_pair)
+    columns = ["context", "token", "n", "value", "kind"]
+    kind_of = lambda x: x.cast("long").alias("kind")
+    frequent = F.when(F.col("n") >= min_pair, WORD | PAIR).otherwise(WORD)
+    parts = [counts.select(F.lit(0).cast("long").alias("context"), "token", "n", F.log10(F.col("n") + 1).alias("value"), kind_of(frequent))]
+    parts += [level.select(*columns[:4], kind_of(F.when(F.col("token") == int(_STATE), STATE).otherwise(PAIR))) for level in levels]
     entries = reduce(DataFrame.unionByName, parts).withColumn("class", F.floor(F.log2("n") * 8))  # all of them are stored tables
     least = _least_of_head(entries, head_rows)
     in_head = F.col("class") >= F.lit(least)
 
     def keyed(of: DataFrame) -> DataFrame:
-        return of.select(columns).mapInArrow(_with_keys, "key long, n long, value double, word long")
-
-    others = entries.where(~in_head)
-    bits = bitmap(others.where("word = 0"))
-    head = keyed(entries.where(in_head)).select("key", "value").repartition(SENDERS).toArrow()  # columns, not half a million row objects
-    shared = spark.sparkContext.broadcast(Head(head["key"].to_numpy(), head["value"].to_numpy(), bits, len(levels)))
-    del head
+        return of.select(columns).mapInArrow(_with_keys, "key long, n long, value double, kind long")
+
+    others = keyed(entries.where(~in_head))
+    others_of = [_bitmap(others.where(F.col("kind").bitwiseAND(bit) != 0).select("key"), JOINED_BITS) for bit in (PAIR, STATE)]
+    head = _fetched(keyed(entries.where(in_head)).select("key", "value", "kind").repartition(SENDERS))  # columns, not half a million row objects
+    shared = spark.sparkContext.broadcast(Head(*(head[c].to_numpy() for c in ("key", "value", "kind")), *others_of, len(levels) + 1))
+    del head, others_of
+    bits = max(math.ceil(math.log2(max(total, 1) / PART_TOKENS)), 4)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
-    scored = rows.mapInArrow(_scorer(shared), _SCORED)
-    values_of = keyed(others).select("key", "value", "word")
-    scored = scored.join(values_of.hint("merge"), "key", "left").select("block", "places", "sums", "value", "word").mapInArrow(_spread, _SUMS)
-    largest = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
-    scored = scored.groupBy("row").agg(*largest, *[F.sum(c).alias(c) for c in ("n_known", "base", "own")])
+    packed = rows.mapInArrow(_scorer(shared, bits), _PACKED).unionByName(others.mapInArrow(_entries(bits), _PACKED))
+    scored = packed.groupBy("part").applyInArrow(_joined(bits), "block long, documents binary, sums binary")
+    scored = scored.groupBy("block").applyInArrow(_assembled, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double")
     unknown = F.col("n_tokens") * -math.log10(total + distinct + 1)
     return scored.select(
         "doc_id",

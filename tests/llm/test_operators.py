@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -645,6 +646,42 @@ def test_a_batch_names_a_joined_key_once_with_its_documents():
     assert (sums[65_541]["own"], sums[65_541]["base"], sums[65_541]["n_known"]) == (0.5, 0.5, 1)
 
 
+def test_growing_the_tree_leaves_no_shuffle_files(spark, real):
+    folders = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    left = lambda: {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+    before = left()
+    scores = suffixtree.language_model_scores(real.select("doc_id", "text"))
+    assert sum(f.stat().st_size for f in left() - before) < 100_000  # of small counts; 219,823 with those of the tree
+    assert scores.count() == real.count()
+
+
+@pytest.mark.parametrize("bits", [4, 7])
+def test_joined_keys_are_packed_and_their_sums_are_those_of_every_place(bits):
+    rng = np.random.default_rng(3)
+    rows, keys = np.sort(rng.integers(65_000, 67_000, 40_000)), rng.integers(-(1 << 63), 1 << 63, 20_000)[rng.integers(0, 20_000, 40_000)]
+    wanted = [b for batch in suffixtree._wanted(suffixtree._by_key(rows, keys), bits) for b in batch.to_pylist()]
+    assert sum(len(r["keys"]) + len(r["data"]) for r in wanted) < 10 * len(rows)  # some 19 bytes each as rows of a join
+    known = np.unique(keys)[::2]
+    n, value = rng.integers(1, 100, len(known)), rng.normal(size=len(known))
+    kind = np.where(np.arange(len(known)) % 3 == 0, suffixtree.WORD, suffixtree.PAIR)
+    entries = pa.record_batch([pa.array(np.tile(x, 2)) for x in (known, n, value)] + [pa.array(np.append(kind, np.full(len(kind), suffixtree.STATE)))], ["key", "n", "value", "kind"])
+    packed = wanted + [b for batch in suffixtree._entries(bits)(iter([entries])) for b in batch.to_pylist()]
+    sums = np.zeros((3, 67_000))
+    for part in {r["part"] for r in packed}:
+        table = pa.Table.from_pylist([r for r in packed if r["part"] == part], pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "data"))]))
+        for r in suffixtree._joined(bits)(table).to_pylist():
+            m = len(r["sums"]) // 26
+            at = (r["block"] << suffixtree.ASSEMBLED_BITS) + np.frombuffer(r["sums"], "<u2", m).astype(int)
+            for k, kind_of in enumerate(("<i8", "<f8", "<f8")):
+                np.add.at(sums[k], at, np.frombuffer(r["sums"], kind_of, m, 2 * m + 8 * m * k))
+    at = np.searchsorted(known, keys).clip(max=len(known) - 1)
+    hit = known[at] == keys
+    at, of, word = at[hit], rows[hit], kind[at[hit]] == suffixtree.WORD
+    base = np.where(word, np.log10(n[at] + 1.0), 0)
+    for k, x in enumerate((word, base, np.where(word, base, value[at]) + value[at])):
+        assert np.allclose(sums[k], np.bincount(of, x, 67_000), atol=1e-9)
+
+
 def test_band_entries_are_packed_and_give_all_pairs(spark):
     rng = np.random.default_rng(5)
     sizes = np.concatenate((rng.integers(1, 12, 3000), [24, 25, 90]))
