@@ -55,6 +55,8 @@ SALTS = 8
 PART_CELLS = 1 << 22
 #: Words of the training text for each part of the keys that are joined; there are 16 parts at least.
 PART_TOKENS = 1 << 24
+#: Keys in a packed row, so that rows are well below a megabyte.
+PACKED_KEYS = 1 << 14
 #: Rows of the table, as a power of two, whose sums are put together at a time.
 ASSEMBLED_BITS = 12
 #: Texts are cut to words in slices of about this many bytes, whose arrays fit a cache.
@@ -75,6 +77,9 @@ _END = np.int64(0x0E4D)
 _STATE = np.int64(0x57A7E)
 _ALL = np.int64(0xA11)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SIGN = np.uint64(1 << 63)
+#: Masks for the first bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @contextmanager
@@ -100,6 +105,29 @@ def _fetched(df: DataFrame) -> pa.Table:
         return df.select("*").toArrow()
 
 
+def _word_hashes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, equal bytes, equal hashes: of words of up to eight and sixteen bytes from one or two numbers, else by ``span_hashes``."""
+    n = ends - starts
+    padded = np.zeros((len(mapped) >> 3) + 4, "<u8")
+    padded.view(np.uint8)[: len(mapped)] = mapped
+
+    def eight(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes from each place on, up to eight, as a number."""
+        block, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        return (padded[block] >> shift | padded[block + 1] << np.uint64(1) << (np.uint64(63) - shift)) & _FIRST[np.minimum(size, 8)]
+
+    out = mix(eight(starts, n) + _STEP)
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        out[long] = mix(out[long] + eight(starts[long] + 8, n[long] - 8) * _STEP)
+        long = long[n[long] > 16]
+        if len(long):
+            ends = np.cumsum(n[long])
+            at = np.arange(ends[-1]) + np.repeat(starts[long] - ends + n[long], n[long])
+            out[long] = span_hashes(mapped[at], ends - n[long], ends)
+    return out
+
+
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, tokens, where each row's begin): hashes of a row's words and an end token."""
     for low, high, data, offsets in slices(column, CACHED_BYTES):
@@ -107,7 +135,7 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         counts = np.diff(bounds)
         begin = bounds + np.arange(len(bounds))
         tokens = np.full(begin[-1], _END)
-        tokens[np.arange(len(starts)) + np.repeat(np.arange(high - low), counts)] = span_hashes(mapped, starts, ends).view(np.int64)
+        tokens[np.arange(len(starts)) + np.repeat(np.arange(high - low), counts)] = _word_hashes(mapped, starts, ends).view(np.int64)
         yield low, high, tokens, begin
 
 
@@ -136,12 +164,17 @@ def _cell(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _set_bits(bits: int):
+def _entry_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """By the sequence of words that an entry is about: a pair's is its context and its word, a state's its context."""
+    context = context.view(np.uint64)
+    return pair_keys(np.where(token == _STATE, context, (context + token.view(np.uint64)) * _STEP).view(np.int64), _STATE)
+
+
+def _set_bits(bits: int, keys: Callable):
     def set_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = batch.column(0).to_numpy()
-                cells = np.unique(_cell(pair_keys(keys, batch.column(1).to_numpy()) if batch.num_columns > 1 else keys, bits))
+                cells = np.unique(_cell(keys(batch.column(0).to_numpy(), batch.column(1).to_numpy()), bits))
                 word, first = np.unique(cells >> 6, return_index=True)
                 set_bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(set_bits.view(np.int64))], ["word", "bits"])
@@ -155,15 +188,10 @@ def _bits_of(found: pa.Table, bits: int) -> np.ndarray:
     return out
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """2 ** bits bits, of which those of all keys, or of all (context, token), are set; at most 2 ** (bits - 6) rows come to the driver."""
-    found = keys.mapInArrow(_set_bits(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS)
-    return _bits_of(_fetched(found), bits)
-
-
-def bitmap(entries: DataFrame) -> np.ndarray:
-    """2 ** BITMAP_BITS bits, of which those of all (context, token) are set."""
-    return _bitmap(entries.select("context", "token"), BITMAP_BITS)
+def bitmap(entries: DataFrame, bits: int = BITMAP_BITS, keys: Callable = pair_keys) -> np.ndarray:
+    """2 ** bits bits, of which those of all (context, token) are set; at most 2 ** (bits - 6) rows come to the driver."""
+    found = entries.select("context", "token").mapInArrow(_set_bits(bits, keys), "word long, bits long")
+    return _bits_of(_fetched(found.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).repartition(SENDERS)), bits)
 
 
 def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -171,14 +199,83 @@ def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[cells >> 6] >> (cells & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [np.unique(tokens, return_counts=True) for _, _, tokens, _ in sequences(batch.column(0))]
-        if parts:
-            tokens, counts = (np.concatenate(x) for x in zip(*parts))
-            distinct, where = np.unique(tokens, return_inverse=True)
-            n = np.bincount(where, counts).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["token", "n"])
+def _part_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending keys: the same as unsigned numbers in this order, and where each part, by their first bits, begins and the last ends."""
+    ascending = keys.view(np.uint64) ^ _SIGN
+    return ascending, np.append(np.searchsorted(ascending, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
+
+
+def _rows_of(begin: np.ndarray) -> list[tuple[int, slice]]:
+    """Parts and their keys, at most ``PACKED_KEYS`` a row."""
+    return [(part, slice(low, min(low + PACKED_KEYS, begin[part + 1]))) for part in range(len(begin) - 1) for low in range(begin[part], begin[part + 1], PACKED_KEYS)]
+
+
+def _deltas(ascending: np.ndarray) -> bytes:
+    """Ascending keys as the first and steps of as many bytes as the longest needs; the first byte tells how many these are."""
+    steps = np.diff(ascending)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8 or 1
+    return bytes([width]) + ascending[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _undone(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    steps = np.zeros(((len(packed) - 9) // width + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(packed, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _narrow(n: np.ndarray) -> bytes:
+    """Counts at a byte each, if all are small."""
+    return n.astype("<u1" if n.max() < 256 else "<i8").tobytes()
+
+
+def _wide(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(packed, "<u1" if len(packed) == size else "<i8").astype(np.int64)
+
+
+def _first_of(ascending: np.ndarray) -> np.ndarray:
+    """Where each distinct value begins."""
+    return np.flatnonzero(np.concatenate((ascending[:1] == ascending[:1], ascending[1:] != ascending[:-1])))
+
+
+def _count_words(bits: int):
+    """Counts of the words of a batch, packed to a row per part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tokens for _, _, tokens, _ in sequences(batch.column(0))]
+            if found:
+                tokens = np.sort(np.concatenate(found))
+                first = _first_of(tokens)
+                n = np.diff(np.append(first, len(tokens)))
+                ascending, begin = _part_of(tokens[first], bits)
+                rows = _rows_of(begin)
+                columns = [pa.array([p for p, _ in rows], pa.int64()), *(pa.array(x, pa.binary()) for x in ([_deltas(ascending[x]) for _, x in rows], [_narrow(n[x]) for _, x in rows]))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"])
+
+    return count
+
+
+def _add_up(least: int):
+    """The words of a part with their counts: a row each if there are ``least`` occurrences, all others packed."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        keys = [_undone(x) for x in table["keys"].to_pylist()]
+        n = np.concatenate([_wide(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys)])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = _first_of(keys)
+        keys, n = keys[first], np.add.reduceat(n, first)
+        often, rare = n >= least, n < least
+        size = np.count_nonzero(often)
+        found = pa.table({"token": (keys[often] ^ _SIGN).view(np.int64), "n": n[often], "words": np.ones(size, np.int64), "keys": pa.nulls(size, pa.binary()), "counts": pa.nulls(size, pa.binary())})
+        keys, n = keys[rare], n[rare]
+        rows = [{"n": int(n[x].sum()), "words": len(n[x]), "keys": _deltas(keys[x]), "counts": _narrow(n[x])} for _, x in _rows_of(np.array([0, len(keys)]))]
+        return pa.concat_tables([found, pa.Table.from_pylist(rows, found.schema)])
+
+    return add_up
 
 
 def _places(shared, depth: int, tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +371,7 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct key is, and how many there are of it."""
     order = np.argsort(key)
     key = key[order]
-    new = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    new = _first_of(key)
     return order[new], np.diff(np.append(new, len(key)))
 
 
@@ -313,7 +410,7 @@ def _after_states(shared, depth: int):
                     at, context, suffix = at[through], context[through], suffix[through]
                 found.append((context, np.full(len(at), _ALL), suffix))
                 known = _may_have(below, pair_keys(suffix, tokens[at]))
-                found.append((context[known], tokens[at[known]], suffix[known]))
+                found.append((context[known], tokens[at[known]], np.zeros(np.count_nonzero(known), np.int64)))
             if found:
                 context, token, suffix = (np.concatenate(x) for x in zip(*found))
                 at, n = _distinct(pair_keys(context, token))
@@ -343,11 +440,9 @@ def _with_states(shared, depth: int):
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries by the sequence of words that each is about: a pair's is its context and its word, a state's its context."""
     for batch in batches:
-        context, token = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        sequence = np.where(token == _STATE, context, (context + token.view(np.uint64)) * _STEP)
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(sequence.view(np.int64), _STATE)), *batch.columns[2:]], ["key", "n", "value", "kind"])
+        key = _entry_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[2:]], ["key", "value", "kind"])
 
 
 def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_texts: int, min_context: int, min_pair: int) -> list[DataFrame]:
@@ -357,11 +452,11 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_te
     keeps; a pair's is what its own probability is more than that.
     """
     session = training.sparkSession
-    texts = training.select("text")
+    texts = training.select("text")  # counts: of the words that occur as often as ``min_pair``
     followed = F.pandas_udf(_followed, "long")
     denominator = float(total + distinct + 1)
     nothing = F.lit(0).cast("long")
-    below = counts.where(F.col("n") >= min_pair).select(nothing.alias("context"), "token", ((F.col("n") + 1) / denominator).alias("q"))
+    below = counts.select(nothing.alias("context"), "token", ((F.col("n") + 1) / denominator).alias("q"))
     candidates = _stored(
         counts.where((F.col("n") >= min_context) & (F.col("token") != int(_END))).select(
             followed(nothing, "token").alias("context"), nothing.alias("suffix"), F.col("n").alias("total")
@@ -428,15 +523,15 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_te
 
 
 class Head:
-    """Of the most frequent sequences, found by the first bits of their keys, what they are worth; and bitmaps of all other pairs and states."""
+    """Of the most frequent sequences, found by the first bits of their keys, what they are worth as words and in the tree; and bitmaps of all other pairs and states."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, kinds: np.ndarray, pairs: np.ndarray, states: np.ndarray, longest: int):
         order = np.argsort(keys.view(np.uint64))
         keys, values, kinds = keys[order], values[order], kinds[order].astype(np.uint8)
-        first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+        first = _first_of(keys)
         self.keys, self.pairs, self.states, self.longest = keys[first], pairs, states, longest
         added = lambda x: np.append(np.add.reduceat(x, first) if len(first) else x, 0.0)
-        self.values, self.words = added(values), added(np.where(kinds & WORD, values, 0.0))
+        self.values, self.words = added(np.where(kinds & WORD, 0.0, values)), added(np.where(kinds & WORD, values, 0.0))
         self.kinds = np.append(np.bitwise_or.reduceat(kinds, first) if len(first) else kinds, np.uint8(0))
         self.bits = len(keys).bit_length() + 1
         self.starts = np.searchsorted(self._bucket(self.keys), np.arange((1 << self.bits) + 1)).astype(np.int32)
@@ -462,8 +557,10 @@ class Head:
 _SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double"
 #: Keys that documents look for, entries or documents: ``_wanted``, ``_entries`` and ``_documents`` say what the columns hold.
 _PACKED = "part long, kind int, block long, keys binary, counts binary, data binary"
-_DOCUMENT = np.dtype([("place", "<u2"), ("held_out", "u1"), ("no_id", "u1"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("own", "<f8")])
+_DOCUMENT = np.dtype([("place", "<u2"), ("held_out", "u1"), ("no_id", "u1"), ("doc_id", "<i8"), ("text", "<i8"), ("n_tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("own", "<f8")])
 _WANTED, _WORDS, _TREE, _DOCUMENTS = range(4)
+#: What is summed up of words, and of pairs and states.
+_OF_WORDS, _OF_TREE = (("known", "<i8"), ("base", "<f8")), (("own", "<f8"),)
 _SUMS_TYPE = pa.struct(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())]
 )
@@ -480,43 +577,23 @@ def _by_key(rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(block[new]), places, pa.nulls(len(new), _SUMS_TYPE)], ["key", "block", "places", "sums"])
 
 
-def _part_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of ascending keys: the same as unsigned numbers in this order, and where each part, by their first bits, begins and the last ends."""
-    ascending = keys.view(np.uint64) ^ np.uint64(1 << 63)
-    return ascending, np.append(np.searchsorted(ascending, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
-
-
-def _deltas(ascending: np.ndarray, part: int, bits: int) -> bytes:
-    """The keys of a part as steps of as many bytes as the longest needs; the first byte tells how many these are."""
-    steps = np.diff(ascending, prepend=np.uint64(part << (64 - bits)))
-    width = max((int(steps.max()).bit_length() + 7) // 8, 1)
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _undone(packed: bytes, part: int, bits: int) -> np.ndarray:
-    width = packed[0]
-    steps = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(part << (64 - bits))
-
-
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     names, types = zip(*((f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in _PACKED.split(", ")))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], list(names))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], list(names))
 
 
 def _wanted(keyed: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_by_key``, packed to a row per block and part: keys, how many places each has, and these."""
-    for block in pc.unique(keyed["block"]).to_pylist():
-        own = keyed.filter(pc.equal(keyed["block"], block))
+    """Rows of ``_by_key``, packed to rows of a block and a part: keys, how many places each has, and these."""
+    blocks = pc.unique(keyed["block"]).to_pylist()
+    for block in blocks:
+        own = keyed.filter(pc.equal(keyed["block"], block)) if len(blocks) > 1 else keyed
         ascending, begin = _part_of(own["key"].to_numpy(), bits)
         _, at, places = own["places"].buffers()
         at = np.frombuffer(at, np.int32)[: len(own) + 1]
         rows = []
-        for part in np.flatnonzero(np.diff(begin)).tolist():
-            low, high = begin[part], begin[part + 1]
-            counts = (np.diff(at[low : high + 1]) // 2).astype("<i4")
-            rows.append((part, _WANTED, block, _deltas(ascending[low:high], part, bits), counts.tobytes(), places[at[low] : at[high]].to_pybytes()))
+        for part, x in _rows_of(begin):
+            counts = np.diff(at[x.start : x.stop + 1]) // 2
+            rows.append((part, _WANTED, block, _deltas(ascending[x]), _narrow(counts), places[at[x.start] : at[x.stop]].to_pybytes()))
         yield _packed(rows)
 
 
@@ -530,17 +607,34 @@ def _entries(bits: int):
                 held.append(batch)
                 size += batch.num_rows
             if size >= (1 if batch is None else GATHERED):
-                key, n, value, kind = (x.to_numpy() for x in pa.Table.from_batches(held).combine_chunks().columns)
-                rows = []
-                for which, these in ((_WORDS, kind & WORD != 0), (_TREE, kind & WORD == 0)):
-                    order = np.flatnonzero(these)
-                    order = order[np.argsort(key[order])]
-                    ascending, begin = _part_of(key[order], bits)
-                    for part in np.flatnonzero(np.diff(begin)).tolist():
-                        own = order[begin[part] : begin[part + 1]]
-                        keys = _deltas(ascending[begin[part] : begin[part + 1]], part, bits)
-                        rows.append((part, which, None, keys, *((n[own].tobytes(), None) if which == _WORDS else (None, value[own].tobytes()))))
-                yield _packed(rows)
+                context, token, n, value, kind = (x.to_numpy() for x in pa.Table.from_batches(held).combine_chunks().columns)
+                key = _entry_keys(context, token)
+                yield _entry_rows(_WORDS, key[kind & WORD != 0], n[kind & WORD != 0], bits)
+                yield _entry_rows(_TREE, key[kind & WORD == 0], value[kind & WORD == 0], bits)
+                held, size = [], 0
+
+    return pack
+
+
+def _entry_rows(which: int, key: np.ndarray, what: np.ndarray, bits: int) -> pa.RecordBatch:
+    order = np.argsort(key)
+    what = what[order]
+    ascending, begin = _part_of(key[order], bits)
+    return _packed([(part, which, None, _deltas(ascending[x]), *((_narrow(what[x]), None) if which == _WORDS else (None, what[x].tobytes()))) for part, x in _rows_of(begin)])
+
+
+def _rare_words(bits: int):
+    """The packed rows of ``_add_up`` as those of ``_entries``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for row in chain((row for batch in batches for row in batch.to_pylist()), [None]):
+            if row is not None:
+                tokens = _undone(row["keys"]) ^ _SIGN
+                held.append((pair_keys((tokens * _STEP).view(np.int64), _STATE), _wide(row["counts"], len(tokens))))
+                size += len(tokens)
+            if size >= (1 if row is None else GATHERED):
+                yield _entry_rows(_WORDS, *(np.concatenate(x) for x in zip(*held)), bits)
                 held, size = [], 0
 
     return pack
@@ -550,12 +644,42 @@ def _documents(rows: np.ndarray, documents: np.ndarray, bits: int) -> pa.RecordB
     """What is known of documents where they are, a row per 4,096 rows of the table; these go along with any part."""
     block = rows >> ASSEMBLED_BITS
     documents["place"] = rows & ((1 << ASSEMBLED_BITS) - 1)
-    at = np.append(np.flatnonzero(np.concatenate((block[:1] == block[:1], block[1:] != block[:-1]))), len(rows))
+    at = np.append(_first_of(block), len(rows))
     return _packed([(int(block[a]) % (1 << bits), _DOCUMENTS, int(block[a]), None, None, documents[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])])
 
 
+def _word_scorer(shared, bits: int):
+    """Texts, by their hashes, with the sums of the words that are looked up here, and all other words, which are joined."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: Head = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, gathered, size = batch.column(0).to_numpy(), [], 0
+            documents = np.zeros(len(ids), _DOCUMENT)
+            documents["text"] = batch.column(1).to_numpy()
+            for low, high, tokens, begin in sequences(batch.column(2)):
+                row_of = np.repeat(np.arange(high - low), np.diff(begin))
+                key = pair_keys((tokens.view(np.uint64) * _STEP).view(np.int64), _STATE)
+                found = head.find(key)
+                word = head.kinds[found] & WORD != 0
+                documents["known"][low:high] = np.bincount(row_of[word], minlength=high - low)
+                documents["base"][low:high] = np.bincount(row_of, head.words[found], high - low)
+                gathered.append((ids[low:high][row_of[~word]], key[~word]))
+                size += len(gathered[-1][1])
+                if size >= GATHERED:
+                    yield from _wanted(_by_key(*(np.concatenate(x) for x in zip(*gathered))), bits)
+                    gathered, size = [], 0
+            if size:
+                yield from _wanted(_by_key(*(np.concatenate(x) for x in zip(*gathered))), bits)
+            yield _documents(ids, documents, bits)
+
+    return score
+
+
 def _scorer(shared, bits: int):
-    """Documents with the sums of what is looked up here, and the keys that are joined.
+    """Documents with the sums of the pairs and states that are looked up here, and the keys of others that are joined.
 
     A sequence may be a pair if all but its last word may be a state, and all but its first a pair (or
     a frequent word); it may be a state if all but its first word may be one.
@@ -569,8 +693,8 @@ def _scorer(shared, bits: int):
             ids, gathered, size = batch.column(0).to_numpy(), [], 0
             documents = np.zeros(len(ids), _DOCUMENT)
             documents["doc_id"], documents["no_id"] = pc.fill_null(batch.column(1), 0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            documents["held_out"] = batch.column(2).to_numpy(zero_copy_only=False)
-            for low, high, tokens, begin in sequences(batch.column(3)):
+            documents["held_out"], documents["text"] = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            for low, high, tokens, begin in sequences(batch.column(4)):
                 lengths = np.diff(begin)
                 row_of = np.repeat(np.arange(low, high), lengths)
                 place = np.arange(len(tokens)) - np.repeat(begin[:-1], lengths)
@@ -598,11 +722,6 @@ def _scorer(shared, bits: int):
                         now[at] = here & before[at]
                         if length > 1 or bit == STATE:
                             joined[open_] = True
-                    if length == 1:
-                        word = kind & WORD != 0
-                        joined |= ~word  # every word that is not looked up here is joined
-                        documents["known"][low:high] = np.bincount(row_of[at[word]] - low, minlength=high - low)
-                        documents["base"][low:high] = np.bincount(row_of[at] - low, head.words[found], high - low)
                     gathered.append((ids[row_of[at[joined]]], key[joined]))
                     size += len(gathered[-1][1])
                 if size >= GATHERED:
@@ -647,29 +766,33 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row_sums(rows, values, words_)
 
 
-def _joined(bits: int):
+def _sums_of(packed: bytes, of: tuple) -> tuple[np.ndarray, list[np.ndarray]]:
+    n = len(packed) // (2 + 8 * len(of))
+    return np.frombuffer(packed, "<u2", n), [np.frombuffer(packed, kind, n, 2 * n + 8 * n * k) for k, (_, kind) in enumerate(of)]
+
+
+def _joined(of: tuple):
     """What the entries of a part are worth to the documents that look for them: sums, packed to a row per 4,096 rows of the table."""
 
     def join(table: pa.Table) -> pa.Table:
-        part, kinds = table["part"][0].as_py(), table["kind"].to_numpy()
-        undone = lambda i: _undone(table["keys"][i].as_py(), part, bits)
+        kinds = table["kind"].to_numpy()
+        undone = lambda i: _undone(table["keys"][i].as_py())
         sides = []
-        for which, column, kind in ((_WORDS, "counts", "<i8"), (_TREE, "data", "<f8")):
+        for which in (_WORDS, _TREE):
             at = np.flatnonzero(kinds == which).tolist()
-            keys = np.concatenate([np.zeros(0, np.uint64), *(undone(i) for i in at)])
-            values = np.concatenate([np.zeros(0, kind), *(np.frombuffer(table[column][i].as_py(), kind) for i in at)])
-            order = np.argsort(keys, kind="stable")
+            keys = [undone(i) for i in at]
+            values = [_wide(table["counts"][i].as_py(), len(k)) if which == _WORDS else np.frombuffer(table["data"][i].as_py(), "<f8") for i, k in zip(at, keys)]
+            keys, values = (np.concatenate([np.zeros(0, x), *y]) for x, y in ((np.uint64, keys), (np.float64, values)))
+            order = np.argsort(keys)
             keys, values = keys[order], values[order]
-            if which == _WORDS:
-                sides.append((keys, np.log10(values + 1.0), 1))
-            else:
-                first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
-                sides.append((keys[first], np.add.reduceat(values, first) if len(first) else values, 0))
+            first = _first_of(keys)
+            keys, values = keys[first], np.add.reduceat(values, first) if len(first) else values
+            sides.append((keys, np.log10(values + 1), 1) if which == _WORDS else (keys, values, 0))
 
         def found() -> Iterator[pa.RecordBatch]:
             for i in np.flatnonzero(kinds == _WANTED).tolist():
                 wanted, data = undone(i), table["data"][i].as_py()
-                at = np.concatenate(([0], np.cumsum(np.frombuffer(table["counts"][i].as_py(), "<i4") * 2))).astype(np.int32)
+                at = np.concatenate(([0], np.cumsum(_wide(table["counts"][i].as_py(), len(wanted)) * 2))).astype(np.int32)
                 places = pa.Array.from_buffers(pa.binary(), len(wanted), [None, pa.py_buffer(at), pa.py_buffer(data)])
                 for keys, values, word in sides:
                     if len(keys):
@@ -683,8 +806,8 @@ def _joined(bits: int):
         for sums in _spread(found()):
             row = sums["row"].to_numpy()
             block = row >> ASSEMBLED_BITS
-            columns = [(row & ((1 << ASSEMBLED_BITS) - 1)).astype("<u2"), *(sums[c].to_numpy() for c in ("n_known", "base", "own"))]
-            at = np.append(np.flatnonzero(np.concatenate((block[:1] == block[:1], block[1:] != block[:-1]))), len(row))
+            columns = [(row & ((1 << ASSEMBLED_BITS) - 1)).astype("<u2"), *(sums[{"known": "n_known"}.get(name, name)].to_numpy() for name, _ in of)]
+            at = np.append(_first_of(block), len(row))
             out += [(int(block[a]), None, b"".join(x[a:b].tobytes() for x in columns)) for a, b in zip(at[:-1], at[1:])]
         block, documents, sums = zip(*out) if out else ((), (), ())
         return pa.table({"block": pa.array(block, pa.int64()), "documents": pa.array(documents, pa.binary()), "sums": pa.array(sums, pa.binary())})
@@ -692,18 +815,23 @@ def _joined(bits: int):
     return join
 
 
-def _assembled(table: pa.Table) -> pa.Table:
+def _assembled(of: tuple):
     """The documents of a block with the sums of all parts."""
-    documents = np.concatenate([np.frombuffer(x, _DOCUMENT) for x in table["documents"].drop_null().to_pylist()])
-    index = np.zeros(1 << ASSEMBLED_BITS, np.int64)
-    index[documents["place"]] = np.arange(len(documents))
-    for sums in table["sums"].drop_null().to_pylist():
-        n = len(sums) // 26
-        at = index[np.frombuffer(sums, "<u2", n)]
-        for k, (column, kind) in enumerate((("known", "<i8"), ("base", "<f8"), ("own", "<f8"))):
-            documents[column][at] += np.frombuffer(sums, kind, n, 2 * n + 8 * n * k)
-    found = {"doc_id": pa.array(documents["doc_id"], mask=documents["no_id"] != 0), "held_out": pa.array(documents["held_out"] != 0)}
-    return pa.table(found | {c: pa.array(documents[k]) for c, k in (("n_tokens", "n_tokens"), ("n_known", "known"), ("base", "base"), ("own", "own"))})
+
+    def assemble(table: pa.Table) -> pa.Table:
+        documents = np.concatenate([np.frombuffer(x, _DOCUMENT) for x in table["documents"].drop_null().to_pylist()])
+        index = np.zeros(1 << ASSEMBLED_BITS, np.int64)
+        index[documents["place"]] = np.arange(len(documents))
+        for packed in table["sums"].drop_null().to_pylist():
+            place, sums = _sums_of(packed, of)
+            for (name, _), x in zip(of, sums):
+                documents[name][index[place]] += x
+        found = {"text": documents["text"]} | {name: documents[name] for name, _ in of}
+        if of == _OF_TREE:
+            found |= {"doc_id": pa.array(documents["doc_id"], mask=documents["no_id"] != 0), "held_out": documents["held_out"] != 0, "n_tokens": documents["n_tokens"]}
+        return pa.table({k: x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for k, x in found.items()})
+
+    return assemble
 
 
 def _least_of_head(entries: DataFrame, head_rows: int) -> float:
@@ -731,32 +859,42 @@ def language_model_scores(
     ship(spark)
     held_out = in_fold("doc_id", modulus, remainder)
     training = docs.where(~held_out).select(text_of().alias("text"))
-    counts = _stored(training.mapInArrow(_count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.max(F.when(F.col("token") == int(_END), F.col("n"))).alias("texts")).first()
-    total, distinct = row["total"] or 0, row["distinct"]
+    word_bits = min(max(math.ceil(math.log2(max(training.rdd.getNumPartitions(), 1))), 4), 12)
+    counted = training.mapInArrow(_count_words(word_bits), "part long, keys binary, counts binary")
+    counted = _stored(counted.groupBy("part").applyInArrow(_add_up(min_pair), "token long, n long, words long, keys binary, counts binary"))
+    counts, rare = counted.where("token is not null").select("token", "n"), counted.where("token is null").select("keys", "counts")
+    row = counted.agg(F.sum("n").alias("total"), F.sum("words").alias("distinct"), F.max(F.when(F.col("token") == int(_END), F.col("n"))).alias("texts")).first()
+    total, distinct = row["total"] or 0, row["distinct"] or 0
     levels = grow(training, counts, total, distinct, row["texts"] or 0, min_context, min_pair)
     columns = ["context", "token", "n", "value", "kind"]
     kind_of = lambda x: x.cast("long").alias("kind")
-    frequent = F.when(F.col("n") >= min_pair, WORD | PAIR).otherwise(WORD)
-    parts = [counts.select(F.lit(0).cast("long").alias("context"), "token", "n", F.log10(F.col("n") + 1).alias("value"), kind_of(frequent))]
+    parts = [counts.select(F.lit(0).cast("long").alias("context"), "token", "n", F.log10(F.col("n") + 1).alias("value"), kind_of(F.lit(WORD | PAIR)))]
     parts += [level.select(*columns[:4], kind_of(F.when(F.col("token") == int(_STATE), STATE).otherwise(PAIR))) for level in levels]
     entries = reduce(DataFrame.unionByName, parts).withColumn("class", F.floor(F.log2("n") * 8))  # all of them are stored tables
     least = _least_of_head(entries, head_rows)
     in_head = F.col("class") >= F.lit(least)
 
-    def keyed(of: DataFrame) -> DataFrame:
-        return of.select(columns).mapInArrow(_with_keys, "key long, n long, value double, kind long")
-
-    others = keyed(entries.where(~in_head))
-    others_of = [_bitmap(others.where(F.col("kind").bitwiseAND(bit) != 0).select("key"), JOINED_BITS) for bit in (PAIR, STATE)]
-    head = _fetched(keyed(entries.where(in_head)).select("key", "value", "kind").repartition(SENDERS))  # columns, not half a million row objects
+    others = entries.where(~in_head).select(columns)
+    others_of = [bitmap(others.where(F.col("kind").bitwiseAND(bit) != 0), JOINED_BITS, _entry_keys) for bit in (PAIR, STATE)]
+    head = entries.where(in_head).select("context", "token", "value", "kind").mapInArrow(_with_keys, "key long, value double, kind long")
+    head = _fetched(head.repartition(SENDERS))  # columns, not half a million row objects
     shared = spark.sparkContext.broadcast(Head(*(head[c].to_numpy() for c in ("key", "value", "kind")), *others_of, len(levels) + 1))
     del head, others_of
     bits = max(math.ceil(math.log2(max(total, 1) / PART_TOKENS)), 4)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of().alias("text"))
-    packed = rows.mapInArrow(_scorer(shared, bits), _PACKED).unionByName(others.mapInArrow(_entries(bits), _PACKED))
-    scored = packed.groupBy("part").applyInArrow(_joined(bits), "block long, documents binary, sums binary")
-    scored = scored.groupBy("block").applyInArrow(_assembled, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    is_word = F.col("kind").bitwiseAND(WORD) != 0
+
+    def summed(looked_up: DataFrame, of: tuple, schema: str) -> DataFrame:
+        blocks = looked_up.groupBy("part").applyInArrow(_joined(of), "block long, documents binary, sums binary")
+        return blocks.groupBy("block").applyInArrow(_assembled(of), schema)
+
+    # Words on their own, by the hashes of texts: rows have no numbers that last, and less is shuffled at a time.
+    packed = rows.select("row", "hash", "text").mapInArrow(_word_scorer(shared, bits), _PACKED).unionByName(rare.mapInArrow(_rare_words(bits), _PACKED))
+    packed = packed.unionByName(others.where(is_word).mapInArrow(_entries(bits), _PACKED))
+    of_words = _stored(summed(packed, _OF_WORDS, "text long, known long, base double").groupBy("text").agg(F.max("known").alias("n_known"), F.max("base").alias("base")))
+    packed = rows.select("row", "doc_id", "held_out", "hash", "text").mapInArrow(_scorer(shared, bits), _PACKED).unionByName(others.where(~is_word).mapInArrow(_entries(bits), _PACKED))
+    scored = summed(packed, _OF_TREE, "text long, own double, doc_id long, held_out boolean, n_tokens long").join(of_words, "text")
     unknown = F.col("n_tokens") * -math.log10(total + distinct + 1)
     return scored.select(
         "doc_id",
@@ -765,5 +903,5 @@ def language_model_scores(
         "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + unknown).alias("base_score"),
-        (F.col("own") + unknown).alias("score"),
+        (F.col("base") + F.col("own") + unknown).alias("score"),
     )

@@ -142,7 +142,7 @@ NONSPACE[0] = 0xFF
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in the bytes, where each row's words begin, and the mapped bytes."""
-    mapped = table[data]
+    mapped = np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
     inside = np.zeros(len(data) + 2, np.bool_)
     inside[1:-1] = mapped != 0
     left, here, right = inside[:-2], inside[1:-1], inside[2:]

@@ -661,19 +661,24 @@ def test_joined_keys_are_packed_and_their_sums_are_those_of_every_place(bits):
     rows, keys = np.sort(rng.integers(65_000, 67_000, 40_000)), rng.integers(-(1 << 63), 1 << 63, 20_000)[rng.integers(0, 20_000, 40_000)]
     wanted = [b for batch in suffixtree._wanted(suffixtree._by_key(rows, keys), bits) for b in batch.to_pylist()]
     assert sum(len(r["keys"]) + len(r["data"]) for r in wanted) < 10 * len(rows)  # some 19 bytes each as rows of a join
-    known = np.unique(keys)[::2]
+    context = np.unique(rng.integers(-(1 << 62), 1 << 62, 20_000))
+    own = suffixtree._entry_keys(context, np.full(len(context), suffixtree._STATE))
+    keys = np.where(rng.random(len(keys)) < 0.5, own[rng.integers(0, len(own), len(keys))], keys)
+    order = np.argsort(own)
+    wanted = [b for batch in suffixtree._wanted(suffixtree._by_key(rows, keys), bits) for b in batch.to_pylist()]
+    context, known = context[order][::2], own[order][::2]
     n, value = rng.integers(1, 100, len(known)), rng.normal(size=len(known))
     kind = np.where(np.arange(len(known)) % 3 == 0, suffixtree.WORD, suffixtree.PAIR)
-    entries = pa.record_batch([pa.array(np.tile(x, 2)) for x in (known, n, value)] + [pa.array(np.append(kind, np.full(len(kind), suffixtree.STATE)))], ["key", "n", "value", "kind"])
+    entries = pa.record_batch([pa.array(np.tile(x, 2)) for x in (context, np.full(len(known), suffixtree._STATE), n, value)] + [pa.array(np.append(kind, np.full(len(kind), suffixtree.STATE)))], ["context", "token", "n", "value", "kind"])
     packed = wanted + [b for batch in suffixtree._entries(bits)(iter([entries])) for b in batch.to_pylist()]
     sums = np.zeros((3, 67_000))
     for part in {r["part"] for r in packed}:
         table = pa.Table.from_pylist([r for r in packed if r["part"] == part], pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "data"))]))
-        for r in suffixtree._joined(bits)(table).to_pylist():
-            m = len(r["sums"]) // 26
-            at = (r["block"] << suffixtree.ASSEMBLED_BITS) + np.frombuffer(r["sums"], "<u2", m).astype(int)
-            for k, kind_of in enumerate(("<i8", "<f8", "<f8")):
-                np.add.at(sums[k], at, np.frombuffer(r["sums"], kind_of, m, 2 * m + 8 * m * k))
+        for of, to in ((suffixtree._OF_WORDS, sums[:2]), (suffixtree._OF_TREE, sums[2:])):
+            for r in suffixtree._joined(of)(table).to_pylist():
+                place, own = suffixtree._sums_of(r["sums"], of)
+                for x, y in zip(to, own):
+                    np.add.at(x, (r["block"] << suffixtree.ASSEMBLED_BITS) + place.astype(int), y)
     at = np.searchsorted(known, keys).clip(max=len(known) - 1)
     hit = known[at] == keys
     at, of, word = at[hit], rows[hit], kind[at[hit]] == suffixtree.WORD
