@@ -49,7 +49,7 @@ HEAD_ROWS = 500_000
 #: Bits of a bitmap, as a power of two, and of those that say what is to be joined.
 BITMAP_BITS = 24
 JOINED_BITS = 26
-#: A context's next words are dealt over this many groups.
+#: A context's next words are dealt over this many groups, a power of two.
 SALTS = 8
 #: Occurrences in a part of the cells of a sieve, which one task counts.
 PART_CELLS = 1 << 22
@@ -375,7 +375,45 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], np.diff(np.append(new, len(key)))
 
 
-def _pairs(shared, depth: int):
+def _packed_counts(context: np.ndarray, token: np.ndarray, suffix: np.ndarray | None, bits: int) -> pa.RecordBatch:
+    """Counts of (context, token), packed to rows per part: a context once with its tokens, and with its suffix where a token is ``_ALL``."""
+    at, n = _distinct(pair_keys(context, token))
+    dealt = pair_keys(context[at], token[at] & (SALTS - 1)).view(np.int64)
+    order = np.argsort(dealt)
+    at, n, (dealt, begin) = at[order], n[order], _part_of(dealt[order], bits)
+    rows = []
+    for part, x in _rows_of(begin):
+        own, first = at[x], _first_of(dealt[x])
+        suffixes = None if suffix is None else suffix[own[token[own] == _ALL]].tobytes()
+        rows.append((part, context[own[first]].tobytes(), _narrow(np.diff(np.append(first, len(own)))), token[own].tobytes(), _narrow(n[x]), suffixes))
+    names = ["part", "contexts", "sizes", "tokens", "counts", "suffixes"]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(zip(*rows) if rows else [()] * len(names))], names)
+
+
+def _counted(min_context: int, min_pair: int):
+    """Contexts and pairs of a part that occur often enough, with their counts."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        found = []
+        for contexts_, sizes, tokens, counts, suffixes in zip(*(table[c].to_pylist() for c in ("contexts", "sizes", "tokens", "counts", "suffixes"))):
+            context, token = np.frombuffer(contexts_, "<i8"), np.frombuffer(tokens, "<i8")
+            suffix = np.zeros(len(token), np.int64)
+            if suffixes:
+                suffix[token == _ALL] = np.frombuffer(suffixes, "<i8")
+            found.append((np.repeat(context, _wide(sizes, len(context))), token, suffix, _wide(counts, len(token))))
+        context, token, suffix, n = (np.concatenate(x) for x in zip(*found))
+        key = pair_keys(context, token)
+        order = np.argsort(key)
+        first = _first_of(key[order])
+        at, n = order[first], np.add.reduceat(n[order], first)
+        often = n >= np.where(token[at] == _ALL, min_context, min_pair)
+        at = at[often]
+        return pa.table({"context": context[at], "token": token[at], "suffix": suffix[at], "n": n[often]})
+
+    return add_up
+
+
+def _pairs(shared, depth: int, bits: int):
     """Counts of the pairs of ``_places`` that the sieve lets through, in the texts of a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,16 +425,12 @@ def _pairs(shared, depth: int):
                 through = _may_have(sieved, pair_keys(context, token))
                 found.append((context[through], token[through]))
             if found:
-                context, token = (np.concatenate(x) for x in zip(*found))
-                at, n = _distinct(pair_keys(context, token))
-                order = np.argsort(context[at])
-                at, n = at[order], n[order]
-                yield pa.RecordBatch.from_arrays([pa.array(context[at]), pa.array(token[at]), pa.array(n)], ["context", "token", "n"])
+                yield _packed_counts(*(np.concatenate(x) for x in zip(*found)), None, bits)
 
     return count
 
 
-def _after_states(shared, depth: int):
+def _after_states(shared, depth: int, bits: int):
     """Counts of the contexts of ``_after`` that the sieve, if there is one, lets through, as pairs with ``_ALL``, and of their pairs as in ``_pairs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,11 +446,7 @@ def _after_states(shared, depth: int):
                 known = _may_have(below, pair_keys(suffix, tokens[at]))
                 found.append((context[known], tokens[at[known]], np.zeros(np.count_nonzero(known), np.int64)))
             if found:
-                context, token, suffix = (np.concatenate(x) for x in zip(*found))
-                at, n = _distinct(pair_keys(context, token))
-                order = np.argsort(context[at])
-                at, n = at[order], n[order]
-                yield pa.RecordBatch.from_arrays([pa.array(context[at]), pa.array(token[at]), pa.array(suffix[at]), pa.array(n)], ["context", "token", "suffix", "n"])
+                yield _packed_counts(*(np.concatenate(x) for x in zip(*found)), bits)
 
     return count
 
@@ -463,7 +493,9 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_te
         )
     )
     levels: list[DataFrame] = []
-    states, salted = None, F.pmod("token", F.lit(SALTS))
+    states, bits = None, min(max(math.ceil(math.log2(max(total, 1) / PART_CELLS)), 4), 12)
+    counts_of = lambda found: found.groupBy("part").applyInArrow(_counted(min_context, min_pair), "context long, token long, suffix long, n long")
+    packed = "part long, contexts binary, sizes binary, tokens binary, counts binary, suffixes binary"
     while True:
         depth = len(levels) + 1
         after = (candidates if depth < 3 else states).agg(F.sum("total" if depth < 3 else "n")).first()[0] or 0  # places after what can be longer
@@ -476,8 +508,7 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_te
             sieved = sieve(texts, shared, depth, total, min_pair)
             shared.destroy()
             shared = session.sparkContext.broadcast((*known, sieved))
-            counted = texts.mapInArrow(_pairs(shared, depth), "context long, token long, n long").withColumn("salt", salted)
-            counted = counted.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pair).drop("salt")
+            counted = counts_of(texts.mapInArrow(_pairs(shared, depth, bits), packed)).drop("suffix")
         else:
             # Any context whose suffix is a state, whether or not what it begins with was a candidate.
             known = bitmap(states.select("context", F.lit(int(_STATE)).alias("token"))), bitmap(below), frequent
@@ -489,10 +520,8 @@ def grow(training: DataFrame, counts: DataFrame, total: int, distinct: int, n_te
                 texts = _stored(texts.mapInArrow(_with_states(shared, depth - 1), "text string"))
             shared.destroy()
             shared = session.sparkContext.broadcast((*known, sieved))
-            found = texts.mapInArrow(_after_states(shared, depth), "context long, token long, suffix long, n long").withColumn("salt", salted)
-            found = found.repartition("context", "salt").groupBy("context", "token", "salt").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix"))
+            found = _stored(counts_of(texts.mapInArrow(_after_states(shared, depth, bits), packed)))
             whole = F.col("token") == int(_ALL)
-            found = _stored(found.where(F.col("n") >= F.when(whole, min_context).otherwise(min_pair)).drop("salt"))
             candidates = found.where(whole).select("context", "suffix", F.col("n").alias("total"))
             candidates = candidates.join(states.select(F.col("context").alias("suffix")).hint("merge"), "suffix", "left_semi").select("context", "suffix", "total")
             counted = found.where(~whole).select("context", "token", "n")

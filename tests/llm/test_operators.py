@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -687,6 +688,20 @@ def test_joined_keys_are_packed_and_their_sums_are_those_of_every_place(bits):
         assert np.allclose(sums[k], np.bincount(of, x, 67_000), atol=1e-9)
 
 
+def test_counts_of_contexts_are_packed_and_add_up():
+    rng = np.random.default_rng(9)
+    context, token = rng.integers(0, 400, 60_000) * 7919 << 40, rng.integers(-50, 50, 60_000) * 104_729
+    token[::3], suffix = suffixtree._ALL, context ^ 5
+    batches = [suffixtree._packed_counts(context[a : a + 20_000], token[a : a + 20_000], suffix[a : a + 20_000], 4) for a in range(0, 60_000, 20_000)]
+    assert sum(b.num_rows for b in batches) <= 60  # not a row for each of 30,000 counts
+    table, found = pa.Table.from_batches(batches), []
+    for part in set(table["part"].to_pylist()):
+        found += suffixtree._counted(50, 3)(table.filter(pa.compute.equal(table["part"], part))).to_pylist()
+    counts = Counter(zip(context.tolist(), token.tolist()))
+    assert {(r["context"], r["token"]): r["n"] for r in found} == {k: n for k, n in counts.items() if n >= (50 if k[1] == suffixtree._ALL else 3)} and len(found) > 1000
+    assert all(r["suffix"] == r["context"] ^ 5 for r in found if r["token"] == suffixtree._ALL)
+
+
 def test_band_entries_are_packed_and_give_all_pairs(spark):
     rng = np.random.default_rng(5)
     sizes = np.concatenate((rng.integers(1, 12, 3000), [24, 25, 90]))
